@@ -24,6 +24,8 @@ from tesserix.llm.sampling import sampled_texts
 from tesserix.llm.words import WORD, Memo
 
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 10, 5
+#: Subwords in fewer training documents aren't learned; DECAY pulls the others to 0.
+RARE, DECAY = 5, 1e-3
 PER_LABEL, ROUNDS, EPOCHS = 2500, 4, 4
 FOLDS, HELD_OUT = 5, 0
 
@@ -39,9 +41,10 @@ class SubwordBag:
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.table = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+        self.table = np.zeros((BUCKETS, DIM), np.float32)  # what no training window holds adds nothing
         self.weights = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
+        self.known = np.ones(BUCKETS, np.float32)  # 0: too rare to be learned
         self.slope, self.shift = 1.0, 0.0
 
     def bucket_logits(self) -> np.ndarray:
@@ -52,6 +55,7 @@ class SubwordBag:
         """windows: arrays of subword buckets. Weighted so that both classes count alike."""
         share = max(1e-6, y.mean()), max(1e-6, 1 - y.mean())
         weight = np.where(y == 1, 0.5 / share[0], 0.5 / share[1]).astype(np.float32)
+        known = self.known
         g_table, g_weights, g_bias = np.full(BUCKETS, 1e-4, np.float32), np.full_like(self.weights, 1e-4), np.full_like(self.bias, 1e-4)
         for _ in range(epochs):
             order = rng.permutation(len(windows))
@@ -71,7 +75,7 @@ class SubwordBag:
                 used, at = np.unique(flat, return_inverse=True)
                 d_table = np.stack([np.bincount(at, d_mean[row, k], len(used)) for k in range(DIM)], 1).astype(np.float32)
                 g_table[used] += (d_table**2).mean(1)
-                self.table[used] -= rate * d_table / np.sqrt(g_table[used])[:, None]
+                self.table[used] -= rate * known[used, None] * (d_table / np.sqrt(g_table[used])[:, None] + DECAY * self.table[used])
                 g_weights += d_weights**2
                 self.weights -= rate * d_weights / np.sqrt(g_weights)
                 g_bias += d_bias**2
@@ -132,7 +136,7 @@ def train(sample: list[tuple[str, int]], seed: int = 11) -> Scorer:
             seen[y, np.unique(np.concatenate([ids[k] for k in np.unique(d)]))] += 1
     n = np.bincount(y_doc, minlength=2)
     first = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    first[seen.sum(0) < 3] = 0
+    first[seen.sum(0) < RARE] = 0
 
     def ranked(logits, d):
         """Windows' starts, and their logits without bias."""
@@ -149,6 +153,7 @@ def train(sample: list[tuple[str, int]], seed: int = 11) -> Scorer:
         return cached["is"]
 
     model, logits = SubwordBag(seed), first
+    model.known = (seen.sum(0) >= RARE).astype(np.float32)
     for _ in range(ROUNDS):
         windows, y = [], []
         for d, label in zip(docs, y_doc, strict=True):
