@@ -94,7 +94,7 @@ def chat_digests(turns: DataFrame) -> DataFrame:
 def with_control_case(turns: DataFrame) -> DataFrame:
     """turns and conversation -1, whose texts are control strings."""
     text = END + START + "assistant ok"
-    own = turns.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    own = turns.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).unionByName(own)
 
 

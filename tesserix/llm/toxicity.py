@@ -4,8 +4,9 @@ A word is the bag of its character n-grams (3 to 5, with word ends) and itself,
 window of WINDOW words is the mean of its subwords' embeddings; a linear softmax over it gives P(toxic). Table and softmax are
 trained together by Adagrad on windows of a bounded sample of labelled documents (PER_LABEL each): as labels are of documents, each
 toxic document gives its most toxic windows under the model at hand, each clean one its most toxic and some others, in ROUNDS rounds.
-A document's score is a logistic curve, fitted on the sample, over its most toxic window, so it reads whole texts, and one word is
-enough in a long one. Misspellings unseen in training share n-grams with known words, hence their vectors.
+A document's score is a logistic curve over its most toxic windows and its length, fitted on documents that the windows' model didn't learn
+from. Every window of the whole text counts, and one word is enough in a long one. Misspellings unseen in training share n-grams
+with known words, hence their vectors.
 
 Null and empty texts, and texts without words, score as a window of nothing. Labels other than 0 and 1 are ignored; without both classes every
 score is the base rate. Repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from tesserix.llm.sampling import sampled_texts
 from tesserix.llm.words import WORD, Memo
 
-BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 10, 5
-#: Subwords in fewer training documents aren't learned; DECAY pulls the others to 0.
-RARE, DECAY = 5, 1e-3
-PER_LABEL, ROUNDS, EPOCHS = 2500, 4, 4
+BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 2, 1
+#: Subwords in fewer training documents aren't learned; DECAY pulls the others to 0; TRIM: share of toxic documents' windows left out.
+RARE, DECAY, TRIM = 5, 1e-2, 0.15
+#: Documents (of each label), rounds of choosing windows, passes in each, and parts for the document curve.
+PER_LABEL, ROUNDS, EPOCHS, CROSS = 1800, 3, 4, 3
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -37,7 +39,7 @@ def subwords(word: str) -> np.ndarray:
 
 
 class SubwordBag:
-    """The model: embeddings, softmax weights and bias, and the logistic curve from window to document."""
+    """The model: embeddings, softmax weights and bias."""
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -45,7 +47,6 @@ class SubwordBag:
         self.weights = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.known = np.ones(BUCKETS, np.float32)  # 0: too rare to be learned
-        self.slope, self.shift = 1.0, 0.0
 
     def bucket_logits(self) -> np.ndarray:
         """What each bucket adds to the logit of toxic against clean."""
@@ -82,11 +83,34 @@ class SubwordBag:
                 self.bias -= rate * d_bias / np.sqrt(g_bias)
 
 
+def evidence(z: np.ndarray) -> np.ndarray:
+    """What the document curve reads of a document's window logits: the largest, means of the largest 4 and 12, and their number."""
+    n = len(z)
+    top = np.sort(z if n <= 12 else np.partition(z, n - 12)[n - 12 :])[::-1]
+    few = lambda k: float(top[:k].sum() / min(k, n))
+    return np.array([top[0], few(4), few(12), np.log1p(n), 1.0])
+
+
+def window_logits(sums: np.ndarray) -> np.ndarray:
+    """sums: per word, its buckets' sum and number. The mean logit of each window of WINDOW words."""
+    n = len(sums)
+    at = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
+    total = np.concatenate([np.zeros((1, 2)), sums.cumsum(0)])
+    found = total[np.minimum(at + WINDOW, n)] - total[at]
+    return found[:, 0] / found[:, 1]
+
+
+def spoken(text: str) -> list[str]:
+    """Lower-case words; a word repeated at once counts once."""
+    words = WORD.findall(text.lower())
+    return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
+
+
 class Scorer:
-    """Documents' most toxic windows, by the sums that words add; each word is looked up once."""
+    """Documents' scores, by the sums that words add to windows; each word is looked up once."""
 
-    def __init__(self, logits: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.logits, self.bias, self.slope, self.shift = logits, bias, slope, shift
+    def __init__(self, logits: np.ndarray, bias: float, curve: np.ndarray):
+        self.logits, self.bias, self.curve = logits, bias, np.asarray(curve, np.float64)
 
         def of(word):
             s = subwords(word)
@@ -94,101 +118,102 @@ class Scorer:
 
         self.word = Memo(of)
 
-    def windows(self, text: str) -> np.ndarray:
-        """The logit of each window."""
-        words = WORD.findall(text.lower())
-        if not words:
-            return np.array([self.bias])
-        memo = self.word
-        sums = np.array([memo[w] for w in words])
-        starts = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-        total = np.concatenate([np.zeros((1, 2)), sums.cumsum(0)])
-        found = total[np.minimum(starts + WINDOW, len(words))] - total[starts]
-        return found[:, 0] / found[:, 1] + self.bias
-
     def score(self, text: str) -> float:
-        z = self.slope * self.windows(text).max() + self.shift
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        words = spoken(text)
+        memo = self.word
+        z = (window_logits(np.array([memo[w] for w in words])) if words else np.zeros(1)) + self.bias
+        return float(1 / (1 + np.exp(-np.clip(evidence(z) @ self.curve, -40, 40))))
+
+
+class Trainer:
+    """Documents as word numbers, words as bags of subwords."""
+
+    def __init__(self, sample: list[tuple[str, int]], seed: int):
+        self.y, self.seed, memo, self.bags, self.docs = np.array([y for _, y in sample], np.int64), seed, {}, [], []
+        for text, _ in sample:
+            out = []
+            for w in spoken(text):
+                k = memo.get(w)
+                if k is None:
+                    k = memo[w] = len(self.bags)
+                    self.bags.append(subwords(w))
+                out.append(k)
+            self.docs.append(np.array(out, np.int64))
+        self.sizes = np.array([len(s) for s in self.bags])
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate(self.bags) if self.bags else np.empty(0, np.int64)
+
+    def sums(self, logits: np.ndarray) -> np.ndarray:
+        return np.stack([np.add.reduceat(logits[self.flat], self.starts), self.sizes], 1)
+
+    def fit(self, learned: np.ndarray) -> tuple[np.ndarray, float]:
+        """Bucket logits and bias, from the documents numbered in learned."""
+        rng, seen = np.random.default_rng(self.seed), np.zeros((2, BUCKETS))
+        learned = [i for i in learned if len(self.docs[i])]
+        for i in learned:
+            seen[self.y[i], np.unique(np.concatenate([self.bags[k] for k in np.unique(self.docs[i])]))] += 1
+        n = np.bincount(self.y[learned], minlength=2)
+        # a first ranking of windows: how much more often a word's n-grams occur in toxic documents
+        logits = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+        logits[seen.sum(0) < RARE] = 0
+        model = SubwordBag(self.seed)
+        model.known = (seen.sum(0) >= RARE).astype(np.float32)
+        for _ in range(ROUNDS):
+            per_word, windows, y, strength = self.sums(logits), [], [], []
+            for i in learned:
+                d, toxic = self.docs[i], self.y[i]
+                z = window_logits(per_word[d])
+                top = np.argsort(-z, kind="stable")[: 2 if toxic else 3]
+                for w in top if toxic else np.unique(np.concatenate([top, rng.choice(len(z), min(2, len(z)))])):
+                    windows.append(np.concatenate([self.bags[k] for k in d[w * STRIDE : w * STRIDE + WINDOW]]))
+                    y.append(toxic)
+                    strength.append(z[w])
+            y, strength = np.array(y), np.array(strength)
+            # labels are noisy, and not all top windows are toxic: the weakest stay out
+            keep = np.flatnonzero((y == 0) | (strength >= np.quantile(strength[y == 1], TRIM)))
+            model.fit([windows[k] for k in keep], y[keep], rng, EPOCHS)
+            logits = model.bucket_logits()
+        return logits, float(model.bias[1] - model.bias[0])
+
+    def evidence(self, logits: np.ndarray, bias: float, which: np.ndarray) -> np.ndarray:
+        per_word = self.sums(logits)
+        return np.stack([evidence((window_logits(per_word[self.docs[i]]) if len(self.docs[i]) else np.zeros(1)) + bias) for i in which])
 
 
 def train(sample: list[tuple[str, int]], seed: int = 11) -> Scorer:
-    """sample: (text, 0 or 1), bounded. The model with a fitted document curve."""
-    y_doc = np.array([y for _, y in sample], np.int64)
-    if len(set(y_doc.tolist())) < 2:
-        base = float(y_doc.mean()) if len(y_doc) else 0.0
-        return Scorer(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((base + 1e-3) / (1 - base + 1e-3))))
-    rng, memo, ids, docs = np.random.default_rng(seed), {}, [], []
-    for text, _ in sample:
-        out = []
-        for w in WORD.findall(text.lower()):
-            k = memo.get(w)
-            if k is None:
-                k = memo[w] = len(ids)
-                ids.append(subwords(w))
-            out.append(k)
-        docs.append(np.array(out, np.int64))
-    sizes = np.array([len(s) for s in ids])
-    starts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids)
-    # a first ranking of windows: how much more often a word's n-grams occur in toxic documents
-    seen = np.zeros((2, BUCKETS))
-    for d, y in zip(docs, y_doc, strict=True):
-        if len(d):
-            seen[y, np.unique(np.concatenate([ids[k] for k in np.unique(d)]))] += 1
-    n = np.bincount(y_doc, minlength=2)
-    first = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-    first[seen.sum(0) < RARE] = 0
-
-    def ranked(logits, d):
-        """Windows' starts, and their logits without bias."""
-        at = np.arange(0, max(1, len(d) - WINDOW + STRIDE), STRIDE)
-        total = np.concatenate([np.zeros((1, 2)), np.stack([per_word(logits)[d], sizes[d]], 1).cumsum(0)])
-        found = total[np.minimum(at + WINDOW, len(d))] - total[at]
-        return at, found[:, 0] / found[:, 1]
-
-    cached: dict = {}
-
-    def per_word(logits):
-        if cached.get("of") is not logits:
-            cached.update({"of": logits, "is": np.add.reduceat(logits[flat], starts)})
-        return cached["is"]
-
-    model, logits = SubwordBag(seed), first
-    model.known = (seen.sum(0) >= RARE).astype(np.float32)
-    for _ in range(ROUNDS):
-        windows, y = [], []
-        for d, label in zip(docs, y_doc, strict=True):
-            if not len(d):
-                continue
-            at, z = ranked(logits, d)
-            top = at[np.argsort(-z, kind="stable")[:1 if label else 2]]
-            picked = top if label else np.unique(np.concatenate([top, rng.choice(at, min(2, len(at)))]))
-            for s in picked:
-                windows.append(np.concatenate([ids[k] for k in d[s : s + WINDOW]]))
-                y.append(label)
-        model.fit(windows, np.array(y), rng, EPOCHS)
-        logits = model.bucket_logits()
-    bias = float(model.bias[1] - model.bias[0])
-    scorer = Scorer(logits, bias)
-    best = np.array([(ranked(logits, d)[1].max() if len(d) else 0.0) + bias for d in docs])
-    scorer.slope, scorer.shift = _curve(best, y_doc)
-    return scorer
-
-
-def _curve(x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[float, float]:
-    """slope > 0 and shift of a logistic curve, by Newton steps with a slight pull to 1 and 0."""
-    a, b = 1.0, 0.0
+    """sample: (text, 0 or 1), bounded. The document curve is fitted on evidence from models that didn't learn from the document."""
+    y = np.array([y for _, y in sample], np.int64)
+    counts = np.bincount(y, minlength=2)
+    if counts.min() < CROSS:
+        base = float(y.mean()) if len(y) else 0.0
+        return Scorer(np.zeros(BUCKETS), 0.0, np.array([0, 0, 0, 0, np.log((base + 1e-3) / (1 - base + 1e-3))]))
+    own, part = Trainer(sample, seed), np.empty(len(y), np.int64)
+    for c in (0, 1):
+        part[y == c] = np.arange(counts[c]) % CROSS
+    x = np.empty((len(y), 5))
+    for k in range(CROSS):
+        aside = np.flatnonzero(part == k)
+        x[aside] = own.evidence(*own.fit(np.flatnonzero(part != k)), aside)
+    curve = logistic(x, y)
+    logits, bias = own.fit(np.arange(len(y)))
+    return Scorer(logits, bias, curve)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, pull: float = 1e-2, steps: int = 200) -> np.ndarray:
+    """Logistic regression by damped Newton steps; the classes as frequent as they are in the sample."""
+    scale = np.maximum(np.abs(x).max(0), 1e-9)
+    x, w = x / scale, np.zeros(x.shape[1])
+    loss = lambda w: np.logaddexp(0, -np.where(y == 1, 1, -1) * (x @ w)).sum() + pull * (w @ w) / 2
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        g = np.array([((p - y) * x).sum() + 1e-2 * (a - 1), (p - y).sum() + 1e-2 * b])
-        w = p * (1 - p)
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
-        step = np.linalg.solve(h, g)
-        norm = float(np.abs(step).max())
-        step *= min(1.0, 1.0 / max(norm, 1e-12))
-        a, b = max(0.05, a - step[0]), b - step[1]
-        if norm < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        g = x.T @ (p - y) + pull * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
+        step, rate = np.linalg.solve(h, g), 1.0
+        while rate > 1e-4 and loss(w - rate * step) > loss(w):
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return w / scale
 
 
 def fold(doc_id, k: int = FOLDS):
@@ -198,14 +223,20 @@ def fold(doc_id, k: int = FOLDS):
 def fitted(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Scorer:
     """Learns from labelled rows outside the held-out fold."""
     known = labels.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("string").alias("label"))
-    return train([(t, int(y)) for t, y in sampled_texts(docs, known, per_label, "toxic")])
+    sample = [(t, int(y)) for t, y in sampled_texts(docs, known, per_label, "toxic")]
+    scorer, n = train(sample), {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    m = np.bincount([y for _, y in sample], minlength=2)
+    if m.min() and len(n) == 2:
+        # the sample holds the labels in other shares than the table
+        scorer.curve[-1] += np.log(n["1"] / n["0"]) - np.log(m[1] / m[0])
+    return scorer
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, columns: list[str] | None = None) -> DataFrame:
     """columns (doc_id unless given) of docs, and __score."""
     spark, kept = docs.sparkSession, columns or ["doc_id"]
     # a table of 1 MB, whatever the corpus
-    model = spark.sparkContext.broadcast((scorer.logits.astype(np.float32), scorer.bias, scorer.slope, scorer.shift))
+    model = spark.sparkContext.broadcast((scorer.logits.astype(np.float32), scorer.bias, scorer.curve))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", __score double"
 
     def run(batches):
@@ -224,7 +255,7 @@ _SCORERS: dict = {}
 
 def shared_scorer(model) -> Scorer:
     """One scorer per Python worker and model, so that its words stay looked up from task to task."""
-    key = (float(model[0].sum()), *model[1:])
+    key = (float(model[0].sum()), model[1], *map(float, model[2]))
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(*model)
