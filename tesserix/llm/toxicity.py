@@ -26,7 +26,7 @@ from tesserix.llm.words import WORD, Memo
 
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 2, 1
 #: Subwords in fewer training documents aren't learned; DECAY pulls the others to 0; TRIM: share of toxic documents' windows left out.
-RARE, DECAY, TRIM = 5, 1e-2, 0.15
+RARE, DECAY, TRIM = 12, 1e-2, 0.15
 #: Documents (of each label), rounds of choosing windows, passes in each, and parts for the document curve.
 PER_LABEL, ROUNDS, EPOCHS, CROSS = 1800, 3, 4, 3
 FOLDS, HELD_OUT = 5, 0
@@ -227,8 +227,8 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Sc
     scorer, n = train(sample), {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     m = np.bincount([y for _, y in sample], minlength=2)
     if m.min() and len(n) == 2:
-        # the sample holds the labels in other shares than the table
-        scorer.curve[-1] += np.log(n["1"] / n["0"]) - np.log(m[1] / m[0])
+        # the sample holds the labels in other shares than the table; a missed toxic document counts as sqrt(clean / toxic) clean ones
+        scorer.curve[-1] += np.log(n["1"] / n["0"]) / 2 - np.log(m[1] / m[0])
     return scorer
 
 
