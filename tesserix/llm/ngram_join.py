@@ -21,18 +21,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.llm.graph import components
-from tesserix.llm.words import WORD, Memo, mix64
-from tesserix.runtime import saved
+from tesserix.llm.words import WORD, Memo, mix64, opened
+from tesserix.runtime import checked_side, fresh, saved
 
 N, THRESHOLD = 5, 0.8
-SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 256
+SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 512
 #: A pair at the threshold has agreeing sketch coordinates below this with a chance of about 3 in 100,000.
 LOOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 
@@ -225,14 +228,35 @@ def verify_unit(rows: list[tuple[int, int, np.ndarray]], same: bool, threshold:
     return [(x, n, find(x)) for x, n in links.items() if n]
 
 
+def _by_block(batches):
+    """Rows (label, block, blocks, rep, sets), sorted: one ((label, block, blocks), [(rep, side 0, shingles)]) per block."""
+    key, held = None, []
+    for b in batches:
+        for label, block, blocks, rep, raw in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+            if (label, block, blocks) != key:
+                if key:
+                    yield key, held
+                key, held = (label, block, blocks), []
+            if not held or held[-1][0] != rep:  # a doc_id that repeats counts once
+                held.append((rep, 0, np.frombuffer(raw, np.uint64)))
+    if key:
+        yield key, held
+
+
+def _links_batch(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["rep", "links", "root"])
+
+
 def exact_links(docs: DataFrame, groups: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """groups (node, label): all pairs of a group by their texts' sets, to (rep, links, root) per unit."""
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    members = groups.join(sizes, "label").select(F.col("node").alias("rep"), "label", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # one row per doc_id, should it repeat: the smallest text
+    """groups (node, label): all pairs of a group by their texts' sets, to (rep, links, root) per unit.
+
+    Each block is compared with itself where its sets come together; blocks of groups with several are put into the shared
+    folder there, and every pair of such blocks is a unit that reads its two files, so no set is shuffled more than once."""
+    spark = docs.sparkSession
+    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    members = groups.join(sizes, "label").select(F.col("node").alias("rep"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    with_text = members.join(texts, "rep")
+    folder = fresh(spark, "ngram-blocks")
 
     def shingled(batches):
         shingler = Shingler(n)
@@ -241,32 +265,48 @@ def exact_links(docs: DataFrame, groups: DataFrame, n: int = N, threshold: float
             sets = pa.array([shingler(x.as_py()).tobytes() for x in t.column("text")], pa.binary())
             yield from t.drop_columns(["text"]).append_column("sets", sets).to_batches()
 
-    rows = with_text.select("rep", "label", "blocks", "block", "text").mapInArrow(shingled, "rep long, label long, blocks int, block int, sets binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = rows.select("rep", "label", "block", "sets", other.alias("other")).select(
-        "rep", "label", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), (F.col("block") > F.col("other")).cast("int").alias("side"), "sets"
-    )
-
-    def run(batches):
-        key, held = None, []
-
-        def told():
-            found = verify_unit(held, key[1] == key[2], threshold) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["rep", "links", "root"])
+    def inside(batches):
+        for (label, block, blocks), held in _by_block(batches):
+            if blocks > 1:
+                keep_block(folder, label, block, [(r, x) for r, _, x in held])
+            yield _links_batch(verify_unit(held, True, threshold) if len(held) > 1 else [])
 
+    def across(batches):
         for b in batches:
-            for rep, label, u, v, side, raw in zip(*[b.column(k).to_pylist() for k in range(6)], strict=True):
-                if (label, u, v) != key:
-                    if key:
-                        yield told()
-                    key, held = (label, u, v), []
-                if held and held[-1][0] == rep and held[-1][1] == side:
-                    continue  # a doc_id that repeats
-                held.append((rep, side, np.frombuffer(raw, np.uint64)))
-        if key:
-            yield told()
-
-    return units.repartition("label", "u", "v").sortWithinPartitions("label", "u", "v", "side", "rep", "sets").mapInArrow(run, "rep long, links long, root long")
+            for label, u, v in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                rows = [(r, side, x) for side, block in ((0, u), (1, v)) for r, x in read_block(folder, label, block)]
+                yield _links_batch(verify_unit(rows, False, threshold))
+
+    schema = "rep long, links long, root long"
+    # few of all texts are candidates: where their identifiers are few enough to be sent everywhere, only they are moved
+    members = checked_side(members, "ngram-members")
+    rows = texts.join(members, "rep").select("label", "block", "blocks", "rep", "text").mapInArrow(shingled, "label long, block int, blocks int, rep long, sets binary")
+    own = saved(rows.repartition("label", "block").sortWithinPartitions("label", "block", "rep", "sets").mapInArrow(inside, schema), "ngram-inside")
+    units = sizes.filter("blocks > 1").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)).alias("u"), "blocks")
+    units = units.select("label", "u", F.explode(F.sequence(F.col("u") + 1, F.col("blocks") - 1)).alias("v"))
+    return own.union(saved(units.repartition("label", "u", "v").mapInArrow(across, schema), "ngram-across"))
+
+
+def keep_block(folder: str, label: int, block: int, rows: list[tuple[int, np.ndarray]]) -> None:
+    """Write a block under its attempt's name, then move it: repeated tasks leave the same whole file."""
+    fs, base = opened(folder)
+    fs.create_dir(base, recursive=True)
+    tmp = f"{base}/.{label}-{block}-{uuid.uuid4().hex[:8]}"
+    table = pa.table({"rep": pa.array([r for r, _ in rows], pa.int64()), "sets": pa.array([x.tobytes() for _, x in rows], pa.large_binary())})
+    with fs.open_output_stream(tmp) as f, pa.ipc.new_file(f, table.schema) as w:
+        w.write_table(table)
+    fs.move(tmp, f"{base}/{label}-{block}")
+
+
+def read_block(folder: str, label: int, block: int) -> list[tuple[int, np.ndarray]]:
+    """A block's sets; one to which the hash dealt no member has no file."""
+    fs, base = opened(folder)
+    path = f"{base}/{label}-{block}"
+    if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
+        return []
+    with fs.open_input_file(path) as f:
+        t = pa.ipc.open_file(f).read_all()
+    return [(r, np.frombuffer(x, np.uint64)) for r, x in zip(t.column("rep").to_pylist(), t.column("sets").to_pylist(), strict=True)]
 
 
 def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -287,5 +327,5 @@ def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
 
 def ngram_filter(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of docs: the one with the smallest doc_id."""
-    gone = ngram_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+    gone = checked_side(ngram_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

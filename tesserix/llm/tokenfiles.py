@@ -13,7 +13,6 @@ text. Null doc_ids come first. An empty table gives no shard and an empty result
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserix.llm.bpe import PATTERN, UNUSUAL
-from tesserix.llm.words import Memo
+from tesserix.llm.words import Memo, opened
 from tesserix.runtime import fresh, saved
 
 END_ID = 1
@@ -62,15 +61,11 @@ def encoder(vocabulary: str) -> LibraryEncoder:
     return LibraryEncoder(vocabulary)
 
 
-def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if re.match(r"\w+://|file:/", uri) else f"file://{uri}")
-
-
 class ShardWriter:
     """Streams one shard: ids go to the file as they come, only the offsets stay in memory."""
 
     def __init__(self, folder: str, shard: int, dtype: np.dtype):
-        self.fs, self.base = _opened(folder)
+        self.fs, self.base = opened(folder)
         self.fs.create_dir(self.base, recursive=True)
         self.shard, self.dtype, self.mark = shard, dtype, uuid.uuid4().hex[:8]
         self.tmp = f"{self.base}/.tokens-{shard:06d}-{self.mark}"
@@ -119,7 +114,7 @@ class TokenStore:
     """A shard for reading: ids(i) is the i-th document's ids, without copying where the file can be mapped."""
 
     def __init__(self, folder: str, shard: int, dtype: str):
-        fs, base = _opened(folder)
+        fs, base = opened(folder)
         names = [f"{base}/{kind}-{shard:06d}.bin" for kind in ("tokens", "offsets")]
         if isinstance(fs, pafs.LocalFileSystem):
             read = lambda p, t: np.memmap(p, t, "r") if os.path.getsize(p) else np.empty(0, t)

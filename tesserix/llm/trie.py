@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserix.runtime import checked_side
+
 #: Bytes of edge labels a trie holds before it spills, and a combiner before it flushes.
 MOST_BYTES = 96 << 20
 COMBINE_BYTES = 48 << 20
@@ -235,7 +237,7 @@ def exact_groups(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 def exact_filter(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of docs. Only identifiers are shuffled for the decision."""
-    gone = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = checked_side(exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone")), "exact-gone")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
 
 

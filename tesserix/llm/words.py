@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow.fs as pafs
 
 WORD = re.compile(r"\w+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,3 +36,8 @@ class Memo(dict):
             self.clear()
         out = self[word] = self.make(word)
         return out
+
+
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or local path in the shared folder, and the path in it."""
+    return pafs.FileSystem.from_uri(uri if re.match(r"\w+://|file:/", uri) else f"file://{uri}")
