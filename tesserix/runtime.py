@@ -63,3 +63,15 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     sc._tesserix_shipped = True
+
+
+#: Rows of a few numbers up to which a table may be broadcast (some 25 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def checked_side(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df written to the shared folder, and hinted for broadcast if its counted rows are at most `most`. For narrow tables."""
+    from pyspark.sql import functions as F
+
+    df = saved(df, name)
+    return F.broadcast(df) if df.count() <= most else df
