@@ -33,6 +33,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Characters for which Python's own split and lower() agree with the library; all else takes the slow way.
 UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u024f]|<\\|")
+#: The pattern for lower-cased text without unusual characters, where letters and numbers are plain ranges.
+USUAL = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 def byte_symbols() -> list[str]:
@@ -63,7 +65,7 @@ class Bpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.word = Memo(self._encode_word, 300_000)
+        self.word = Memo(self._encode_word, 1_000_000)
         self.chunk = Memo(self._encode_chunk, 600_000)
 
     def _encode_word(self, word: str) -> bytes:
@@ -109,7 +111,7 @@ class Bpe:
         return [x for x, ok in zip(ids, live, strict=True) if ok]
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        return b"".join([self.word[w] for w in PATTERN.findall(chunk.lower())])
+        return b"".join(map(self.word.__getitem__, USUAL.findall(chunk.lower())))
 
     def _encode_unusual(self, text: str) -> bytes:
         out = []
@@ -125,8 +127,7 @@ class Bpe:
         """Ids as little-endian unsigned 32-bit integers."""
         if UNUSUAL.search(text):
             return self._encode_unusual(text)
-        chunk = self.chunk
-        return b"".join([chunk[c] for c in text.split()])
+        return b"".join(map(self.chunk.__getitem__, text.split()))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")

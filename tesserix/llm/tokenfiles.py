@@ -13,8 +13,10 @@ text. Null doc_ids come first. An empty table gives no shard and an empty result
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserix.llm.bpe import PATTERN, UNUSUAL
+from tesserix.llm.bpe import UNUSUAL, USUAL, byte_symbols
 from tesserix.llm.words import Memo, opened
 from tesserix.runtime import fresh, saved
 
@@ -32,8 +34,8 @@ NULL_ID = np.iinfo(np.int64).min
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Words are independent of their neighbours there, so each is encoded once and kept in a
-    bounded memo; texts with unusual characters or control strings go to the library whole."""
+    """Ids by the tokenizers library. Words are independent of their neighbours there, so each is given to the library's model
+    once and kept in a bounded memo; texts with unusual characters or control strings go to the library whole."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,18 +44,27 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.symbols = self.library.model, byte_symbols()
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.word = Memo(self._whole, 300_000)
-        self.chunk = Memo(lambda c: b"".join([self.word[w] for w in PATTERN.findall(c.lower())]), 600_000)
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.word = Memo(self._word, 1_000_000)
+        self.chunk = Memo(lambda c: b"".join(map(self.word.__getitem__, USUAL.findall(c.lower()))), 700_000)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _raw(self, ids: list[int]) -> bytes:
+        raw = array(self.kind, ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes()
+
+    def _word(self, word: str) -> bytes:
+        marks = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
+        return self._raw([t.id for t in self.model.tokenize(marks)])
 
     def encode(self, text: str) -> bytes:
+        """A text's ids as bytes of dtype."""
         if UNUSUAL.search(text):
-            return self._whole(text)
-        chunk = self.chunk
-        return b"".join([chunk[c] for c in text.split()])
+            return self._raw(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.chunk.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)

@@ -25,16 +25,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """word -> make(word), forgotten as a whole once it holds most entries, so memory stays bounded."""
+    """word -> make(word), in two generations: when the young one holds half of most, it becomes the old one. Memory stays
+    bounded, and what is in use survives."""
 
     def __init__(self, make, most: int = 400_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.old = make, most // 2, {}
 
     def __missing__(self, word):
-        if len(self) >= self.most:
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.make(word)
+        self[word] = out
         return out
 
 
