@@ -33,6 +33,11 @@ def pack_bits(bits: Column) -> Column:
     return F.aggregate(F.transform(bits, lambda b, i: F.when(b, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dhash(x: Column, rows: int = 8, cols: int = 8) -> Column:
     """Sign of the step from each value to its right neighbour, row by row."""
     at = [(r * cols + c) for r in range(rows) for c in range(cols - 1)]
@@ -46,19 +51,23 @@ def dct_basis(n: int = 8) -> list[float]:
 
 def dct2(x: Column, n: int = 8) -> Column:
     """Two-dimensional DCT of an n x n block (row-major): first along rows' index, then along columns'."""
-    basis = F.array(*[F.lit(v) for v in dct_basis(n)])
     every, line = F.sequence(F.lit(0), F.lit(n * n - 1)), F.sequence(F.lit(0), F.lit(n - 1))
     div = lambda k: F.floor(k / n).cast("int")
-    half = F.transform(every, lambda k: F.aggregate(line, F.lit(0.0), lambda a, r: a + F.get(basis, div(k) * n + r) * F.get(x, r * n + k % n)))
-    return F.transform(every, lambda k: F.aggregate(line, F.lit(0.0), lambda a, c: a + F.get(basis, (k % n) * n + c) * F.get(half, div(k) * n + c)))
+
+    def along_rows(basis, x):
+        return F.transform(every, lambda k: F.aggregate(line, F.lit(0.0), lambda a, r: a + F.get(basis, div(k) * n + r) * F.get(x, r * n + k % n)))
+
+    def along_columns(basis, half):
+        return F.transform(every, lambda k: F.aggregate(line, F.lit(0.0), lambda a, c: a + F.get(basis, (k % n) * n + c) * F.get(half, div(k) * n + c)))
+
+    basis = F.array(*[F.lit(v) for v in dct_basis(n)])
+    return let(basis, lambda b: let(along_rows(b, x), lambda half: along_columns(b, half)))
 
 
 def phash(x: Column) -> Column:
     """Bits of the coefficients above the median of coefficients 1 to 63; coefficient 0's own bit is left out, so 63 bits."""
-    c = dct2(x)
-    rest = F.slice(c, 2, 63)
-    median = F.get(F.array_sort(rest), 31)
-    return pack_bits(F.transform(rest, lambda v: v > median))
+    bits = lambda rest: let(F.get(F.array_sort(rest), 31), lambda median: F.transform(rest, lambda v: v > median))
+    return pack_bits(let(F.slice(dct2(x), 2, 63), bits))
 
 
 def hamming(a: Column, b: Column) -> Column:

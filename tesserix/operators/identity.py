@@ -28,7 +28,7 @@ def bands(hash64: Column, radius: int, bits: int = 64) -> Column:
         piece = F.shiftrightunsigned(hash64, at).bitwiseAND(F.lit((1 << wide) - 1).cast("long"))
         out.append(F.struct(F.lit(i).alias("band"), piece.alias("piece")))
         at += wide
-    return F.explode(F.array(*out)).alias("b")
+    return F.explode(F.array(*out)).alias("__b")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, p_radius: int = 4, d_radius: int = 2, bits: int = 64) -> DataFrame:
@@ -38,8 +38,8 @@ def near_pairs(left: DataFrame, right: DataFrame, p_radius: int = 4, d_radius: i
     a hot band, such as the hash of flat images, from meeting in one place."""
     def cut(df, name):
         rows = df.select(F.col("id").alias(name), F.col("p").alias(f"{name}_p"), F.col("d").alias(f"{name}_d"))
-        rows = rows.select("*", bands(F.col(f"{name}_d"), d_radius, bits)).select("*", F.col("b.band").alias("db"), F.col("b.piece").alias("dp")).drop("b")
-        return rows.select("*", bands(F.col(f"{name}_p"), p_radius, bits)).select("*", F.col("b.band").alias("pb"), F.col("b.piece").alias("pp")).drop("b")
+        rows = rows.select("*", bands(F.col(f"{name}_d"), d_radius, bits)).select("*", F.col("__b.band").alias("db"), F.col("__b.piece").alias("dp")).drop("__b")
+        return rows.select("*", bands(F.col(f"{name}_p"), p_radius, bits)).select("*", F.col("__b.band").alias("pb"), F.col("__b.piece").alias("pp")).drop("__b")
 
     dist_p, dist_d = hamming(F.col("a_p"), F.col("b_p")), hamming(F.col("a_d"), F.col("b_d"))
     pairs = cut(left, "a").join(cut(right, "b"), ["db", "dp", "pb", "pp"]).filter((dist_p <= p_radius) & (dist_d <= d_radius))

@@ -1,4 +1,8 @@
-"""The registered queries."""
+"""All registered queries of the reference operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from tesserix.plans import base, data_queries, score_queries  # noqa: F401  registering
+
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
