@@ -65,8 +65,8 @@ class Bpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.word = Memo(self._encode_word, 1_000_000)
-        self.chunk = Memo(self._encode_chunk, 600_000)
+        self.word = Memo(self._encode_word, 500_000)
+        self.chunk = Memo(self._encode_chunk, 300_000)
 
     def _encode_word(self, word: str) -> bytes:
         marks = [self.symbols[b] for b in word.encode("utf-8")]

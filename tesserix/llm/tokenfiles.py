@@ -22,12 +22,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.llm.bpe import UNUSUAL, USUAL, byte_symbols
 from tesserix.llm.words import Memo, opened
-from tesserix.runtime import fresh, saved
+from tesserix.runtime import fresh
 
 END_ID = 1
 NULL_ID = np.iinfo(np.int64).min
@@ -47,8 +47,8 @@ class LibraryEncoder:
         self.model, self.symbols = self.library.model, byte_symbols()
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
-        self.word = Memo(self._word, 1_000_000)
-        self.chunk = Memo(lambda c: b"".join(map(self.word.__getitem__, USUAL.findall(c.lower()))), 700_000)
+        self.word = Memo(self._word, 500_000)
+        self.chunk = Memo(lambda c: b"".join(map(self.word.__getitem__, USUAL.findall(c.lower()))), 300_000)
 
     def _raw(self, ids: list[int]) -> bytes:
         raw = array(self.kind, ids)
@@ -115,10 +115,12 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
             yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n_docs, "n_tokens": n_tokens, "dtype": coder.dtype.str}])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = saved(ordered.mapInArrow(run, "shard long, n_docs long, n_tokens long, dtype string"), "token-manifest")
-    # one row per shard: small, and summed in order
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # one row per shard, far fewer than documents: they come to the driver, which adds up the bases
+    rows, base = [], 0
+    for r in sorted(ordered.mapInArrow(run, "shard long, n_docs long, n_tokens long, dtype string").collect(), key=lambda r: r["shard"]):
+        rows.append((r["shard"], r["n_docs"], r["n_tokens"], r["dtype"], base))
+        base += r["n_tokens"]
+    return docs.sparkSession.createDataFrame(rows, "shard long, n_docs long, n_tokens long, dtype string, base long")
 
 
 class TokenStore:
@@ -159,8 +161,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32", "shard"],
                     )
 
-    # a task per shard, whatever number of manifest files there are
-    spread = manifest.repartition(max(1, manifest.count()), "shard")
+    # reading is light: a task takes some four shards
+    spread = manifest.repartition(max(1, -(-manifest.count() // 4)), "shard")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 

@@ -28,7 +28,7 @@ class Memo(dict):
     """word -> make(word), in two generations: when the young one holds half of most, it becomes the old one. Memory stays
     bounded, and what is in use survives."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.half, self.old = make, most // 2, {}
 
