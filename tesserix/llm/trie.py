@@ -19,7 +19,7 @@ import shutil
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.runtime import checked_side
@@ -159,8 +159,13 @@ class PatriciaTrie:
             shutil.rmtree(self.own, ignore_errors=True)
 
 
-def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
+def normalised(text: str | None) -> bytes:
+    """UTF-8 with each run of white space (20, 09-0D) as one space: bytes.split() cuts at just these bytes."""
+    raw = (text or "").encode("utf-8")
+    out = b" ".join(raw.split())
+    if not out:
+        return b" " if raw else b""
+    return (b" " if raw[:1].isspace() else b"") + out + (b" " if raw[-1:].isspace() else b"")
 
 
 def _combine(batches):
@@ -188,13 +193,25 @@ def _combine(batches):
     trie = PatriciaTrie(1 << 60)
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            trie.insert(text.encode("utf-8"), doc_id, 1)
+            trie.insert(normalised(text), doc_id, 1)
             if trie.size > COMBINE_BYTES:
                 yield from flushed(trie)
                 trie = PatriciaTrie(1 << 60)
     yield from flushed(trie)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _digests(batches):
+    """(doc_id, text) to (doc_id, digest of the normalised text)."""
+    import hashlib
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(normalised(t.as_py())).hexdigest() for t in b.column(1)], pa.string())], ["doc_id", "text_sha256"])
+
+
 def owners(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per distinct normalised text: sha, keep_id, group_size.
 
@@ -223,14 +240,13 @@ def owners(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     def made(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["sha", "keep_id", "group_size"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("text"))
-    local = texts.mapInArrow(_combine, "len long, hash long, key binary, least long, rows long")
+    local = _texts(docs).mapInArrow(_combine, "len long, hash long, key binary, least long, rows long")
     return local.repartition("len", "hash").select("key", "least", "rows").mapInArrow(run, "sha string, keep_id long, group_size long")
 
 
 def exact_groups(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256).alias("text_sha256"))
+    rows = _texts(docs).mapInArrow(_digests, "doc_id long, text_sha256 string")
     found = rows.join(owners(docs, most_bytes), F.col("text_sha256") == F.col("sha"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
