@@ -17,14 +17,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}-labels")
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("label").alias("heard"))
-        near = labels.join(heard, "node", "left").select("node", F.least("label", "heard").alias("label"))
-        near = saved(near, f"{name}-near")
+        near = labels.join(heard, "node", "left").select("node", F.least("label", "heard").alias("label"), F.col("label").alias("was"))
         jump = near.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        after = near.join(jump, F.col("label") == F.col("via"), "left").join(labels.select("node", F.col("label").alias("was")), "node").select("node", F.least("label", "far").alias("label"), "was")
-        after = saved(after, f"{name}-labels")
+        after = saved(near.join(jump, F.col("label") == F.col("via"), "left").select("node", F.least("label", "far").alias("label"), "was"), f"{name}-labels")
         changed = after.filter("label <> was").limit(1).count()
         forget(spark, labels)
-        forget(spark, near)
         labels = after.drop("was")
         if not changed:
             forget(spark, both)

@@ -136,7 +136,7 @@ class Crf:
 class Labeller:
     """A fitted field applied to texts. Words' emissions are kept in a growing table, emptied at a bound."""
 
-    def __init__(self, crf: Crf, most: int = 400_000):
+    def __init__(self, crf: Crf, most: int = 250_000):
         self.crf, self.k, self.most = crf, len(crf.langs), most
         self.move, start = np.exp(crf.moves - crf.moves.max()), np.exp(crf.starts - crf.starts.max())
         self.start = start / start.sum()

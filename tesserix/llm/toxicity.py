@@ -238,16 +238,20 @@ def score_documents(docs: DataFrame, scorer: Scorer, columns: list[str] | None =
     # a table of 1 MB, whatever the corpus
     model = spark.sparkContext.broadcast((scorer.logits.astype(np.float32), scorer.bias, scorer.curve))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", __score double"
+    # a text that is kept anyway is read where it lies
+    own_text = "text" in kept and docs.schema["text"].dataType.simpleString() == "string"
+    rows = docs.select(*kept) if own_text else docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    at = kept.index("text") if own_text else len(kept)
 
     def run(batches):
         from tesserix.llm import toxicity
 
         own = toxicity.shared_scorer(model.value)
         for b in batches:
-            scores = pa.array([own.score(t.as_py() or "") for t in b.column(b.num_columns - 1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*b.schema.names[:-1], "__score"])
+            scores = pa.array([own.score(t.as_py() or "") for t in b.column(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], scores], [*b.schema.names[: len(kept)], "__score"])
 
-    return docs.select(*kept, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 _SCORERS: dict = {}
