@@ -65,8 +65,8 @@ class Bpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.word = Memo(self._encode_word, 500_000)
-        self.chunk = Memo(self._encode_chunk, 300_000)
+        self.word = Memo(self._encode_word, 300_000)
+        self.chunk = Memo(self._encode_chunk, 150_000)
 
     def _encode_word(self, word: str) -> bytes:
         marks = [self.symbols[b] for b in word.encode("utf-8")]
@@ -110,8 +110,9 @@ class Bpe:
                     heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
         return [x for x, ok in zip(ids, live, strict=True) if ok]
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.word.__getitem__, USUAL.findall(chunk.lower())))
+    def _encode_chunk(self, chunk: bytes) -> bytes | None:
+        text = chunk.decode("utf-8")
+        return None if UNUSUAL.search(text) else b"".join(map(self.word.__getitem__, USUAL.findall(text.lower())))
 
     def _encode_unusual(self, text: str) -> bytes:
         out = []
@@ -123,14 +124,16 @@ class Bpe:
             out += [self.word[w] for w in PATTERN.findall(low)]
         return b"".join(out)
 
-    def encode_bytes(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if UNUSUAL.search(text):
-            return self._encode_unusual(text)
-        return b"".join(map(self.chunk.__getitem__, text.split()))
+    def encode_bytes(self, raw: bytes) -> bytes:
+        """UTF-8 to ids as little-endian unsigned 32-bit integers. bytes.split() cuts at ASCII white space only, which the vocabulary
+        drops too; a piece with unusual characters has no entry, and its whole text goes the slow way."""
+        try:
+            return b"".join(map(self.chunk.__getitem__, raw.split()))
+        except TypeError:
+            return self._encode_unusual(raw.decode("utf-8"))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), "<u4")
+        return np.frombuffer(self.encode_bytes(text.encode("utf-8")), "<u4")
 
     def decode(self, ids) -> str:
         get = self.tokens.get
@@ -175,8 +178,8 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         coder = bpe(vocabulary)
         for b in batches:
             counts, ids_hex, text_hex = [], [], []
-            for text in b.column(1).to_pylist():
-                raw = coder.encode_bytes(text or "")
+            for text in b.column(1).cast(pa.binary()):
+                raw = coder.encode_bytes(text.as_py() or b"")
                 counts.append(len(raw) // 4)
                 ids_hex.append(hashlib.sha256(raw).hexdigest())
                 text_hex.append(hashlib.sha256(coder.decode(np.frombuffer(raw, "<u4").tolist()).encode("utf-8")).hexdigest())

@@ -48,7 +48,7 @@ class LibraryEncoder:
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
         self.word = Memo(self._word, 500_000)
-        self.chunk = Memo(lambda c: b"".join(map(self.word.__getitem__, USUAL.findall(c.lower()))), 300_000)
+        self.chunk = Memo(self._chunk, 300_000)
 
     def _raw(self, ids: list[int]) -> bytes:
         raw = array(self.kind, ids)
@@ -60,11 +60,16 @@ class LibraryEncoder:
         marks = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
         return self._raw([t.id for t in self.model.tokenize(marks)])
 
-    def encode(self, text: str) -> bytes:
-        """A text's ids as bytes of dtype."""
-        if UNUSUAL.search(text):
-            return self._raw(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.chunk.__getitem__, text.split()))
+    def _chunk(self, chunk: bytes) -> bytes | None:
+        text = chunk.decode("utf-8")
+        return None if UNUSUAL.search(text) else b"".join(map(self.word.__getitem__, USUAL.findall(text.lower())))
+
+    def encode(self, raw: bytes) -> bytes:
+        """A text's ids as bytes of dtype. The text is cut at ASCII white space; a piece with unusual characters has no entry."""
+        try:
+            return b"".join(map(self.chunk.__getitem__, raw.split()))
+        except TypeError:
+            return self._raw(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
@@ -108,8 +113,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         end, writer = np.array([end_id], coder.dtype).tobytes(), None
         for b in batches:
             writer = writer or ShardWriter(folder, shard, coder.dtype)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, coder.encode(text or "") + end)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                writer.add(doc_id, coder.encode(text.as_py() or b"") + end)
         if writer:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n_docs, "n_tokens": n_tokens, "dtype": coder.dtype.str}])
