@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserix.runtime import forget, saved
 
-WORD = r"[^ \t\n\r\f\x0B]+"
+SPACE = " \n\t\r"
 DIMS = ("source", "lang", "topic")
 #: A number is the exponent of a level's own share; a mapping names shares (other levels have their own share).
 TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.7}
@@ -28,17 +28,22 @@ SEED = "mix-1"
 MOST_CELLS = 50_000
 
 
+def _occurrences(text: Column, signs: str) -> Column:
+    """How often any of the characters occurs: lengths before and after removing each, which copies no text without it."""
+    return sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in signs), F.lit(0))
+
+
 def n_tokens(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    """Pieces between white-space characters; adjacent ones enclose an empty piece, which counts. An empty text has none."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.length(t) == 0, 0).otherwise(1 + _occurrences(t, SPACE)).cast("long")
 
 
 def topic(text: Column, tokens: Column) -> Column:
     """A coarse topic from the text's form; another column can take its place."""
     t = F.coalesce(text, F.lit(""))
-    pipes = F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))
-    signs = F.length(t) - F.length(F.translate(t, "%*&$#@", ""))
     return (
-        F.when(tokens == 0, "empty").when(pipes * 20 >= tokens, "table").when(signs * 5 >= tokens, "markup")
+        F.when(tokens == 0, "empty").when(_occurrences(t, "|") * 20 >= tokens, "table").when(_occurrences(t, "%*&$#@") * 5 >= tokens, "markup")
         .when(tokens < 100, "note").when(tokens < 600, "article").otherwise("report")
     )
 
@@ -98,7 +103,8 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 def _with_prob(docs: DataFrame, targets, keep: float) -> DataFrame:
     spark, rows = docs.sparkSession, _annotated(docs)
     names = [f"__mx_{d}" for d in DIMS]
-    counted = saved(rows.groupBy(*names).agg(F.sum("__mx_tokens").alias("tokens")), "mix-cells")
+    # cells are few: one file, which the windows read as one partition
+    counted = saved(rows.groupBy(*names).agg(F.sum("__mx_tokens").alias("tokens")).coalesce(1), "mix-cells")
     raked = saved(rake(counted, targets, keep).select(*names, F.col("ratio").alias("__mx_ratio"), F.col("prob").alias("__mx_prob")), "mix-raked")
     forget(spark, counted)
     side = F.broadcast(raked) if raked.count() <= MOST_CELLS else raked
@@ -123,10 +129,11 @@ def mix_filter(docs: DataFrame, targets=None, keep: float = KEEP) -> DataFrame:
 
 def mix_sql(table: str = "documents", keep: float = KEEP, rounds: int = ROUNDS) -> str:
     """The same in SQL for DuckDB, rounds written out."""
-    word = r"[^ \t\n\r\f\x0B]+"
+    count = lambda signs: " + ".join(f"length(t) - length(replace(t, chr({ord(c)}), ''))" for c in signs)
     parts = [
-        f"a AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '(null)') source, coalesce(lang, '(null)') lang, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT n_tokens FROM {table})",
-        "b AS (SELECT *, CASE WHEN n_tokens = 0 THEN 'empty' WHEN (length(t) - length(replace(t, '|', ''))) * 20 >= n_tokens THEN 'table' WHEN (length(t) - length(translate(t, '%*&$#@', ''))) * 5 >= n_tokens THEN 'markup' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'report' END topic FROM a)",
+        f"z AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '(null)') source, coalesce(lang, '(null)') lang FROM {table})",
+        f"a AS (SELECT *, (CASE WHEN length(t) = 0 THEN 0 ELSE 1 + {count(SPACE)} END)::BIGINT n_tokens FROM z)",
+        f"b AS (SELECT *, CASE WHEN n_tokens = 0 THEN 'empty' WHEN ({count('|')}) * 20 >= n_tokens THEN 'table' WHEN ({count('%*&$#@')}) * 5 >= n_tokens THEN 'markup' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'report' END topic FROM a)",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE tokens, sum(sum(n_tokens)) OVER ()::DOUBLE total FROM b GROUP BY source, lang, topic HAVING sum(n_tokens) > 0)",
     ]
     last = "c"
