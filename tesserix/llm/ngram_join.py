@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserix.llm.graph import components
 from tesserix.llm.words import WORD, Memo, mix64, opened
-from tesserix.runtime import checked_side, fresh, saved
+from tesserix.runtime import BROADCAST_ROWS, checked_side, fresh, saved
 
 N, THRESHOLD = 5, 0.8
 SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 512
@@ -147,18 +147,24 @@ def _close(batches):
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """sets (rep, tokens) to candidate links (a, b): all runs at once, level by level."""
     runs, tables = runs_needed(recall, threshold), []
+    rows = int(sets.count() * runs / threshold)
     nodes = sets.select("rep", "tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])).alias("path"))
     for level in range(1, DEPTH + 1):
-        children = saved(_children(nodes, threshold), f"paths-{level}")
-        counts = saved(children.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"path-sizes-{level}")
-        small = children.join(counts.filter(F.col("n") <= SMALL).select("path"), "path").join(sets, "rep").select("path", "rep", "tokens")
-        tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}"))
+        children = saved(_children(nodes, threshold), f"paths-{level}", rows)
+        counts = saved(children.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"path-sizes-{level}", rows // 4)
+        # sizes are two numbers a path: sent to the children while they are few enough, else joined by a shuffle
+        few = counts.filter(F.col("n") <= SMALL).select("path")
+        few = F.broadcast(few) if counts.count() <= BROADCAST_ROWS else few
+        small = children.join(few, "path").join(sets, "rep").select("path", "rep", "tokens")
+        tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}", rows // 4 if level > 1 else None))
         large = counts.filter(F.col("n") > SMALL)
         if level == DEPTH:
             tables.append(children.join(large, "path").select(F.col("rep").alias("a"), F.col("least").alias("b")))
             break
         if not large.limit(1).count():
             break
+        # deeper nodes hold few of the rows
+        rows = rows // 4
         nodes = children.join(large.select("path"), "path").join(sets, "rep").select("rep", "tokens", "path")
     out = tables[0]
     for t in tables[1:]:
@@ -313,9 +319,10 @@ def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
     """One row per document: doc_id, class_id, n_links, rep_id, n_shingles."""
     own = saved(sketches(docs, n), "ngram-sketches")
     sets = saved(own.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "ngram-sets")
-    groups = saved(components(candidates(sets.select("rep", "tokens").filter("rep is not null").dropDuplicates(["rep"]), threshold, recall), "ngram-groups"), "ngram-candidates")
-    found = saved(exact_links(docs, groups, n, threshold), "ngram-links")
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ngram-classes")
+    links = saved(candidates(sets.select("rep", "tokens").filter("rep is not null").dropDuplicates(["rep"]), threshold, recall), "ngram-candidates")
+    groups = components(links, "ngram-groups", links.count())
+    found = exact_links(docs, groups, n, threshold)
+    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ngram-classes", groups.count())
     per_set = (
         sets.select("print", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         .join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").select("print", F.col("rep").alias("rep_id"), "label", "links")
