@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm import bpe, mixing, ngram_join, toxicity, trie
 from tesserix.llm.queries import vocabulary
-from tesserix.runtime import saved, table
+from tesserix.runtime import saved, table, wide_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
+    wide_rows(spark)
     return toxicity.toxicity_filter(docs, table(spark, sf_dir, "labels"))
 
 

@@ -138,8 +138,9 @@ class Labeller:
 
     def __init__(self, crf: Crf, most: int = 250_000):
         self.crf, self.k, self.most = crf, len(crf.langs), most
-        self.move, start = np.exp(crf.moves - crf.moves.max()), np.exp(crf.starts - crf.starts.max())
-        self.start = start / start.sum()
+        if self.k:
+            self.move, start = np.exp(crf.moves - crf.moves.max()), np.exp(crf.starts - crf.starts.max())
+            self.start = start / start.sum()
         self._empty()
 
     def _empty(self):

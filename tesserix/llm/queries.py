@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm import bpe, chat, langid, media, mixing, ngram_join, tokenfiles, toxicity, trie, urls
-from tesserix.runtime import table
+from tesserix.runtime import table, wide_rows
 
 
 def vocabulary() -> str:
@@ -54,5 +54,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_url_filter, op4_ngram_join, op5_toxicity, op6_media_columns, op7_exact_dedup, op8_bpe, op9_chat_format, op10_language_id)}
+def _wide(f):
+    """f in a session set for long texts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wide_rows(spark)
+        return f(spark, sf_dir)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+QUERIES = {f.__name__: _wide(f) for f in (op1_mix_sources, op2_token_files, op3_url_filter, op4_ngram_join, op5_toxicity, op6_media_columns, op7_exact_dedup, op8_bpe, op9_chat_format, op10_language_id)}
 ORACLE_SQL = {"op1_mix_sources": mixing.mix_sql(), "op7_exact_dedup": trie.EXACT_SQL, "op9_chat_format": chat.CHAT_SQL}
