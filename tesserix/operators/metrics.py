@@ -43,14 +43,14 @@ def auc_expr() -> Column:
 
 def tpr_at_fpr_expr(target: float) -> Column:
     """The largest TPR among all thresholds with FPR at most target (0 if none)."""
-    p, n = F.col("p_all"), F.col("n_all")
+    p, n = F.nullif(F.col("p_all"), F.lit(0)), F.nullif(F.col("n_all"), F.lit(0))
     fits = (n - F.col("n_below")) / n <= target
     return F.when((F.first("p_all") > 0) & (F.first("n_all") > 0), F.coalesce(F.max(F.when(fits, (p - F.col("p_below")) / p)), F.lit(0.0)))
 
 
 def fpr_at_tpr_expr(target: float = 0.95) -> Column:
     """FPR at the first threshold from above that reaches the TPR."""
-    p, n = F.col("p_all"), F.col("n_all")
+    p, n = F.nullif(F.col("p_all"), F.lit(0)), F.nullif(F.col("n_all"), F.lit(0))
     return F.when((F.first("p_all") > 0) & (F.first("n_all") > 0), F.min(F.when((p - F.col("p_below")) / p >= target, (n - F.col("n_below")) / n)))
 
 

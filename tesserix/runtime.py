@@ -24,13 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+ROWS_PER_FILE = 200_000
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and lost executors cost nothing."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage is cut, and lost executors cost nothing.
+
+    rows: about how many, for tables that are cheap to make; they are put into files of some ROWS_PER_FILE rows, at least 4."""
+    if rows is not None:
+        df = df.coalesce(max(4, rows // ROWS_PER_FILE))
     return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
 
 
@@ -75,3 +82,15 @@ def checked_side(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFr
 
     df = saved(df, name)
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: For rows with long texts: fewer of them at a time in readers, writers and Python, so that a task's buffers stay small.
+WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "parquet.block.size": str(16 << 20)}
+
+
+def wide_rows(spark: SparkSession) -> None:
+    """Set WIDE_ROWS in the session, except for what the user has set."""
+    own = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for k, v in WIDE_ROWS.items():
+        if k not in own:
+            spark.conf.set(k, v)
