@@ -74,8 +74,8 @@ GREY = "px AS (SELECT y, x, ((x * 3 + y * 2) % 256 * 299 + (x * 2 + y * 5) % 256
 
 
 @query(
-    f"""WITH {GREY}, s AS (SELECT 'h' AS axis, x + 1 AS at, abs(lead(g) OVER (PARTITION BY y ORDER BY x) - g) AS d FROM px UNION ALL SELECT 'v', y + 1, abs(lead(g) OVER (PARTITION BY x ORDER BY y) - g) FROM px)
-SELECT axis, avg(d) FILTER (at % 8 = 0) / 1000 - avg(d) FILTER (at % 8 <> 0) / 1000 AS blockiness, count(d) AS n FROM s GROUP BY axis""",
+    f"""WITH {GREY}, s AS (SELECT 'h' AS axis, x + 1 AS place, abs(lead(g) OVER (PARTITION BY y ORDER BY x) - g) AS d FROM px UNION ALL SELECT 'v', y + 1, abs(lead(g) OVER (PARTITION BY x ORDER BY y) - g) FROM px)
+SELECT axis, avg(d) FILTER (place % 8 = 0) / 1000 - avg(d) FILTER (place % 8 <> 0) / 1000 AS blockiness, count(d) AS n FROM s GROUP BY axis""",
     ("blockiness",),
 )
 def pixel_blockiness(spark, d):
