@@ -8,7 +8,7 @@ A document's score is a logistic curve over its most toxic windows and its lengt
 from. Every window of the whole text counts, and one word is enough in a long one. Misspellings unseen in training share n-grams
 with known words, hence their vectors.
 
-Null and empty texts, and texts without words, score as a window of nothing. Labels other than 0 and 1 are ignored; without both classes every
+Null and empty texts, and texts without words, score 0: nothing in them is toxic. Labels other than 0 and 1 are ignored; without both classes every
 score is the base rate. Repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -121,8 +121,10 @@ class Scorer:
 
     def score(self, text: str) -> float:
         words = spoken(text)
+        if not words:
+            return 0.0
         sums = np.fromiter(chain.from_iterable(map(self.word.__getitem__, words)), np.float64, 2 * len(words)).reshape(-1, 2)
-        z = (window_logits(sums) if words else np.zeros(1)) + self.bias
+        z = window_logits(sums) + self.bias
         return float(1 / (1 + np.exp(-np.clip(evidence(z) @ self.curve, -40, 40))))
 
 
