@@ -34,7 +34,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
             rows, size = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 n, payload = payload_of(text.as_py())
-                rows.append((doc_id, n, webp.pack_bytes(payload)))
+                rows.append((doc_id, n, webp.store_bytes(payload)))
                 size += len(payload)
                 if size > MOST_BYTES:
                     yield made(rows)

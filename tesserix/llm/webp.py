@@ -3,14 +3,16 @@
 decode() reads prefix codes (simple and normal, several groups), back-references, the colour cache and the four transforms
 (predictor, cross-colour, subtract-green, colour indexing), and gives pixels as (height, width, 4) uint8 in R, G, B, A order.
 Where all codes of an image are of one length, and neither cache nor back-references can occur, its pixels are decoded by
-array operations. encode() writes the same features, each by an option; pack_bytes() and unpack_bytes() store byte strings as grey samples
-with a palette and codes of one length, 64 samples a row, in as many images of at most 64 x 16384 as it takes.
+array operations. encode() writes the same features, each by an option. store_bytes() and unpack_bytes() keep byte strings as green samples, 64 a
+row, in as many images of at most 64 x 16384 as it takes, with the transforms chosen for each image, Huffman codes, back-references and a colour
+cache; pack_bytes() is a faster, larger form with a palette and codes of one length, which no query uses.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +20,8 @@ import numpy as np
 ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)  # fixed by the format
 CACHE_MULTIPLIER = 0x1E35A7BD  # fixed by the format
 ROW, MOST_ROWS = 64, 16384
+#: Shorter back-references cost as much as their pixels; farther ones have no code; cache sizes that are tried; the largest tiles of transforms; lengths up to here are found by arrays.
+LEAST_RUN, MOST_FAR, CACHES, WIDEST, FIRST_RUN = 5, (1 << 20) - 120, (2, 5), 9, 20
 
 
 def distance_map() -> list[tuple[int, int]]:
@@ -59,10 +63,7 @@ class BitWriter:
         self.value |= value << self.n
         self.n += n
         if self.n >= 512:
-            whole = self.n // 8
-            self.parts.append((self.value & ((1 << whole * 8) - 1)).to_bytes(whole, "little"))
-            self.value >>= whole * 8
-            self.n -= whole * 8
+            self.put_whole()
 
     def put_array(self, bits: np.ndarray) -> None:
         """Many single bits (uint8 of 0 and 1)."""
@@ -73,6 +74,29 @@ class BitWriter:
         rest = every[whole:]
         self.value, self.n = sum(int(b) << i for i, b in enumerate(rest)), len(rest)
 
+    def put_fields(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Many values of up to 18 bits: summed into 32-bit words, where their bits don't meet."""
+        self.put_whole()
+        v, b = np.concatenate([[self.value], values]).astype(np.uint64), np.concatenate([[self.n], sizes])
+        ends = b.cumsum()
+        at, total = ends - b, int(ends[-1])
+        word = at >> 5
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        sums, word = np.add.reduceat(v << (at & 31).astype(np.uint64), starts), word[starts]
+        out = np.zeros(total // 32 + 3, np.uint64)
+        out[word] += sums & np.uint64(0xFFFFFFFF)
+        out[word + 1] += sums >> np.uint64(32)
+        data, whole = out.astype("<u4").tobytes(), total // 8
+        self.parts.append(data[:whole])
+        self.n = total - 8 * whole
+        self.value = data[whole] & ((1 << self.n) - 1)
+
+    def put_whole(self) -> None:
+        whole = self.n // 8
+        self.parts.append((self.value & ((1 << whole * 8) - 1)).to_bytes(whole, "little"))
+        self.value >>= whole * 8
+        self.n -= whole * 8
+
     def done(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) // 8, "little")
 
@@ -115,8 +139,7 @@ class Prefix:
         self.width = max(n for _, n in codes.values())
         self.table = [(0, 0)] * (1 << self.width)
         for s, (code, n) in codes.items():
-            for i in range(code, 1 << self.width, 1 << n):
-                self.table[i] = (s, n)
+            self.table[code :: 1 << n] = [(s, n)] * (1 << self.width - n)
 
     def read(self, bits: Bits) -> int:
         if self.table is None:
@@ -200,6 +223,70 @@ def _even_pixels(bits: Bits, group, count: int) -> np.ndarray | None:
     return out
 
 
+#: The least value and the number of extra bits of each prefix of lengths and distances.
+EXTRA = [(p + 1, 0) if p < 4 else (((2 + (p & 1)) << ((p - 2) >> 1)) + 1, (p - 2) >> 1) for p in range(40)]
+
+
+def _read_channel(bits: Bits, group, width: int, count: int) -> np.ndarray:
+    """The general loop where only green varies and there is no cache: literals and back-references on bytes."""
+    green, red, blue, alpha, far_code = group
+    green._build()
+    table, mask = green.table, (1 << green.width) - 1
+    far_code._build()
+    far_table, far_mask = far_code.table, (1 << far_code.width) - 1
+    data, limit, out = bits.data, len(bits.data) + 24, bytearray()
+    put, load = out.append, int.from_bytes
+    at = (bits.pos >> 3) + 6
+    value, have = load(data[at - 6 : at], "little") >> (bits.pos & 7), 48 - (bits.pos & 7)
+    while len(out) < count:
+        if have < 15:
+            value |= load(data[at : at + 6], "little") << have
+            at += 6
+            have += 48
+            if at > limit:
+                raise ValueError("the stream ends too early")
+        s, n = table[value & mask]
+        value >>= n
+        have -= n
+        if s < 256:
+            put(s)
+            continue
+        if s >= 280:
+            raise ValueError("a cache symbol without a cache")
+        if have < 50:  # a length's extra bits, a distance's code and extra bits
+            value |= load(data[at : at + 6], "little") << have
+            at += 6
+            have += 48
+        run, n = EXTRA[s - 256]
+        run += value & ((1 << n) - 1)
+        value >>= n
+        have -= n
+        s, n = far_table[value & far_mask]
+        value >>= n
+        have -= n
+        far, n = EXTRA[s]
+        far += value & ((1 << n) - 1)
+        value >>= n
+        have -= n
+        if far <= 120:
+            dx, dy = NEAR[far - 1]
+            far = max(1, dx + dy * width)
+        else:
+            far -= 120
+        done = len(out)
+        if far > done or done + run > count:
+            raise ValueError("a back-reference leaves the image")
+        piece = out[done - far : done - far + run]
+        out += piece if far >= run else (piece * (run // far + 1))[:run]
+    bits.pos = 8 * at - have
+    if bits.pos > bits.n:
+        raise ValueError("the stream ends too early")
+    pixels = np.empty((count, 4), np.uint8)
+    pixels[:] = (red.symbols[0], 0, blue.symbols[0], alpha.symbols[0])
+    pixels[:, 1] = np.frombuffer(out, np.uint8)
+    return pixels
+
+
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image: (width * height, 4) in R, G, B, A."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -214,6 +301,8 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     count = width * height
     if not tiles and not cache and (whole := _even_pixels(bits, groups[0], count)) is not None:
         return whole
+    if not tiles and not cache and all(c.even == 0 for c in groups[0][1:4]):  # what store_bytes writes for texts
+        return _read_channel(bits, groups[0], width, count)
     pixels, group, shift = [0] * count, groups[0], 32 - cache_bits
     at = done = 0
     mask = (1 << tile_bits) - 1
@@ -289,8 +378,51 @@ def _predict(mode: int, left, up, corner, right) -> list[int]:
     return [0, 0, 0, 255]
 
 
+def _residual(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Pixels less their predictions by one mode, by array operations."""
+    if mode in (1, 2):
+        p = pixels.reshape(-1, width, 4)
+        out = p.copy()
+        out[0, :1, 3] += np.uint8(1)
+        out[0, 1:] -= p[0, :-1]
+        out[1:, 0] -= p[:-1, 0]
+        out[1:, 1:] -= p[1:, :-1] if mode == 1 else p[:-1, 1:]
+        return out.reshape(-1, 4)
+    p = pixels.astype(np.int16)
+    guess = np.empty_like(p)
+    guess[0] = (0, 0, 0, 255)
+    guess[1:width] = p[: width - 1]
+    guess[width::width] = p[:-width:width]
+    i = np.arange(width, len(p))
+    i = i[i % width > 0]
+    left, up, corner, right = p[i - 1], p[i - width], p[i - width - 1], p[i - width + 1]
+    mean = lambda a, b: (a + b) >> 1
+    if mode == 11:
+        nearer = np.abs(up - corner).sum(1) < np.abs(left - corner).sum(1)
+        guess[i] = np.where(nearer[:, None], left, up)
+    elif mode == 13:
+        m = mean(left, up)
+        guess[i] = np.clip(m + ((m - corner + (m < corner)) >> 1), 0, 255)
+    else:
+        made = {
+            1: lambda: left, 2: lambda: up, 3: lambda: right, 4: lambda: corner, 5: lambda: mean(mean(left, right), up), 6: lambda: mean(left, corner), 7: lambda: mean(left, up), 8: lambda: mean(corner, up),
+            9: lambda: mean(up, right), 10: lambda: mean(mean(left, corner), mean(up, right)), 12: lambda: np.clip(left + up - corner, 0, 255),
+        }.get(mode, lambda: np.array([0, 0, 0, 255], np.int16))
+        guess[i] = made()
+    return ((p - guess) & 255).astype(np.uint8)
+
+
 def _predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, size_bits: int, invert: bool) -> np.ndarray:
     """Add (invert) or take away the predictions. modes: the green channel of the transform's image."""
+    only = int(modes[0]) & 15 if len(modes) and (modes == modes[0]).all() else None
+    if only is not None and not invert:
+        return _residual(pixels.reshape(-1, 4), width, only)
+    if only in (1, 2):
+        p = pixels.reshape(height, width, 4).copy()
+        p[0, :1, 3] += np.uint8(255)
+        edge, way = (p[:, 0], 1) if only == 1 else (p[0], 0)
+        edge[:] = edge.cumsum(0, dtype=np.uint8)
+        return p.cumsum(way, dtype=np.uint8).reshape(-1, 4)
     given = pixels.reshape(-1, 4).tolist()
     whole = [None] * len(given) if invert else given
     out, across = [None] * len(given), -(-width >> size_bits)
@@ -455,80 +587,155 @@ def _put_prefix(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
     return canonical(lengths)
 
 
-def _prefix_of(value: int) -> tuple[int, int, int]:
-    """value >= 1 as (prefix, extra bits' value, their number)."""
-    if value <= 4:
-        return value - 1, 0, 0
-    v = value - 1
-    n = v.bit_length() - 2
-    return 2 * (n + 1) + (v >> n & 1), v & ((1 << n) - 1), n
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values >= 1 as prefixes, extra bits' values, their numbers."""
+    v = values - 1
+    n = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - 2, 0)
+    small = values <= 4
+    return np.where(small, v, 2 * (n + 1) + (v >> n & 1)), np.where(small, 0, v & ((1 << n) - 1)), np.where(small, 0, n)
+
+
+@lru_cache(maxsize=64)
+def _near_codes(width: int) -> np.ndarray:
+    """The code of each distance that has a short one, else 0."""
+    back = {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
+    out = np.zeros(max(back) + 1, np.int64)
+    for far, code in back.items():
+        out[far] = code
+    return out
 
 
-def _put_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, links: bool = False, tile_bits: int = 0) -> None:
-    """Any image, in tokens with Huffman codes. tile_bits: several groups of codes, dealt to tiles in turn."""
-    p = pixels.astype(np.int64)
-    argb = (p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]).tolist()
+def _links(argb: np.ndarray) -> np.ndarray:
+    """Back-references (start, length, distance), greedy from the left: each to the last place with the same next 4 pixels."""
+    n, out = len(argb), []
+    if n <= LEAST_RUN:
+        return np.empty((0, 3), np.int64)
+    key = argb[: n - 3].copy()
+    for k in (1, 2, 3):
+        key = (key ^ key >> np.uint32(15)) * np.uint32(0x9E3779B1) + argb[k : n - 3 + k]
+    key *= np.uint32(0x85EBCA6B)
+    if n <= 1 << 14:
+        key = (key >> np.uint32(16)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    i, was = order[same + 1], order[same]
+    good = i - was <= MOST_FAR
+    for k in range(4):
+        good &= argb[i + k] == argb[was + k]
+    i, was = i[good], was[good]
+    order = np.argsort(i)
+    i, was = i[order], was[order]
+    run, going, ended = np.full(len(i), 4), np.arange(len(i)), np.append(argb, ~argb[-1])
+    for k in range(4, FIRST_RUN):
+        going = going[ended[i[going] + k] == argb[was[going] + k]]
+        if not len(going):
+            break
+        run[going] = k + 1
+        going = going[i[going] + k + 1 < n]
+    some = run >= LEAST_RUN
+    starts, sources, runs, data, k = i[some].tolist(), was[some].tolist(), run[some].tolist(), None, 0
+    while k < len(starts):
+        at, was, run = starts[k], sources[k], runs[k]
+        if run == FIRST_RUN:
+            data, most = data or argb.tobytes(), min(4096, n - at)
+            while run < most:
+                x = data[4 * (at + run) : 4 * (at + run + 64)]
+                y = data[4 * (was + run) : 4 * (was + run) + len(x)]
+                if x != y:
+                    d = int.from_bytes(x, "little") ^ int.from_bytes(y, "little")
+                    run += (d & -d).bit_length() - 1 >> 5
+                    break
+                run += len(x) // 4
+            run = min(run, most)
+        out.append((at, run, at - was))
+        k = bisect_left(starts, at + run, k + 1)
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _cost(values: np.ndarray, size: int = 256) -> float:
+    """Bits of values in an ideal prefix code, and some for the code itself."""
+    c = np.bincount(values, minlength=size)
+    c = c[c > 0].astype(np.float64)
+    return float((c * (np.log2(c.sum()) - np.log2(c))).sum()) + 5 * len(c) if len(c) > 1 else 0.0
+
+
+def _cache_hits(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot, and whether the last pixel of that slot has its colour."""
+    slots = (argb * np.uint32(CACHE_MULTIPLIER)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    hits = np.zeros(len(argb), bool)
+    hits[order[1:]] = (slots[order[1:]] == slots[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    return slots.astype(np.int64), hits
+
+
+def _put_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int | None = 0, links: bool = False, tile_bits: int = 0) -> None:
+    """Any image, in tokens with Huffman codes. cache_bits: None takes the cheapest of CACHES; tile_bits: several groups of codes, dealt to tiles in turn."""
+    p = pixels.astype(np.uint32)
+    argb = p[:, 3] << 24 | p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2]
+    n = len(argb)
+    linked = _links(argb) if links else np.empty((0, 3), np.int64)
+    inside = np.zeros(n + 1, np.int8)
+    inside[linked[:, 0]] += 1
+    np.subtract.at(inside, linked[:, 0] + linked[:, 1], 1)
+    single = np.flatnonzero(inside[:n].cumsum(dtype=np.int8) == 0)
+    channels = [p[single, k].astype(np.int64) for k in (1, 0, 2, 3)]
+    if cache_bits is None:
+        costs = {0: sum(map(_cost, channels))}
+        for c in CACHES:
+            slots, hits = (x[single] for x in _cache_hits(argb, c))
+            costs[c] = _cost(np.where(hits, 280 + slots, channels[0])) + sum(_cost(x[~hits]) for x in channels[1:])
+        cache_bits = min(costs, key=lambda c: (costs[c], c))
+    hit = np.zeros(len(single), bool)
+    if cache_bits:
+        slots, hits = (x[single] for x in _cache_hits(argb, cache_bits))
+        hit, channels[0] = hits, np.where(hits, 280 + slots, channels[0])
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
-    height, n_groups, across = len(argb) // width, 1, 0
+    n_groups, across = 1, 0
     if main:
         w.put(int(tile_bits > 0), 1)
         if tile_bits:
-            across, down = -(-width >> tile_bits), -(-height >> tile_bits)
+            across, down = -(-width >> tile_bits), -(-(n // width) >> tile_bits)
             n_groups = min(2, across * down)
             w.put(tile_bits - 2, 3)
             deal = np.zeros((across * down, 4), np.uint8)
             deal[:, 1], deal[:, 3] = np.arange(across * down) % n_groups, 255
             _put_image(w, deal, across, False)
-    group_of = lambda i: ((i // width >> tile_bits) * across + (i % width >> tile_bits)) % n_groups if tile_bits else 0
-    tokens, cache, seen, at = [], [None] * (1 << cache_bits), {}, 0
-    slot = lambda v: (CACHE_MULTIPLIER * v & 0xFFFFFFFF) >> (32 - cache_bits)
-    back = {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(NEAR)))}
-    while at < len(argb):
-        run, was = 0, seen.get(tuple(argb[at : at + 3])) if links else None
-        if was is not None:
-            while at + run < len(argb) and run < 4096 and argb[was + run] == argb[at + run]:
-                run += 1
-        if run >= 3:
-            tokens.append((group_of(at), "link", run, back.get(at - was, at - was + 120)))
-        elif cache_bits and cache[slot(argb[at])] == argb[at]:
-            tokens.append((group_of(at), "cache", slot(argb[at]), 0))
-            run = 1
-        else:
-            tokens.append((group_of(at), "pixel", argb[at], 0))
-            run = 1
-        for i in range(at, at + run):
-            if cache_bits:
-                cache[slot(argb[i])] = argb[i]
-            seen[tuple(argb[i : i + 3])] = i
-        at += run
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    counts = [[[0] * n for n in sizes] for _ in range(n_groups)]
-    split = lambda v: ((0, v >> 8 & 255), (1, v >> 16 & 255), (2, v & 255), (3, v >> 24))
-    for g, kind, a, b in tokens:
-        if kind == "pixel":
-            for k, s in split(a):
-                counts[g][k][s] += 1
-        elif kind == "cache":
-            counts[g][0][280 + a] += 1
-        else:
-            counts[g][0][256 + _prefix_of(a)[0]] += 1
-            counts[g][4][_prefix_of(b)[0]] += 1
-    codes = [[_put_prefix(w, code_lengths(c)) for c in group] for group in counts]
-    for g, kind, a, b in tokens:
-        if kind == "pixel":
-            for k, s in split(a):
-                w.put(*codes[g][k][s])
-        elif kind == "cache":
-            w.put(*codes[g][0][280 + a])
-        else:
-            s, extra, n = _prefix_of(a)
-            w.put(*codes[g][0][256 + s])
-            w.put(extra, n)
-            s, extra, n = _prefix_of(b)
-            w.put(*codes[g][4][s])
-            w.put(extra, n)
+    near = _near_codes(width)
+    far = linked[:, 2]
+    far = np.where((far < len(near)) & (near[np.minimum(far, len(near) - 1)] > 0), near[np.minimum(far, len(near) - 1)], far + 120)
+    (run_code, run_extra, run_bits), (far_code, far_extra, far_bits) = _prefixes(linked[:, 1]), _prefixes(far)
+    at = np.concatenate([single, linked[:, 0]])
+    group = ((at // width >> tile_bits) * across + (at % width >> tile_bits)) % n_groups if tile_bits else np.zeros(len(at), np.int64)
+    # four fields a token: green, red, blue, alpha or a cache slot; or length, its extra bits, distance, its extra bits
+    value, size = np.zeros((len(at), 4), np.int64), np.zeros((len(at), 4), np.int64)
+    m = len(single)
+    value[m:, 1], size[m:, 1], value[m:, 3], size[m:, 3] = run_extra, run_bits, far_extra, far_bits
+    first = np.concatenate([channels[0], 256 + run_code])
+    for g in range(n_groups):
+        own = group == g
+        pixel, link = np.flatnonzero(own[:m] & ~hit), np.flatnonzero(own[m:])
+        fields = [(np.flatnonzero(own), 0, first[own], 280 + (1 << cache_bits if cache_bits else 0))]
+        fields += [(pixel, k, channels[k][pixel], 256) for k in (1, 2, 3)] + [(m + link, 2, far_code[link], 40)]
+        for rows, k, symbols, alphabet in fields:
+            counts = np.bincount(symbols, minlength=alphabet)
+            used = np.flatnonzero(counts).tolist()
+            if len(used) < 2 and (not used or used[0] < 256):
+                _put_simple(w, used or [0])
+                continue
+            codes = _put_prefix(w, code_lengths(counts.tolist()))
+            if len(codes) > 1:
+                table = np.zeros((alphabet, 2), np.int64)
+                table[list(codes)] = list(codes.values())
+                value[rows, k], size[rows, k] = table[symbols, 0], table[symbols, 1]
+    order = np.argsort(at, kind="stable")
+    for lo in range(0, len(order), 1 << 16):
+        some = order[lo : lo + (1 << 16)]
+        v, b = value[some].reshape(-1), size[some].reshape(-1)
+        v, b = v[b > 0], b[b > 0]
+        w.put_fields(v, b)
 
 
 def _riff(stream: bytes) -> bytes:
@@ -546,13 +753,14 @@ def _head(width: int, height: int) -> BitWriter:
     return w
 
 
-def encode(image: np.ndarray, *, predictor: int | None = None, cross=None, subtract_green=False, palette=False, cache_bits=0, links=False, tile_bits=0, size_bits=2) -> bytes:
+def encode(image: np.ndarray, *, predictor: int | None = None, cross=None, subtract_green=False, palette=False, cache_bits: int | None = 0, links=False, tile_bits=0, size_bits=2) -> bytes:
     """(height, width, 4) uint8 to a lossless WebP. predictor: a mode, or -1 for all in turn; cross: (green-to-red, green-to-blue, red-to-blue)."""
     height, width = image.shape[:2]
     w, pixels = _head(width, height), np.ascontiguousarray(image).reshape(-1, 4)
     tiles = -(-width >> size_bits) * -(-height >> size_bits)
     if palette:
-        colours, index = np.unique(pixels, axis=0, return_inverse=True)
+        colours, index = np.unique(pixels.view(np.uint32).reshape(-1), return_inverse=True)
+        colours = colours.view(np.uint8).reshape(-1, 4)
         if len(colours) > 256:
             raise ValueError("too many colours for a palette")
         w.put(1, 1)
@@ -637,11 +845,73 @@ def pack_rows(samples: np.ndarray) -> bytes:
 
 
 def pack_bytes(payload: bytes) -> bytes:
+    """The same by pack_rows."""
+    return _in_images(payload, pack_rows)
+
+
+def chosen(image: np.ndarray) -> dict:
+    """Options of encode() for an image: palette, or the predictor and colour transform of the least entropy.
+
+    All 14 predictors are tried where one of left and up beats no predictor."""
+    height, width = image.shape[:2]
+    pixels = np.ascontiguousarray(image).reshape(-1, 4)
+    packed = pixels.view(np.uint32).reshape(-1)
+    one_channel = not np.any(packed & np.frombuffer(b"\xff\0\xff\0", np.uint32)) and (pixels[:, 3] == 255).all()
+
+    def coloured(p):
+        base = {"cross": None, "subtract_green": False}
+        if one_channel:  # red and blue are 0: colour transforms can only add to them
+            return _cost(p[:, 1]), base
+        options = [(sum(_cost(p[:, k]) for k in range(4)), base)]
+        if p[:, 0].any() or p[:, 2].any():
+            q = p.copy()
+            q[:, 0] -= q[:, 1]
+            q[:, 2] -= q[:, 1]
+            options.append((sum(_cost(q[:, k]) for k in range(4)), base | {"subtract_green": True}))
+            green, red, blue = (p[:, k].astype(np.int8).astype(np.float64) for k in (1, 0, 2))
+            fit = lambda y, x: int(np.clip(np.round(32 * (x @ y) / max(1.0, x @ x)), -128, 127))
+            to_red, to_blue = fit(red, green), fit(blue, green)
+            cross = (to_red, to_blue, fit(blue - green * to_blue / 32, red))
+            tiles = -(-width >> WIDEST) * -(-height >> WIDEST)
+            element = np.tile(np.array([cross[2], cross[1], cross[0], -1]).astype(np.int8).view(np.uint8), (tiles, 1))
+            q = _cross_colour(p, width, height, element, WIDEST, False)
+            options.append((sum(_cost(q[:, k]) for k in range(4)) + 60, base | {"cross": cross}))
+        return min(options, key=lambda o: o[0])
+
+    tried = [(*coloured(pixels), None)]
+    tried += [(*coloured(_residual(pixels, width, mode)), mode) for mode in (1, 2)]
+    if min(tried[1:], key=lambda o: o[0])[0] < tried[0][0]:
+        tried += [(*coloured(_residual(pixels, width, mode)), mode) for mode in (0, *range(3, 14))]
+    cost, options, mode = min(tried, key=lambda o: o[0])
+    colours = np.flatnonzero(np.bincount(pixels[:, 1], minlength=256)) if one_channel else np.unique(packed)
+    if len(colours) <= 256:
+        to_index = np.zeros(256, np.uint8)
+        if one_channel:
+            to_index[colours] = np.arange(len(colours))
+        index = to_index[pixels[:, 1]] if one_channel else np.searchsorted(colours, packed).astype(np.uint8)
+        bundled, _ = _indexed(index, width, height, len(colours))
+        if _cost(bundled) + 5 * len(colours) < cost:
+            return {"palette": True}
+    return options | {"predictor": mode}
+
+
+def store_rows(samples: np.ndarray) -> bytes:
+    """A multiple of 64 samples (at most 64 x 16384) to one image in green, with the options chosen for it, back-references and a colour cache where it pays."""
+    image = np.zeros((len(samples) // ROW, ROW, 4), np.uint8)
+    image[:, :, 1], image[:, :, 3] = samples.reshape(-1, ROW), 255
+    return encode(image, **chosen(image), links=True, cache_bits=None, size_bits=WIDEST)
+
+
+def store_bytes(payload: bytes) -> bytes:
     """payload (a positive multiple of 64 bytes) as one or more images, one after the other."""
+    return _in_images(payload, store_rows)
+
+
+def _in_images(payload: bytes, one) -> bytes:
     if not payload or len(payload) % ROW:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
     samples, most = np.frombuffer(payload, np.uint8), ROW * MOST_ROWS
-    return b"".join(pack_rows(samples[i : i + most]) for i in range(0, len(samples), most))
+    return b"".join(one(samples[i : i + most]) for i in range(0, len(samples), most))
 
 
 def images(media: bytes):

@@ -413,3 +413,35 @@ def test_pipeline(spark, sf):
             assert kept[3] == {r["doc_id"] for r in mixing.mix_weights(before).filter("kept").collect()}
     assert kept[4] == kept[3] and all(a >= b for a, b in zip(kept, kept[1:], strict=False))
     assert {r["doc_id"] for r in c.run(spark, sf).collect()} == kept[4]
+
+
+def test_media_use_the_format(spark, docs, monkeypatch):
+    """Stored images have back-references and codes of several lengths, and are read by the loop; transforms and cache are taken where they pay."""
+    text = " ".join(r["text"] or "" for r in docs.select("text").limit(5).collect()).encode()
+    payload = text + bytes(-len(text) % 64)
+    assert len(webp.store_bytes(payload)) < 0.75 * len(webp.pack_bytes(payload))
+    read, whole = webp._read_channel, []
+    monkeypatch.setattr(webp, "_read_channel", lambda bits, group, *a: whole.append(len(set(group[0].lengths) - {0})) or read(bits, group, *a))
+    assert webp.unpack_bytes(webp.store_bytes(payload)).tobytes() == payload and max(whole) > 3
+    stored = [bytes(r["media"]) for r in media.encode_media(docs.limit(20)).collect()]
+    assert stored == [webp.store_bytes(media.payload_of(r["text"])[1]) for r in docs.limit(20).collect()]
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[:40, :64]
+    noise = rng.integers(0, 2, (40, 64))
+    assert webp.unpack_bytes(webp.store_bytes(b"abcabcab" * (1 << 17) + bytes(64))).tobytes() == b"abcabcab" * (1 << 17) + bytes(64)
+    for n in (64, 128, 6400):
+        for p in (bytes(n), rng.integers(0, 256, n).astype(np.uint8).tobytes(), (np.arange(n) * 3 // 64 % 256).astype(np.uint8).tobytes(), (b"abcabcabd" * n)[:n]):
+            assert webp.unpack_bytes(webp.store_bytes(p)).tobytes() == p
+    smooth = np.stack([(x * 3 + y * 2 + noise) % 256, (x + y * 3 + noise) % 256, x * 0, x * 0 + 255], 2).astype(np.uint8)
+    tied = rng.integers(0, 256, (40, 64, 4)).astype(np.uint8)
+    tied[:, :, 0] = (tied[:, :, 1].astype(np.int8) >> 1).astype(np.uint8)
+    tied[:, :, 3] = 255
+    assert webp.chosen(smooth)["predictor"] is not None and webp.chosen(tied)["cross"] is not None
+    for image in (smooth, tied):
+        m = webp.encode(image, **webp.chosen(image), links=True, cache_bits=None, size_bits=webp.WIDEST)
+        assert np.array_equal(webp.decode(m), image) and len(m) < len(webp.encode(image))
+    for mode in range(14):
+        image = rng.integers(0, 256, (9, 13, 4)).astype(np.uint8)
+        assert np.array_equal(webp.decode(webp.encode(image, predictor=mode, size_bits=webp.WIDEST)), image)
+    few = rng.integers(0, 256, (300, 4)).astype(np.uint8)[np.repeat(rng.integers(0, 300, 600), 4)[rng.permutation(2400) // 8 * 8 % 2400]].reshape(-1, 32, 4)
+    assert np.array_equal(webp.decode(webp.encode(few, cache_bits=None)), few) and len(webp.encode(few, cache_bits=None)) < len(webp.encode(few))
