@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserix.llm.graph import components
 from tesserix.llm.words import WORD, Memo, mix64, opened
-from tesserix.runtime import BROADCAST_ROWS, checked_side, fresh, saved
+from tesserix.runtime import BROADCAST_ROWS, checked_side, fresh, saved, shared_ids
 
 N, THRESHOLD = 5, 0.8
 SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 512
@@ -333,6 +333,16 @@ def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
 
 
 def ngram_filter(docs: DataFrame) -> DataFrame:
-    """One document of each class, with the columns of docs: the one with the smallest doc_id."""
-    gone = checked_side(ngram_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """One document of each class, with the columns of docs: the one with the smallest doc_id.
+
+    Where rows share a doc_id, each pair of doc_id and text is a document of its own, numbered in the order of doc_id."""
+    long_id = docs["doc_id"].cast("long")
+    if shared_ids(docs.filter("doc_id is not null"), "ngram-shared") is None:
+        gone = checked_side(ngram_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
+        return docs.join(gone, long_id == F.col("__gone"), "left_anti")
+    sha = F.sha2(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "UTF-8"), 256)
+    rows = docs.filter("doc_id is not null").select(long_id.alias("__id"), sha.alias("__sha"), docs["text"].cast("string").alias("text"))
+    ids = saved(rows.select("__id", "__sha").distinct().orderBy("__id", "__sha").select("__id", "__sha", F.monotonically_increasing_id().alias("doc_id")), "ngram-ids")
+    classes = ngram_classes(rows.join(ids, ["__id", "__sha"]).select("doc_id", "text"))
+    gone = checked_side(classes.filter("doc_id <> class_id").select("doc_id").distinct().join(ids, "doc_id").select(F.col("__id").alias("__gone"), F.col("__sha").alias("__gone_sha")), "ngram-gone")
+    return docs.join(gone, (long_id == F.col("__gone")) & (sha == F.col("__gone_sha")), "left_anti")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.runtime import checked_side
+from tesserix.runtime import checked_side, shared_ids
 
 #: Bytes of edge labels a trie holds before it spills, and a combiner before it flushes.
 MOST_BYTES = 96 << 20
@@ -252,9 +252,18 @@ def exact_groups(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def exact_filter(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of docs. Only identifiers are shuffled for the decision."""
-    gone = checked_side(exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone")), "exact-gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents that stay, with the columns of docs. Only identifiers are shuffled for the decision.
+
+    Rows that share a doc_id, or have none, go by doc_id and text, so that a copy doesn't take other texts along."""
+    gone, shared = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")), shared_ids(docs, "exact-shared")
+    if shared is None:
+        gone = checked_side(gone.select("__gone"), "exact-gone")
+        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = gone.join(shared, F.col("__gone").eqNullSafe(F.col("__shared")), "left").select("__gone", F.when(F.col("__is_shared"), F.col("__sha")).alias("__sha")).distinct()
+    text = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    rows = docs.join(shared, docs["doc_id"].cast("long").eqNullSafe(F.col("__shared")), "left").withColumn("__own", F.when(F.col("__is_shared"), F.sha2(F.encode(text, "UTF-8"), 256)))
+    found = rows.join(checked_side(gone, "exact-gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & F.col("__own").eqNullSafe(F.col("__sha")), "left_anti")
+    return found.select(*docs.columns)
 
 
 EXACT_SQL = r"""

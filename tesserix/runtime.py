@@ -84,6 +84,16 @@ def checked_side(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.count() <= most else df
 
 
+def shared_ids(docs: DataFrame, name: str) -> DataFrame | None:
+    """The doc_ids (__shared, null too) that several rows have; None if there are none."""
+    from pyspark.sql import functions as F
+
+    found = docs.groupBy(F.col("doc_id").cast("long").alias("__shared")).count().filter("count > 1").select("__shared", F.lit(True).alias("__is_shared"))
+    found = saved(found, name)
+    n = found.count()
+    return None if not n else F.broadcast(found) if n <= BROADCAST_ROWS else found
+
+
 #: For rows with long texts: fewer of them at a time in readers, writers and Python, so that a task's buffers stay small.
 WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "parquet.block.size": str(16 << 20)}
 

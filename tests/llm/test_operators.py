@@ -445,3 +445,14 @@ def test_media_use_the_format(spark, docs, monkeypatch):
         assert np.array_equal(webp.decode(webp.encode(image, predictor=mode, size_bits=webp.WIDEST)), image)
     few = rng.integers(0, 256, (300, 4)).astype(np.uint8)[np.repeat(rng.integers(0, 300, 600), 4)[rng.permutation(2400) // 8 * 8 % 2400]].reshape(-1, 32, 4)
     assert np.array_equal(webp.decode(webp.encode(few, cache_bits=None)), few) and len(webp.encode(few, cache_bits=None)) < len(webp.encode(few))
+
+
+def test_filters_go_by_row(spark):
+    """A copy doesn't take along other texts of rows with the same doc_id, or with none."""
+    texts = near_family(3, 4)
+    rows = [(1, "same  text"), (None, "same text"), (None, "the only one"), (2, "same text"), (2, "another"), (3, "third")]
+    kept = trie.exact_filter(spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "more"] and sorted(r["text"] for r in kept.collect()) == ["another", "same  text", "the only one", "third"]
+    rows = [(1, texts[0]), (2, texts[0] + " w"), (2, "some other words that nobody else has"), (3, "one two three four five six"), (None, "x y")]
+    kept = ngram_join.ngram_filter(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, texts[0]), (2, rows[2][1]), (3, rows[3][1]), (0, "x y")])
