@@ -1,7 +1,7 @@
 """Operator 3: URL filters. Rules decide first; gradient-boosted trees on lexical features decide the rest. DataFrame only.
 
 Features: URL and host length, path depth, digit and hyphen ratio, character entropy, parameter counts, and the smoothed rate
-and count of labelled URLs under the host's suffix (its last two labels). The trees are Spark's GBTClassifier, fitted on at
+and count of all labelled URLs under the host's suffix (its last two labels). The trees are Spark's GBTClassifier, fitted on at
 most `most` labelled URLs, drawn by a hash of the URL (a documented bound; scoring covers all rows). Labelled URLs are those of
 a labeller: here a host label in BAD_HOSTS means block, any other host allow.
 
@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.runtime import saved
+from tesserix.runtime import BROADCAST_ROWS, saved
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Host labels of URLs known to be unwanted: the labels of the training rows.
@@ -80,10 +80,13 @@ def filter_urls(pages: DataFrame, rules=RULES, labeller=labelled, most: int = MO
     sample = urls.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n))) + 1)
     train = saved(labeller(lexical(sample)).select("suffix", "label", *FEATURES[:-2]), "url-train")
     classes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # at most as many suffixes as labelled URLs, hence a bounded broadcast
-    prior = classes.get(1.0, 0) / max(1, sum(classes.values()))
-    stats = saved(train.groupBy("suffix").agg(((F.sum("label") + 10 * prior) / (F.count(F.lit(1)) + 10)).alias("suffix_rate"), F.log1p(F.count(F.lit(1))).alias("suffix_log_n")), "url-suffixes")
-    known = lambda d: d.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_rate": prior, "suffix_log_n": 0.0})
+    # all labelled URLs count, not only the sample
+    counts = saved(labeller(lexical(urls)).groupBy("suffix").agg(F.sum("label").alias("bad"), F.count("label").alias("n")), "url-suffixes")
+    total = counts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    prior = (total["bad"] or 0.0) / max(1, total["n"] or 0)
+    stats = counts.select("suffix", ((F.coalesce("bad", F.lit(0.0)) + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate"), F.log1p("n").alias("suffix_log_n"))
+    stats = F.broadcast(stats) if counts.count() <= BROADCAST_ROWS else stats
+    known = lambda d: d.join(stats, "suffix", "left").fillna({"suffix_rate": prior, "suffix_log_n": 0.0})
     if len(classes) < 2:
         scored = rows.withColumn("score", F.lit(float(max(classes, default=0.0))))
     else:

@@ -456,3 +456,21 @@ def test_filters_go_by_row(spark):
     rows = [(1, texts[0]), (2, texts[0] + " w"), (2, "some other words that nobody else has"), (3, "one two three four five six"), (None, "x y")]
     kept = ngram_join.ngram_filter(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(1, texts[0]), (2, rows[2][1]), (3, rows[3][1]), (0, "x y")])
+
+
+def test_urls_count_suffixes_over_all(spark, monkeypatch):
+    """Suffix statistics cover all labelled URLs, however small the sample that the trees are fitted on."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") % 3 == 0, "ads-track").otherwise("fine"), F.lit(".s"), (F.col("id") % 300).cast("string"), F.lit(".org/"), F.col("id").cast("string")).alias("url"))
+    seen, made = [], urls.VectorAssembler
+
+    class Watched(made):
+        def transform(self, data):
+            seen.append(data)
+            return super().transform(data)
+
+    monkeypatch.setattr(urls, "VectorAssembler", Watched)
+    assert urls.filter_urls(pages, most=200).count() == 3000
+    fitted, scored = seen
+    assert fitted.count() < 600
+    for data in (fitted, scored):
+        assert {round(r["suffix_log_n"], 6) for r in data.select("suffix_log_n").distinct().collect()} == {round(float(np.log1p(10)), 6)}
