@@ -34,11 +34,10 @@ MOST_WORDS = 400_000
 
 
 def features(word: str, lexicon: dict[str, int]) -> np.ndarray:
-    w = word[:40]
-    e = f"<{w}>"
-    names = [f"p{w[:k]}" for k in (1, 2, 3)] + [f"s{w[-k:]}" for k in (1, 2, 3)] + [f"t{e[i : i + 3]}" for i in range(len(e) - 2)] + [f"w{word}"]
+    e = f"<{word}>"
+    names = {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3)} | {f"t{e[i : i + 3]}" for i in range(len(e) - 2)} | {f"w{word}"}
     known = lexicon.get(word, 0)
-    names += [f"l{k}" for k in range(known.bit_length()) if known >> k & 1]
+    names |= {f"l{k}" for k in range(known.bit_length()) if known >> k & 1}
     return np.unique(np.array([zlib.crc32(n.encode("utf-8")) & (BUCKETS - 1) for n in names], np.int64))
 
 

@@ -5,7 +5,7 @@ window of WINDOW words is the mean of its subwords' embeddings; a linear softmax
 trained together by Adagrad on windows of a bounded sample of labelled documents (PER_LABEL each): as labels are of documents, each
 toxic document gives its most toxic windows under the model at hand, each clean one its most toxic and some others, in ROUNDS rounds.
 A document's score is a logistic curve over its most toxic windows and its length, fitted on documents that the windows' model didn't learn
-from. Every window of the whole text counts, and one word is enough in a long one. Misspellings unseen in training share n-grams
+from. Every window of the whole text counts (very long words in overlapping pieces, to their end), and one word is enough in a long one. Misspellings unseen in training share n-grams
 with known words, hence their vectors.
 
 Null and empty texts, and texts without words, score 0: nothing in them is toxic. Labels other than 0 and 1 are ignored; without both classes every
@@ -31,14 +31,25 @@ RARE, DECAY, TRIM = 12, 1e-2, 0.15
 #: Documents (of each label), rounds of choosing windows, passes in each, and parts for the document curve.
 PER_LABEL, ROUNDS, EPOCHS, CROSS = 1800, 3, 4, 3
 FOLDS, HELD_OUT = 5, 0
+#: Words of more than LONG letters are read in pieces; where no underscore parts them, of PIECE letters, one beginning every STEP.
+LONG, PIECE, STEP = 40, 12, 4
 
 
 def subwords(word: str) -> np.ndarray:
-    w = f"<{word[:40]}>"  # longer words are told by their first 40 letters and their hash
+    """Buckets of the whole word and its n-grams."""
+    w = f"<{word}>"
     grams = {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)} | {f"={word}"}
     return np.unique(np.array([zlib.crc32(g.encode("utf-8")) & (BUCKETS - 1) for g in grams], np.int64))
 
 
+def pieces(word: str) -> list[str]:
+    """A word of more than LONG letters cut at underscores; what is still as long, as overlapping pieces of PIECE letters. So a term anywhere
+    in it stands out as in a short word."""
+    if len(word) <= LONG:
+        return [word]
+    return [p for w in word.split("_") if w for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP)])] or [word]
+
+
 class SubwordBag:
     """The model: embeddings, softmax weights and bias."""
 
@@ -104,6 +115,8 @@ def window_logits(sums: np.ndarray) -> np.ndarray:
 def spoken(text: str) -> list[str]:
     """Lower-case words; a word repeated at once counts once."""
     words = WORD.findall(text.lower())
+    if len(text) > LONG and max(map(len, words), default=0) > LONG:
+        words = [p for w in words for p in pieces(w)]
     return [w for w, before in zip(words, [None, *words], strict=False) if w != before]
 
 

@@ -474,3 +474,20 @@ def test_urls_count_suffixes_over_all(spark, monkeypatch):
     assert fitted.count() < 600
     for data in (fitted, scored):
         assert {round(r["suffix_log_n"], 6) for r in data.select("suffix_log_n").distinct().collect()} == {round(float(np.log1p(10)), 6)}
+
+
+def test_long_words_are_read_to_their_end():
+    """A term after the 40th letter of a word counts, and so do the letters that tell a language."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3))
+    text = lambda y: " ".join([word() for _ in range(20)] + ["grumblix"] * y + [word() for _ in range(20)])
+    model = toxicity.train([(text(y), y) for y in [0, 1] * 150])
+    clean, bad = "_".join(word() for _ in range(30)), "_".join([*(word() for _ in range(15)), "grumblix", *(word() for _ in range(14))])
+    for sign in ("_", ""):
+        assert model.score(clean.replace("_", sign)) < 0.5 <= model.score(bad.replace("_", sign))
+    for n in (41, 59, 60, 61, 80, 81, 5000):
+        long = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.pieces(long)
+        assert max(map(len, parts)) <= toxicity.LONG and all(any(long[i : i + 5] in p for p in parts) for i in range(min(n - 4, 300))) and parts[-1][-1] == long[-1]
+    one, other = (langid.features("a" * 60 + end, {}) for end in ("xyz", "uvw"))
+    assert len(np.setdiff1d(one, other)) > 5
