@@ -146,7 +146,7 @@ def _close(batches):
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """sets (rep, tokens) to candidate links (a, b): all runs at once, level by level."""
-    runs, tables = runs_needed(recall, threshold), []
+    runs, tables = runs_needed(recall, threshold, DEPTH), []
     rows = int(sets.count() * runs / threshold)
     nodes = sets.select("rep", "tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])).alias("path"))
     for level in range(1, DEPTH + 1):

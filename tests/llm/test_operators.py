@@ -491,3 +491,17 @@ def test_long_words_are_read_to_their_end():
         assert max(map(len, parts)) <= toxicity.LONG and all(any(long[i : i + 5] in p for p in parts) for i in range(min(n - 4, 300))) and parts[-1][-1] == long[-1]
     one, other = (langid.features("a" * 60 + end, {}) for end in ("xyz", "uvw"))
     assert len(np.setdiff1d(one, other)) > 5
+
+
+def test_runs_bound_the_deepest_pairs(spark, monkeypatch):
+    """The number of runs is that for pairs which are split as often as nodes can be."""
+    asked, needed = [], ngram_join.runs_needed
+
+    def watched(recall, threshold, depth=2):
+        asked.append(depth)
+        return min(2, needed(recall, threshold, depth))
+
+    monkeypatch.setattr(ngram_join, "runs_needed", watched)
+    rows = list(enumerate(near_family(5, 6)))
+    assert ngram_join.ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5
+    assert asked == [ngram_join.DEPTH]
