@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tesserix.runtime import forget, saved
 
-SPACE = " \n\t\r"
+WORD = r"[^ \t\n\r\f\x0B]+"
 DIMS = ("source", "lang", "topic")
 #: A number is the exponent of a level's own share; a mapping names shares (other levels have their own share).
 TARGETS = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.7}
@@ -34,9 +34,8 @@ def _occurrences(text: Column, signs: str) -> Column:
 
 
 def n_tokens(text: Column) -> Column:
-    """Pieces between white-space characters; adjacent ones enclose an empty piece, which counts. An empty text has none."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(F.length(t) == 0, 0).otherwise(1 + _occurrences(t, SPACE)).cast("long")
+    """Runs of characters other than white space."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def topic(text: Column, tokens: Column) -> Column:
@@ -131,8 +130,7 @@ def mix_sql(table: str = "documents", keep: float = KEEP, rounds: int = ROUNDS)
     """The same in SQL for DuckDB, rounds written out."""
     count = lambda signs: " + ".join(f"length(t) - length(replace(t, chr({ord(c)}), ''))" for c in signs)
     parts = [
-        f"z AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '(null)') source, coalesce(lang, '(null)') lang FROM {table})",
-        f"a AS (SELECT *, (CASE WHEN length(t) = 0 THEN 0 ELSE 1 + {count(SPACE)} END)::BIGINT n_tokens FROM z)",
+        f"a AS (SELECT doc_id, coalesce(text, '') t, coalesce(source, '(null)') source, coalesce(lang, '(null)') lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT n_tokens FROM {table})",
         f"b AS (SELECT *, CASE WHEN n_tokens = 0 THEN 'empty' WHEN ({count('|')}) * 20 >= n_tokens THEN 'table' WHEN ({count('%*&$#@')}) * 5 >= n_tokens THEN 'markup' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'report' END topic FROM a)",
         "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE tokens, sum(sum(n_tokens)) OVER ()::DOUBLE total FROM b GROUP BY source, lang, topic HAVING sum(n_tokens) > 0)",
     ]

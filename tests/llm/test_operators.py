@@ -89,7 +89,7 @@ def test_mixing(spark, docs, odd):
     assert (w.n_tokens * w.keep_prob).sum() == pytest.approx(mixing.KEEP * w.n_tokens.sum(), rel=0.01)
     assert w.keep_prob.between(0, 1).all() and 0 < w.kept.sum() < len(w)
     o = rows_of(mixing.mix_weights(odd))
-    assert len(o) == len(ODD) and set(o[o.n_tokens == 0].doc_id) == {1, 2} and o[o.n_tokens == 0].keep_prob.eq(0).all() and o[o.doc_id == 5].kept.nunique() == 1
+    assert len(o) == len(ODD) and set(o[o.n_tokens == 0].doc_id) == {1, 2, 3} and o[o.n_tokens == 0].keep_prob.eq(0).all() and o[o.doc_id == 5].kept.nunique() == 1
     assert set(o[o.doc_id == 1].source) == {"(null)"}
 
 
