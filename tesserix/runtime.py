@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir of the session; a temporary one only where that is unset (tests)."""
+    """The shared folder: spark.checkpoint.dir of the session. Where that is unset, a temporary folder in local mode (tests), and an error on a
+    cluster: its executors would each write to a disk of their own, and later reads would miss rows."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         where = "file://" + tempfile.mkdtemp(prefix="tesserix-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -84,6 +89,14 @@ def checked_side(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.count() <= most else df
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def shared_ids(docs: DataFrame, name: str) -> DataFrame | None:
     """The doc_ids (__shared, null too) that several rows have; None if there are none."""
     from pyspark.sql import functions as F
@@ -98,9 +111,28 @@ def shared_ids(docs: DataFrame, name: str) -> DataFrame | None:
 WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "parquet.block.size": str(16 << 20)}
 
 
-def wide_rows(spark: SparkSession) -> None:
-    """Set WIDE_ROWS in the session, except for what the user has set."""
+def wide_rows(spark: SparkSession) -> dict[str, str | None]:
+    """Set WIDE_ROWS in the session, except for what the user has set. Gives what was there before, for restore()."""
     own = {k for k, _ in spark.sparkContext.getConf().getAll()}
-    for k, v in WIDE_ROWS.items():
-        if k not in own:
+    before = {k: spark.conf.get(k, None) for k in WIDE_ROWS if k not in own}
+    for k in before:
+        spark.conf.set(k, WIDE_ROWS[k])
+    return before
+
+
+def restore(spark: SparkSession, before: dict[str, str | None]) -> None:
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
             spark.conf.set(k, v)
+
+
+def wide_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with spark's settings and WIDE_ROWS, so that a lazy result keeps them and spark's later work doesn't."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.get(k, None) != v and own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    wide_rows(own)
+    return own
