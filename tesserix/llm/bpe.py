@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tesserix.llm.words import Memo
 
 LONG = 64
+#: How the vocabulary's file says that texts are normalised and cut (fixed by the file); other files are refused.
+EXPECTED = {"normalizers": ["NFC", "Replace", "Lowercase"], "pretokenizers": ["Split", "ByteLevel"], "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 #: White space as the vocabulary's library sees it; the separators 1C to 1F aren't in it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's pattern (fixed by its file).
@@ -49,8 +51,23 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether a vocabulary file normalises and cuts as EXPECTED says, which is what this module does."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [s["type"] for s in normal.get("normalizers", [])]
+    parts = cut.get("pretokenizers", [])
+    return (
+        steps == EXPECTED["normalizers"] and [p["type"] for p in parts] == EXPECTED["pretokenizers"] and parts[0]["pattern"].get("Regex") == EXPECTED["pattern"]
+        and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["add_prefix_space"] and spec["model"]["type"] == "BPE"
+    )
+
+
 class Bpe:
     def __init__(self, path: str):
+        if not splits_at_spaces(path):
+            raise ValueError(f"{path} normalises or cuts texts in another way than this encoder")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -65,8 +82,8 @@ class Bpe:
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.word = Memo(self._encode_word, 300_000)
-        self.chunk = Memo(self._encode_chunk, 150_000)
+        self.word = Memo(self._encode_word, 56 << 20)
+        self.chunk = Memo(self._encode_chunk, 32 << 20)
 
     def _encode_word(self, word: str) -> bytes:
         marks = [self.symbols[b] for b in word.encode("utf-8")]

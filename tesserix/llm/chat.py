@@ -7,7 +7,8 @@ break &#10;), so that no text can hold a control string; unescape() undoes it ex
 (start, length) in code points of the formatted text: the texts of assistant turns, without marks.
 
 Null text or role: empty. Turns sort by turn, role, text; nulls first. Rows with a null conv_id form one conversation.
-Repeated rows are turns of their own. An empty table gives an empty result. Other columns are ignored.
+Repeated rows are turns of their own. An empty table gives an empty result. Other columns are ignored. Work grows in proportion to a conversation's turns
+and texts. with_control_case() adds a conversation -1; should the table hold a conversation -1 of its own, they are one conversation.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+#: Turns whose positions are added up together.
+BLOCK = 256
 
 
 def escape(text: Column) -> Column:
@@ -40,36 +43,71 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         "conv_id", F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
     ).withColumns({"r": _escape_role(F.col("role")), "t": escape(F.col("text"))})
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "r", "t"))).alias("turns"))
-    # i-th turn: opens a message if its role differs from the one before, closes it if it differs from the next
-    at = lambda i: F.element_at(F.col("turns"), i)
-    n = F.size("turns")
-    pieces = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            F.when((i > 1) & (F.get(F.col("turns.r"), i - 2) == at(i)["r"]), F.lit(SEP)).otherwise(F.concat(F.lit(START), at(i)["r"], F.lit("\n"))).alias("lead"),
-            at(i)["t"].alias("t"),
-            F.when((i < n) & (F.get(F.col("turns.r"), i) == at(i)["r"]), F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"),
-            (at(i)["r"] == loss_role).alias("loss"),
+    # each turn beside the roles of its neighbours: it opens a message if its role differs from the one before, closes it if it differs from the next
+    roles = lambda turns: F.transform(turns, lambda x: F.struct(x["r"].alias("r")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("r")))
+    pieces = _let(
+        F.col("turns"),
+        lambda turns: F.transform(
+            F.arrays_zip(turns.alias("now"), F.concat(none, roles(turns)).alias("was"), F.concat(F.slice(roles(turns), 2, F.size(turns)), none).alias("next")),
+            lambda z: z,
         ),
     )
+    pieces = F.transform(F.filter(pieces, lambda z: z["now"].isNotNull()), _piece(loss_role))
     chats = chats.select("conv_id", pieces.alias("pieces"))
-    chats = chats.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["t"], p["tail"])), ""))
-    sizes = F.transform("pieces", lambda p: F.struct(F.length(p["lead"]).cast("long").alias("lead"), F.length(p["t"]).cast("long").alias("t"), F.length(p["tail"]).cast("long").alias("tail"), p["loss"].alias("loss")))
-    spans = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["pos"] + s["lead"] + s["t"] + s["tail"]).alias("pos"),
-            F.when(s["loss"], F.array_append(acc["spans"], F.struct((acc["pos"] + s["lead"]).alias("start"), s["t"].alias("length")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return chats.select("conv_id", "formatted", spans.alias("loss_spans"))
+    return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["t"], p["tail"])), "").alias("formatted"), _let(F.col("pieces"), _spans).alias("loss_spans"))
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, also where f uses it inside a lambda (which would otherwise compute it for each element)."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _piece(loss_role: str):
+    def of(z: Column) -> Column:
+        now, was, after = z["now"], z["was"]["r"], z["next"]["r"]
+        return F.struct(
+            F.when(was == now["r"], F.lit(SEP)).otherwise(F.concat(F.lit(START), now["r"], F.lit("\n"))).alias("lead"), now["t"].alias("t"),
+            F.when(after == now["r"], F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"), (now["r"] == loss_role).alias("loss"),
+        )
+
+    return of
+
+
+def _spans(pieces: Column) -> Column:
+    """(start, length) of each piece under the loss mask. Positions add up inside blocks of BLOCK pieces, then from block to block, so that
+    no array grows by one element at a time over the whole conversation."""
+    sizes = F.transform(pieces, lambda p: F.struct(F.length(p["lead"]).cast("long").alias("lead"), F.length(p["t"]).cast("long").alias("t"), F.length(p["tail"]).cast("long").alias("tail"), p["loss"].alias("loss")))
+    span, zero = "array<struct<start:bigint,length:bigint>>", F.lit(0).cast("long")
+
+    def inside(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(zero.alias("pos"), F.array().cast(span).alias("spans")),
+            lambda acc, s: F.struct(
+                (acc["pos"] + s["lead"] + s["t"] + s["tail"]).alias("pos"),
+                F.when(s["loss"], F.array_append(acc["spans"], F.struct((acc["pos"] + s["lead"]).alias("start"), s["t"].alias("length")))).otherwise(acc["spans"]).alias("spans"),
+            ),
+        )
+
+    def joined(blocks: Column) -> Column:
+        return F.aggregate(
+            blocks,
+            F.struct(zero.alias("pos"), F.array().cast(f"array<{span}>").alias("parts")),
+            lambda acc, b: F.struct(
+                (acc["pos"] + b["pos"]).alias("pos"),
+                F.array_append(acc["parts"], F.transform(b["spans"], lambda s: F.struct((s["start"] + acc["pos"]).alias("start"), s["length"].alias("length")))).alias("parts"),
+            ),
+            lambda acc: F.flatten(acc["parts"]),
+        )
+
+    cut = lambda all_sizes: F.transform(F.sequence(F.lit(0), (F.size(all_sizes) - 1).cast("int"), F.lit(BLOCK)), lambda i: inside(F.slice(all_sizes, i + 1, BLOCK)))
+    return _let(_let(sizes, cut), joined)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) to the turns and the text under the loss mask, both from the formatted text alone."""
-    messages = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, F.size(F.split("formatted", r"<\|im_start\|>")))
+    messages = _let(F.split("formatted", r"<\|im_start\|>"), lambda m: F.slice(m, 2, F.size(m)))
     per_message = F.transform(
         messages,
         lambda m: F.transform(
@@ -77,7 +115,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
             lambda t: F.struct(_unescape_role(F.substring_index(m, "\n", 1)).alias("role"), unescape(t).alias("text")),
         ),
     )
-    masked = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    # four bytes a code point, so that a span is found by its place and not by counting from the start
+    wide = F.encode("formatted", "UTF-32")
+    masked = _let(wide, lambda w: F.transform("loss_spans", lambda s: unescape(F.decode(F.substr(w, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32"))))
     return formatted.select("conv_id", "formatted", "loss_spans", F.flatten(per_message).alias("turns"), F.array_join(masked, "").alias("loss_text"))
 
 

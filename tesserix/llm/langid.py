@@ -2,7 +2,8 @@
 
 Each word (a run of letters) is labelled with a language. Emissions sum weights of hashed features: prefixes and suffixes of up
 to three letters, character trigrams with word ends, the word itself, and the languages in whose lexicon (the LEXICON commonest words of the training texts) it
-is. Transitions are learned too. Training is stochastic gradient on sequences of SPAN words cut from whole texts of a bounded sample; some
+is. Transitions are learned too. Training is stochastic gradient on sequences of SPAN words cut from whole texts of a bounded sample (PER_LANG documents
+of each language, however many languages there are; 24 million characters in all, shared evenly); each pass draws SPANS sequences of each language. Some
 sequences are joined from two texts, so that switches occur. Marginals come from forward-backward; a document's language has
 the largest mean marginal over all its words, which is its score.
 
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.llm.sampling import sampled_texts
-from tesserix.llm.words import LETTERS
+from tesserix.llm.words import letters
 
 BUCKETS, SPAN, BLOCK = 1 << 16, 48, 32
-PER_LANG, EPOCHS, LEXICON = 400, 2, 300
+PER_LANG, SPANS, EPOCHS, LEXICON = 400, 1500, 2, 300
 FOLDS, HELD_OUT = 4, 2
 #: Words handled at once.
 MOST_WORDS = 400_000
@@ -91,7 +92,7 @@ class Crf:
             return
         by_label = {y: [i for i, s in enumerate(spans) if s[1][0] == y] for y in range(k)}
         live = [y for y in range(k) if by_label[y]]
-        each = max(1, min(len(spans), 6000) // len(live))
+        each = max(1, min(len(spans) // len(live), SPANS))
         sizes = np.array([len(f) for f in ids])
         starts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids)
         g_w, g_m, g_s = np.full(BUCKETS, 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)
@@ -225,7 +226,7 @@ class Labeller:
 
     def label_words(self, text: str) -> list[tuple[str, str]]:
         """Each word of a text with its likeliest language: for code-switched text."""
-        words = LETTERS.findall(text.lower())
+        words = letters().findall(text.lower())
         if not words:
             return []
         return [(w, self.crf.langs[i]) for w, i in zip(words, self.marginals([self.rows(words)])[0].argmax(1).tolist(), strict=True)]
@@ -243,7 +244,7 @@ class Labeller:
             emits.clear()
 
         for i, text in enumerate(texts):
-            words = LETTERS.findall((text or "").lower())
+            words = letters().findall((text or "").lower())
             if words and self.k:
                 held.append(i)
                 emits.append(self.rows(words))
@@ -258,7 +259,7 @@ class Labeller:
 def train(sample: list[tuple[str, str]]) -> Crf:
     """sample: (text, lang), bounded."""
     langs = sorted({y for _, y in sample})
-    texts = [(LETTERS.findall(t.lower()), langs.index(y)) for t, y in sample]
+    texts = [(letters().findall(t.lower()), langs.index(y)) for t, y in sample]
     common = [Counter() for _ in langs]
     for words, y in texts:
         common[y].update(words)

@@ -5,8 +5,8 @@ target share. A document's weight per token is its cell's raked tokens over its
 probabilities, capped at 1, that keep the asked share of all tokens in expectation; a hash of doc_id decides.
 
 Null source, lang or text: levels "(null)" and an empty text. Empty texts hold no tokens and weigh 0, so they aren't kept.
-Rows with equal doc_id get equal decisions. An empty table gives an empty result. Other columns pass through mix_filter
-whatever their names; names beginning with __mx_ are reserved.
+Texts of any length are counted whole. Rows with equal doc_id get equal decisions. An empty table gives an empty result. Other columns pass through mix_filter
+whatever their names; names beginning with __mx_ are reserved and refused.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserix.runtime import forget, saved
+from tesserix.runtime import checked_side, forget, saved
 
 WORD = r"[^ \t\n\r\f\x0B]+"
 DIMS = ("source", "lang", "topic")
@@ -24,7 +24,7 @@ KEEP = 0.7
 ROUNDS = 10
 FILL_ROUNDS = 8
 SEED = "mix-1"
-#: Cells up to this number are broadcast; more are joined by a shuffle.
+#: Cells up to this number are raked in one task and broadcast; more are raked by their levels and joined by a shuffle, with the same result.
 MOST_CELLS = 50_000
 
 
@@ -65,10 +65,56 @@ def _share(dim: str, target) -> Column:
     return out.otherwise(F.col("__own"))
 
 
+def rake_by_levels(cells: DataFrame, targets=None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """The same as rake() for any number of cells (a source may be a domain): levels' sums are pre-aggregated and joined back, and no
+    task sees all cells. Each round's weights are written to the shared folder."""
+    targets, spark = targets or TARGETS, cells.sparkSession
+    names = [f"__mx_{d}" for d in DIMS]
+    c = cells.filter("tokens > 0").select(*names, "tokens", F.col("tokens").cast("double").alias("weight"))
+    total = float(c.agg(F.sum("tokens")).first()[0] or 0)
+
+    def by_level(rows: DataFrame, name: str, joined: DataFrame) -> DataFrame:
+        return joined.join(checked_side(rows, "mix-levels", MOST_CELLS), name)
+
+    for d, name in zip(DIMS, names, strict=True):
+        levels = c.groupBy(name).agg((F.sum("tokens") / total).alias("__own")).withColumn("__raw", _share(d, targets[d]))
+        norm = float(levels.agg(F.sum("__raw")).first()[0] or 1)
+        c = by_level(levels.select(name, (F.col("__raw") / norm * total).alias(f"__t_{d}")), name, c)
+    c = saved(c, "mix-weights")
+    for _ in range(rounds):
+        for d, name in zip(DIMS, names, strict=True):
+            sums = c.groupBy(name).agg(F.sum("weight").alias("__sum"))
+            after = by_level(sums, name, c).withColumn("weight", F.col("weight") * F.col(f"__t_{d}") / F.col("__sum")).drop("__sum")
+            after, before = saved(after, "mix-weights"), c
+            forget(spark, before)
+            c = after
+    c = c.withColumn("ratio", F.col("weight") / F.col("tokens"))
+    budget = keep * total
+    factor = budget / float(c.agg(F.sum("weight")).first()[0] or 1)
+    for _ in range(FILL_ROUNDS):
+        full = factor * F.col("ratio") >= 1
+        r = c.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+        factor = max(factor, (budget - r["full"]) / r["open"]) if r["open"] else factor
+    return c.withColumn("prob", F.least(F.lit(1.0), F.lit(factor) * F.col("ratio"))).select(*names, "tokens", "weight", "ratio", "prob")
+
+
+def marginal_gaps(raked: DataFrame, targets=None) -> DataFrame:
+    """dim, level, share, target, gap of raked cells: how far each marginal is from its target after the rounds."""
+    targets, out = targets or TARGETS, None
+    total = raked.agg(F.sum("tokens").cast("double").alias("__all"), F.sum("weight").alias("__mass"))
+    for d in DIMS:
+        levels = raked.groupBy(f"__mx_{d}").agg(F.sum("tokens").alias("__t"), F.sum("weight").alias("__w")).crossJoin(total)
+        levels = levels.withColumn("__own", F.col("__t") / F.col("__all")).withColumn("__raw", _share(d, targets[d]))
+        levels = levels.crossJoin(levels.agg(F.sum("__raw").alias("__norm")))
+        one = levels.select(F.lit(d).alias("dim"), F.col(f"__mx_{d}").alias("level"), (F.col("__w") / F.col("__mass")).alias("share"), (F.col("__raw") / F.col("__norm")).alias("target"))
+        out = one if out is None else out.union(one)
+    return out.withColumn("gap", F.abs(F.col("share") - F.col("target")))
+
+
 def rake(cells: DataFrame, targets=None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
     """cells (__mx_<dim>..., tokens) with weight (raked tokens), ratio and prob.
 
-    One row per cell that occurs; they are put in one partition, so that the windows need no shuffle.
+    For up to MOST_CELLS cells: they are put in one partition, so that the windows need no shuffle. More go to rake_by_levels().
     """
     targets = targets or TARGETS
     by = {d: Window.partitionBy(f"__mx_{d}") for d in DIMS}
@@ -100,13 +146,15 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def _with_prob(docs: DataFrame, targets, keep: float) -> DataFrame:
+    if clash := [c for c in docs.columns if c.startswith("__mx_")]:
+        raise ValueError(f"names beginning with __mx_ are reserved: {clash}")
     spark, rows = docs.sparkSession, _annotated(docs)
     names = [f"__mx_{d}" for d in DIMS]
-    # cells are few: one file, which the windows read as one partition
-    counted = saved(rows.groupBy(*names).agg(F.sum("__mx_tokens").alias("tokens")).coalesce(1), "mix-cells")
-    raked = saved(rake(counted, targets, keep).select(*names, F.col("ratio").alias("__mx_ratio"), F.col("prob").alias("__mx_prob")), "mix-raked")
+    counted = saved(rows.groupBy(*names).agg(F.sum("__mx_tokens").alias("tokens")), "mix-cells")
+    few = counted.count() <= MOST_CELLS
+    raked = saved((rake if few else rake_by_levels)(counted, targets, keep).select(*names, F.col("ratio").alias("__mx_ratio"), F.col("prob").alias("__mx_prob")), "mix-raked")
     forget(spark, counted)
-    side = F.broadcast(raked) if raked.count() <= MOST_CELLS else raked
+    side = F.broadcast(raked) if few else raked
     return (
         rows.join(side, names, "left").withColumn("__mx_ratio", F.coalesce("__mx_ratio", F.lit(0.0))).withColumn("__mx_prob", F.coalesce("__mx_prob", F.lit(0.0)))
         .withColumn("__mx_kept", draw(F.col("doc_id")) < F.col("__mx_prob"))

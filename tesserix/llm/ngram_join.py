@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tesserix.llm.graph import components
 from tesserix.llm.words import WORD, Memo, mix64, opened
-from tesserix.runtime import BROADCAST_ROWS, checked_side, fresh, saved, shared_ids
+from tesserix.runtime import BROADCAST_ROWS, checked_side, free_name, fresh, saved, shared_ids
 
 N, THRESHOLD = 5, 0.8
 SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 512
@@ -56,7 +56,7 @@ class Shingler:
 
     def __init__(self, n: int = N):
         self.n = n
-        self.word = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8"), digest_size=8).digest(), "little"))
+        self.word = Memo(lambda w: int.from_bytes(hashlib.blake2b(w.encode("utf-8"), digest_size=8).digest(), "little"), 40 << 20)
         self.scale = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -335,14 +335,24 @@ def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
 def ngram_filter(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of docs: the one with the smallest doc_id.
 
-    Where rows share a doc_id, each pair of doc_id and text is a document of its own, numbered in the order of doc_id."""
+    Where rows share a doc_id or have none, each pair of doc_id and text is a document of its own, numbered in the order of doc_id (nulls last),
+    and of rows with the same doc_id and text one stays. Other columns pass through whatever their names."""
     long_id = docs["doc_id"].cast("long")
-    if shared_ids(docs.filter("doc_id is not null"), "ngram-shared") is None:
+    shared = shared_ids(docs, "ngram-shared")
+    if shared is None and not docs.filter("doc_id is null").limit(1).count():
         gone = checked_side(ngram_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
         return docs.join(gone, long_id == F.col("__gone"), "left_anti")
     sha = F.sha2(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "UTF-8"), 256)
-    rows = docs.filter("doc_id is not null").select(long_id.alias("__id"), sha.alias("__sha"), docs["text"].cast("string").alias("text"))
-    ids = saved(rows.select("__id", "__sha").distinct().orderBy("__id", "__sha").select("__id", "__sha", F.monotonically_increasing_id().alias("doc_id")), "ngram-ids")
-    classes = ngram_classes(rows.join(ids, ["__id", "__sha"]).select("doc_id", "text"))
-    gone = checked_side(classes.filter("doc_id <> class_id").select("doc_id").distinct().join(ids, "doc_id").select(F.col("__id").alias("__gone"), F.col("__sha").alias("__gone_sha")), "ngram-gone")
-    return docs.join(gone, (long_id == F.col("__gone")) & (sha == F.col("__gone_sha")), "left_anti")
+    rows = docs.select(long_id.alias("__id"), sha.alias("__sha"), docs["text"].cast("string").alias("text"))
+    pairs = rows.groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("__rows"))
+    ids = saved(pairs.orderBy(F.col("__id").asc_nulls_last(), "__sha").select("*", F.monotonically_increasing_id().alias("doc_id")), "ngram-ids")
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
+    numbered = rows.join(ids, same(rows, ids)).select(ids["doc_id"], rows["text"]).dropDuplicates(["doc_id"])
+    classes = ngram_classes(numbered)
+    decided = saved(classes.select("doc_id", (F.col("doc_id") != F.col("class_id")).alias("__gone")).join(ids, "doc_id").filter("__gone or __rows > 1").select("__id", "__sha", "__gone"), "ngram-decided")
+    gone, repeated = checked_side(decided.filter("__gone"), "ngram-gone"), checked_side(decided.filter("not __gone"), "ngram-repeated")
+    own = free_name(docs, "__own")
+    fits = lambda side: long_id.eqNullSafe(side["__id"]) & (sha == side["__sha"])
+    kept = docs.join(gone, fits(gone), "left_anti")
+    once = docs.join(repeated, fits(repeated), "left_semi").withColumn(own, sha).dropDuplicates(["doc_id", own])
+    return kept.join(repeated, fits(repeated), "left_anti").unionByName(once.select(*[once[c] for c in docs.columns]))

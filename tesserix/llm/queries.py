@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserix.llm import bpe, chat, langid, media, mixing, ngram_join, tokenfiles, toxicity, trie, urls
-from tesserix.runtime import table, wide_rows
+from tesserix.runtime import table, wide_session
 
 
 def vocabulary() -> str:
@@ -55,11 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(f):
-    """f in a session set for long texts."""
+    """f in a session of its own, set for long texts."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        wide_rows(spark)
-        return f(spark, sf_dir)
+        return f(wide_session(spark), sf_dir)
 
     run.__name__, run.__doc__ = f.__name__, f.__doc__
     return run

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserix.runtime import checked_side
+
 
 def hash_rank(seed: str):
     return F.xxhash64(F.col("doc_id"), F.lit(seed))
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, per_label: int, seed: str, most_labels: int = 64, most_chars: int = 24_000_000) -> list[tuple[str, str]]:
-    """(text, label) of at most per_label documents for each label value (at most most_labels values, the commonest): those with the
-    smallest hash of doc_id, so the same ones on every run. labels: (doc_id, label as string). The sample ends early when most_chars characters are gathered;
-    texts are whole."""
-    values = [r["label"] for r in labels.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()]
+def sampled_texts(docs: DataFrame, labels: DataFrame, per_label: int, seed: str, most_chars: int = 24_000_000) -> list[tuple[str, str]]:
+    """(text, label) of at most per_label documents for each label value: those with the smallest hash of doc_id, so the same ones on
+    every run. labels: (doc_id, label as string); every value that occurs is sampled.
+
+    most_chars bounds what comes to the driver; it is shared out evenly over the values, and lengths are summed before any text is collected:
+    a value's documents are taken in hash order while their sum stays within its share. Of a text longer than a whole share, that many characters
+    are taken, at a place given by the hash."""
+    order = Window.partitionBy("label").orderBy("h", "doc_id")
+    # per_label is a literal limit on the rank, which Spark applies in every task before the shuffle
+    ids = labels.filter("label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "label").withColumn("h", hash_rank(seed))
+    ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("h").alias("h"))
+    ids = checked_side(ids, "sample-ids")
+    values = ids.select("label").distinct().count()
     if not values:
         return []
-    ids = None
-    for v in sorted(values):
-        some = labels.filter(F.col("label") == v).select(F.col("doc_id").cast("long").alias("doc_id"), "label").orderBy(hash_rank(seed), "doc_id").limit(per_label)
-        ids = some if ids is None else ids.union(some)
-    # at most most_labels x per_label identifiers: a bounded broadcast
-    ids = ids.dropDuplicates(["doc_id"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label", hash_rank(seed).alias("h"))
-    out, size = [], 0
-    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["doc_id"])):
-        text = r["text"] or ""
-        if size > most_chars:
-            break
-        size += len(text)
-        out.append((text, r["label"]))
-    return out
+    share = max(1, most_chars // values)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(ids, "doc_id")
+    # a doc_id that repeats gives its first text
+    rows = rows.groupBy("doc_id", "label", "h").agg(F.min("text").alias("text"))
+    long = F.length("text") - share
+    rows = rows.withColumn("text", F.when(long > 0, F.substr("text", (F.pmod("h", F.greatest(long, F.lit(1))) + 1).cast("int"), F.lit(share))).otherwise(F.col("text")))
+    rows = rows.withColumn("sum", F.sum(F.length("text")).over(order)).filter(F.col("sum") <= share)
+    return [(r["text"], r["label"]) for r in rows.select("h", "doc_id", "text", "label").orderBy("h", "doc_id").collect()]

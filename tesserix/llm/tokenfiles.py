@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserix.llm.bpe import UNUSUAL, USUAL, byte_symbols
+from tesserix.llm.bpe import UNUSUAL, splits_at_spaces
 from tesserix.llm.words import Memo, opened
 from tesserix.runtime import fresh
 
@@ -34,8 +34,9 @@ NULL_ID = np.iinfo(np.int64).min
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library. Words are independent of their neighbours there, so each is given to the library's model
-    once and kept in a bounded memo; texts with unusual characters or control strings go to the library whole."""
+    """Ids by the tokenizers library. Where its file says that white space separates and is dropped (see splits_at_spaces), a text is cut at ASCII white
+    space, and each new piece goes through the whole library once and is kept in a bounded memo; texts with unusual characters or control
+    strings, and all texts under other files, go to the library whole."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,11 +45,10 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.symbols = self.library.model, byte_symbols()
+        self.by_piece = splits_at_spaces(vocabulary)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
-        self.word = Memo(self._word, 500_000)
-        self.chunk = Memo(self._chunk, 300_000)
+        self.piece = Memo(self._piece, 96 << 20)
 
     def _raw(self, ids: list[int]) -> bytes:
         raw = array(self.kind, ids)
@@ -56,20 +56,18 @@ class LibraryEncoder:
             raw.byteswap()
         return raw.tobytes()
 
-    def _word(self, word: str) -> bytes:
-        marks = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
-        return self._raw([t.id for t in self.model.tokenize(marks)])
-
-    def _chunk(self, chunk: bytes) -> bytes | None:
-        text = chunk.decode("utf-8")
-        return None if UNUSUAL.search(text) else b"".join(map(self.word.__getitem__, USUAL.findall(text.lower())))
+    def _piece(self, piece: bytes) -> bytes | None:
+        text = piece.decode("utf-8")
+        return None if UNUSUAL.search(text) else self._raw(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, raw: bytes) -> bytes:
-        """A text's ids as bytes of dtype. The text is cut at ASCII white space; a piece with unusual characters has no entry."""
-        try:
-            return b"".join(map(self.chunk.__getitem__, raw.split()))
-        except TypeError:
-            return self._raw(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
+        """A text's ids as bytes of dtype. A piece with unusual characters has no entry."""
+        if self.by_piece:
+            try:
+                return b"".join(map(self.piece.__getitem__, raw.split()))
+            except TypeError:
+                pass
+        return self._raw(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)

@@ -9,7 +9,7 @@ from. Every window of the whole text counts (very long words in overlapping piec
 with known words, hence their vectors.
 
 Null and empty texts, and texts without words, score 0: nothing in them is toxic. Labels other than 0 and 1 are ignored; without both classes every
-score is the base rate. Repeated rows get equal scores; an empty table gives an empty result; other columns are ignored.
+score is the base rate. Repeated rows get equal scores; an empty table gives an empty result; other columns pass through the filter whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tesserix.llm.sampling import sampled_texts
 from tesserix.llm.words import WORD, Memo
+from tesserix.runtime import free_name
 
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 2, 1
 #: Subwords in fewer training documents aren't learned; DECAY pulls the others to 0; TRIM: share of toxic documents' windows left out.
@@ -130,7 +132,7 @@ class Scorer:
             s = subwords(word)
             return float(logits[s].sum()), len(s)
 
-        self.word = Memo(of, 400_000)
+        self.word = Memo(of, 88 << 20)
 
     def score(self, text: str) -> float:
         words = spoken(text)
@@ -249,14 +251,15 @@ def fitted(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Sc
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, columns: list[str] | None = None) -> DataFrame:
-    """columns (doc_id unless given) of docs, and __score."""
+    """columns (doc_id unless given) of docs, and __score (or a longer name, if docs has that), which is last."""
     spark, kept = docs.sparkSession, columns or ["doc_id"]
     # a table of 1 MB, whatever the corpus
     model = spark.sparkContext.broadcast((scorer.logits.astype(np.float32), scorer.bias, scorer.curve))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", __score double"
+    name = free_name(docs, "__score")
+    schema = StructType([*docs.select(*[docs[c] for c in kept]).schema.fields, StructField(name, DoubleType())])
     # a text that is kept anyway is read where it lies
     own_text = "text" in kept and docs.schema["text"].dataType.simpleString() == "string"
-    rows = docs.select(*kept) if own_text else docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    rows = docs.select(*kept) if own_text else docs.select(*kept, F.col("text").cast("string").alias(free_name(docs, "__text")))
     at = kept.index("text") if own_text else len(kept)
 
     def run(batches):
@@ -265,7 +268,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, columns: list[str] | None =
         own = toxicity.shared_scorer(model.value)
         for b in batches:
             scores = pa.array([own.score(t.as_py() or "") for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], scores], [*b.schema.names[: len(kept)], "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], scores], [*b.schema.names[: len(kept)], name])
 
     return rows.mapInArrow(run, schema)
 
@@ -290,4 +293,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with the columns of docs."""
-    return score_documents(docs, fitted(docs, labels), docs.columns).filter("__score < 0.5").drop("__score")
+    scored = score_documents(docs, fitted(docs, labels), docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)

@@ -8,7 +8,8 @@ subtree to a file of the task's own folder; later insertions below that subtree
 own at the end. Local files are gone when the task ends; a lost executor's tasks start over.
 
 Null text: equal to the empty text. A null doc_id is never the smallest unless all of a group are null. Rows that repeat the smallest doc_id
-of a group are all marked kept, as nothing tells them apart. An empty table gives an empty result.
+of a group are all marked kept by exact_groups(), as nothing tells them apart there; exact_filter() keeps one of them. Texts of any length are whole keys.
+Other columns pass through exact_filter() whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,20 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.runtime import checked_side, shared_ids
+from tesserix.runtime import checked_side, free_name, saved, shared_ids
 
 #: Bytes of edge labels a trie holds before it spills, and a combiner before it flushes.
 MOST_BYTES = 96 << 20
 COMBINE_BYTES = 48 << 20
+#: Bytes of rows that a spill holds before it writes them.
+HELD_BYTES = 1 << 18
+#: Smaller groups are never joined apart.
+HOT_ROWS = 1000
 #: Bytes counted for a node besides its label.
 NODE = 400
 
 
 class Node:
-    __slots__ = ("label", "kids", "least", "rows")
+    """An edge's label and what lies below. gone: the spill that has taken this subtree's place."""
 
-    def __init__(self, label: bytes):
-        self.label, self.kids, self.least, self.rows = label, {}, None, 0
+    __slots__ = ("label", "kids", "least", "rows", "gone")
+
+    def __init__(self, label: bytes, gone=None):
+        self.label, self.kids, self.least, self.rows, self.gone = label, {}, None, 0, gone
 
 
 def smaller(a, b):
@@ -56,18 +63,43 @@ def _shared(a: bytes, b: bytes) -> int:
     return low
 
 
+class Spill:
+    """Rows of a spilled subtree: some in memory, the rest in a file that is open only while it is written or read."""
+
+    def __init__(self, path: str):
+        self.path, self.held, self.size = path, [], 0
+
+    def add(self, row: tuple) -> None:
+        self.held.append(row)
+        self.size += len(row[0]) + NODE
+        if self.size > HELD_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        with open(self.path, "ab") as f:
+            for row in self.held:
+                pickle.dump(row, f)
+        self.held, self.size = [], 0
+
+    def rows(self):
+        self.flush()
+        with open(self.path, "rb") as f:
+            while True:
+                try:
+                    yield pickle.load(f)
+                except EOFError:
+                    break
+        os.unlink(self.path)
+
+
 class PatriciaTrie:
     """Byte strings with the smallest identifier and number of rows of each."""
 
     def __init__(self, most_bytes: int = MOST_BYTES, folder: str | None = None):
         self.root, self.most, self.size = Node(b""), most_bytes, 0
-        self.folder, self.own, self.spilled = folder, None, {}
+        self.folder, self.own, self.spilled, self.made = folder, None, [], 0
 
     def insert(self, key: bytes, least, rows: int) -> None:
-        for prefix, f in self.spilled.items():
-            if key.startswith(prefix):
-                pickle.dump((key, least, rows), f)
-                return
         node, at = self.root, 0
         while True:
             rest = key[at:]
@@ -89,6 +121,9 @@ class PatriciaTrie:
                 self.size += NODE
                 kid = upper
             node, at = kid, at + n
+            if node.gone:
+                node.gone.add((key, least, rows))
+                return
         node.least = least if not node.rows else smaller(node.least, least)
         node.rows += rows
         if self.size > self.most:
@@ -105,13 +140,22 @@ class PatriciaTrie:
             todo += [(k, key) for k in node.kids.values()]
 
     def _weight(self, node: Node) -> int:
-        total, todo = 0, [node]
+        """Bytes below a node; what is spilled already weighs nothing."""
+        total, todo = 0, [] if node.gone else [node]
         while todo:
             x = todo.pop()
             total += len(x.label) + NODE
-            todo += x.kids.values()
+            todo += [k for k in x.kids.values() if not k.gone]
         return total
 
+    def _gone(self, node: Node) -> list[Spill]:
+        found, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            found += [x.gone] if x.gone else []
+            todo += x.kids.values()
+        return found
+
     def _spill(self) -> None:
         """Write the heaviest subtree out. Down from the root as long as one child holds nearly all."""
         node, before = self.root, b""
@@ -119,16 +163,22 @@ class PatriciaTrie:
             weights = {k: self._weight(v) for k, v in node.kids.items()}
             k = max(weights, key=weights.get)
             kid = node.kids[k]
-            if len(node.kids) > 1 or node.rows or not kid.kids:
-                prefix = before + node.label + kid.label
+            if not weights[k]:
+                return
+            if weights[k] < sum(weights.values()) or node.rows or not kid.kids:
                 if self.own is None:
                     self.own = tempfile.mkdtemp(prefix="trie-", dir=self.folder)
-                f = open(os.path.join(self.own, str(len(self.spilled))), "w+b")  # noqa: SIM115
+                self.made += 1
+                spill = Spill(os.path.join(self.own, str(self.made)))
                 for key, t in self._walk(kid, before + node.label):
-                    pickle.dump((key, t.least, t.rows), f)
-                del node.kids[k]
+                    spill.add((key, t.least, t.rows))
+                for below in self._gone(kid):  # spills inside go on in the new one
+                    for row in below.rows():
+                        spill.add(row)
+                    self.spilled.remove(below)
+                self.spilled.append(spill)
+                node.kids[k] = Node(kid.label, spill)
                 self.size -= weights[k]
-                self.spilled[prefix] = f
                 return
             before, node = before + node.label, kid
 
@@ -138,23 +188,16 @@ class PatriciaTrie:
             for key, t in self._walk(self.root, b""):
                 yield key, t.least, t.rows
             self.root = Node(b"")
-            for f in list(self.spilled.values()):
+            for spill in self.spilled:
                 # what was spilled gets a trie of twice the bound, so that splitting ends
                 sub = PatriciaTrie(self.most * 2, self.folder)
-                f.seek(0)
-                while True:
-                    try:
-                        sub.insert(*pickle.load(f))
-                    except EOFError:
-                        break
-                f.close()
+                for row in spill.rows():
+                    sub.insert(*row)
                 yield from sub.items()
         finally:
             self.close()
 
     def close(self) -> None:
-        for f in self.spilled.values():
-            f.close()
         if self.own:
             shutil.rmtree(self.own, ignore_errors=True)
 
@@ -213,24 +256,18 @@ def _digests(batches):
 
 
 def owners(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """One row per distinct normalised text: sha, keep_id, group_size.
-
-    A digest stands for its text in later joins; should two texts ever share one, the task fails rather than merge them."""
+    """One row per distinct normalised text: sha, keep_id, group_size. The digest stands for its text in later joins."""
 
     def run(batches):
         import hashlib
 
-        trie, seen = PatriciaTrie(most_bytes), set()
+        trie = PatriciaTrie(most_bytes)
         for b in batches:
             for key, least, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 trie.insert(key, least, rows)
         out: list[tuple] = []
         for key, least, rows in trie.items():
-            digest = hashlib.sha256(key).digest()
-            if digest in seen:
-                raise ValueError("two texts share a SHA-256 digest")
-            seen.add(digest)
-            out.append((digest.hex(), least, rows))
+            out.append((hashlib.sha256(key).hexdigest(), least, rows))
             if len(out) == 4000:
                 yield made(out)
                 out = []
@@ -245,25 +282,41 @@ def owners(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Groups with a thousandth of all rows or more are at most 1,000: they are sent to all tasks and their rows joined where they lie, so that only
+    rows of smaller groups are dealt by digest."""
     rows = _texts(docs).mapInArrow(_digests, "doc_id long, text_sha256 string")
-    found = rows.join(owners(docs, most_bytes), F.col("text_sha256") == F.col("sha"))
+    found = saved(owners(docs, most_bytes), "exact-owners")
+    least = max(HOT_ROWS, (found.agg(F.sum("group_size")).first()[0] or 0) // 1000)
+    hot = F.broadcast(found.filter(F.col("group_size") >= least).select(F.col("sha").alias("__hot"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size")))
+    # a row of a hot group needs nothing from the shuffle: its key there is no digest, and spreads such rows out
+    spread = F.concat(F.lit("hot "), F.coalesce(F.col("doc_id"), F.spark_partition_id().cast("long")))
+    rows = rows.join(hot, F.col("text_sha256") == F.col("__hot"), "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col("text_sha256")).otherwise(spread))
+    cold = found.filter(F.col("group_size") < least)
+    found = rows.join(cold, F.col("__key") == F.col("sha"), "left").withColumns({"keep_id": F.when(F.col("__hot").isNull(), F.col("keep_id")).otherwise(F.col("__keep")), "group_size": F.coalesce("group_size", "__size")})
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_filter(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of docs. Only identifiers are shuffled for the decision.
+    """The documents that stay, one of each group of equal texts, with the columns of docs. Only identifiers are shuffled for the decision.
 
-    Rows that share a doc_id, or have none, go by doc_id and text, so that a copy doesn't take other texts along."""
+    Rows that share a doc_id, or have none, go by doc_id and text, so that a copy doesn't take other texts along; of those with the same
+    doc_id and text one stays."""
     gone, shared = exact_groups(docs).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")), shared_ids(docs, "exact-shared")
+    id_of = docs["doc_id"].cast("long")
     if shared is None:
         gone = checked_side(gone.select("__gone"), "exact-gone")
-        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+        return docs.join(gone, id_of.eqNullSafe(F.col("__gone")), "left_anti")
+    mark, own, text = free_name(docs, "__is_shared"), free_name(docs, "__own"), F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     gone = gone.join(shared, F.col("__gone").eqNullSafe(F.col("__shared")), "left").select("__gone", F.when(F.col("__is_shared"), F.col("__sha")).alias("__sha")).distinct()
-    text = F.regexp_replace(F.coalesce(docs["text"].cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    rows = docs.join(shared, docs["doc_id"].cast("long").eqNullSafe(F.col("__shared")), "left").withColumn("__own", F.when(F.col("__is_shared"), F.sha2(F.encode(text, "UTF-8"), 256)))
-    found = rows.join(checked_side(gone, "exact-gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")) & F.col("__own").eqNullSafe(F.col("__sha")), "left_anti")
-    return found.select(*docs.columns)
+    shared = shared.withColumnRenamed("__is_shared", mark)
+    rows = docs.join(shared, id_of.eqNullSafe(shared["__shared"]), "left").withColumn(own, F.when(F.col(mark), F.sha2(F.encode(text, "UTF-8"), 256)))
+    rows = rows.select(*[rows[c] for c in docs.columns], rows[mark], rows[own])
+    gone = checked_side(gone, "exact-gone")
+    rows = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & rows[own].eqNullSafe(gone["__sha"]), "left_anti")
+    repeats = rows.filter(F.col(mark)).dropDuplicates(["doc_id", own])
+    return rows.filter(F.col(mark).isNull()).unionByName(repeats).select(*docs.columns)
 
 
 EXACT_SQL = r"""

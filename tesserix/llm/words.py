@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import re
+import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
 
 WORD = re.compile(r"\w+")
-LETTERS = re.compile(r"[^\W\d_]+")
-M64 = (1 << 64) - 1
+
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    """Runs of letters (Unicode's L). What Python takes for a word without digits and _ also holds numbers such as superscripts and fractions; they are taken out."""
+    import unicodedata
+
+    others = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not unicodedata.category(c).startswith("L")]
+    return re.compile(rf"[^\W\d_{re.escape(''.join(others))}]+")
+
+
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -25,21 +36,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """word -> make(word), in two generations: when the young one holds half of most, it becomes the old one. Memory stays
-    bounded, and what is in use survives."""
+    """word -> make(word), in two generations: when the young one holds half of `most` bytes, it becomes the old one. Memory stays
+    bounded however long words and values are, and what is in use survives. A word that alone takes a part in WIDE of it isn't kept."""
+
+    #: Bytes counted for an entry besides its key and value.
+    ENTRY, WIDE = 100, 1000
 
-    def __init__(self, make, most: int = 200_000):
+    def __init__(self, make, most: int = 32 << 20):
         super().__init__()
-        self.make, self.half, self.old = make, most // 2, {}
+        self.make, self.half, self.old, self.size = make, most // 2, {}, 0
 
     def __missing__(self, word):
         out = self.old.get(word)
         if out is None:
             out = self.make(word)
-        if len(self) >= self.half:
-            self.old = dict(self)
+        size = self.ENTRY + sys.getsizeof(word) + sys.getsizeof(out)
+        if size > self.half // self.WIDE:
+            return out
+        if self.size + size > self.half:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[word] = out
+        self.size += size
         return out
 
 
