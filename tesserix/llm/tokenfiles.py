@@ -17,6 +17,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ NULL_ID = np.iinfo(np.int64).min
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Where its file says that white space separates and is dropped (see splits_at_spaces), a text is cut at ASCII white
-    space, and each new piece goes through the whole library once and is kept in a bounded memo; texts with unusual characters or control
+    space, and its new pieces go through the library together, once, and are kept in a bounded memo; texts with unusual characters or control
     strings, and all texts under other files, go to the library whole."""
 
     def __init__(self, vocabulary: str):
@@ -60,11 +61,33 @@ class LibraryEncoder:
         text = piece.decode("utf-8")
         return None if UNUSUAL.search(text) else self._raw(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces to the library in one text, parted by spaces; offsets tell whose an id is."""
+        texts = [p.decode("utf-8") for p in pieces]
+        if UNUSUAL.search(" ".join(texts)):
+            for p, t in zip(pieces, texts, strict=True):
+                if UNUSUAL.search(t):
+                    self.piece.keep(p, None)
+            pieces = [p for p, t in zip(pieces, texts, strict=True) if not UNUSUAL.search(t)]
+            texts = [p.decode("utf-8") for p in pieces]
+        found = self.library.encode(" ".join(texts), add_special_tokens=False)
+        ids, starts = found.ids, [o[0] for o in found.offsets]
+        k, end = 0, -1
+        for p, t in zip(pieces, texts, strict=True):
+            end += 1 + len(t)
+            j = bisect_left(starts, end, k)
+            self.piece.keep(p, self._raw(ids[k:j]))
+            k = j
+
     def encode(self, raw: bytes) -> bytes:
         """A text's ids as bytes of dtype. A piece with unusual characters has no entry."""
         if self.by_piece:
+            pieces, memo = raw.split(), self.piece
+            new = [p for p in dict.fromkeys(pieces) if p not in memo and p not in memo.old]
+            if len(new) > 1:
+                self._learn(new)
             try:
-                return b"".join(map(self.piece.__getitem__, raw.split()))
+                return b"".join(map(memo.__getitem__, pieces))
             except TypeError:
                 pass
         return self._raw(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids)

@@ -50,15 +50,18 @@ class Memo(dict):
         out = self.old.get(word)
         if out is None:
             out = self.make(word)
+        self.keep(word, out)
+        return out
+
+    def keep(self, word, out) -> None:
         size = self.ENTRY + sys.getsizeof(word) + sys.getsizeof(out)
         if size > self.half // self.WIDE:
-            return out
+            return
         if self.size + size > self.half:
             self.old, self.size = dict(self), 0
             self.clear()
         self[word] = out
         self.size += size
-        return out
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
