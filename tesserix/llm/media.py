@@ -19,6 +19,7 @@ from tesserix.llm import webp
 
 #: Arrow's batches are cut so that no more than this many bytes of images are made at once.
 MOST_BYTES = 24 << 20
+KINDS = ("literals", "links", "cached")
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -73,18 +74,19 @@ def feature_of(samples: np.ndarray) -> str:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The digests of the contract, read back from the media column."""
+    """The digests of the contract, read back from the media column; and what the stored images hold: transforms, literals, links (back-references), cached."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc_id, n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 media = data.as_py()
-                samples = webp.unpack_bytes(media)
+                told: dict = {}
+                samples = webp.unpack_bytes(media, told)
                 back = samples.tobytes()
-                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples)))
+                rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples), ",".join(sorted(told["transforms"])), *(told.get(k, 0) for k in KINDS)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "transforms", *KINDS])
 
-    return encode_media(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return encode_media(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, transforms string, literals long, links long, cached long")

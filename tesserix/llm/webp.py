@@ -1,19 +1,19 @@
 """Operator 6: a lossless WebP (VP8L) codec in numpy and Python, for media columns.
 
 decode() reads prefix codes (simple and normal, several groups), back-references, the colour cache and the four transforms
-(predictor, cross-colour, subtract-green, colour indexing), and gives pixels as (height, width, 4) uint8 in R, G, B, A order.
-Where all codes of an image are of one length, and neither cache nor back-references can occur, its pixels are decoded by
-array operations. encode() writes the same features, each by an option. store_bytes() and unpack_bytes() keep byte strings as green samples, 64 a
-row, in as many images of at most 64 x 16384 as it takes, with the transforms chosen for each image, Huffman codes, back-references and a colour
-cache; pack_bytes() is a faster, larger form with a palette and codes of one length, which no query uses.
+(predictor, cross-colour, subtract-green, colour indexing), in plain and extended files, and gives pixels as (height, width, 4) uint8 in R, G, B, A
+order. Images with one group of codes are parsed by arrays: what a token would be is looked up at every bit of a window at once, and the
+tokens that are there are then found by following each one's end. encode() writes the same features, each by an option. store_bytes()
+and unpack_bytes() keep byte strings as green samples, 64 a row, in as many images of at most 64 x 16384 as it takes: Huffman codes,
+back-references, and the transforms and colour cache that pay for the image.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from bisect import bisect_left
 from functools import lru_cache
+from math import log2
 
 import numpy as np
 
@@ -22,6 +22,8 @@ CACHE_MULTIPLIER = 0x1E35A7BD  # fixed by the format
 ROW, MOST_ROWS = 64, 16384
 #: Shorter back-references cost as much as their pixels; farther ones have no code; cache sizes that are tried; the largest tiles of transforms; lengths up to here are found by arrays.
 LEAST_RUN, MOST_FAR, CACHES, WIDEST, FIRST_RUN = 5, (1 << 20) - 120, (2, 5), 9, 20
+#: Bits that are parsed together; smaller images are read token by token.
+WINDOW, SMALL_IMAGE = 1 << 17, 200
 
 
 def distance_map() -> list[tuple[int, int]]:
@@ -65,6 +67,15 @@ class BitWriter:
         if self.n >= 512:
             self.put_whole()
 
+    def put_many(self, pairs) -> None:
+        """Many (value, n), gathered in one integer."""
+        value, n = self.value, self.n
+        for v, k in pairs:
+            value |= v << n
+            n += k
+        self.value, self.n = value, n
+        self.put_whole()
+
     def put_array(self, bits: np.ndarray) -> None:
         """Many single bits (uint8 of 0 and 1)."""
         head = [(self.value >> i) & 1 for i in range(self.n)]
@@ -101,50 +112,56 @@ class BitWriter:
         return b"".join(self.parts) + self.value.to_bytes((self.n + 7) // 8, "little")
 
 
-@lru_cache(maxsize=4096)
-def _reversed(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+@lru_cache(maxsize=16)
+def _reversal(n: int) -> np.ndarray:
+    """Each number of n bits with its bits in reverse."""
+    x = np.arange(1 << n)
+    return sum((((x >> i) & 1) << (n - 1 - i) for i in range(n)), np.zeros(1 << n, np.int64))
+
+
+def canonical(lengths) -> tuple[np.ndarray, np.ndarray]:
+    """Per symbol its code as the stream has it, and its length. A lone symbol needs no bits."""
+    lengths = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(lengths)
+    codes = np.zeros(len(lengths), np.int64)
+    if len(used) < 2:
+        return codes, np.zeros(len(lengths), np.int64)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    width = int(lengths[order[-1]])
+    room = np.left_shift(1, width - lengths[order])
+    ends = room.cumsum()
+    if ends[-1] != 1 << width:
+        raise ValueError("a prefix code isn't complete")
+    codes[order] = _reversal(width)[ends - room]
+    return codes, lengths
 
 
-def canonical(lengths) -> dict[int, tuple[int, int]]:
-    """symbol -> (code as the stream has it, length). A lone symbol needs no bits."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    out, code, last = {}, 0, 0
-    for n, s in used:
-        code <<= n - last
-        out[s], last = (_reversed(code, n), n), n
-        code += 1
-    if used and code != 1 << last:
-        raise ValueError("a prefix code isn't complete")
-    return out
+NOTHING = np.zeros(1, np.int64)
 
 
 class Prefix:
-    """A prefix code for reading. even: the length that all symbols share, or None."""
-
-    def __init__(self, lengths):
-        self.lengths = lengths
-        used = [(s, n) for s, n in enumerate(lengths) if n]
-        if not used:
-            used = [(0, 1)]
-        self.even = 0 if len(used) == 1 else used[0][1] if len({n for _, n in used}) == 1 and len(used) == 1 << used[0][1] else None
-        self.symbols = [s for s, _ in used]
-        self.table = None
-
-    def _build(self):
-        lengths = self.lengths if any(self.lengths) else [1]
-        codes = canonical(lengths)
-        self.width = max(n for _, n in codes.values())
-        self.table = [(0, 0)] * (1 << self.width)
-        for s, (code, n) in codes.items():
-            self.table[code :: 1 << n] = [(s, n)] * (1 << self.width - n)
+    """A prefix code for reading. only: its lone symbol, or None; symbols, sizes: by the next `width` bits."""
+
+    def __init__(self, lengths: list[int]):
+        used = [s for s, n in enumerate(lengths) if n]
+        self.only, self.pairs, self.width = (used[0] if used else 0) if len(used) < 2 else None, None, 0
+        if self.only is not None:
+            self.symbols, self.sizes = np.array([self.only]), NOTHING
+            return
+        n, used = np.array([lengths[s] for s in used]), np.array(used)
+        order = np.argsort(n, kind="stable")
+        n, used = n[order], used[order]
+        self.width = int(n[-1])
+        room = np.left_shift(1, self.width - n)
+        if room.sum() != 1 << self.width:
+            raise ValueError("a prefix code isn't complete")
+        turned = _reversal(self.width)
+        self.symbols, self.sizes = used.repeat(room)[turned], n.repeat(room)[turned]
 
     def read(self, bits: Bits) -> int:
-        if self.table is None:
-            self._build()
-        s, n = self.table[bits.peek() & ((1 << self.width) - 1)]
+        if self.pairs is None:
+            self.pairs = list(zip(self.symbols.tolist(), self.sizes.tolist(), strict=True))
+        s, n = self.pairs[bits.peek() & ((1 << self.width) - 1)]
         bits.pos += n
         return s
 
@@ -163,132 +180,163 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
     code = Prefix(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
-    if code.even == 0 and code.symbols[0] < 16:  # one length for all
+    if code.only is not None and code.only < 16:  # one length for all
         n = min(left, alphabet)
-        lengths[:n] = [code.symbols[0]] * n
+        lengths[:n] = [code.only] * n
         return Prefix(lengths)
+    pairs, mask = list(zip(code.symbols.tolist(), code.sizes.tolist(), strict=True)), (1 << code.width) - 1
+    first = bits.pos >> 3
+    held = int.from_bytes(bits.data[first : first + 2 * alphabet], "little") >> (bits.pos & 7)  # 14 bits at most for each length
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        s, n = pairs[held & mask]
+        held >>= n
+        bits.pos += n
         if s < 16:
             lengths[at] = s
             at += 1
             last = s or last
         else:
-            value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+            least, more = ((3, 2), (3, 3), (11, 7))[s - 16]
+            n = least + (held & ((1 << more) - 1))
+            held >>= more
+            bits.pos += more
             if at + n > alphabet:
                 raise ValueError("too many code lengths")
-            lengths[at : at + n] = [value] * n
+            if s == 16:
+                lengths[at : at + n] = [last] * n
             at += n
+    if bits.pos > bits.n:
+        raise ValueError("the stream ends too early")
     return Prefix(lengths)
 
 
-def _extra(bits: Bits, prefix: int) -> int:
-    if prefix < 4:
-        return prefix + 1
-    n = (prefix - 2) >> 1
-    return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
-
-
-def _even_pixels(bits: Bits, group, count: int) -> np.ndarray | None:
-    """All pixels by array operations, where each takes the same number of bits; else None."""
-    green, red, blue, alpha, _ = group
-    if any(c.even is None for c in (green, red, blue, alpha)) or green.symbols[-1] >= 256:
-        return None
-    step = sum(c.even for c in (green, red, blue, alpha))
-    out = np.empty((count, 4), np.uint8)
-    if not step:
-        for k, c in enumerate((red, green, blue, alpha)):
-            out[:, k] = c.symbols[0]
-        return out
-    if bits.pos + count * step > bits.n:
+#: The least value and the number of extra bits of each prefix of lengths and distances.
+EXTRA = np.array([(p + 1, 0) if p < 4 else (((2 + (p & 1)) << ((p - 2) >> 1)) + 1, (p - 2) >> 1) for p in range(40)])
+
+
+def _parsed(bits: Bits, group, count: int):
+    """The tokens of an image with one group of codes: green symbols, runs (1 unless a back-reference), distance codes, and the pixels' other channels."""
+    green, far = group[0], group[4]
+    others = [None if c.only is not None else c for c in group[1:4]]
+    parts, done, pos = [], 0, bits.pos
+    while done < count:
+        low = pos >> 3
+        high = min(len(bits.data), low + WINDOW // 8)
+        if high <= low:
+            raise ValueError("the stream ends too early")
+        words = np.ndarray((high - low + 16,), "<u8", bits.data[low : high + 24] + bytes(24 - max(0, min(24, len(bits.data) - high))), strides=(1,)).copy()
+        at = lambda p: words[p >> 3] >> (p & 7).astype(np.uint64)  # noqa: B023, E731
+        n = 8 * (high - low)
+        # what would begin at each bit
+        index = ((words[: high - low, None] >> np.arange(8, dtype=np.uint64)).reshape(-1) & np.uint64((1 << green.width) - 1)).astype(np.int64)
+        symbol, end = green.symbols[index], np.arange(n) + green.sizes[index]
+        run, distance, channels = np.ones(n, np.int64), np.zeros(n, np.int64), []
+        if any(others):
+            pixel = np.flatnonzero(symbol < 256)
+            p = end[pixel]
+            for c in others:
+                channels.append(np.zeros(n, np.int64))
+                if c:
+                    index = (at(p) & np.uint64((1 << c.width) - 1)).astype(np.int64)
+                    channels[-1][pixel] = c.symbols[index]
+                    p = p + c.sizes[index]
+            end[pixel] = p
+        link = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        if len(link):
+            least, more = EXTRA[symbol[link] - 256].T
+            p = end[link]
+            run[link] = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)
+            p = p + more
+            index = (at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)
+            least, more = EXTRA[far.symbols[index]].T
+            p = p + far.sizes[index]
+            distance[link] = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)
+            end[link] = p + more
+        # what does begin
+        p, ends, starts = pos - 8 * low, memoryview(end), []
+        add = starts.append
+        while p < n:
+            add(p)
+            p = ends[p]
+        starts = np.array(starts, np.int64)
+        total = run[starts].cumsum()
+        if done + total[-1] >= count:
+            last = int(np.searchsorted(total, count - done))
+            if done + total[last] != count:
+                raise ValueError("a back-reference leaves the image")
+            starts = starts[: last + 1]
+            p = ends[int(starts[-1])]
+        parts.append([x[starts] for x in (symbol, run, distance, *channels)])
+        done, pos = done + int(run[starts].sum()), 8 * low + p
+    bits.pos = pos
+    if bits.pos > bits.n:
         raise ValueError("the stream ends too early")
-    first = bits.pos >> 3
-    raw = np.frombuffer(bits.data, np.uint8, (bits.pos + count * step + 7 >> 3) - first, first)
-    flat = np.unpackbits(raw, bitorder="little")[bits.pos & 7 :][: count * step].reshape(count, step)
-    at = 0
-    for k, c in ((1, green), (0, red), (2, blue), (3, alpha)):  # the stream's order
-        if not c.even:
-            out[:, k] = c.symbols[0]
-            continue
-        # codes come with their first bit first, and grow with the symbol
-        code = np.zeros(count, np.uint8)
-        for j in range(c.even):
-            np.left_shift(code, 1, out=code)
-            np.bitwise_or(code, flat[:, at + j], out=code)
-        s = c.symbols
-        out[:, k] = code + np.uint8(s[0]) if s[-1] - s[0] == len(s) - 1 else np.array(s, np.uint8)[code]
-        at += c.even
-    bits.pos += count * step
-    return out
+    symbol, run, distance, *channels = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return symbol, run, distance, [channels[k] if c else np.full(len(symbol), group[1 + k].only) for k, c in enumerate(others)] if channels else [np.int64(c.only) for c in group[1:4]]
 
 
-#: The least value and the number of extra bits of each prefix of lengths and distances.
-EXTRA = [(p + 1, 0) if p < 4 else (((2 + (p & 1)) << ((p - 2) >> 1)) + 1, (p - 2) >> 1) for p in range(40)]
-
-
-def _read_channel(bits: Bits, group, width: int, count: int) -> np.ndarray:
-    """The general loop where only green varies and there is no cache: literals and back-references on bytes."""
-    green, red, blue, alpha, far_code = group
-    green._build()
-    table, mask = green.table, (1 << green.width) - 1
-    far_code._build()
-    far_table, far_mask = far_code.table, (1 << far_code.width) - 1
-    data, limit, out = bits.data, len(bits.data) + 24, bytearray()
-    put, load = out.append, int.from_bytes
-    at = (bits.pos >> 3) + 6
-    value, have = load(data[at - 6 : at], "little") >> (bits.pos & 7), 48 - (bits.pos & 7)
-    while len(out) < count:
-        if have < 15:
-            value |= load(data[at : at + 6], "little") << have
-            at += 6
-            have += 48
-            if at > limit:
-                raise ValueError("the stream ends too early")
-        s, n = table[value & mask]
-        value >>= n
-        have -= n
+def _far(distance: np.ndarray, width: int) -> np.ndarray:
+    """Distance codes to distances in pixels."""
+    near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+    return np.where(distance <= 120, near[np.clip(distance, 1, 120) - 1], distance - 120)
+
+
+def _resolved(symbol, run, distance, channels, width: int, count: int, cache_bits: int) -> np.ndarray:
+    """Tokens to pixels as (count, 4)."""
+    red, blue, alpha = channels
+    at, link = run.cumsum() - run, symbol >= 256
+    grey = np.isscalar(red) and not cache_bits
+    if cache_bits:
+        return _with_cache((alpha << 24 | red << 16 | symbol << 8 | blue) + np.zeros_like(symbol), symbol, run, _far(distance, width), cache_bits)
+    if (symbol >= 280).any():
+        raise ValueError("a cache symbol without a cache")
+    pixels = np.zeros(count, np.uint8 if grey else np.uint32)
+    pixels[at[~link]] = symbol[~link] if grey else (alpha << 24 | red << 16 | symbol << 8 | blue)[~link]
+    each, out = pixels.itemsize, bytearray(pixels.tobytes())
+    far = _far(distance[link], width)
+    if (far > at[link]).any():
+        raise ValueError("a back-reference leaves the image")
+    for a, n, d in zip((at[link] * each).tolist(), (run[link] * each).tolist(), (far * each).tolist(), strict=True):
+        out[a : a + n] = out[a - d : a - d + n] if d >= n else (out[a - d : a] * (n // d + 1))[:n]
+    if grey:
+        pixels = np.empty((count, 4), np.uint8)
+        pixels[:] = (red, 0, blue, alpha)
+        pixels[:, 1] = np.frombuffer(out, np.uint8)
+        return pixels
+    return _rgba(np.frombuffer(out, "<u4"))
+
+
+def _rgba(p: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]])
+
+
+def _with_cache(colours: np.ndarray, symbol: np.ndarray, run: np.ndarray, far: np.ndarray, cache_bits: int) -> np.ndarray:
+    cache, shift, pixels, done = [0] * (1 << cache_bits), 32 - cache_bits, [], 0
+    for colour, s, n, d in zip(colours.tolist(), symbol.tolist(), run.tolist(), far.tolist(), strict=True):
         if s < 256:
-            put(s)
-            continue
-        if s >= 280:
-            raise ValueError("a cache symbol without a cache")
-        if have < 50:  # a length's extra bits, a distance's code and extra bits
-            value |= load(data[at : at + 6], "little") << have
-            at += 6
-            have += 48
-        run, n = EXTRA[s - 256]
-        run += value & ((1 << n) - 1)
-        value >>= n
-        have -= n
-        s, n = far_table[value & far_mask]
-        value >>= n
-        have -= n
-        far, n = EXTRA[s]
-        far += value & ((1 << n) - 1)
-        value >>= n
-        have -= n
-        if far <= 120:
-            dx, dy = NEAR[far - 1]
-            far = max(1, dx + dy * width)
+            pixels.append(colour)
+        elif s < 280:
+            at = len(pixels)
+            if d > at:
+                raise ValueError("a back-reference leaves the image")
+            pixels += pixels[at - d : at - d + n] if d >= n else (pixels[at - d :] * (n // d + 1))[:n]
         else:
-            far -= 120
-        done = len(out)
-        if far > done or done + run > count:
-            raise ValueError("a back-reference leaves the image")
-        piece = out[done - far : done - far + run]
-        out += piece if far >= run else (piece * (run // far + 1))[:run]
-    bits.pos = 8 * at - have
-    if bits.pos > bits.n:
-        raise ValueError("the stream ends too early")
-    pixels = np.empty((count, 4), np.uint8)
-    pixels[:] = (red.symbols[0], 0, blue.symbols[0], alpha.symbols[0])
-    pixels[:, 1] = np.frombuffer(out, np.uint8)
-    return pixels
+            # colours enter the cache as they are decoded; those since the last look-up first
+            for p in pixels[done:]:
+                cache[(CACHE_MULTIPLIER * p & 0xFFFFFFFF) >> shift] = p
+            done = len(pixels)
+            pixels.append(cache[s - 280])
+    return _rgba(np.array(pixels, np.uint32))
+
 
+def _extra(bits: Bits, prefix: int) -> int:
+    least, n = EXTRA[prefix]
+    return int(least) + bits.read(int(n))
 
-def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """An entropy-coded image: (width * height, 4) in R, G, B, A."""
+
+def _read_image(bits: Bits, width: int, height: int, main: bool, told: dict | None = None) -> np.ndarray:
+    """An entropy-coded image: (width * height, 4) in R, G, B, A. told: gets the numbers of its tokens."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     cache = [0] * (1 << cache_bits) if cache_bits else []
     tiles, tile_bits, across = None, 0, 0
@@ -299,10 +347,15 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tiles = (found[:, 0] * 256 + found[:, 1]).tolist()
     groups = [[_read_prefix(bits, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(max(tiles) + 1 if tiles else 1)]
     count = width * height
-    if not tiles and not cache and (whole := _even_pixels(bits, groups[0], count)) is not None:
-        return whole
-    if not tiles and not cache and all(c.even == 0 for c in groups[0][1:4]):  # what store_bytes writes for texts
-        return _read_channel(bits, groups[0], width, count)
+    if not tiles and all(c.only is not None for c in groups[0][:4]) and groups[0][0].only < 256:
+        return np.tile(np.array([groups[0][k].only for k in (1, 0, 2, 3)], np.uint8), (count, 1))
+    if not tiles and groups[0][0].only is None and count > SMALL_IMAGE:
+        tokens = _parsed(bits, groups[0], count)
+        if told is not None:
+            told["links"] = told.get("links", 0) + int(((tokens[0] >= 256) & (tokens[0] < 280)).sum())
+            told["cached"] = told.get("cached", 0) + int((tokens[0] >= 280).sum())
+            told["literals"] = told.get("literals", 0) + int((tokens[0] < 256).sum())
+        return _resolved(*tokens, width, count, cache_bits)
     pixels, group, shift = [0] * count, groups[0], 32 - cache_bits
     at = done = 0
     mask = (1 << tile_bits) - 1
@@ -339,43 +392,24 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             raise ValueError("the stream ends too early")
     if bits.pos > bits.n:
         raise ValueError("the stream ends too early")
-    p = np.array(pixels, np.uint32)
-    return np.stack([(p >> 16) & 255, (p >> 8) & 255, p & 255, p >> 24], 1).astype(np.uint8)
-
-
-def _predict(mode: int, left, up, corner, right) -> list[int]:
-    """Prediction of a pixel (lists of 4 channels) by the format's 14 modes."""
-    mean = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
-    clamp = lambda v: 0 if v < 0 else 255 if v > 255 else v
-    if mode == 1:
-        return left
-    if mode == 2:
-        return up
-    if mode == 3:
-        return right
-    if mode == 4:
-        return corner
-    if mode == 5:
-        return mean(mean(left, right), up)
-    if mode == 6:
-        return mean(left, corner)
-    if mode == 7:
-        return mean(left, up)
-    if mode == 8:
-        return mean(corner, up)
-    if mode == 9:
-        return mean(up, right)
-    if mode == 10:
-        return mean(mean(left, corner), mean(up, right))
+    return _rgba(np.array(pixels, np.uint32))
+
+
+def _guess(mode: int, left, up, corner, right) -> np.ndarray:
+    """Predictions of pixels, (n, 4) int16 each, by one of the format's 14 modes."""
+    mean = lambda a, b: (a + b) >> 1
     if mode == 11:
-        to_left = sum(abs(u - c) for u, c in zip(up, corner, strict=True))  # |p - left| with p = left + up - corner
-        to_up = sum(abs(a - c) for a, c in zip(left, corner, strict=True))
-        return left if to_left < to_up else up
-    if mode == 12:
-        return [clamp(a + u - c) for a, u, c in zip(left, up, corner, strict=True)]
+        # |p - left| with p = left + up - corner
+        nearer = np.abs(up - corner).sum(1) < np.abs(left - corner).sum(1)
+        return np.where(nearer[:, None], left, up)
     if mode == 13:
-        return [clamp(m + int((m - c) / 2)) for m, c in zip(mean(left, up), corner, strict=True)]
-    return [0, 0, 0, 255]
+        m = mean(left, up)
+        return np.clip(m + ((m - corner + (m < corner)) >> 1), 0, 255)
+    made = {
+        1: lambda: left, 2: lambda: up, 3: lambda: right, 4: lambda: corner, 5: lambda: mean(mean(left, right), up), 6: lambda: mean(left, corner), 7: lambda: mean(left, up), 8: lambda: mean(corner, up),
+        9: lambda: mean(up, right), 10: lambda: mean(mean(left, corner), mean(up, right)), 12: lambda: np.clip(left + up - corner, 0, 255),
+    }.get(mode)
+    return made() if made else np.array([0, 0, 0, 255], np.int16) + np.zeros_like(left)
 
 
 def _residual(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
@@ -395,20 +429,7 @@ def _residual(pixels: np.ndarray, width: int, mode: int) -> np.ndarray:
     guess[width::width] = p[:-width:width]
     i = np.arange(width, len(p))
     i = i[i % width > 0]
-    left, up, corner, right = p[i - 1], p[i - width], p[i - width - 1], p[i - width + 1]
-    mean = lambda a, b: (a + b) >> 1
-    if mode == 11:
-        nearer = np.abs(up - corner).sum(1) < np.abs(left - corner).sum(1)
-        guess[i] = np.where(nearer[:, None], left, up)
-    elif mode == 13:
-        m = mean(left, up)
-        guess[i] = np.clip(m + ((m - corner + (m < corner)) >> 1), 0, 255)
-    else:
-        made = {
-            1: lambda: left, 2: lambda: up, 3: lambda: right, 4: lambda: corner, 5: lambda: mean(mean(left, right), up), 6: lambda: mean(left, corner), 7: lambda: mean(left, up), 8: lambda: mean(corner, up),
-            9: lambda: mean(up, right), 10: lambda: mean(mean(left, corner), mean(up, right)), 12: lambda: np.clip(left + up - corner, 0, 255),
-        }.get(mode, lambda: np.array([0, 0, 0, 255], np.int16))
-        guess[i] = made()
+    guess[i] = _guess(mode, p[i - 1], p[i - width], p[i - width - 1], p[i - width + 1])
     return ((p - guess) & 255).astype(np.uint8)
 
 
@@ -423,24 +444,29 @@ def _predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, s
         edge, way = (p[:, 0], 1) if only == 1 else (p[0], 0)
         edge[:] = edge.cumsum(0, dtype=np.uint8)
         return p.cumsum(way, dtype=np.uint8).reshape(-1, 4)
-    given = pixels.reshape(-1, 4).tolist()
-    whole = [None] * len(given) if invert else given
-    out, across = [None] * len(given), -(-width >> size_bits)
-    for i, p in enumerate(given):
-        x, y = i % width, i // width
-        if i == 0:
-            guess = [0, 0, 0, 255]
-        elif y == 0:
-            guess = whole[i - 1]
-        elif x == 0:
-            guess = whole[i - width]
-        else:
-            # right of the last column is the first pixel of the row at hand
-            guess = _predict(int(modes[(y >> size_bits) * across + (x >> size_bits)]) & 15, whole[i - 1], whole[i - width], whole[i - width - 1], whole[i - width + 1])
-        out[i] = [(a + b if invert else a - b) & 255 for a, b in zip(p, guess, strict=True)]
-        if invert:
-            whole[i] = out[i]
-    return np.array(out, np.uint8).reshape(-1, 4)
+    given, across, n = pixels.reshape(-1, 4).astype(np.int16), -(-width >> size_bits), width * height
+    y, x = np.divmod(np.arange(n), width)
+    mode = np.where((x > 0) & (y > 0), modes.astype(np.int64)[(y >> size_bits) * across + (x >> size_bits)] & 15, 14)
+    if not invert:
+        out = np.empty_like(given)
+        for m in np.unique(mode):
+            i = np.flatnonzero(mode == m)
+            out[i] = given[i] - _at(given, i, int(m), width)
+        return (out & 255).astype(np.uint8)
+    # pixels of one front, x + 2 y, need only those of earlier fronts
+    out, front = np.zeros_like(given), x + 2 * y
+    order = np.lexsort((mode, front))
+    key = front[order] * 16 + mode[order]
+    for some in np.split(order, np.flatnonzero(np.diff(key)) + 1):
+        out[some] = (given[some] + _at(out, some, int(mode[some[0]]), width)) & 255
+    return out.astype(np.uint8)
+
+
+def _at(p: np.ndarray, i: np.ndarray, mode: int, width: int) -> np.ndarray:
+    """Predictions of the pixels i from p. Mode 14: the first row and column. Right of the last column is the first pixel of the row at hand."""
+    if mode < 14:
+        return _guess(mode, p[i - 1], p[i - width], p[i - width - 1], p[i - width + 1])
+    return np.where((i == 0)[:, None], np.array([0, 0, 0, 255], np.int16), p[np.where(i < width, i - 1, i - width)])
 
 
 def _cross_colour(pixels: np.ndarray, width: int, height: int, elements: np.ndarray, size_bits: int, invert: bool) -> np.ndarray:
@@ -461,11 +487,17 @@ def _bundle_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """A RIFF/WebP file with one lossless image to (height, width, 4) uint8."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP")
-    bits = Bits(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
+def decode(data: bytes, told: dict | None = None) -> np.ndarray:
+    """A RIFF/WebP file with one lossless image to (height, width, 4) uint8. told: gets the numbers of tokens and the transforms."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP")
+    at = 12
+    while data[at : at + 4] != b"VP8L":  # extended files have other chunks around it
+        if at + 8 > len(data):
+            raise ValueError("not a lossless WebP")
+        n = struct.unpack("<I", data[at + 4 : at + 8])[0]
+        at += 8 + n + n % 2
+    bits = Bits(data[at + 8 : at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]])
     if bits.read(8) != 0x2F:
         raise ValueError("not a lossless WebP")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -485,7 +517,9 @@ def decode(data: bytes) -> np.ndarray:
             palette = np.cumsum(_read_image(bits, size, 1, False), 0, dtype=np.uint8)
             undo.append((kind, width, _bundle_bits(size), palette))
             width = -(-width >> _bundle_bits(size))
-    pixels = _read_image(bits, width, height, True)
+    pixels = _read_image(bits, width, height, True, told)
+    if told is not None:
+        told.setdefault("transforms", set()).update(("predictor", "cross-colour", "subtract-green", "palette")[k] for k, *_ in undo)
     for kind, wide, size_bits, image in reversed(undo):
         if kind == 0:
             pixels = _predictor(pixels, wide, height, image[:, 1], size_bits, True)
@@ -507,23 +541,35 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def code_lengths(counts, most: int = 15) -> list[int]:
-    """Lengths of a Huffman code of at most `most` bits: counts are flattened until it fits."""
-    counts = list(counts)
+    """Lengths of a Huffman code of at most `most` bits: counts are flattened until it fits. Leaves and inner nodes are two queues in order of weight."""
+    counts = np.asarray(counts)
+    lengths, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths.tolist()
+    order = used[np.argsort(counts[used], kind="stable")]
+    weights, m = counts[order].tolist(), len(order)
     while True:
-        used = [(c, i, (i,)) for i, c in enumerate(counts) if c]
-        lengths = [0] * len(counts)
-        if len(used) == 1:
-            lengths[used[0][1]] = 1
-            return lengths
-        heapq.heapify(used)
-        while len(used) > 1:
-            a, b = heapq.heappop(used), heapq.heappop(used)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(used, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths, default=0) <= most:
-            return lengths
-        counts = [(c + 1) // 2 if c else 0 for c in counts]
+        w, parent, leaf, inner = weights + [0] * (m - 1), [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):
+            total = 0
+            for _ in (0, 1):
+                if inner == k or leaf < m and w[leaf] <= w[inner]:
+                    i = leaf
+                    leaf += 1
+                else:
+                    i = inner
+                    inner += 1
+                parent[i] = k
+                total += w[i]
+            w[k] = total
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:m]) <= most:
+            lengths[order] = depth[:m]
+            return lengths.tolist()
+        weights = [(c + 1) // 2 for c in weights]
 
 
 def _put_simple(w: BitWriter, symbols: list[int]) -> None:
@@ -536,54 +582,39 @@ def _put_simple(w: BitWriter, symbols: list[int]) -> None:
         w.put(symbols[1], 8)
 
 
-def _put_even(w: BitWriter, n: int) -> None:
-    """The code in which symbols 0 to 2**n - 1 have n bits each."""
+def _put_prefix(w: BitWriter, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Write a code's lengths; gives canonical(lengths)."""
+    lengths = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(lengths)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        _put_simple(w, used.tolist() or [0])
+        return canonical(lengths)
     w.put(0, 1)
-    k = ORDER.index(n) + 1
-    w.put(max(k, 4) - 4, 4)
-    for i in range(max(k, 4)):
-        w.put(int(i == k - 1), 3)
-    w.put(1, 1)
-    w.put(3, 3)
-    w.put((1 << n) - 2, 8)
-
-
-def _put_prefix(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and all(s < 256 for s in used):
-        _put_simple(w, used or [0])
-        return canonical(lengths) if used else {}
-    w.put(0, 1)
-    runs, i = [], 0
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
-            j += 1
-        n = j - i
-        if lengths[i]:
-            runs.append((lengths[i], 0, 0))
+    at, runs = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()], []
+    for value, n in zip(lengths[at].tolist(), [b - a for a, b in zip(at, [*at[1:], len(lengths)], strict=True)], strict=True):
+        if value:
+            runs.append((value, 0, 0))
             n -= 1
             while n >= 3:
                 runs.append((16, min(n, 6) - 3, 2))
                 n -= min(n, 6)
-            runs += [(lengths[i], 0, 0)] * n
+            runs += [(value, 0, 0)] * n
         else:
             while n >= 3:
                 take = min(n, 138)
                 runs.append((17, take - 3, 3) if take <= 10 else (18, take - 11, 7))
                 n -= take
             runs += [(0, 0, 0)] * n
-        i = j
-    own = code_lengths(np.bincount([r[0] for r in runs], minlength=19).tolist(), 7)
+    counts = [0] * 19
+    for r in runs:
+        counts[r[0]] += 1
+    own = code_lengths(counts, 7)
     last = max(i for i, s in enumerate(ORDER) if own[s]) + 1
     w.put(max(last, 4) - 4, 4)
-    for i in range(max(last, 4)):
-        w.put(own[ORDER[i]], 3)
+    w.put_many([(own[s], 3) for s in ORDER[: max(last, 4)]])
     w.put(0, 1)
-    codes = canonical(own)
-    for s, extra, n in runs:
-        w.put(*codes[s])
-        w.put(extra, n)
+    codes, sizes = (x.tolist() for x in canonical(own))
+    w.put_many([(codes[s] | extra << sizes[s], sizes[s] + n) for s, extra, n in runs])
     return canonical(lengths)
 
 
@@ -656,8 +687,8 @@ def _links(argb: np.ndarray) -> np.ndarray:
 def _cost(values: np.ndarray, size: int = 256) -> float:
     """Bits of values in an ideal prefix code, and some for the code itself."""
     c = np.bincount(values, minlength=size)
-    c = c[c > 0].astype(np.float64)
-    return float((c * (np.log2(c.sum()) - np.log2(c))).sum()) + 5 * len(c) if len(c) > 1 else 0.0
+    c = c[c > 0]
+    return len(values) * log2(len(values)) - float(c @ np.log2(c)) + 5 * len(c) if len(c) > 1 else 0.0
 
 
 def _cache_hits(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -725,11 +756,8 @@ def _put_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_b
             if len(used) < 2 and (not used or used[0] < 256):
                 _put_simple(w, used or [0])
                 continue
-            codes = _put_prefix(w, code_lengths(counts.tolist()))
-            if len(codes) > 1:
-                table = np.zeros((alphabet, 2), np.int64)
-                table[list(codes)] = list(codes.values())
-                value[rows, k], size[rows, k] = table[symbols, 0], table[symbols, 1]
+            codes, sizes = _put_prefix(w, code_lengths(counts))
+            value[rows, k], size[rows, k] = codes[symbols], sizes[symbols]
     order = np.argsort(at, kind="stable")
     for lo in range(0, len(order), 1 << 16):
         some = order[lo : lo + (1 << 16)]
@@ -810,45 +838,6 @@ def _indexed(index: np.ndarray, width: int, height: int, size: int) -> tuple[np.
     return np.bitwise_or.reduce(full, 2).reshape(-1), across
 
 
-def pack_rows(samples: np.ndarray) -> bytes:
-    """A multiple of 64 grey samples (at most 64 x 16384) to one image: sorted palette, green channel, codes of one length."""
-    height = len(samples) // ROW
-    present = np.flatnonzero(np.bincount(samples, minlength=256))
-    to_index = np.zeros(256, np.uint8)
-    to_index[present] = np.arange(len(present))
-    w = _head(ROW, height)
-    w.put(1, 1)
-    w.put(3, 2)
-    w.put(len(present) - 1, 8)
-    # the palette's image: grey levels as differences in green, alpha 255 and then 0
-    w.put(0, 1)
-    steps = np.diff(present, prepend=0)
-    _put_even(w, 8)
-    _put_simple(w, [0])
-    _put_simple(w, [0])
-    _put_simple(w, [0, 255])
-    _put_simple(w, [0])
-    for i, s in enumerate(steps.tolist()):
-        w.put(_reversed(s, 8) | (i == 0) << 8, 9)
-    w.put(0, 1)
-    index, _ = _indexed(to_index[samples], ROW, height, len(present))
-    n = 8 if len(present) <= 16 else (len(present) - 1).bit_length()
-    w.put(0, 2)  # neither cache nor groups
-    _put_even(w, n)
-    for _ in range(2):
-        _put_simple(w, [0])
-    _put_simple(w, [255])
-    _put_simple(w, [0])
-    lined = np.unpackbits(index[:, None], axis=1)[:, 8 - n :]
-    w.put_array(np.ascontiguousarray(lined).reshape(-1))
-    return _riff(w.done())
-
-
-def pack_bytes(payload: bytes) -> bytes:
-    """The same by pack_rows."""
-    return _in_images(payload, pack_rows)
-
-
 def chosen(image: np.ndarray) -> dict:
     """Options of encode() for an image: palette, or the predictor and colour transform of the least entropy.
 
@@ -895,8 +884,131 @@ def chosen(image: np.ndarray) -> dict:
     return options | {"predictor": mode}
 
 
+def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references of bytes (starts, lengths, distances), greedy from the left: each to the last place with the same next 10 bytes, else
+    the same next 5; one is left out where the next byte's is longer by two."""
+    n, none = len(x), np.empty(0, np.int64)
+    m = n - LEAST_RUN
+    if m < 1:
+        return none, none, none
+    data = x.tobytes()
+    words = np.ndarray((n + 24,), "<u8", data + bytes(32), strides=(1,)).copy()
+    place, twenty = np.arange(m, dtype=np.uint64), np.uint64(20)
+
+    def last_same(key, k):
+        """Pairs of places next to each other in order of (key, place), the key having 44 bits."""
+        order = np.sort(key << twenty | place[:k])
+        same = np.flatnonzero((order[1:] ^ order[:-1]) < (1 << 20))
+        at = (order & np.uint64((1 << 20) - 1)).astype(np.int64)
+        return at[same + 1], at[same]
+
+    was = np.full(m, -1)
+    i, j = last_same(words[:m] & np.uint64((1 << 40) - 1), m)
+    was[i] = j
+    if n > 64:
+        k = n - 10
+        i, j = last_same(((words[:k] ^ words[2 : k + 2] >> np.uint64(11)) * np.uint64(0x9E3779B97F4A7C15)) >> twenty, k)
+        good = (words[i] == words[j]) & (words[i + 2] == words[j + 2])
+        was[i[good]] = j[good]
+    starts = np.flatnonzero(was >= 0)
+    if not len(starts):
+        return none, none, none
+    was = was[starts]
+    starts, was = starts[starts - was <= MOST_FAR], was[starts - was <= MOST_FAR]
+    run, going = np.full(len(starts), LEAST_RUN), np.arange(len(starts))
+    for k in (LEAST_RUN, LEAST_RUN + 8):
+        differ = words[starts[going] + k] ^ words[was[going] + k]
+        same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # equal bytes of 8
+        run[going] += same
+        going = going[same == 8]
+    run = np.minimum(run, n - starts)
+    later = np.flatnonzero((np.diff(starts) == 1) & (run[1:] > run[:-1] + 1))
+    keep = np.ones(len(starts), bool)
+    keep[later] = False
+    starts, was, run = starts[keep], was[keep], run[keep]
+    before = np.zeros(n + 1, np.int64)  # how many places come before each byte
+    before[starts + 1] = 1
+    after = memoryview(before.cumsum()[starts + run])
+    first, sources, runs, k, picked, size = memoryview(starts), memoryview(was), memoryview(run), 0, [], []
+    last = len(first)
+    while k < last:
+        picked.append(k)
+        n_same = runs[k]
+        if n_same < LEAST_RUN + 16:
+            size.append(n_same)
+            k = after[k]
+            continue
+        at, source, most = first[k], sources[k], min(4096, n - first[k])
+        while n_same < most:
+            a, b = data[at + n_same : at + n_same + 64], data[source + n_same : source + n_same + 64]
+            if a[: len(b)] != b[: len(a)] or len(a) < 64:
+                d = int.from_bytes(a, "little") ^ int.from_bytes(b[: len(a)], "little")
+                n_same += (d & -d).bit_length() - 1 >> 3 if d else len(a)
+                break
+            n_same += 64
+        size.append(min(n_same, most))
+        k = bisect_left(first, at + size[-1], k + 1)
+    return starts[picked], np.array(size, np.int64), (starts - was)[picked]
+
+
+def _cache_pays(x: np.ndarray) -> bool:
+    """Whether the smallest cache would make the literals' code cheaper."""
+    if len(x) < 64:
+        return False
+    slots, hits = _cache_hits(np.uint32(0xFF000000) | x.astype(np.uint32) << np.uint32(8), CACHES[0])
+    return _cost(np.where(hits, 280 + slots, x)) < _cost(x)
+
+
+def _put_channel(w: BitWriter, x: np.ndarray, width: int) -> bool:
+    """The main image where only green varies, in one group of codes. False, with nothing written, where a cache would pay."""
+    starts, runs, fars = _byte_links(x)
+    n = len(x)
+    inside = np.zeros(n + 1, np.int8)
+    inside[starts] += 1
+    np.subtract.at(inside, starts + runs, 1)
+    free = inside[:n].cumsum(dtype=np.int8) == 0
+    literals = x[free]
+    if _cache_pays(literals):
+        return False
+    near = _near_codes(width)
+    short = near[np.minimum(fars, len(near) - 1)]
+    (run_code, run_extra, run_bits), (far_code, far_extra, far_bits) = _prefixes(runs), _prefixes(np.where((fars < len(near)) & (short > 0), short, fars + 120))
+    w.put(0, 2)  # neither cache nor groups
+    green = np.concatenate([np.bincount(literals, minlength=256), np.bincount(run_code, minlength=24)])
+    codes, sizes = _put_prefix(w, code_lengths(green))
+    _put_simple(w, [0])
+    _put_simple(w, [0])
+    _put_simple(w, [255])
+    far_codes, far_sizes = _put_prefix(w, code_lengths(np.bincount(far_code, minlength=40)))
+    # a back-reference takes two fields, at its first two pixels
+    value, size = codes[x], np.where(free, sizes[x], 0)
+    value[starts], size[starts] = codes[256 + run_code] | run_extra << sizes[256 + run_code], sizes[256 + run_code] + run_bits
+    value[starts + 1], size[starts + 1] = far_codes[far_code] | far_extra << far_sizes[far_code], far_sizes[far_code] + far_bits
+    some = np.flatnonzero(size)
+    for low in range(0, len(some), 1 << 16):
+        part = some[low : low + (1 << 16)]
+        w.put_fields(value[part], size[part])
+    return True
+
+
+def _plain(samples: np.ndarray) -> bool:
+    """Whether neither palette nor predictor makes grey samples cheaper: then chosen() needs no look at whole pixels."""
+    cost, x = _cost(samples), samples.reshape(-1, ROW)
+    left, up = x.copy(), x.copy()
+    left[:, 1:] -= x[:, :-1]
+    left[1:, 0] -= x[:-1, 0]
+    up[1:] -= x[:-1]
+    up[0, 1:] -= x[0, :-1]
+    return np.count_nonzero(np.bincount(samples, minlength=256)) > 16 and cost <= _cost(left.reshape(-1)) and cost <= _cost(up.reshape(-1))
+
+
 def store_rows(samples: np.ndarray) -> bytes:
     """A multiple of 64 samples (at most 64 x 16384) to one image in green, with the options chosen for it, back-references and a colour cache where it pays."""
+    if _plain(samples):
+        w = _head(ROW, len(samples) // ROW)
+        w.put(0, 1)
+        if _put_channel(w, samples, ROW):
+            return _riff(w.done())
     image = np.zeros((len(samples) // ROW, ROW, 4), np.uint8)
     image[:, :, 1], image[:, :, 3] = samples.reshape(-1, ROW), 255
     return encode(image, **chosen(image), links=True, cache_bits=None, size_bits=WIDEST)
@@ -914,15 +1026,15 @@ def _in_images(payload: bytes, one) -> bytes:
     return b"".join(one(samples[i : i + most]) for i in range(0, len(samples), most))
 
 
-def images(media: bytes):
+def images(media: bytes, told: dict | None = None):
     """The images of a media value, decoded."""
     at = 0
     while at < len(media):
         size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        yield decode(media[at : at + size])
+        yield decode(media[at : at + size], told)
         at += size
 
 
-def unpack_bytes(media: bytes) -> np.ndarray:
+def unpack_bytes(media: bytes, told: dict | None = None) -> np.ndarray:
     """The grey samples of all images."""
-    return np.concatenate([np.ascontiguousarray(p[:, :, 1]).reshape(-1) for p in images(media)])
+    return np.concatenate([np.ascontiguousarray(p[:, :, 1]).reshape(-1) for p in images(media, told)])
