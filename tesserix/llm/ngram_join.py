@@ -5,10 +5,12 @@ A document is the set of its five-word shingles (lower-case words; fewer than fi
 2. Each set is embedded as SKETCH min-hash tokens. In every run a node of the recursion samples coordinates by its path (1/threshold on
    average), and a set goes to one child per sampled coordinate, named by its token there: sets share a child where they
    share the sampled token. Children of one set are dropped, children up to SMALL are compared by brute force on sketches, larger ones
-   recurse. Runs are repeated until the bound on a missed pair is below 1 - RECALL. Nodes that are still large at DEPTH are
-   linked whole, which can only add candidates.
-3. Candidate links form groups. Inside a group every pair of sets is compared exactly, in blocks: a large group becomes blocks
-   of about BLOCK sets, and each pair of blocks is a unit of its own. A unit emits, per set, its number of links and one spanning edge.
+   recurse. Runs are repeated until the bound on a missed pair is below 1 - RECALL, for pairs that are split DEPTH times. Nodes that are still large at
+   DEPTH are linked whole, which can only add candidates.
+3. Candidate links form groups. A group of up to BLOCK sets is compared whole. A larger one is parted into classes of sizes (sets of two classes that
+   aren't neighbours can't reach the threshold), classes into blocks of about BLOCK sets, and each pair of blocks that can hold a link is a unit
+   of its own, which compares sketches first and then, exactly, the pairs whose sketches agree. A unit emits, per set, its number of links and one
+   spanning edge. So unrelated families that a chain of loose candidates has put into one group cost a comparison of sketches, not of sets.
 Result: one row per document: rep_id (who stands for its set), class_id (smallest doc_id of the documents linked directly or by
 others), n_links (different sets at the threshold or above).
 
@@ -73,6 +75,11 @@ class Shingler:
         return np.unique(out)
 
 
+def hash_rows() -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of the SKETCH hash functions."""
+    return mix64(np.arange(1000, 1000 + SKETCH, dtype=np.uint64)) | np.uint64(1), mix64(np.arange(5000, 5000 + SKETCH, dtype=np.uint64))
+
+
 def sketch(shingles: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
     """Min-hash tokens as int32; shingles in slices, so that long texts need no more memory."""
     best = np.full(len(scale), np.iinfo(np.uint64).max, np.uint64)
@@ -87,7 +94,7 @@ def sketches(docs: DataFrame, n: int = N) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(n)
-        scale, shift = mix64(np.arange(1000, 1000 + SKETCH, dtype=np.uint64)) | np.uint64(1), mix64(np.arange(5000, 5000 + SKETCH, dtype=np.uint64))
+        scale, shift = hash_rows()
         for b in batches:
             sizes, prints, tokens = [], [], []
             for text in b.column(1):
@@ -147,24 +154,24 @@ def _close(batches):
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """sets (rep, tokens) to candidate links (a, b): all runs at once, level by level."""
     runs, tables = runs_needed(recall, threshold, DEPTH), []
-    rows = int(sets.count() * runs / threshold)
+    rows = int(sets.count() * runs / threshold)  # one coordinate is sampled, or two so often that 1/threshold are on average
     nodes = sets.select("rep", "tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])).alias("path"))
     for level in range(1, DEPTH + 1):
         children = saved(_children(nodes, threshold), f"paths-{level}", rows)
-        counts = saved(children.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"path-sizes-{level}", rows // 4)
+        counts = saved(children.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"path-sizes-{level}", rows)
+        is_small = F.col("n") <= SMALL
+        told = counts.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.when(is_small, F.col("n")).otherwise(0)).alias("small"), F.sum(F.when(is_small, 0).otherwise(F.col("n"))).alias("large")).first()
         # sizes are two numbers a path: sent to the children while they are few enough, else joined by a shuffle
-        few = counts.filter(F.col("n") <= SMALL).select("path")
-        few = F.broadcast(few) if counts.count() <= BROADCAST_ROWS else few
+        few = counts.filter(is_small).select("path")
+        few = F.broadcast(few) if told["paths"] <= BROADCAST_ROWS else few
         small = children.join(few, "path").join(sets, "rep").select("path", "rep", "tokens")
-        tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}", rows // 4 if level > 1 else None))
-        large = counts.filter(F.col("n") > SMALL)
+        tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}", told["small"] if level > 1 else None))
+        large = counts.filter(~is_small)
         if level == DEPTH:
-            tables.append(children.join(large, "path").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+            tables.append(saved(children.join(large, "path").select(F.col("rep").alias("a"), F.col("least").alias("b")), "path-whole"))
+        if level == DEPTH or not told["large"]:
             break
-        if not large.limit(1).count():
-            break
-        # deeper nodes hold few of the rows
-        rows = rows // 4
+        rows = int(told["large"] / threshold)  # the rows that are split again, as counted
         nodes = children.join(large.select("path"), "path").join(sets, "rep").select("rep", "tokens", "path")
     out = tables[0]
     for t in tables[1:]:
@@ -198,8 +205,17 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_unit(rows: list[tuple[int, int, np.ndarray]], same: bool, threshold: float) -> list[tuple[int, int, int]]:
-    """rows (rep, side, shingles) of a unit; same: one block against itself. Per set: (rep, links, smallest linked or itself)."""
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of two lists of sketches agree in LOOSE of their coordinates."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(a.shape[1]):
+        out += a[:, None, k] == b[None, :, k]
+    return out >= LOOSE * a.shape[1]
+
+
+def verify_unit(rows: list[tuple[int, int, np.ndarray]], same: bool, threshold: float, sketched: bool = False) -> list[tuple[int, int, int]]:
+    """rows (rep, side, shingles) of a unit; same: one block against itself; sketched: only pairs with agreeing sketches are compared.
+    Per set: (rep, links, smallest linked or itself)."""
     left = [r for r in rows if r[1] == 0]
     right = left if same else [r for r in rows if r[1] == 1]
     links = {r[0]: 0 for r in rows}
@@ -213,13 +229,21 @@ def verify_unit(rows: list[tuple[int, int, np.ndarray]], same: bool, threshold:
 
     ids = np.array([r[0] for r in right], np.int64)
     sizes = np.array([len(r[2]) for r in right], np.float64)
+    scale, shift = hash_rows()
+    tokens = np.stack([sketch(r[2], scale, shift) for r in right]) if sketched and right else None
     for i in range(0, len(left), 128):  # memory: 128 x (other side) numbers
         some = left[i : i + 128]
         if not len(right):
             break
-        shared = _overlaps([r[2] for r in some], [r[2] for r in right]).astype(np.float64)
         own = np.array([len(r[2]) for r in some], np.float64)
-        near = shared >= threshold * (own[:, None] + sizes[None, :] - shared) - 1e-9
+        near = np.zeros((len(some), len(right)), bool)
+        used = np.arange(len(right))
+        if sketched:
+            agree = _agreeing(tokens[i : i + 128] if same else np.stack([sketch(r[2], scale, shift) for r in some]), tokens)
+            used = np.flatnonzero(agree.any(0))
+        if len(used):
+            shared = _overlaps([r[2] for r in some], [right[k][2] for k in used]).astype(np.float64)
+            near[:, used] = shared >= threshold * (own[:, None] + sizes[None, used] - shared) - 1e-9
         for k, r in enumerate(some):
             found = ids[near[k]]
             found = found[found != r[0]]
@@ -235,14 +259,14 @@ def verify_unit(rows: list[tuple[int, int, np.ndarray]], same: bool, threshold:
 
 
 def _by_block(batches):
-    """Rows (label, block, blocks, rep, sets), sorted: one ((label, block, blocks), [(rep, side 0, shingles)]) per block."""
+    """Rows (label, class, block, many, rep, sets), sorted: one ((label, class, block, many), [(rep, side 0, shingles)]) per block."""
     key, held = None, []
     for b in batches:
-        for label, block, blocks, rep, raw in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
-            if (label, block, blocks) != key:
+        for label, size_class, block, many, rep, raw in zip(*[b.column(k).to_pylist() for k in range(6)], strict=True):
+            if (label, size_class, block, many) != key:
                 if key:
                     yield key, held
-                key, held = (label, block, blocks), []
+                key, held = (label, size_class, block, many), []
             if not held or held[-1][0] != rep:  # a doc_id that repeats counts once
                 held.append((rep, 0, np.frombuffer(raw, np.uint64)))
     if key:
@@ -253,14 +277,19 @@ def _links_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["rep", "links", "root"])
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """groups (node, label): all pairs of a group by their texts' sets, to (rep, links, root) per unit.
+def exact_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """groups (node, label), sizes (rep, size): the linked pairs of each group by their texts' sets, to (rep, links, root) per unit.
 
     Each block is compared with itself where its sets come together; blocks of groups with several are put into the shared
-    folder there, and every pair of such blocks is a unit that reads its two files, so no set is shuffled more than once."""
+    folder there, and every pair of such blocks that can hold a link is a unit that reads its two files, so no set is shuffled more than once."""
     spark = docs.sparkSession
-    sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    members = groups.join(sizes, "label").select(F.col("node").alias("rep"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    # a class holds sizes within a factor of 1 / threshold, so linked sets are in one class or in neighbours
+    size_class = F.floor(F.log("size") / math.log(1 / threshold)).cast("int")
+    members = groups.join(sizes, groups["node"] == sizes["rep"]).select("node", "label", size_class.alias("class"))
+    per_group = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m")).select("label", (F.col("m") > BLOCK).alias("many"))
+    members = saved(members.join(per_group, "label").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(0)), "ngram-members")
+    per_class = saved(members.filter("many").groupBy("label", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "ngram-classes-sizes")
+    members = members.join(per_class, ["label", "class"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     folder = fresh(spark, "ngram-blocks")
 
@@ -272,42 +301,45 @@ def exact_links(docs: DataFrame, groups: DataFrame, n: int = N, threshold: float
             yield from t.drop_columns(["text"]).append_column("sets", sets).to_batches()
 
     def inside(batches):
-        for (label, block, blocks), held in _by_block(batches):
-            if blocks > 1:
-                keep_block(folder, label, block, [(r, x) for r, _, x in held])
-            yield _links_batch(verify_unit(held, True, threshold) if len(held) > 1 else [])
+        for (label, size_class, block, many), held in _by_block(batches):
+            if many:
+                keep_block(folder, f"{label}-{size_class}-{block}", [(r, x) for r, _, x in held])
+            yield _links_batch(verify_unit(held, True, threshold, many) if len(held) > 1 else [])
 
     def across(batches):
         for b in batches:
-            for label, u, v in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
-                rows = [(r, side, x) for side, block in ((0, u), (1, v)) for r, x in read_block(folder, label, block)]
-                yield _links_batch(verify_unit(rows, False, threshold))
+            for label, class_u, u, class_v, v in zip(*[b.column(k).to_pylist() for k in range(5)], strict=True):
+                rows = [(r, side, x) for side, name in ((0, f"{label}-{class_u}-{u}"), (1, f"{label}-{class_v}-{v}")) for r, x in read_block(folder, name)]
+                yield _links_batch(verify_unit(rows, False, threshold, True))
 
     schema = "rep long, links long, root long"
     # few of all texts are candidates: where their identifiers are few enough to be sent everywhere, only they are moved
-    members = checked_side(members, "ngram-members")
-    rows = texts.join(members, "rep").select("label", "block", "blocks", "rep", "text").mapInArrow(shingled, "label long, block int, blocks int, rep long, sets binary")
-    own = saved(rows.repartition("label", "block").sortWithinPartitions("label", "block", "rep", "sets").mapInArrow(inside, schema), "ngram-inside")
-    units = sizes.filter("blocks > 1").select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 2)).alias("u"), "blocks")
-    units = units.select("label", "u", F.explode(F.sequence(F.col("u") + 1, F.col("blocks") - 1)).alias("v"))
-    return own.union(saved(units.repartition("label", "u", "v").mapInArrow(across, schema), "ngram-across"))
-
-
-def keep_block(folder: str, label: int, block: int, rows: list[tuple[int, np.ndarray]]) -> None:
+    members = checked_side(members.select(F.col("node").alias("rep"), "label", "class", "block", "many"), "ngram-members")
+    rows = texts.join(members, "rep").select("label", "class", "block", "many", "rep", "text").mapInArrow(shingled, "label long, class int, block int, many boolean, rep long, sets binary")
+    own = saved(rows.repartition("label", "class", "block").sortWithinPartitions("label", "class", "block", "rep", "sets").mapInArrow(inside, schema), "ngram-inside")
+    every = per_class.select("label", F.col("class").alias("class_u"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("u"), F.col("blocks"))
+    same = every.filter(F.col("u") + 1 < F.col("blocks")).select("label", "class_u", "u", F.col("class_u").alias("class_v"), F.explode(F.sequence(F.col("u") + 1, F.col("blocks") - 1)).alias("v"))
+    after = per_class.select("label", (F.col("class") - 1).alias("class_u"), F.col("blocks").alias("blocks_v"))
+    beside = every.join(after, ["label", "class_u"]).select("label", "class_u", "u", (F.col("class_u") + 1).alias("class_v"), F.explode(F.sequence(F.lit(0), F.col("blocks_v") - 1)).alias("v"))
+    units = same.union(beside)
+    return own.union(saved(units.repartition("label", "class_u", "u", "class_v", "v").mapInArrow(across, schema), "ngram-across"))
+
+
+def keep_block(folder: str, name: str, rows: list[tuple[int, np.ndarray]]) -> None:
     """Write a block under its attempt's name, then move it: repeated tasks leave the same whole file."""
     fs, base = opened(folder)
     fs.create_dir(base, recursive=True)
-    tmp = f"{base}/.{label}-{block}-{uuid.uuid4().hex[:8]}"
+    tmp = f"{base}/.{name}-{uuid.uuid4().hex[:8]}"
     table = pa.table({"rep": pa.array([r for r, _ in rows], pa.int64()), "sets": pa.array([x.tobytes() for _, x in rows], pa.large_binary())})
     with fs.open_output_stream(tmp) as f, pa.ipc.new_file(f, table.schema) as w:
         w.write_table(table)
-    fs.move(tmp, f"{base}/{label}-{block}")
+    fs.move(tmp, f"{base}/{name}")
 
 
-def read_block(folder: str, label: int, block: int) -> list[tuple[int, np.ndarray]]:
+def read_block(folder: str, name: str) -> list[tuple[int, np.ndarray]]:
     """A block's sets; one to which the hash dealt no member has no file."""
     fs, base = opened(folder)
-    path = f"{base}/{label}-{block}"
+    path = f"{base}/{name}"
     if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
         return []
     with fs.open_input_file(path) as f:
@@ -318,10 +350,11 @@ def read_block(folder: str, label: int, block: int) -> list[tuple[int, np.ndarra
 def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, rep_id, n_shingles."""
     own = saved(sketches(docs, n), "ngram-sketches")
-    sets = saved(own.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "ngram-sets")
+    sets = saved(own.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "ngram-sets")
     links = saved(candidates(sets.select("rep", "tokens").filter("rep is not null").dropDuplicates(["rep"]), threshold, recall), "ngram-candidates")
     groups = components(links, "ngram-groups", links.count())
-    found = exact_links(docs, groups, n, threshold)
+    sizes = sets.filter("rep is not null").groupBy("rep").agg(F.first("size").alias("size"))
+    found = exact_links(docs, groups, sizes, n, threshold)
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ngram-classes", groups.count())
     per_set = (
         sets.select("print", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")

@@ -227,3 +227,48 @@ def test_pipeline_on_odd_and_empty(spark, tmp_path):
         before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert c.run(spark, where).count() == kept[-1] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
         assert kept[:3] == ([7, 5, 5] if name == "odd" else [0, 0, 0]) and kept[3] == kept[4] <= kept[2]
+
+
+def test_ngram_recall_with_production_parameters(spark):
+    """3,000 texts of which two thirds share long passages, so that nodes hold far more than SMALL sets and are split again, and a chain of loose
+    candidates makes groups of more than BLOCK: links and classes against brute force over all pairs."""
+    import numpy as np
+
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randint(0, 30_000)}"
+    boiler = [[word() for _ in range(90)] for _ in range(3)]
+    texts = []
+    for i in range(3000):
+        if i % 3:
+            base = list(boiler[i % 2])
+            own = [word() for _ in range(rng.choice([4, 12, 24, 40]))]
+            at = rng.randint(0, len(base))
+            texts.append(base[:at] + own + base[at:])
+        elif i % 9 == 0 and i:
+            near = list(texts[i - 9] if i % 27 else texts[i - 3])
+            for _ in range(rng.randint(1, 3)):
+                near[rng.randrange(len(near))] = word()
+            texts.append(near)
+        else:
+            texts.append([word() for _ in range(rng.randint(60, 200))])
+    sets = [np.unique([hash(tuple(t[k : k + 5])) for k in range(len(t) - 4)]) for t in texts]
+    flat = np.concatenate(sets)
+    names, code = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.zeros((3000, 3000), np.float32)
+    for low in range(0, len(names), 20_000):
+        some = (code >= low) & (code < low + 20_000)
+        m = np.zeros((3000, min(20_000, len(names) - low)), np.float32)
+        m[row[some], code[some] - low] = 1
+        shared += m @ m.T
+    size = np.array([len(s) for s in sets])
+    near = shared >= 0.8 * (size[:, None] + size[None, :] - shared) - 1e-9
+    np.fill_diagonal(near, False)
+    got = ngram_join.ngram_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    found, real = got.n_links.sum(), near.sum()
+    print(f"links {found} of {real}")
+    assert real > 20_000 and found >= 0.9999 * real and (got.n_links.values <= near.sum(1)).all()
+    root = np.arange(3000)
+    for _ in range(50):
+        root = np.minimum(root, np.array([root[near[i]].min() if near[i].any() else root[i] for i in range(3000)]))
+    assert (got.class_id.values == root).all()
