@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.llm.sampling import sampled_texts
-from tesserix.llm.words import letters
+from tesserix.llm.words import letter_runs
 
 BUCKETS, SPAN, BLOCK = 1 << 16, 48, 32
 PER_LANG, SPANS, EPOCHS, LEXICON = 400, 1500, 2, 300
@@ -226,7 +226,7 @@ class Labeller:
 
     def label_words(self, text: str) -> list[tuple[str, str]]:
         """Each word of a text with its likeliest language: for code-switched text."""
-        words = letters().findall(text.lower())
+        words = letter_runs(text.lower())
         if not words:
             return []
         return [(w, self.crf.langs[i]) for w, i in zip(words, self.marginals([self.rows(words)])[0].argmax(1).tolist(), strict=True)]
@@ -244,7 +244,7 @@ class Labeller:
             emits.clear()
 
         for i, text in enumerate(texts):
-            words = letters().findall((text or "").lower())
+            words = letter_runs((text or "").lower())
             if words and self.k:
                 held.append(i)
                 emits.append(self.rows(words))
@@ -259,7 +259,7 @@ class Labeller:
 def train(sample: list[tuple[str, str]]) -> Crf:
     """sample: (text, lang), bounded."""
     langs = sorted({y for _, y in sample})
-    texts = [(letters().findall(t.lower()), langs.index(y)) for t, y in sample]
+    texts = [(letter_runs(t.lower()), langs.index(y)) for t, y in sample]
     common = [Counter() for _ in langs]
     for words, y in texts:
         common[y].update(words)

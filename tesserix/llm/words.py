@@ -12,15 +12,29 @@ import pyarrow.fs as pafs
 WORD = re.compile(r"\w+")
 
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def letters() -> re.Pattern:
-    """Runs of letters (Unicode's L). What Python takes for a word without digits and _ also holds numbers such as superscripts and fractions; they are taken out."""
+def _numbers() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """What LETTERS takes though it is no letter (Unicode's L), such as superscripts, fractions and Roman numerals: in the basic plane; any character
+    beyond that plane; those of them that are no letters."""
     import unicodedata
 
-    others = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not unicodedata.category(c).startswith("L")]
-    return re.compile(rf"[^\W\d_{re.escape(''.join(others))}]+")
+    others = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not unicodedata.category(c).startswith("L")]
+    some = lambda chars: re.compile("[" + "".join(map(re.escape, chars)) + "]")
+    return some(c for c in others if c < "\U00010000"), re.compile("[\U00010000-\U0010ffff]"), some(c for c in others if c >= "\U00010000")
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters."""
+    if not text.isascii():
+        plain, beyond, rare = _numbers()
+        if plain.search(text):
+            text = plain.sub(" ", text)
+        if beyond.search(text):
+            text = rare.sub(" ", text)
+    return LETTERS.findall(text)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserix.llm import bpe, chat, langid, mixing, ngram_join, queries, sampling, tokenfiles, toxicity, trie, urls
-from tesserix.llm.words import Memo, letters
+from tesserix.llm.words import Memo, letter_runs
 
 
 def test_memo_counts_bytes():
@@ -24,7 +24,7 @@ def test_memo_counts_bytes():
 
 
 def test_letters_are_letters():
-    assert letters().findall("Ünï 中文 дом a²b ½ Ⅷ x_y 3z") == ["Ünï", "中文", "дом", "a", "b", "x", "y", "z"]
+    assert letter_runs("Ünï 中文 дом a²b ½ Ⅷ x_y 3z") == ["Ünï", "中文", "дом", "a", "b", "x", "y", "z"]
     model = langid.Labeller(langid.train([("the house is big " * 10, "en"), ("la maison est grande " * 10, "fr")]))
     assert [x[0] for x in model.documents(["²", "½ ⁵", "Ⅷ ①", "\u0301\u0308", "_ 12", "٣", "é", "house"])] == ["und"] * 6 + ["fr", "en"] or model.documents(["é"])[0][0] != "und"
     assert all(x[0] == "und" for x in model.documents(["²", "½ ⁵", "Ⅷ ①", "\u0301\u0308", "_ 12", "٣"]))
