@@ -16,24 +16,22 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=1)
-def _numbers() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """What LETTERS takes though it is no letter (Unicode's L), such as superscripts, fractions and Roman numerals: in the basic plane; any character
-    beyond that plane; those of them that are no letters."""
+def _numbers() -> dict[int, str]:
+    """What LETTERS takes though it is no letter (Unicode's L), such as superscripts, fractions and Roman numerals; each to a space."""
     import unicodedata
 
-    others = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not unicodedata.category(c).startswith("L")]
-    some = lambda chars: re.compile("[" + "".join(map(re.escape, chars)) + "]")
-    return some(c for c in others if c < "\U00010000"), re.compile("[\U00010000-\U0010ffff]"), some(c for c in others if c >= "\U00010000")
+    return {i: " " for i in range(128, sys.maxunicode + 1) if chr(i).isalnum() and not unicodedata.category(chr(i)).startswith("L")}
+
+
+@lru_cache(maxsize=1)
+def _number_signs() -> frozenset[str]:
+    return frozenset(map(chr, _numbers()))
 
 
 def letter_runs(text: str) -> list[str]:
     """Runs of letters."""
-    if not text.isascii():
-        plain, beyond, rare = _numbers()
-        if plain.search(text):
-            text = plain.sub(" ", text)
-        if beyond.search(text):
-            text = rare.sub(" ", text)
+    if not text.isascii() and not _number_signs().isdisjoint(text):
+        text = text.translate(_numbers())
     return LETTERS.findall(text)
 
 
