@@ -78,23 +78,49 @@ def _separable(x: np.ndarray, k: np.ndarray) -> np.ndarray:
     return x
 
 
-def resample(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear, the triangle as wide as the step when shrinking."""
+def _triangle(t: np.ndarray) -> np.ndarray:
+    return np.maximum(0, 1 - np.abs(t))
+
+
+def _cubic(t: np.ndarray, a: float = -0.5) -> np.ndarray:
+    t = np.abs(t)
+    return np.where(t < 1, ((a + 2) * t - (a + 3)) * t * t + 1, np.where(t < 2, ((a * t - 5 * a) * t + 8 * a) * t - 4 * a, 0))
+
+
+def _lanczos(t: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0)
+
+
+#: Resampling filters and how far they reach at the scale of the smaller step.
+FILTERS = {"bilinear": (_triangle, 1), "bicubic": (_cubic, 2), "lanczos": (_lanczos, 3)}
+
+
+def resample(image: np.ndarray, height: int, width: int, kind: str = "bilinear") -> np.ndarray:
+    """By a filter of FILTERS, as wide as the step when shrinking."""
+    of, _ = FILTERS[kind]
     x = image.astype(np.float64)
     for axis, size in ((0, height), (1, width)):
         n = x.shape[axis]
         step = n / size
-        support = max(1.0, step)
+        wide = max(1.0, step)
         centre = (np.arange(size) + 0.5) * step
-        weights = np.maximum(0, 1 - np.abs((np.arange(n) + 0.5)[None, :] - centre[:, None]) / support)
+        weights = of(((np.arange(n) + 0.5)[None, :] - centre[:, None]) / wide)
         weights /= weights.sum(1, keepdims=True)
         x = np.moveaxis(np.tensordot(weights, x, (1, axis)), 0, axis)
     return rounded(x)
 
 
-def down_up(image: np.ndarray, scale: float) -> np.ndarray:
+def down_up(image: np.ndarray, scale: float, kind: str = "bilinear") -> np.ndarray:
+    """Shrunk by one of FILTERS, then scaled back."""
     h, w = image.shape[:2]
-    return resample(resample(image, max(1, round(h * scale)), max(1, round(w * scale))), h, w)
+    return resample(resample(image, max(1, round(h * scale)), max(1, round(w * scale)), kind), h, w)
+
+
+def reencoded(image: np.ndarray, generations: int, quality: float = 95) -> np.ndarray:
+    """What so many compressions in turn leave."""
+    for _ in range(generations):
+        image = jpeg(image, quality)
+    return image
 
 
 def noise(image: np.ndarray, sigma: float, seed: int | None = None) -> np.ndarray:
@@ -113,20 +139,19 @@ def jitter(image: np.ndarray, amount: float) -> np.ndarray:
 
 def crop(image: np.ndarray, ratio: float) -> np.ndarray:
     """The centre, scaled back to the whole size."""
-    h, w = image.shape[:2]
-    ch, cw = max(1, int(h * ratio)), max(1, int(w * ratio))
-    y, x = (h - ch) // 2, (w - cw) // 2
-    return resample(image[y : y + ch, x : x + cw], h, w)
+    return multi_crops(image, 1, ratio)[0]
 
 
 def multi_crops(image: np.ndarray, n: int, scale: float = 0.8) -> list[np.ndarray]:
-    """1: centre; 2 to 4: corners; 5 and more: four corners and the centre."""
+    """1: centre; 2 to 4: corners; 5 and more: four corners and the centre; each scaled back to the whole size. Sides are rounded to the nearest
+    (halves to even), 1 at least."""
     h, w = image.shape[:2]
-    ch, cw = max(1, int(h * scale)), max(1, int(w * scale))
-    centre = ((h - ch) // 2, (w - cw) // 2)
-    corners = [(0, 0), (0, w - cw), (h - ch, 0), (h - ch, w - cw)]
-    boxes = [] if n < 1 else [centre] if n == 1 else corners[:n] if n <= 4 else [*corners, centre]
-    return [image[y : y + ch, x : x + cw] for y, x in boxes]
+    tall, wide = (max(1, round(side * scale)) for side in (h, w))
+    bottom, right = h - tall, w - wide
+    places = [(y, x) for y in (0, bottom) for x in (0, right)][: max(0, n)] if n != 1 else []
+    if n == 1 or n >= 5:
+        places.append((bottom // 2, right // 2))
+    return [resample(image[y : y + tall, x : x + wide], h, w) for y, x in places]
 
 
 OPS = {"jpeg": jpeg, "blur": blur, "resize": down_up, "noise": noise, "jitter": jitter, "crop": crop}
@@ -149,7 +174,7 @@ def apply_chain(image: np.ndarray, steps) -> np.ndarray:
 
 
 def fit_square(image: np.ndarray, side: int = 512) -> np.ndarray:
-    return resample(image, side, side)
+    return resample(image, side, side, "bicubic")
 
 
 def grey_centre(image: np.ndarray, size: int = 256) -> np.ndarray:
@@ -274,3 +299,107 @@ def generated(seed: int, height: int = 64, width: int = 64, natural: bool = True
         return ((base + (x * 7919 + y * 104729 + seed * 31)[:, :, None] % 23) % 256).astype(np.uint8)
     wave = ((x // 8 + y // 8 + seed) % 2 * 120 + (x * y + seed) % 64)[:, :, None] + np.array([0, 20, 40])
     return (wave % 256).astype(np.uint8)
+
+
+def png(image: np.ndarray) -> bytes:
+    """A lossless PNG: 8-bit RGB, each row as differences from the one above."""
+    h, w = image.shape[:2]
+    rows = np.zeros((h, 1 + 3 * w), np.uint8)
+    flat = np.ascontiguousarray(image).reshape(h, -1)
+    rows[:, 0], rows[0, 1:], rows[1:, 1:] = 2, flat[0], flat[1:] - flat[:-1]
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def zigzag(n: int = 8) -> np.ndarray:
+    """Flat places of a block's coefficients, by anti-diagonals in turns."""
+    return np.array([y * n + x for y, x in sorted(((y, x) for y in range(n) for x in range(n)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])
+
+
+def _jpeg_symbols(blocks: np.ndarray) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Per block (zigzag order, whole numbers): its DC and AC symbols as (symbol, bits, number of bits)."""
+    def coded(v: int) -> tuple[int, int]:
+        n = abs(v).bit_length()
+        return n, v if v >= 0 else v + (1 << n) - 1
+
+    out, last = [], 0
+    for b in blocks.tolist():
+        n, bits = coded(b[0] - last)
+        last, ac, zeros = b[0], [], 0
+        end = max((i for i in range(1, 64) if b[i]), default=0)
+        for v in b[1 : end + 1]:
+            if not v:
+                zeros += 1
+                continue
+            ac += [(0xF0, 0, 0)] * (zeros // 16)
+            size, value = coded(v)
+            ac.append((zeros % 16 << 4 | size, value, size))
+            zeros = 0
+        out.append(([(n, bits, n)], ac + ([(0, 0, 0)] if end < 63 else [])))
+    return out
+
+
+def _huffman(counts: dict[int, int], most: int = 16) -> list[tuple[int, int]]:
+    """(symbol, length), shortest first, of a code in which no word is all ones: one more symbol, the rarest, takes that place."""
+    weights = dict(counts)
+    while True:
+        nodes = sorted([(w, [s]) for s, w in weights.items()] + [(0, [-1])], key=lambda t: t[0])
+        length = {s: 0 for s in (*weights, -1)}
+        while len(nodes) > 1:
+            (a, x), (b, y) = nodes[:2]
+            for s in x + y:
+                length[s] += 1
+            nodes = sorted([*nodes[2:], (a + b, x + y)], key=lambda t: t[0])
+        longest = max(length.values())
+        if longest <= most:
+            # the spare symbol is among the longest, so it can be the last of them
+            return sorted(((s, n) for s, n in length.items() if s >= 0), key=lambda t: (t[1], t[0]))
+        weights = {s: (w + 1) // 2 for s, w in weights.items()}
+
+
+def jpeg_file(image: np.ndarray, quality: float = 95) -> bytes:
+    """A baseline JPEG without subsampling, with Huffman tables made for the image."""
+    h, w = image.shape[:2]
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    order, ycc = zigzag(), image.astype(np.float64) @ TO_YCC.T
+    tables = [np.clip(np.floor((q * scale + 50) / 100), 1, 255).astype(int) for q in (Q_LUMA, Q_CHROMA)]
+    planes = []
+    for k in range(3):
+        plane = np.pad(ycc[:, :, k] - (128 if k == 0 else 0), ((0, -h % 8), (0, -w % 8)), "edge")
+        c = np.rint(DCT @ blocks_of(plane) @ DCT.T / tables[min(k, 1)]).astype(int)
+        planes.append(_jpeg_symbols(c.reshape(-1, 64)[:, order]))
+    segment = lambda mark, data: bytes([0xFF, mark]) + (len(data) + 2).to_bytes(2, "big") + data
+    out = b"\xff\xd8" + b"".join(segment(0xDB, bytes([i]) + bytes(t.ravel()[order].tolist())) for i, t in enumerate(tables))
+    out += segment(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([3, 1, 0x11, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    codes = []
+    for i, some in enumerate(([planes[0]], planes[1:])):
+        for kind in (0, 1):
+            counts: dict[int, int] = {}
+            for plane in some:
+                for block in plane:
+                    for s, _, _ in block[kind]:
+                        counts[s] = counts.get(s, 0) + 1
+            used, code, last, words = _huffman(counts or {0: 1}), 0, 0, {}
+            for s, n in used:
+                code <<= n - last
+                words[s], last = (code, n), n
+                code += 1
+            codes.append(words)
+            out += segment(0xC4, bytes([kind << 4 | i]) + bytes(sum(n == m for _, n in used) for m in range(1, 17)) + bytes(s for s, _ in used))
+    out += segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    bits: list[str] = []
+    for blocks in zip(*planes, strict=True):
+        for k, block in enumerate(blocks):
+            for kind in (0, 1):
+                words = codes[2 * min(k, 1) + kind]
+                for s, value, n in block[kind]:
+                    code, length = words[s]
+                    bits.append(f"{code:0{length}b}" + (f"{value:0{n}b}" if n else ""))
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    data = int(text, 2).to_bytes(len(text) // 8, "big") if text else b""
+    return out + data.replace(b"\xff", b"\xff\x00") + b"\xff\xd9"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserix.functions.hashing import hamming
-from tesserix.runtime import saved
+from tesserix.functions.hashing import hamming, let
+from tesserix.runtime import checked_side, forget, saved
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -31,11 +31,21 @@ def bands(hash64: Column, radius: int, bits: int = 64) -> Column:
     return F.explode(F.array(*out)).alias("__b")
 
 
+def hash_groups(df: DataFrame) -> DataFrame:
+    """(id, p, d) to (rep, p, d, n): one row per pair of hashes, with its smallest id, so that equal images (blank ones, say) are compared once."""
+    return df.groupBy("p", "d").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+
+
+def hash_members(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, rep, n): whom each row stands with."""
+    return df.join(groups, ["p", "d"]).select("id", "rep", "n")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, p_radius: int = 4, d_radius: int = 2, bits: int = 64) -> DataFrame:
-    """Pairs (a, b) with phash within p_radius and dhash within d_radius; inputs are (id, p, d).
+    """Pairs (a, b) with phash within p_radius and dhash within d_radius; inputs are (id, p, d). Give it hash_groups() where hashes repeat.
 
     An equi-join on bands of d composed with bands of p (a pair shares one of each), then the exact test; bands of both keep
-    a hot band, such as the hash of flat images, from meeting in one place."""
+    a hot band from meeting in one place."""
     def cut(df, name):
         rows = df.select(F.col("id").alias(name), F.col("p").alias(f"{name}_p"), F.col("d").alias(f"{name}_d"))
         rows = rows.select("*", bands(F.col(f"{name}_d"), d_radius, bits)).select("*", F.col("__b.band").alias("db"), F.col("__b.piece").alias("dp")).drop("__b")
@@ -46,6 +56,21 @@ def near_pairs(left: DataFrame, right: DataFrame, p_radius: int = 4, d_radius: i
     return pairs.select("a", "b", dist_p.alias("p_dist"), dist_d.alias("d_dist")).distinct()
 
 
+def near_groups(df: DataFrame, p_radius: int = 4, d_radius: int = 2) -> DataFrame:
+    """near_pairs() between the representatives of different hashes, each pair once (a < b); hash_members() tells the rest."""
+    reps = hash_groups(df).select(F.col("rep").alias("id"), "p", "d")
+    return near_pairs(reps, reps, p_radius, d_radius).filter("a < b")
+
+
+def protected_matches(protected: DataFrame, training: DataFrame, p_radius: int = 4, d_radius: int = 2) -> DataFrame:
+    """Ids of protected originals whose content is in training: equal digests, or both hashes within their radii. Inputs are (id, sha, p, d);
+    training is compared by its different digests and hashes."""
+    exact = protected.join(training.select("sha").distinct(), "sha", "left_semi").select("id")
+    own, theirs = (hash_groups(df).select(F.col("rep").alias("id"), "p", "d") for df in (protected, training))
+    near = near_pairs(own, theirs, p_radius, d_radius).select(F.col("a").alias("rep")).distinct()
+    return hash_members(protected, hash_groups(protected)).join(near, "rep", "left_semi").select("id").union(exact).distinct()
+
+
 def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Greedy acceptance in order of id: a node is accepted unless a smaller accepted node is its neighbour.
 
@@ -56,9 +81,12 @@ def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         told = less.join(state.select(F.col("id").alias("a"), F.col("accepted").alias("of_a")), "a").groupBy(F.col("b").alias("id")).agg(
             F.max(F.coalesce(F.col("of_a"), F.lit(False)).cast("int")).alias("blocked"), F.max(F.col("of_a").isNull().cast("int")).alias("waits")
         )
+        before = state
         state = saved(
             state.join(told, "id", "left").select("id", F.coalesce("accepted", F.when(F.col("blocked") == 1, False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("accepted")), "mis-state"
         )
+        forget(nodes.sparkSession, before)
+    forget(nodes.sparkSession, less)
     return state
 
 
@@ -84,14 +112,31 @@ def identity_mismatches(df: DataFrame, frozen: str, actual: Column) -> DataFrame
     return df.filter(~F.col(frozen).eqNullSafe(actual))
 
 
+def _runs(w: Column, n: int) -> Column:
+    """(n, digest) of each run of n words."""
+    of = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("key")))
+    return F.when(F.size(w) >= n, of).otherwise(F.array().cast("array<struct<n:int,key:bigint>>"))
+
+
 def protected_contamination(docs: DataFrame, protected: DataFrame, words: int = 8) -> DataFrame:
-    """Documents that hold a protected passage: exact containment after an equi-join on the passage's first `words` words.
-
-    docs (doc_id, text), protected (item_id, text)."""
-    grams = lambda c: F.filter(F.split(F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " ")), " "), lambda w: w != "")
-    first = F.array_join(F.slice(F.col("w"), 1, words), " ")
-    items = protected.select("item_id", F.col("text").alias("passage"), grams(F.col("text")).alias("w")).filter(F.size("w") >= words).select("item_id", "passage", first.alias("key"))
-    rows = docs.select("doc_id", "text", grams(F.col("text")).alias("w"))
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1)), lambda i: F.array_join(F.slice(F.col("w"), i, words), " "))
-    hits = rows.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(F.broadcast(items), "key").select("doc_id", "item_id", "passage")
-    return hits.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a protected passage: an equi-join on digests of runs of words, then exact containment.
+
+    docs (doc_id, text), protected (item_id, text); empty passages are in nothing. A passage's first and last word may be parts of longer ones in a
+    document, so its key is made of the next `words` words inside (fewer if it is shorter), without signs. Passages without a word inside are looked
+    for in every text; where they are more than a few thousand, that is their price."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
+    items = protected.select("item_id", F.col("text").alias("passage")).filter(F.length("passage") > 0)
+    items = items.withColumn("key", let(cut(F.col("passage")), lambda w: F.slice(w, 2, F.least(F.lit(words), F.greatest(F.size(w) - 2, F.lit(0))))))
+    keyed = checked_side(items.filter(F.size("key") > 0).select("item_id", "passage", F.size("key").alias("n"), F.xxhash64("key").alias("key")), "protected-keys")
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most `words` numbers
+    rows = docs.select("doc_id", "text")
+    found = rows.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).filter("false")
+    if sizes:
+        # the digests of all runs of n words, computed from words that were cut once
+        keys = rows.select("doc_id", F.explode(F.array_distinct(let(cut(F.col("text")), lambda w: F.flatten(F.array(*[_runs(w, n) for n in sizes]))))).alias("k")).select("doc_id", "k.n", "k.key")
+        near = keys.join(keyed, ["n", "key"]).select("doc_id", "item_id", "passage").distinct()
+        near = checked_side(near, "protected-near", 100_000)
+        found = rows.join(near, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    short = items.filter(F.size("key") == 0).select("item_id", "passage")
+    held = rows.join(F.broadcast(short) if short.count() <= 10_000 else short, F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
+    return found.union(held).distinct()

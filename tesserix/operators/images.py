@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.functions import pixels as px
+from tesserix.runtime import saved
 from tesserix.sources.relations import CHAINS, PRESETS, ROLE_CONDITIONS
 
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif")
@@ -32,7 +33,8 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, height, width, pixels. Files go through the JVM's image reader, which gives blue first; EXIF rotations are undone. A file that
     can't be read has null pixels instead of failing the scan."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder).select("image.*")
-    headers = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.substring("content", 1, 131072).alias("head"))
+    # rotations are in the headers of JPEG files only; the few files that have one are small rows, joined by path
+    headers = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.substring("content", 1, 131072).alias("head")).filter(F.substring("head", 1, 2) == F.lit(b"\xff\xd8"))
     rows = images.join(headers, F.col("origin") == F.col("path"), "left").select("origin", "height", "width", "nChannels", "data", "head")
 
     def run(batches):
@@ -70,10 +72,10 @@ def _image(row) -> np.ndarray:
 
 
 def training_view(image: np.ndarray, seed: int) -> np.ndarray:
-    """One random crop, rescaling and compression, by seed alone."""
+    """One random crop, rescaling by one of three filters, and compression, by seed alone."""
     rng = np.random.default_rng(seed)
-    work = px.crop(image, rng.uniform(0.65, 0.95))
-    return px.jpeg(px.down_up(work, rng.choice([0.125, 0.25, 0.5, 0.75])), rng.choice([30, 50, 70, 90]))
+    kind, scale = sorted(px.FILTERS)[int(rng.integers(3))], rng.choice([0.125, 0.25, 0.5, 0.75])
+    return px.jpeg(px.down_up(px.crop(image, rng.uniform(0.65, 0.95)), scale, kind), rng.choice([30, 50, 70, 90]))
 
 
 def view(image: np.ndarray, condition: str, seed: int = 0) -> np.ndarray:
@@ -121,6 +123,69 @@ def expand_views(images: DataFrame, generation: str, role: str) -> DataFrame:
     return images.select("img_id", "label", "height", "width", "pixels").mapInArrow(run, f"img_id long, label int, condition string, {RAW}")
 
 
+def write_images(images: DataFrame, folder: str, name: str = "name", kind: str = "png", quality: float = 95) -> DataFrame:
+    """Image files below folder (one that driver and executors share), lossless PNG or JPEG; (name, path, sha256) of each. A file is written beside
+    its place and then moved, so a repeated task leaves the same whole file. Names are unique and hold no slash."""
+    import hashlib
+    import re
+    import uuid
+
+    import pyarrow.fs as pafs
+
+    coded = {"png": px.png, "jpeg": lambda i: px.jpeg_file(i, quality)}[kind]
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder if re.match(r"\w+:/", folder) else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                data, path = coded(_image(r)), f"{base}/{r['name']}.{kind}"
+                tmp = f"{base}/.{r['name']}-{uuid.uuid4().hex[:8]}"
+                with fs.open_output_stream(tmp) as f:
+                    f.write(data)
+                fs.move(tmp, path)
+                out.append({"name": r["name"], "path": path, "sha256": hashlib.sha256(data).hexdigest()})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("name", pa.string()), ("path", pa.string()), ("sha256", pa.string())]))
+
+    rows = images.select(F.col(name).cast("string").alias("name"), "height", "width", "pixels")
+    # one pass writes; its small result is kept, so that counting or joining it later doesn't write again
+    return saved(rows.mapInArrow(run, "name string, path string, sha256 string"), "images-written")
+
+
+def augmented(images: DataFrame, how: str = "paired") -> DataFrame:
+    """(img_id, condition, height, width, pixels): paired, each image clean and under one condition of each family; stacked, one or two degradations
+    in turn; crops, five crops. Parameters depend on img_id alone."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                image = _image(r)
+                if how == "paired":
+                    views = paired_views(image, r["img_id"])
+                elif how == "stacked":
+                    views = [("stacked", stacked_view(image, r["img_id"]))]
+                else:
+                    views = [(f"crop_{k}", v) for k, v in enumerate(px.multi_crops(image, 5))]
+                yield pa.RecordBatch.from_pylist([{"img_id": r["img_id"], "condition": c, "height": v.shape[0], "width": v.shape[1], "pixels": v.tobytes()} for c, v in views], schema)
+
+    schema = pa.schema([("img_id", pa.int64()), ("condition", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
+    return images.select("img_id", "height", "width", "pixels").mapInArrow(run, f"img_id long, condition string, {RAW}")
+
+
+def reencoded(images: DataFrame, keys: list[str], generations: int, quality: float = 95) -> DataFrame:
+    """Each image after so many compressions in turn."""
+    kinds = {f.name: f.dataType.simpleString() for f in images.select(*keys).schema}
+
+    def run(batches):
+        for b in batches:
+            found = [px.reencoded(_image(r), generations, quality).tobytes() for r in b.select(["height", "width", "pixels"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], b.schema.names)
+
+    return images.select(*keys, "height", "width", "pixels").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()) + f", {RAW}")
+
+
 def measured(images: DataFrame, keys: list[str]) -> DataFrame:
     """keys, forensic (28 numbers), blockiness, laplacian, dhash, phash (signed 64-bit)."""
     kinds = {f.name: f.dataType.simpleString() for f in images.select(*keys).schema}

@@ -6,18 +6,22 @@ levels, over BUCKETS buckets of a key and inside each bucket, so that a key with
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
 
 
-def cumulative(df: DataFrame, keys: list[str], value: str, counts: dict[str, Column]) -> DataFrame:
+def cumulative(df: DataFrame, keys: list[str], value: str, counts: dict[str, Column], place: Column | None = None) -> DataFrame:
     """Per (keys, value): each count c, c_below (sum over smaller values) and c_all (sum over all). counts: name -> expression to sum.
 
-    The buckets cut [0, 1]; values outside are right too, but share the outermost buckets."""
+    place: an expression of keys and value that doesn't fall where the value grows, and spreads values over [0, 1], which the buckets cut; the
+    value itself unless given. Results are the same for any place; values that share a bucket are ordered in one task."""
     hist = df.groupBy(*keys, value).agg(*[F.sum(e).alias(c) for c, e in counts.items()])
-    hist = hist.withColumn("__bucket", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(value).cast("double"))) * BUCKETS).cast("int"))
+    at = F.col(value).cast("double") if place is None else place
+    hist = hist.withColumn("__bucket", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at)) * BUCKETS).cast("int"))
     every = Window.partitionBy(*keys) if keys else Window.partitionBy()
     before = every.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = hist.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(c) for c in counts])
@@ -28,11 +32,11 @@ def cumulative(df: DataFrame, keys: list[str], value: str, counts: dict[str, Col
     return out.select(*keys, value, *counts, *below, *[f"{c}_all" for c in counts])
 
 
-def ranked(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], score: str = "score", y: str = "y", weight: Column | None = None, place: Column | None = None) -> DataFrame:
     """cumulative() with p (positives) and n (negatives), each row counting weight (1 unless given)."""
     w = F.lit(1) if weight is None else weight
     rows = df.filter(F.col(score).isNotNull() & F.col(y).isin(0, 1))
-    return cumulative(rows, keys, score, {"p": F.when(F.col(y) == 1, w).otherwise(F.lit(0)), "n": F.when(F.col(y) == 0, w).otherwise(F.lit(0))})
+    return cumulative(rows, keys, score, {"p": F.when(F.col(y) == 1, w).otherwise(F.lit(0)), "n": F.when(F.col(y) == 0, w).otherwise(F.lit(0))}, place)
 
 
 def auc_expr() -> Column:
@@ -145,5 +149,11 @@ def per_class(df: DataFrame, keys: list[str], score: str) -> DataFrame:
 def probe_separability(df: DataFrame, probes: list[str], y: str = "y") -> DataFrame:
     """Per scalar probe: AUC, its distance from chance (max of auc and 1 - auc), class means."""
     rows = df.select(y, F.explode(F.map_from_arrays(F.array(*map(F.lit, probes)), F.array(*[F.col(p).cast("double") for p in probes]))).alias("probe", "value"))
-    means = rows.groupBy("probe").agg(F.avg(F.when(F.col(y) == 0, F.col("value"))).alias("mean_real"), F.avg(F.when(F.col(y) == 1, F.col("value"))).alias("mean_fake"))
-    return auc(rows, ["probe"], "value", y).withColumn("separability", F.greatest("auc", 1 - F.col("auc"))).join(means, "probe")
+    means = rows.groupBy("probe").agg(
+        F.avg(F.when(F.col(y) == 0, F.col("value"))).alias("mean_real"), F.avg(F.when(F.col(y) == 1, F.col("value"))).alias("mean_fake"), F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias("q"),
+    )
+    # probes have units of their own: buckets lie around each one's median, as wide as its quartiles are apart; a row per probe
+    q = means.select("probe", F.get("q", 1).alias("__mid"), F.greatest(F.get("q", 2) - F.get("q", 0), F.lit(1e-12)).alias("__wide"))
+    place = 0.5 + F.atan((F.col("value") - F.col("__mid")) / F.col("__wide")) / math.pi
+    aucs = _grouped(ranked(rows.join(F.broadcast(q), "probe"), ["probe", "__mid", "__wide"], "value", y, place=place), ["probe"], auc_expr().alias("auc"))
+    return aucs.withColumn("separability", F.greatest("auc", 1 - F.col("auc"))).join(means.drop("q"), "probe")

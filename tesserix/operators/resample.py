@@ -3,16 +3,18 @@ the draws. Draws are hashes of (seed, repetition, slot), so they need no state a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.operators.metrics import auc_expr, ranked
+from tesserix.operators.sampling import hash_ranks
+
+REPS = 2000
 
 
 def ordinals(originals: DataFrame, group: str = "grp") -> DataFrame:
-    """Consecutive numbers from 0 per label, in order of the group, and the label's size."""
-    w = Window.partitionBy("y").orderBy(group)
-    return originals.select(group, "y").distinct().withColumn("slot", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("y")))
+    """Consecutive numbers from 0 per label, in hash order of the group, and the label's size: by cumulative counts, so that no label is one task."""
+    return hash_ranks(originals.select(group, "y").distinct(), ["y"], group, "slots").select(group, "y", (F.col("rank") - 1).cast("int").alias("slot"), "n")
 
 
 def draws(originals: DataFrame, reps: int, seed: str, group: str = "grp") -> DataFrame:
@@ -38,17 +40,17 @@ def percentile_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame
     return g.agg(q.alias("__q"), F.count(value).alias("reps")).withColumn("lo", F.get("__q", 0)).withColumn("hi", F.get("__q", 1)).drop("__q")
 
 
-def auc_interval(df: DataFrame, keys: list[str], scores: list[str], reps: int, seed: str) -> DataFrame:
+def auc_interval(df: DataFrame, keys: list[str], scores: list[str], reps: int = REPS, seed: str = "auc") -> DataFrame:
     return percentile_interval(bootstrap_aucs(df, keys, scores, reps, seed), [*keys, "model"], "auc")
 
 
-def paired_interval(df: DataFrame, keys: list[str], a: str, b: str, reps: int, seed: str) -> DataFrame:
+def paired_interval(df: DataFrame, keys: list[str], a: str, b: str, reps: int = REPS, seed: str = "paired") -> DataFrame:
     """Interval of AUC(b) - AUC(a) on the same draws."""
     d = bootstrap_aucs(df, keys, [a, b], reps, seed).groupBy(*keys, "rep").agg((F.max(F.when(F.col("model") == b, F.col("auc"))) - F.max(F.when(F.col("model") == a, F.col("auc")))).alias("delta"))
     return percentile_interval(d, keys, "delta")
 
 
-def block_interval(df: DataFrame, condition: str, a: str, b: str, reps: int, seed: str) -> DataFrame:
+def block_interval(df: DataFrame, condition: str, a: str, b: str, reps: int = REPS, seed: str = "block") -> DataFrame:
     """Interval of the mean over conditions of AUC(b) - AUC(a); an original keeps all its conditions when drawn."""
     sign = F.when(F.col("model") == b, F.col("auc")).otherwise(-F.col("auc"))
     d = bootstrap_aucs(df, [condition], [a, b], reps, seed).groupBy("rep", condition).agg(F.sum(sign).alias("d")).groupBy("rep").agg(F.avg("d").alias("delta"))

@@ -60,19 +60,22 @@ def cal_test_split(df: DataFrame, key: str, fraction: float, seed: str) -> DataF
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """A fold per group: groups with most views first, dealt in turn, so that folds are alike in views. Ranks are prefix sums over
-    the few distinct view counts plus a rank inside each."""
+    the few distinct view counts plus a rank inside each in hash order, by cumulative counts, as all groups may have the same number of views."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_views"))
     by_size = sizes.groupBy("n_views").agg(F.count(F.lit(1)).alias("m"))
     before = Window.orderBy(F.desc("n_views")).rowsBetween(Window.unboundedPreceding, -1)
     base = by_size.select("n_views", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("n_views").orderBy(group)
-    return sizes.withColumn("__r", F.row_number().over(inside) - 1).join(F.broadcast(base), "n_views").select(group, "n_views", F.pmod(F.col("base") + F.col("__r"), F.lit(k)).cast("int").alias("fold"))
+    inside = hash_ranks(sizes, ["n_views"], group, "folds").withColumn("__r", F.col("rank") - 1)
+    return inside.join(F.broadcast(base), "n_views").select(group, "n_views", F.pmod(F.col("base") + F.col("__r"), F.lit(k)).cast("int").alias("fold"))
 
 
 def quota_fill(df: DataFrame, quotas: DataFrame, key: str, order: str, content: str) -> tuple[DataFrame, DataFrame]:
-    """Fill quotas in order after dropping repeated content: the accepted rows, and the shortfall per key. quotas (key, quota): few rows."""
-    unique = df.withColumn("__first", F.row_number().over(Window.partitionBy(content).orderBy(order))).filter("__first = 1").drop("__first")
-    got = unique.join(F.broadcast(quotas), key).withColumn("slot", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("slot") <= F.col("quota"))
+    """Fill quotas in order after dropping repeated content: the accepted rows, and the shortfall per key. quotas (key, quota): few rows.
+
+    The largest quota limits ranks as a number first, which Spark does in every task before the shuffle."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    unique = df.join(F.broadcast(quotas), key).withColumn("__first", F.row_number().over(Window.partitionBy(content).orderBy(order))).filter("__first = 1").drop("__first")
+    got = unique.withColumn("slot", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("slot") <= most).filter(F.col("slot") <= F.col("quota"))
     short = quotas.join(got.groupBy(key).agg(F.count(F.lit(1)).alias("filled")), key, "left").select(key, "quota", F.coalesce("filled", F.lit(0)).alias("filled")).withColumn("short", F.col("quota") - F.col("filled"))
     return got, short
 

@@ -95,7 +95,7 @@ def cal_test_split(spark, d):
     return sampling.cal_test_split(manifest(spark, d), "doc_id", 0.3, "q6").select("doc_id", "part")
 
 
-@query("WITH s AS (SELECT conv_id AS grp, count(*) AS n_views FROM conversations GROUP BY 1) SELECT grp, n_views, ((row_number() OVER (ORDER BY n_views DESC, grp) - 1) % 3)::INTEGER AS fold FROM s")
+@query(f"WITH s AS (SELECT conv_id AS grp, count(*) AS n_views FROM conversations GROUP BY 1) SELECT grp, n_views, ((row_number() OVER (ORDER BY n_views DESC, {sql_hash('folds', 'grp')}) - 1) % 3)::INTEGER AS fold FROM s")
 def group_folds(spark, d):
     """Q7."""
     return sampling.group_folds(table(spark, d, "conversations").withColumnRenamed("conv_id", "grp"), "grp", 3)
@@ -164,9 +164,9 @@ def manifest_counts(spark, d):
     return manifest(spark, d).groupBy("role", "model").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sha").alias("n_distinct"), F.count(F.when(F.col("sid") == 2, 1)).alias("n_tampered"))
 
 
-@query("SELECT doc_id, item_id FROM documents d, (SELECT item_id, text AS passage FROM benchmark WHERE len(list_filter(string_split_regex(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), ' '), lambda w: w <> '')) >= 8) b WHERE contains(d.text, b.passage)")
+@query("SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def protected_contamination(spark, d):
-    """V3 V4: documents that hold a protected passage."""
+    """T5: documents that hold a protected passage, however short."""
     return identity.protected_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
@@ -211,23 +211,51 @@ def _hashes(spark, d):
     return f.join(base, F.col("grp") == F.col("g")).select(F.col("vec_id").alias("id"), moved("d0", 1, F.col("view_idx")).alias("d"), moved("p0", 7, F.col("view_idx") * 5).alias("p"))
 
 
-@query(NEAR + " SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INTEGER AS p_dist, bit_count(xor(a.d, b.d))::INTEGER AS d_dist FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.p, b.p)) <= 4 AND bit_count(xor(a.d, b.d)) <= 2")
+REPS = NEAR + ", r AS (SELECT p, d, min(id) AS id FROM h GROUP BY p, d)"
+
+
+@query(REPS + " SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INTEGER AS p_dist, bit_count(xor(a.d, b.d))::INTEGER AS d_dist FROM r a JOIN r b ON a.id < b.id WHERE bit_count(xor(a.p, b.p)) <= 4 AND bit_count(xor(a.d, b.d)) <= 2")
 def near_dup_pairs(spark, d):
-    """Banded join in place of a nested loop, then the exact radii."""
+    """Pairs between the representatives of different hashes; a banded join in place of a nested loop, then the exact radii."""
+    return identity.near_groups(_hashes(spark, d))
+
+
+@query(NEAR + " SELECT id, min(id) OVER (PARTITION BY p, d) AS rep, count(*) OVER (PARTITION BY p, d) AS n FROM h")
+def near_dup_members(spark, d):
+    """Who stands for whom in near_dup_pairs."""
     h = _hashes(spark, d)
-    return identity.near_pairs(h, h).filter("a < b")
+    return identity.hash_members(h, identity.hash_groups(h))
+
+
+ROLES = "k AS (SELECT h.*, sha256('content ' || (id % 97)::VARCHAR) AS sha, CASE WHEN id % 10 = 0 THEN 'protected' WHEN id % 3 = 2 THEN 'tampered' ELSE 'training' END AS role FROM h)"
 
 
-@query(NEAR + ", e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.p, b.p)) <= 12 AND bit_count(xor(a.d, b.d)) <= 1) SELECT a, b FROM e")
+def _roles(spark, d):
+    """Every tenth vector is protected; digests repeat, so that some protected content is in training to the bit."""
+    i = F.col("id")
+    return _hashes(spark, d).select("id", "p", "d", F.sha2(F.concat(F.lit("content "), (i % 97).cast("string")), 256).alias("sha"), F.when(i % 10 == 0, "protected").when(i % 3 == 2, "tampered").otherwise("training").alias("role"))
+
+
+@query(NEAR + f", {ROLES} SELECT DISTINCT a.id FROM k a JOIN k b ON a.role = 'protected' AND b.role <> 'protected' AND (a.sha = b.sha OR (bit_count(xor(a.p, b.p)) <= 4 AND bit_count(xor(a.d, b.d)) <= 2))")
+def protected_matches(spark, d):
+    """V3 V4: protected originals whose content is in training, by digest or by both hashes."""
+    k = _roles(spark, d)
+    return identity.protected_matches(k.filter("role = 'protected'"), k.filter("role <> 'protected'"))
+
+
+@query(NEAR + f", {ROLES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INTEGER AS p_dist, bit_count(xor(a.d, b.d))::INTEGER AS d_dist FROM (SELECT p, d, min(id) AS id FROM k WHERE role = 'protected' GROUP BY p, d) a JOIN (SELECT p, d, min(id) AS id FROM k WHERE role = 'tampered' GROUP BY p, d) b ON bit_count(xor(a.p, b.p)) <= 12 AND bit_count(xor(a.d, b.d)) <= 10")
 def parent_candidates(spark, d):
-    """Looser in p, stricter in d."""
-    h = _hashes(spark, d)
-    return identity.near_pairs(h, h, 12, 1).filter("a < b").select("a", "b")
+    """Protected against tampered originals, within the looser radii; representatives of their hashes."""
+    k = _roles(spark, d)
+    reps = lambda role: identity.hash_groups(k.filter(F.col("role") == role)).select(F.col("rep").alias("id"), "p", "d")
+    return identity.near_pairs(reps("protected"), reps("tampered"), 12, 10)
 
 
-@query()
+@query(NEAR + """, e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.p, b.p)) <= 4 AND bit_count(xor(a.d, b.d)) <= 2), ids AS (SELECT list(id ORDER BY id) AS l FROM h), n AS (SELECT list(DISTINCT a::VARCHAR || '-' || b::VARCHAR) AS near FROM e),
+t AS (SELECT list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda i: [i])), lambda kept, one: CASE WHEN len(list_filter(kept, lambda x: list_contains(near, x::VARCHAR || '-' || one[1]::VARCHAR))) > 0 THEN kept ELSE list_append(kept, one[1]) END) AS kept FROM ids, n)
+SELECT id, list_contains(kept, id) AS accepted FROM h, t""")
 def greedy_acceptance(spark, d):
-    """First-come acceptance without near neighbours, in parallel rounds; tests hold it against the sequential rule."""
+    """First-come acceptance without near neighbours, in parallel rounds; the SQL goes through the rows one after the other."""
     h = _hashes(spark, d)
     return identity.first_come(h.select("id"), identity.near_pairs(h, h).filter("a < b"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tesserix.functions.scalars import platt
 from tesserix.operators import heads, images, metrics, sampling
 from tesserix.plans.base import query
-from tesserix.runtime import table
 from tesserix.sources.relations import features, scored_views
 from tesserix.streaming import quotas
 
@@ -16,7 +15,7 @@ from tesserix.streaming import quotas
 @query("WITH e AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type) AS r FROM events) SELECT event_type, least(count(*), 40)::BIGINT AS n FROM e GROUP BY event_type")
 def stream_quota_fill(spark, d):
     """ST3: a keyed quota of 40 over the event stream."""
-    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = quotas.table_stream(spark, d, "events")
     kept = quotas.run_to_table(quotas.fill_quotas(events, "event_type", 40, ["event_id"]), "stream-quota")
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -24,7 +23,7 @@ def stream_quota_fill(spark, d):
 @query("SELECT sha256(coalesce(text, '')) AS sha256, count(DISTINCT 1)::BIGINT AS n FROM documents GROUP BY 1")
 def stream_content_once(spark, d):
     """ST1 ST2 S5 D16: each content once, however often it comes."""
-    docs = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = quotas.table_stream(spark, d, "documents")
     return quotas.run_to_table(quotas.once_by_content(docs).select("sha256"), "stream-once").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
 
 

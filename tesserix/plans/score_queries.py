@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserix.functions import binomial
 from tesserix.functions.scalars import clamp, platt, sigmoid, verdict
 from tesserix.operators import metrics, policy, resample, tables, vectors
-from tesserix.plans.base import ACC, AUC, LARGE, SCORED, query, sql_fpr, sql_ranked, sql_tpr
+from tesserix.plans.base import ACC, AUC, LARGE, SCORED, query, sql_fpr, sql_hash, sql_ranked, sql_tpr
 from tesserix.sources.relations import scored_views, scored_views_large
 
 HIGH, LOW = 0.7, 0.45
@@ -117,9 +117,18 @@ def conditionwise_policy(spark, d):
     return policy.conditionwise_policy(scored_views(spark, d), "condition", "score_a", bounds=False)
 
 
-@query(doubles=("high", "low", "fpr_upper", "false_clear_upper"))
+BISECT = 60
+
+
+def sql_upper(errors: str, n: str) -> str:
+    """Bisection for the rate at which so many errors or fewer have the probability 0.05: a step of halving per row of a recursion."""
+    step = "(b.lo + b.hi) / 2"
+    return f"(SELECT CASE WHEN {errors} = {n} THEN 1.0 ELSE list_reduce(list_prepend({{'lo': {errors}::DOUBLE / {n}, 'hi': 1.0::DOUBLE}}, list_transform(range({BISECT}), lambda z: {{'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE}})), lambda b, z: CASE WHEN list_sum(list_transform(range(0, {errors} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({step}) + ({n} - i) * ln(1 - {step})))) > 0.05 THEN {{'lo': {step}, 'hi': b.hi}} ELSE {{'lo': b.lo, 'hi': {step}}} END).hi END)"
+
+
+@query(f"WITH {SCORED}, {sql_policy('sv', ['condition'], 'score_a')} SELECT *, {sql_upper('real_errors', 'n_real')} AS fpr_upper, {sql_upper('fake_errors', 'n_fake')} AS false_clear_upper FROM po", ("high", "low", "fpr_upper", "false_clear_upper"))
 def policy_with_bounds(spark, d):
-    """D-1 with A5: the bounds come from bisection on the exact distribution, tested against published values."""
+    """D-1 with A5: the bounds come from bisection on the exact distribution, tested against published values too."""
     return policy.select_policy(scored_views(spark, d), ["condition"], "score_a")
 
 
@@ -294,7 +303,7 @@ REPS = 20
 
 
 def sql_boot(seed: str) -> str:
-    return f"""{SCORED}, o AS (SELECT grp, y, row_number() OVER (PARTITION BY y ORDER BY grp) - 1 AS slot, count(*) OVER (PARTITION BY y) AS n FROM (SELECT DISTINCT grp, y FROM sv)),
+    return f"""{SCORED}, o AS (SELECT grp, y, row_number() OVER (PARTITION BY y ORDER BY {sql_hash('slots', 'grp')}) - 1 AS slot, count(*) OVER (PARTITION BY y) AS n FROM (SELECT DISTINCT grp, y FROM sv)),
 dr AS (SELECT rep, y, (('0x' || substr(md5('{seed}:' || rep || ':' || y || ':' || slot), 1, 15))::BIGINT % n)::INT AS slot FROM o, (SELECT unnest(range(0, {REPS})) AS rep)),
 w AS (SELECT rep, o.grp, count(*) AS w FROM dr JOIN o USING (y, slot) GROUP BY rep, o.grp),
 b AS (SELECT 'score_a' AS model, rep, condition, y, score_a AS score, w FROM sv JOIN w USING (grp) UNION ALL SELECT 'score_b', rep, condition, y, score_b, w FROM sv JOIN w USING (grp)),
@@ -352,6 +361,27 @@ def development_gate(spark, d):
     return policy.development_gate(metrics.auc(both, ["model", "condition"]))
 
 
+BLENDS = (("base", 0.0), ("cand", 1.0), ("blend_25", 0.25), ("blend_50", 0.5), ("blend_75", 0.75))
+
+
+@query(
+    f"""WITH {SCORED}, v AS (SELECT CASE condition WHEN 'view' THEN 'clean' WHEN 'click' THEN 'resize_0.25' ELSE condition END AS condition, sid, y, m.model, m.ord, (1 - m.w) * score_a + m.w * score_b AS score FROM sv,
+(VALUES {', '.join(f"('{m}', {i}, {w}::DOUBLE)" for i, (m, w) in enumerate(BLENDS))}) AS m(model, ord, w)), {sql_ranked('v', ['model', 'ord', 'condition'], 'score', 'ra')}, t AS (SELECT model, ord, condition, {AUC} AS auc FROM ra GROUP BY ALL),
+o AS (SELECT * FROM v WHERE sid <> 2), {sql_ranked('o', ['model'], 'score', 'ro')}, s AS (SELECT model, {AUC} AS auc FROM ro GROUP BY model),
+p AS (SELECT model, min(ord)::INT AS ord, avg(auc) AS mean_auc, max(CASE WHEN condition = 'resize_0.25' THEN auc END) AS thumb, max(CASE WHEN condition = 'clean' THEN auc END) AS clean FROM t GROUP BY model), q AS (SELECT p.*, s.auc AS own_auc FROM p JOIN s USING (model)),
+g AS (SELECT q.model, q.ord, q.mean_auc, q.thumb - b.thumb AS thumbnail_delta, q.clean - b.clean AS clean_delta, q.own_auc, q.own_auc >= b.own_auc - 0.005 AS own_guard_met,
+ q.model = 'base' OR (q.mean_auc >= b.mean_auc AND q.thumb - b.thumb >= -0.005 AND q.clean - b.clean >= -0.01 AND q.own_auc >= b.own_auc - 0.005) AS eligible FROM q, (SELECT * FROM q WHERE model = 'base') b)
+SELECT *, model = (SELECT model FROM g WHERE eligible ORDER BY mean_auc DESC, ord LIMIT 1) AS selected FROM g""",
+    ("mean_auc", "thumbnail_delta", "clean_delta", "own_auc"),
+)
+def development_selection(spark, d):
+    """D-6 whole: the gates, the guard on the own source's data, and the best of the eligible models."""
+    named = F.when(F.col("condition") == "view", "clean").when(F.col("condition") == "click", "resize_0.25").otherwise(F.col("condition"))
+    blends = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("ord"), F.lit(w).alias("w")) for i, (m, w) in enumerate(BLENDS)])).alias("m")
+    rows = scored_views(spark, d).select(named.alias("condition"), "sid", "y", "score_a", "score_b", blends).select("condition", "sid", "y", "m.model", "m.ord", ((1 - F.col("m.w")) * F.col("score_a") + F.col("m.w") * F.col("score_b")).alias("score"))
+    return policy.development_selection(metrics.auc(rows, ["model", "ord", "condition"]), metrics.auc(rows.filter("sid <> 2"), ["model"]))
+
+
 @query(
     f"""WITH {SCORED}, m AS (SELECT *, unnest(['m25', 'm50', 'm75', 'ref']) AS name, unnest([0.25, 0.5, 0.75, 1.0]) AS alpha FROM sv), s AS (SELECT *, alpha * score_a + (1 - alpha) * score_b AS score FROM m),
 e AS (SELECT * FROM s WHERE domain = 'odd'), {sql_ranked('e', ['name'], 'score', 're')}, t AS (SELECT * FROM s WHERE sid <> 1), {sql_ranked('t', ['name'], 'score', 'rt')},

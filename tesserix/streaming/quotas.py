@@ -6,13 +6,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserix.runtime import fresh
+from tesserix.runtime import fresh, table
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream, be it a folder of part files or a single file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def once_by_content(stream: DataFrame, content: str = "text") -> DataFrame:
     """Rows whose content hasn't been seen; state holds one digest per content."""
     return stream.withColumn("sha256", F.sha2(F.coalesce(F.col(content).cast("string"), F.lit("")), 256)).dropDuplicates(["sha256"])
@@ -57,12 +67,15 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str |
 
 
 def once_into(stream: DataFrame, path: str, key: str, checkpoint: str) -> None:
-    """foreachBatch with a ledger: a batch's rows are appended unless their key is in the table, so that a replayed batch changes nothing."""
+    """foreachBatch with a ledger: the stream's state lets each key through once, and a batch is a folder of its own below path, which a replay of the
+    batch writes anew. Nothing that was written before is read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, rows = batch.sparkSession, batch.dropDuplicates([key])
-        if batch_id:
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        rows.write.mode("append" if batch_id else "overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of once_into()."""
+    return spark.read.parquet(path).drop("batch")
