@@ -231,7 +231,7 @@ def _parsed(bits: Bits, group, count: int):
         # what would begin at each bit
         index = ((words[: high - low, None] >> np.arange(8, dtype=np.uint64)).reshape(-1) & np.uint64((1 << green.width) - 1)).astype(np.int64)
         symbol, end = green.symbols[index], np.arange(n) + green.sizes[index]
-        run, distance, channels = np.ones(n, np.int64), np.zeros(n, np.int64), []
+        channels = []
         if any(others):
             pixel = np.flatnonzero(symbol < 256)
             p = end[pixel]
@@ -242,17 +242,21 @@ def _parsed(bits: Bits, group, count: int):
                     channels[-1][pixel] = c.symbols[index]
                     p = p + c.sizes[index]
             end[pixel] = p
-        link = np.flatnonzero((symbol >= 256) & (symbol < 280))
-        if len(link):
-            least, more = EXTRA[symbol[link] - 256].T
-            p = end[link]
-            run[link] = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)
+
+        def referred(link, p):
+            """Of back-references whose symbol ends at p: lengths, distances, ends."""
+            least, more = EXTRA[symbol[link] - 256].T  # noqa: B023
+            run = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)  # noqa: B023
             p = p + more
-            index = (at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)
+            index = (at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)  # noqa: B023
             least, more = EXTRA[far.symbols[index]].T
             p = p + far.sizes[index]
-            distance[link] = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)
-            end[link] = p + more
+            return run, least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64), p + more  # noqa: B023
+
+        link = np.flatnonzero(symbol >= 256)
+        link = link[symbol[link] < 280]
+        if len(link):
+            end[link] = referred(link, end[link])[2]
         # what does begin
         p, ends, starts = pos - 8 * low, memoryview(end), []
         add = starts.append
@@ -260,15 +264,20 @@ def _parsed(bits: Bits, group, count: int):
             add(p)
             p = ends[p]
         starts = np.array(starts, np.int64)
-        total = run[starts].cumsum()
+        found = symbol[starts]
+        run, distance, own = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero((found >= 256) & (found < 280))
+        if len(own):
+            run[own], distance[own], _ = referred(starts[own], starts[own] + green.sizes[(at(starts[own]) & np.uint64((1 << green.width) - 1)).astype(np.int64)])
+        total = run.cumsum()
         if done + total[-1] >= count:
             last = int(np.searchsorted(total, count - done))
             if done + total[last] != count:
                 raise ValueError("a back-reference leaves the image")
             starts = starts[: last + 1]
             p = ends[int(starts[-1])]
-        parts.append([x[starts] for x in (symbol, run, distance, *channels)])
-        done, pos = done + int(run[starts].sum()), 8 * low + p
+        k = len(starts)
+        parts.append([found[:k], run[:k], distance[:k], *[x[starts] for x in channels]])
+        done, pos = done + int(total[k - 1]), 8 * low + p
     bits.pos = pos
     if bits.pos > bits.n:
         raise ValueError("the stream ends too early")
@@ -885,31 +894,20 @@ def chosen(image: np.ndarray) -> dict:
 
 
 def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Back-references of bytes (starts, lengths, distances), greedy from the left: each to the last place with the same next 10 bytes, else
-    the same next 5; one is left out where the next byte's is longer by two."""
+    """Back-references of bytes (starts, lengths, distances), greedy from the left: each to the last place with the same next 5 bytes; one is
+    left out where the next byte's is longer by two."""
     n, none = len(x), np.empty(0, np.int64)
     m = n - LEAST_RUN
     if m < 1:
         return none, none, none
     data = x.tobytes()
     words = np.ndarray((n + 24,), "<u8", data + bytes(32), strides=(1,)).copy()
-    place, twenty = np.arange(m, dtype=np.uint64), np.uint64(20)
-
-    def last_same(key, k):
-        """Pairs of places next to each other in order of (key, place), the key having 44 bits."""
-        order = np.sort(key << twenty | place[:k])
-        same = np.flatnonzero((order[1:] ^ order[:-1]) < (1 << 20))
-        at = (order & np.uint64((1 << 20) - 1)).astype(np.int64)
-        return at[same + 1], at[same]
-
+    # places in order of (the next 5 bytes, place): 40 and 20 bits
+    order = np.sort((words[:m] & np.uint64((1 << 40) - 1)) << np.uint64(20) | np.arange(m, dtype=np.uint64))
+    same = np.flatnonzero((order[1:] ^ order[:-1]) < (1 << 20))
+    at = (order & np.uint64((1 << 20) - 1)).astype(np.int64)
     was = np.full(m, -1)
-    i, j = last_same(words[:m] & np.uint64((1 << 40) - 1), m)
-    was[i] = j
-    if n > 64:
-        k = n - 10
-        i, j = last_same(((words[:k] ^ words[2 : k + 2] >> np.uint64(11)) * np.uint64(0x9E3779B97F4A7C15)) >> twenty, k)
-        good = (words[i] == words[j]) & (words[i + 2] == words[j + 2])
-        was[i[good]] = j[good]
+    was[at[same + 1]] = at[same]
     starts = np.flatnonzero(was >= 0)
     if not len(starts):
         return none, none, none
