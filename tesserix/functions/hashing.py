@@ -18,6 +18,18 @@ def unit_hash(seed: str, key: Column) -> Column:
     return stable_hash(seed, key) / F.lit(float(1 << 60))
 
 
+def stable_seed(*parts: Column) -> Column:
+    """A seed of 60 bits from any number of values, each written with its length, so that no two lists of values run together."""
+    told = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    text = F.concat(*[x for t in told for x in (F.length(t).cast("string"), F.lit(":"), t)])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def content_seed(content: Column) -> Column:
+    """The CRC of a binary or text column."""
+    return F.crc32(content)
+
+
 def fingerprint(tag: str, payload: Column, snapshots: Column) -> Column:
     """Digest of a domain tag, a payload and a snapshot map as sorted JSON."""
     return F.sha2(F.concat(F.lit(tag + "\n"), payload, F.lit("\n"), canonical_json(snapshots)), 256)

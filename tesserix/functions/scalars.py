@@ -75,3 +75,10 @@ def normalised(x: Column) -> Column:
 
 def half_up(x: Column, digits: int) -> Column:
     return F.round(x.cast("decimal(18,10)"), digits)
+
+
+def callback_text(pred: Column, high: Column, low: Column) -> Column:
+    """What a reader of one score is told: the verdict, the score and where the thresholds lie; a score that isn't finite claims nothing."""
+    said = F.when(pred >= high, "AI flag").when(pred <= low, "Low signal").otherwise("Needs review")
+    told = F.format_string("%s (score %.3f; flagged from %.3f, low signal up to %.3f)", said, pred, high, low)
+    return F.when(is_finite(pred), told).otherwise(F.lit("Needs review (no valid score)"))

@@ -26,7 +26,7 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rows = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
     part = lambda k: F.element_at(F.split("path", "/"), k)
-    return rows.select("path", F.when(part(-2) == "real", 0).when(part(-2) == "aigc", 1).alias("label"), part(-3).alias("split"), "content")
+    return rows.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).select("path", F.when(part(-2) == "real", 0).when(part(-2) == "aigc", 1).alias("label"), part(-3).alias("split"), "content")
 
 
 def decode_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,7 +35,9 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder).select("image.*")
     # rotations are in the headers of JPEG files only; the few files that have one are small rows, joined by path
     headers = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.substring("content", 1, 131072).alias("head")).filter(F.substring("head", 1, 2) == F.lit(b"\xff\xd8"))
-    rows = images.join(headers, F.col("origin") == F.col("path"), "left").select("origin", "height", "width", "nChannels", "data", "head")
+    # one reader writes file:/// where the other writes file:/
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rows = images.withColumn("origin", same("origin")).join(headers.withColumn("path", same("path")), F.col("origin") == F.col("path"), "left").select("origin", "height", "width", "nChannels", "data", "head")
 
     def run(batches):
         for b in batches:
@@ -90,6 +92,15 @@ def view(image: np.ndarray, condition: str, seed: int = 0) -> np.ndarray:
     raise ValueError(f"unknown condition {condition}")
 
 
+def manual_view(image: np.ndarray, quality: float = 100, sigma: float = 0, noise: float = 0, ratio: float = 1, scale: float = 1, scenario: str | None = None) -> np.ndarray:
+    """Degradations chosen by hand, in a fixed order (compression, blur, noise, crop, scale; a neutral value leaves a step out). A named chain
+    takes their place and starts from the image itself."""
+    if scenario in CHAINS:
+        return px.apply_chain(image, CHAINS[scenario])
+    steps = [("jpeg", quality, quality < 100), ("blur", sigma, sigma > 0), ("noise", noise, noise > 0), ("crop", ratio, ratio < 1), ("resize", scale, scale < 1)]
+    return px.apply_chain(image, [(op, p) for op, p, on in steps if on])
+
+
 def paired_views(image: np.ndarray, seed: int) -> list[tuple[str, np.ndarray]]:
     """Clean and one degraded view per family, its parameter picked by the seed."""
     rng, out = np.random.default_rng(seed), [("clean", image)]
@@ -174,6 +185,19 @@ def augmented(images: DataFrame, how: str = "paired") -> DataFrame:
     return images.select("img_id", "height", "width", "pixels").mapInArrow(run, f"img_id long, condition string, {RAW}")
 
 
+def single_view(images: DataFrame, condition: str) -> DataFrame:
+    """Each image under one named condition: img_id, label, height, width, pixels."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                v = view(_image(r), condition, r["img_id"])
+                yield pa.RecordBatch.from_pylist([{"img_id": r["img_id"], "label": r["label"], "height": v.shape[0], "width": v.shape[1], "pixels": v.tobytes()}], schema)
+
+    schema = pa.schema([("img_id", pa.int64()), ("label", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
+    return images.select("img_id", "label", "height", "width", "pixels").mapInArrow(run, f"img_id long, label int, {RAW}")
+
+
 def reencoded(images: DataFrame, keys: list[str], generations: int, quality: float = 95) -> DataFrame:
     """Each image after so many compressions in turn."""
     kinds = {f.name: f.dataType.simpleString() for f in images.select(*keys).schema}

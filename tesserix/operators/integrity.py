@@ -57,3 +57,47 @@ def max_drift(a: Column, b: Column, prefix: int) -> Column:
     same = F.slice(a, 1, prefix) == F.slice(b, 1, prefix)
     tail = F.zip_with(F.slice(a, prefix + 1, 1 << 20), F.slice(b, prefix + 1, 1 << 20), lambda x, y: F.abs(x - y))
     return F.when(same & (F.size(a) == F.size(b)), F.coalesce(F.array_max(tail), F.lit(0.0)))
+
+
+def one_provenance(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """The parts in one table, if all their rows carry the same values in columns (snapshots, fingerprints); else an error."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    seen = rows.select(*columns).distinct().limit(2).count()
+    if seen > 1:
+        raise ValueError(f"the parts differ in {', '.join(columns)}")
+    return rows
+
+
+def role_conflicts(df: DataFrame, held_out: list[str], model: str = "model", role: str = "role", training: tuple[str, ...] = ("train", "cal", "dev")) -> DataFrame:
+    """Rows of generators that are held out for the test, in a role before it."""
+    return df.filter(F.col(model).isin(*held_out) & F.col(role).isin(*training))
+
+
+def frozen_source(root: str, name: str, registry: dict, expected: str | None = None) -> bytes:
+    """The bytes of a source that a receipt names: the current ones, or the archived ones if the registry has a record of it.
+
+    registry: files: name -> current (digest of what runs now), archived (digest of what was recorded), snapshot (path below root). A path that
+    leads out of root, a changed current source and a snapshot that isn't the recorded one are errors."""
+    import hashlib
+    from pathlib import Path
+
+    base = Path(root).resolve()
+
+    def read(part: str, digest: str | None, what: str) -> bytes:
+        path = (base / part).resolve()
+        if not path.is_relative_to(base):
+            raise ValueError(f"{part} leads out of {base}")
+        data = path.read_bytes()
+        if digest is not None and hashlib.sha256(data).hexdigest() != digest:
+            raise ValueError(f"{what} has changed: {part}")
+        return data
+
+    record = registry["files"].get(name)
+    if record is None:
+        return read(name, expected, "the locked source")
+    read(name, record["current"], "the current source")
+    if expected is not None and expected != record["archived"]:
+        raise ValueError(f"the receipt and the registry differ: {name}")
+    return read(record["snapshot"], record["archived"], "the snapshot")

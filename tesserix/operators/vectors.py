@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserix.functions.hashing import let
 from tesserix.functions.scalars import is_finite, norm, normalised
 from tesserix.operators.metrics import one_label
 
@@ -112,3 +113,40 @@ def scale_stats(df: DataFrame, x: str = "x", weight: Column | None = None) -> Da
 
 def vector_norm(x: Column) -> Column:
     return norm(x)
+
+
+def mean_of(views: Column, width: int) -> Column:
+    """Element-wise mean of an array of vectors."""
+    total = lambda vs: F.aggregate(vs, F.array_repeat(F.lit(0.0), width), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return let(views, lambda vs: F.transform(total(vs), lambda t: t / F.size(vs)))
+
+
+def pooled(tokens: Column, width: int) -> Column:
+    """Of an array of token vectors, normalised: population deviation, then largest distance from the mean, per position."""
+    def of(t: Column) -> Column:
+        def spread(m: Column) -> Column:
+            off = F.transform(t, lambda v: F.zip_with(v, m, lambda a, b: a - b))
+            return let(off, lambda o: F.concat(
+                F.transform(mean_of(F.transform(o, lambda v: F.transform(v, lambda a: a * a)), width), lambda q: F.sqrt(q)),
+                F.aggregate(o, F.array_repeat(F.lit(0.0), width), lambda a, v: F.zip_with(a, v, lambda x, y: F.greatest(x, F.abs(y)))),
+            ))
+
+        return let(mean_of(t, width), spread)
+
+    return let(F.transform(tokens, normalised), of)
+
+
+def composed(views: Column, token: Column, patches: Column, forensic: Column, corners: Column, widths: tuple[int, int] = (512, 384)) -> Column:
+    """The whole descriptor of an image: the mean of its views' unit vectors, made unit again; the unit class token; the forensic numbers;
+    the pooled patch tokens; the corners' summary. widths: of view vectors and of tokens; 512 and 384 give 924 + 824 = 1748 numbers with 28 and 56."""
+    clip = let(mean_of(F.transform(views, normalised), widths[0]), normalised)
+    whole = F.concat(clip, normalised(token), forensic, pooled(patches, widths[1]), corners)
+    return let(whole, lambda z: F.when(F.forall(z, is_finite), z).otherwise(F.raise_error(F.lit("a descriptor must be finite"))))
+
+
+def cache_rows(manifest: DataFrame, cache: DataFrame, views: int, index: str = "cache_index", row: str = "row") -> DataFrame:
+    """Manifest rows beside their rows of a cache that holds `views` rows per original, one after the other: the i-th original's are i views to
+    i views + views - 1. A manifest row whose cache rows are missing is an error."""
+    want = manifest.withColumn("view_idx", F.explode(F.sequence(F.lit(0), F.lit(views - 1)))).withColumn(row, F.col(index) * views + F.col("view_idx"))
+    found = want.join(cache.withColumn("__there", F.lit(True)), row, "left")
+    return found.withColumn(row, F.when(F.col("__there"), F.col(row)).otherwise(F.raise_error(F.lit("a cache row is missing")))).drop("__there")

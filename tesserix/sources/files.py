@@ -17,12 +17,22 @@ from tesserix.operators.tables import keep_last
 
 
 def read_config(path: str, root: str | None = None) -> dict:
-    """JSON configuration; values of keys that end in _dir are resolved against root (the file's folder unless given)."""
-    conf = json.loads(Path(path).read_text(encoding="utf-8"))
+    """JSON or YAML configuration, by suffix; values of keys that end in _dir are resolved against root (the file's folder unless given)."""
+    text = Path(path).read_text(encoding="utf-8")
+    conf = _yaml(text) if str(path).lower().endswith((".yaml", ".yml")) else json.loads(text)
     base = Path(root or os.path.dirname(os.path.abspath(path)))
     return {k: str(base / v) if k.endswith("_dir") and isinstance(v, str) and not os.path.isabs(v) else v for k, v in conf.items()}
 
 
+def _yaml(text: str) -> dict:
+    """YAML by its library, which is optional; files that are JSON need none."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("YAML configurations need the yaml library; JSON ones don't") from e
+    return yaml.safe_load(text) or {}
+
+
 def _no_nan(v):
     if isinstance(v, float) and not math.isfinite(v):
         raise ValueError("a number that isn't finite has no place in JSON")
@@ -56,13 +66,23 @@ def write_table(df: DataFrame, path: str, fields: list[str] | None = None) -> No
 
 
 def write_features(df: DataFrame, path: str) -> None:
-    """A feature cache, a folder per role; other roles' folders stay."""
+    """A feature cache, a folder per role; other roles' folders stay. Spark's committer moves a role's files in when all of them are written."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("role").parquet(path)
 
 
-def read_features(spark: SparkSession, path: str, role: str) -> DataFrame:
-    """One role of a feature cache; only its folder is read."""
-    return spark.read.parquet(path).filter(F.col("role") == role)
+def read_features(spark: SparkSession, path: str, role: str, variant: str = "x") -> DataFrame:
+    """One role of a feature cache; only its folder is read. Caches hold one column per variant; older ones have a single column x, which stands for any
+    variant, and no n_views (views per original), which is then counted."""
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(path).filter(F.col("role") == role)
+    if variant not in rows.columns:
+        if "x" not in rows.columns:
+            raise ValueError(f"{path} has neither {variant} nor x")
+        rows = rows.withColumn(variant, F.col("x"))
+    if "n_views" not in rows.columns:
+        rows = rows.withColumn("n_views", F.count(F.lit(1)).over(Window.partitionBy("grp")))
+    return rows
 
 
 def write_predictions(df: DataFrame, path: str, name: str = "path", pred: str = "pred") -> None:

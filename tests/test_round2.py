@@ -235,3 +235,60 @@ def test_first_come_on_a_chain(spark):
     assert sorted(r["id"] for r in got.filter("accepted").collect()) == kept
 
 
+
+
+def test_exif_rotation_is_undone(spark, tmp_path):
+    """A JPEG with an orientation in its header comes out upright."""
+    image = px.blur(px.generated(4, 24, 40), 2.0)
+    data = px.jpeg_file(image, 95)
+    tiff = b"II*\x00\x08\x00\x00\x00" + b"\x01\x00" + b"\x12\x01\x03\x00\x01\x00\x00\x00\x06\x00\x00\x00" + b"\x00\x00\x00\x00"
+    exif = b"Exif\x00\x00" + tiff
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jpg").write_bytes(data[:2] + b"\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + data[2:])
+    (r,) = images.decode_images(spark, str(tmp_path / "in")).collect()
+    back = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], 3).astype(int)
+    assert back.shape == (40, 24, 3) and np.abs(back - np.rot90(image, -1)).mean() < 3
+
+
+def test_seeds_and_frozen_sources(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    from tesserix.functions import hashing
+    from tesserix.operators import integrity
+    from tesserix.sources import files
+
+    row = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string").select(hashing.stable_seed(F.col("x"), F.col("y")).alias("s"), hashing.content_seed(F.encode("x", "UTF-8")).alias("c")).collect()
+    assert row[0]["s"] != row[1]["s"] and row[0]["c"] == zlib.crc32(b"ab")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    (tmp_path / "old").mkdir()
+    (tmp_path / "a.py").write_bytes(b"new")
+    (tmp_path / "old" / "a.txt").write_bytes(b"as it was")
+    (tmp_path / "b.py").write_bytes(b"same")
+    reg = {"files": {"a.py": {"current": sha(b"new"), "archived": sha(b"as it was"), "snapshot": "old/a.txt"}}}
+    root = str(tmp_path)
+    assert integrity.frozen_source(root, "a.py", reg, sha(b"as it was")) == b"as it was" and integrity.frozen_source(root, "b.py", reg, sha(b"same")) == b"same"
+    for name, expected in (("../x", None), ("b.py", sha(b"other")), ("a.py", sha(b"other"))):
+        with pytest.raises((ValueError, OSError)):
+            integrity.frozen_source(root, name, reg, expected)
+    (tmp_path / "a.py").write_bytes(b"changed")
+    with pytest.raises(ValueError):
+        integrity.frozen_source(root, "a.py", reg)
+    (tmp_path / "c.yaml").write_text("data_dir: d\nk: [1, 2.5]\n# note\n")
+    pytest.importorskip("yaml")
+    assert files.read_config(str(tmp_path / "c.yaml")) == {"data_dir": str(tmp_path / "d"), "k": [1, 2.5]}
+
+
+def test_provenance_and_manual_views(spark):
+    from tesserix.operators import integrity, vectors
+
+    a, b = spark.createDataFrame([(1, "r")], "id long, rev string"), spark.createDataFrame([(2, "s")], "id long, rev string")
+    assert integrity.one_provenance([a, a], ["rev"]).count() == 2
+    with pytest.raises(ValueError):
+        integrity.one_provenance([a, b], ["rev"])
+    with pytest.raises(Exception, match="missing"):
+        vectors.cache_rows(spark.createDataFrame([(1, 5)], "id long, cache_index long"), spark.createDataFrame([(0, 1.0)], "row long, v double"), 2).collect()
+    x = px.generated(3, 32, 32)
+    assert np.array_equal(images.manual_view(x), x)
+    assert np.array_equal(images.manual_view(x, quality=50, scale=0.5), px.down_up(px.jpeg(x, 50), 0.5))
+    assert np.array_equal(images.manual_view(x, quality=10, scenario="noise_jpeg"), images.view(x, "noise_jpeg"))
