@@ -55,8 +55,12 @@ def _write(df: DataFrame, name: str) -> str:
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by saved() that no later plan reads."""
     for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        forget_folder(spark, f.rsplit("/", 1)[0])
+
+
+def forget_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
