@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tesserix.llm.graph import components
 from tesserix.llm.words import WORD, Memo, mix64, opened
-from tesserix.runtime import BROADCAST_ROWS, checked_side, free_name, fresh, saved, shared_ids
+from tesserix.runtime import BROADCAST_ROWS, checked_side, forget, forget_folder, free_name, fresh, saved, shared_ids
 
 N, THRESHOLD = 5, 0.8
 SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 512
@@ -152,8 +152,8 @@ def _close(batches):
 
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """sets (rep, tokens) to candidate links (a, b): all runs at once, level by level."""
-    runs, tables = runs_needed(recall, threshold, DEPTH), []
+    """sets (rep, tokens) to candidate links (a, b), in a table of the shared folder: all runs at once, level by level."""
+    runs, tables, spent = runs_needed(recall, threshold, DEPTH), [], []
     rows = int(sets.count() * runs / threshold)  # one coordinate is sampled, or two so often that 1/threshold are on average
     nodes = sets.select("rep", "tokens", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])).alias("path"))
     for level in range(1, DEPTH + 1):
@@ -166,6 +166,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         few = F.broadcast(few) if told["paths"] <= BROADCAST_ROWS else few
         small = children.join(few, "path").join(sets, "rep").select("path", "rep", "tokens")
         tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}", told["small"] if level > 1 else None))
+        spent += [children, counts]
         large = counts.filter(~is_small)
         if level == DEPTH:
             tables.append(saved(children.join(large, "path").select(F.col("rep").alias("a"), F.col("least").alias("b")), "path-whole"))
@@ -176,7 +177,10 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
-    return out.filter("a <> b").distinct()
+    out = saved(out.filter("a <> b").distinct(), "ngram-candidates")
+    for t in [*spent, *tables]:
+        forget(sets.sparkSession, t)
+    return out
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -322,7 +326,9 @@ def exact_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int = N
     after = per_class.select("label", (F.col("class") - 1).alias("class_u"), F.col("blocks").alias("blocks_v"))
     beside = every.join(after, ["label", "class_u"]).select("label", "class_u", "u", (F.col("class_u") + 1).alias("class_v"), F.explode(F.sequence(F.lit(0), F.col("blocks_v") - 1)).alias("v"))
     units = same.union(beside)
-    return own.union(saved(units.repartition("label", "class_u", "u", "class_v", "v").mapInArrow(across, schema), "ngram-across"))
+    found = own.union(saved(units.repartition("label", "class_u", "u", "class_v", "v").mapInArrow(across, schema), "ngram-across"))
+    forget_folder(spark, folder)  # the blocks
+    return found
 
 
 def keep_block(folder: str, name: str, rows: list[tuple[int, np.ndarray]]) -> None:
@@ -351,8 +357,9 @@ def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rec
     """One row per document: doc_id, class_id, n_links, rep_id, n_shingles."""
     own = saved(sketches(docs, n), "ngram-sketches")
     sets = saved(own.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "ngram-sets")
-    links = saved(candidates(sets.select("rep", "tokens").filter("rep is not null").dropDuplicates(["rep"]), threshold, recall), "ngram-candidates")
+    links = candidates(sets.select("rep", "tokens").filter("rep is not null").dropDuplicates(["rep"]), threshold, recall)
     groups = components(links, "ngram-groups", links.count())
+    forget(docs.sparkSession, links)
     sizes = sets.filter("rep is not null").groupBy("rep").agg(F.first("size").alias("size"))
     found = exact_links(docs, groups, sizes, n, threshold)
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ngram-classes", groups.count())

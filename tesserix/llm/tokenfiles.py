@@ -6,8 +6,8 @@ table gives each shard's documents and tokens, and prefix sums over it give each
 base + offset. Readers map local files into memory; other stores are read as bytes through Arrow's file systems.
 
 Files are written under a name of their attempt and then moved, and their content depends on the input alone, so repeated or
-speculative tasks leave whole files. Null text: empty, so only the end id. Rows with equal doc_id lie next to each other by
-text. Null doc_ids come first. An empty table gives no shard and an empty result.
+speculative tasks leave whole files. Null text: empty, so only the end id. Rows with equal doc_id lie next to each other by a
+hash of the text. Null doc_ids come first. Texts of any length are streamed to the file; other columns are ignored, whatever their names. An empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -140,7 +140,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n_docs, "n_tokens": n_tokens, "dtype": coder.dtype.str}])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # rows that share a doc_id are parted by their texts' hash
+    ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     # one row per shard, far fewer than documents: they come to the driver, which adds up the bases
     rows, base = [], 0
     for r in sorted(ordered.mapInArrow(run, "shard long, n_docs long, n_tokens long, dtype string").collect(), key=lambda r: r["shard"]):
@@ -149,6 +151,18 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     return docs.sparkSession.createDataFrame(rows, "shard long, n_docs long, n_tokens long, dtype string, base long")
 
 
+class Remote:
+    """A file of numbers in a store that can't be mapped: slices are read when they are asked for."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, dtype: np.dtype):
+        self.file, self.dtype = fs.open_input_file(path), dtype
+        self.size = self.file.size() // dtype.itemsize
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        start, stop, _ = at.indices(self.size)
+        return np.frombuffer(self.file.read_at(max(0, stop - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
+
+
 class TokenStore:
     """A shard for reading: ids(i) is the i-th document's ids, without copying where the file can be mapped."""
 
@@ -158,8 +172,9 @@ class TokenStore:
         if isinstance(fs, pafs.LocalFileSystem):
             read = lambda p, t: np.memmap(p, t, "r") if os.path.getsize(p) else np.empty(0, t)
         else:
-            read = lambda p, t: np.frombuffer(fs.open_input_file(p).read(), t)
+            read = lambda p, t: Remote(fs, p, t)
         self.tokens, index = read(names[0], np.dtype(dtype)), read(names[1], np.dtype("<i8"))
+        index = index[:]
         n = (len(index) - 1) // 2
         self.doc_ids, self.offsets = index[:n], index[n:]
 
