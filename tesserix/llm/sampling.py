@@ -20,8 +20,10 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, per_label: int, seed: str,
     a value's documents are taken in hash order while their sum stays within its share. Of a text longer than a whole share, that many characters
     are taken, at a place given by the hash."""
     order = Window.partitionBy("label").orderBy("h", "doc_id")
-    # per_label is a literal limit on the rank, which Spark applies in every task before the shuffle
     ids = labels.filter("label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "label").withColumn("h", hash_rank(seed))
+    # hashes below twice the share that is asked for: some 2 x per_label rows of a value are ranked in one task, whatever the table
+    sizes = checked_side(ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sample-sizes")
+    ids = ids.join(sizes, "label").filter(F.col("h") / 2.0**64 + 0.5 <= 2.0 * (per_label + 20) / F.col("n"))
     ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label).groupBy("doc_id").agg(F.min("label").alias("label"), F.min("h").alias("h"))
     ids = checked_side(ids, "sample-ids")
     values = ids.select("label").distinct().count()
