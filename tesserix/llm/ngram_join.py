@@ -160,12 +160,12 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         children = saved(_children(nodes, threshold), f"paths-{level}", rows)
         counts = saved(children.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1"), f"path-sizes-{level}", rows)
         is_small = F.col("n") <= SMALL
-        told = counts.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.when(is_small, F.col("n")).otherwise(0)).alias("small"), F.sum(F.when(is_small, 0).otherwise(F.col("n"))).alias("large")).first()
+        told = counts.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.when(is_small, 0).otherwise(F.col("n"))).alias("large")).first()
         # sizes are two numbers a path: sent to the children while they are few enough, else joined by a shuffle
         few = counts.filter(is_small).select("path")
         few = F.broadcast(few) if told["paths"] <= BROADCAST_ROWS else few
         small = children.join(few, "path").join(sets, "rep").select("path", "rep", "tokens")
-        tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}", told["small"] if level > 1 else None))
+        tables.append(saved(small.repartition("path").sortWithinPartitions("path").mapInArrow(_close, "a long, b long"), f"path-links-{level}"))
         spent += [children, counts]
         large = counts.filter(~is_small)
         if level == DEPTH:
