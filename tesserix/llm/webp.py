@@ -166,6 +166,11 @@ class Prefix:
         return s
 
 
+@lru_cache(maxsize=64)
+def _prefix_of(lengths: tuple[int, ...]) -> Prefix:
+    return Prefix(list(lengths))
+
+
 def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
     lengths = [0] * alphabet
     if bits.read(1):
@@ -177,7 +182,7 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
     own = [0] * 19
     for i in range(4 + bits.read(4)):
         own[ORDER[i]] = bits.read(3)
-    code = Prefix(own)
+    code = _prefix_of(tuple(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
     if code.only is not None and code.only < 16:  # one length for all
@@ -591,6 +596,18 @@ def _put_simple(w: BitWriter, symbols: list[int]) -> None:
         w.put(symbols[1], 8)
 
 
+#: The code in which codes' lengths (0 to 15, and runs 16 to 18) are written: one for all images, as making one for each takes longer than its some ten bytes
+#: are worth. Lengths of 5 to 8 are the commonest.
+LENGTHS = (4, 6, 6, 5, 4, 3, 3, 3, 3, 4, 5, 6, 6, 6, 7, 7, 5, 4, 4)
+LAST = max(i for i, k in enumerate(ORDER) if LENGTHS[k]) + 1
+
+
+@lru_cache(maxsize=1)
+def _length_code() -> tuple[list[int], list[int]]:
+    codes, sizes = canonical(LENGTHS)
+    return codes.tolist(), sizes.tolist()
+
+
 def _put_prefix(w: BitWriter, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Write a code's lengths; gives canonical(lengths)."""
     lengths = np.asarray(lengths, np.int64)
@@ -614,16 +631,11 @@ def _put_prefix(w: BitWriter, lengths: list[int]) -> tuple[np.ndarray, np.ndarra
                 runs.append((17, take - 3, 3) if take <= 10 else (18, take - 11, 7))
                 n -= take
             runs += [(0, 0, 0)] * n
-    counts = [0] * 19
-    for r in runs:
-        counts[r[0]] += 1
-    own = code_lengths(counts, 7)
-    last = max(i for i, s in enumerate(ORDER) if own[s]) + 1
-    w.put(max(last, 4) - 4, 4)
-    w.put_many([(own[s], 3) for s in ORDER[: max(last, 4)]])
+    w.put(max(LAST, 4) - 4, 4)
+    w.put_many([(LENGTHS[k], 3) for k in ORDER[: max(LAST, 4)]])
     w.put(0, 1)
-    codes, sizes = (x.tolist() for x in canonical(own))
-    w.put_many([(codes[s] | extra << sizes[s], sizes[s] + n) for s, extra, n in runs])
+    codes, sizes = _length_code()
+    w.put_many([(codes[k] | extra << sizes[k], sizes[k] + n) for k, extra, n in runs])
     return canonical(lengths)
 
 
