@@ -36,7 +36,7 @@ NULL_ID = np.iinfo(np.int64).min
 
 class LibraryEncoder:
     """Ids by the tokenizers library. Where its file says that white space separates and is dropped (see splits_at_spaces), a text is cut at ASCII white
-    space, and its new pieces go through the library together, once, and are kept in a bounded memo; texts with unusual characters or control
+    space, and its new pieces go through the library together, once, and are kept in a memo of bounded size; texts with unusual characters or control
     strings, and all texts under other files, go to the library whole."""
 
     def __init__(self, vocabulary: str):
@@ -49,7 +49,7 @@ class LibraryEncoder:
         self.by_piece = splits_at_spaces(vocabulary)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kind = "H" if self.dtype.itemsize == 2 else "I"
-        self.piece = Memo(self._piece, 96 << 20)
+        self.piece = Memo(self._piece, 224 << 20)
 
     def _raw(self, ids: list[int]) -> bytes:
         raw = array(self.kind, ids)
@@ -71,12 +71,12 @@ class LibraryEncoder:
             pieces = [p for p, t in zip(pieces, texts, strict=True) if not UNUSUAL.search(t)]
             texts = [p.decode("utf-8") for p in pieces]
         found = self.library.encode(" ".join(texts), add_special_tokens=False)
-        ids, starts = found.ids, [o[0] for o in found.offsets]
-        k, end = 0, -1
+        raw, starts, each = self._raw(found.ids), [o[0] for o in found.offsets], self.dtype.itemsize
+        k, end, keep = 0, -1, self.piece.keep
         for p, t in zip(pieces, texts, strict=True):
             end += 1 + len(t)
             j = bisect_left(starts, end, k)
-            self.piece.keep(p, self._raw(ids[k:j]))
+            keep(p, raw[k * each : j * each])
             k = j
 
     def encode(self, raw: bytes) -> bytes:

@@ -66,7 +66,8 @@ class Memo(dict):
         return out
 
     def keep(self, word, out) -> None:
-        size = self.ENTRY + sys.getsizeof(word) + sys.getsizeof(out)
+        both = word.__class__ is bytes and out.__class__ is bytes
+        size = self.ENTRY + (len(word) + len(out) + 66 if both else sys.getsizeof(word) + sys.getsizeof(out))
         if size > self.half // self.WIDE:
             return
         if self.size + size > self.half:
