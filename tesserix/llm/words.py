@@ -23,16 +23,12 @@ def _numbers() -> dict[int, str]:
     return {i: " " for i in range(128, sys.maxunicode + 1) if chr(i).isalnum() and not unicodedata.category(chr(i)).startswith("L")}
 
 
-@lru_cache(maxsize=1)
-def _number_signs() -> frozenset[str]:
-    return frozenset(map(chr, _numbers()))
-
-
 def letter_runs(text: str) -> list[str]:
     """Runs of letters."""
-    if not text.isascii() and not _number_signs().isdisjoint(text):
-        text = text.translate(_numbers())
-    return LETTERS.findall(text)
+    runs = LETTERS.findall(text)
+    if runs and not text.isascii() and not "".join(runs).isalpha():
+        runs = LETTERS.findall(text.translate(_numbers()))
+    return runs
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
