@@ -108,11 +108,13 @@ def shared_ids(docs: DataFrame, name: str) -> DataFrame | None:
     found = docs.groupBy(F.col("doc_id").cast("long").alias("__shared")).count().filter("count > 1").select("__shared", F.lit(True).alias("__is_shared"))
     found = saved(found, name)
     n = found.count()
+    if not n:
+        forget(docs.sparkSession, found)
     return None if not n else F.broadcast(found) if n <= BROADCAST_ROWS else found
 
 
 #: For rows with long texts: fewer of them at a time in readers, writers and Python, so that a task's buffers stay small.
-WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "parquet.block.size": str(16 << 20)}
+WIDE_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "32m", "parquet.block.size": str(16 << 20)}
 
 
 def wide_rows(spark: SparkSession) -> dict[str, str | None]:
@@ -132,11 +134,21 @@ def restore(spark: SparkSession, before: dict[str, str | None]) -> None:
             spark.conf.set(k, v)
 
 
+def in_wide_session(df: DataFrame) -> DataFrame:
+    """df as a table of a session of its own that has WIDE_ROWS: what is made of it keeps them, however late it runs, and the caller's session is left as it is."""
+    own, name = wide_session(df.sparkSession), f"tesserix_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return own.table(f"global_temp.{name}")
+    finally:
+        df.sparkSession.catalog.dropGlobalTempView(name)
+
+
 def wide_session(spark: SparkSession) -> SparkSession:
     """A session of its own with spark's settings and WIDE_ROWS, so that a lazy result keeps them and spark's later work doesn't."""
     own = spark.newSession()
     for k, v in spark.conf.getAll.items():
-        if own.conf.get(k, None) != v and own.conf.isModifiable(k):
+        if own.conf.isModifiable(k) and own.conf.get(k, None) != v:
             own.conf.set(k, v)
     wide_rows(own)
     return own
