@@ -1,7 +1,7 @@
 """Operator 8: byte-pair encoding and decoding with a word-end vocabulary, and what operator 2 needs of it.
 
 A text is split at special tokens, normalised (NFC, lower case) and cut into words; each word's bytes become symbols, the last
-one with </w>. Short words are merged in a contiguous array: part boundaries and the ranks of adjacent pairs; the least rank is
+one with </w>. Characters that Python's Unicode tables don't know are left to the library's own cutting into words. Short words are merged in a contiguous array: part boundaries and the ranks of adjacent pairs; the least rank is
 searched by scanning, its boundary is deleted, and the two neighbouring ranks are looked up again. Words over LONG symbols
 use the same merges with a heap, so that their time doesn't grow with the square. Encoded words are kept in a bounded memo.
 
@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,17 @@ EXPECTED = {"normalizers": ["NFC", "Replace", "Lowercase"], "pretokenizers": ["S
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's pattern (fixed by its file).
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Characters for which Python's own split and lower() agree with the library; all else takes the slow way.
-UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u024f]|<\\|")
+#: The last code point that the quick way takes, lower-cased or not.
+LAST = 0x24F
+#: Letters up to LAST in lower case.
+LOW_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-" + chr(LAST)
+LOW_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: What the quick way takes: white space of ASCII, printable ASCII, and from U+00A1 to LAST whatever stays there when it is lower-cased.
+QUICK = "\t\n\x0b\x0c\r\x20-\x7e" + "".join(chr(c) for c in range(0xA1, LAST + 1) if all(ord(x) <= LAST for x in chr(c).lower()))
+#: Anything else takes the slow way.
+UNUSUAL = re.compile(f"[^{QUICK}]|<\\|")
 #: The pattern for lower-cased text without unusual characters, where letters and numbers are plain ranges.
-USUAL = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+USUAL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LOW_LETTERS}]+|[{LOW_NUMBERS}]|[^{LOW_LETTERS}{LOW_NUMBERS}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -81,12 +88,20 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocab | self.special).items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.symbols = byte_symbols()
+        self.symbols, self.path = byte_symbols(), path
         self.word = Memo(self._encode_word, 56 << 20)
         self.chunk = Memo(self._encode_chunk, 32 << 20)
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _encode_word(self, word: str) -> bytes:
-        marks = [self.symbols[b] for b in word.encode("utf-8")]
+        return self._encode_marks([self.symbols[b] for b in word.encode("utf-8")])
+
+    def _encode_marks(self, marks: list[str]) -> bytes:
         marks[-1] += self.end
         ids = [i for m in marks if (i := self.vocab.get(m)) is not None]
         ids = self._merge_short(ids) if len(ids) <= LONG else self._merge_long(ids)
@@ -137,6 +152,11 @@ class Bpe:
             if part in self.special:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
+            if any(unicodedata.category(c) == "Cn" for c in set(part)):
+                # Python's tables don't know this character, the library's may: it cuts the words
+                cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                out += [self._encode_marks(list(w)) for w, _ in cut]
+                continue
             low = "".join([c.lower() for c in unicodedata.normalize("NFC", part)])  # letter by letter: no final-sigma rule
             out += [self.word[w] for w in PATTERN.findall(low)]
         return b"".join(out)

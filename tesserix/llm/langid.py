@@ -277,8 +277,8 @@ def fold(doc_id, k: int = FOLDS):
 
 
 def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Crf:
-    known = docs.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("label"))
-    return train(sampled_texts(docs, known, per_lang, "lang"))
+    known = docs.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("label"))
+    return train(sampled_texts(known, known.select("doc_id", "label"), per_lang, "lang"))
 
 
 _LABELLERS: dict = {}

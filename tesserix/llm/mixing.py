@@ -2,10 +2,10 @@
 
 Tokens are counted per cell (source x language x topic). Raking scales the cells' token weights until every marginal has its
 target share. A document's weight per token is its cell's raked tokens over its cell's tokens; one factor turns weights into
-probabilities, capped at 1, that keep the asked share of all tokens in expectation; a hash of doc_id decides.
+probabilities, capped at 1, that keep the asked share of all tokens in expectation; a hash of doc_id and text decides.
 
 Null source, lang or text: levels "(null)" and an empty text. Empty texts hold no tokens and weigh 0, so they aren't kept.
-Texts of any length are counted whole. Rows with equal doc_id get equal decisions. An empty table gives an empty result. Other columns pass through mix_filter
+Texts of any length are counted whole. Rows with equal doc_id and text get equal decisions, all others (null doc_ids too) their own. An empty table gives an empty result. Other columns pass through mix_filter
 whatever their names; names beginning with __mx_ are reserved and refused.
 """
 
@@ -140,9 +140,11 @@ def rake(cells: DataFrame, targets=None, keep: float = KEEP, rounds: int = ROUND
     return c.select(*[f"__mx_{d}" for d in DIMS], "tokens", "weight", "ratio", "prob")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on doc_id and seed alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on seed, doc_id and text alone: rows without an identifier, or that share one, are drawn by their texts."""
+    text = F.md5(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"))
+    key = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text)
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def _with_prob(docs: DataFrame, targets, keep: float) -> DataFrame:
@@ -157,7 +159,7 @@ def _with_prob(docs: DataFrame, targets, keep: float) -> DataFrame:
     side = F.broadcast(raked) if few else raked
     return (
         rows.join(side, names, "left").withColumn("__mx_ratio", F.coalesce("__mx_ratio", F.lit(0.0))).withColumn("__mx_prob", F.coalesce("__mx_prob", F.lit(0.0)))
-        .withColumn("__mx_kept", draw(F.col("doc_id")) < F.col("__mx_prob"))
+        .withColumn("__mx_kept", draw(F.col("doc_id"), F.col("text")) < F.col("__mx_prob"))
     )
 
 
@@ -203,6 +205,6 @@ def mix_sql(table: str = "documents", keep: float = KEEP, rounds: int = ROUNDS)
     return (
         "WITH " + ", ".join(f"{x.split(' AS ', 1)[0]} AS MATERIALIZED {x.split(' AS ', 1)[1]}" for x in parts)
         + f" SELECT b.doc_id, b.source, b.lang, b.topic, b.n_tokens, round(coalesce(p.ratio, 0), 6) weight, round(coalesce(p.prob, 0), 6) keep_prob,"
-        f" ('0x' || substr(md5('{SEED}:' || coalesce(b.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(1 << 52)!r} < coalesce(p.prob, 0) kept"
+        f" ('0x' || substr(md5('{SEED}:' || coalesce(b.doc_id::VARCHAR, '') || ':' || md5(b.t)), 1, 13))::BIGINT / {float(1 << 52)!r} < coalesce(p.prob, 0) kept"
         " FROM b LEFT JOIN p ON b.source = p.source AND b.lang = p.lang AND b.topic = p.topic"
     )

@@ -14,9 +14,10 @@ A document is the set of its five-word shingles (lower-case words; fewer than fi
 Result: one row per document: rep_id (who stands for its set), class_id (smallest doc_id of the documents linked directly or by
 others), n_links (different sets at the threshold or above).
 
-Null texts and texts without words have no set: they are their own rep and class without links. Rows with a null doc_id stay and
-are linked to nothing unless an equal set has an identifier. doc_id is the identifier: should different texts share one, one of them
-stands for it in comparisons. An empty table gives an empty result; other columns are ignored.
+Null texts and texts without words have no set: they are their own rep and class without links. Where rows share a doc_id or have none, each pair of
+doc_id and text is a document of its own, numbered in the order of doc_id (nulls last): it has its own links, and classes and reps are told by the doc_id
+of their first number (null only if all in it have none). An empty table gives an empty result; other columns are ignored. Intermediate tables are deleted; the
+result is one table in the shared folder.
 """
 
 from __future__ import annotations
@@ -38,8 +39,12 @@ from tesserix.runtime import BROADCAST_ROWS, checked_side, forget, forget_folder
 
 N, THRESHOLD = 5, 0.8
 SKETCH, RECALL, DEPTH, SMALL, BLOCK = 64, 0.9999, 5, 128, 512
-#: A pair at the threshold has agreeing sketch coordinates below this with a chance of about 3 in 100,000.
-LOOSE = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
+#: Bytes of shingle hashes that a block holds on average.
+BLOCK_BYTES = 16 << 20
+#: Prints with as many rows, and at least a thousandth of all, are joined where their rows lie.
+HOT_ROWS = 1000
+#: A pair at the threshold agrees in fewer sketch coordinates than this with a chance of about 2 in 100,000; with the runs' 7 in 100,000 the loss stays below 1 - RECALL.
+LOOSE = THRESHOLD - 4.5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 
 
 def runs_needed(recall: float, threshold: float, depth: int = 2) -> int:
@@ -289,10 +294,13 @@ def exact_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int = N
     spark = docs.sparkSession
     # a class holds sizes within a factor of 1 / threshold, so linked sets are in one class or in neighbours
     size_class = F.floor(F.log("size") / math.log(1 / threshold)).cast("int")
-    members = groups.join(sizes, groups["node"] == sizes["rep"]).select("node", "label", size_class.alias("class"))
-    per_group = groups.groupBy("label").agg(F.count(F.lit(1)).alias("m")).select("label", (F.col("m") > BLOCK).alias("many"))
-    members = saved(members.join(per_group, "label").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(0)), "ngram-members")
-    per_class = saved(members.filter("many").groupBy("label", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "ngram-classes-sizes")
+    members = groups.join(sizes, groups["node"] == sizes["rep"]).select("node", "label", size_class.alias("class"), "size")
+    wide = F.sum(F.col("size") * 8)
+    per_group = groups.join(sizes, groups["node"] == sizes["rep"]).groupBy("label").agg(F.count(F.lit(1)).alias("m"), wide.alias("bytes"))
+    per_group = per_group.select("label", ((F.col("m") > BLOCK) | ((F.col("m") > 1) & (F.col("bytes") > BLOCK_BYTES))).alias("many"))
+    spent = members = saved(members.join(per_group, "label").withColumn("class", F.when(F.col("many"), F.col("class")).otherwise(0)), "ngram-members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, wide / BLOCK_BYTES))
+    per_class = saved(members.filter("many").groupBy("label", "class").agg(blocks.cast("int").alias("blocks")), "ngram-classes-sizes")
     members = members.join(per_class, ["label", "class"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0)))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     folder = fresh(spark, "ngram-blocks")
@@ -326,8 +334,11 @@ def exact_links(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int = N
     after = per_class.select("label", (F.col("class") - 1).alias("class_u"), F.col("blocks").alias("blocks_v"))
     beside = every.join(after, ["label", "class_u"]).select("label", "class_u", "u", (F.col("class_u") + 1).alias("class_v"), F.explode(F.sequence(F.lit(0), F.col("blocks_v") - 1)).alias("v"))
     units = same.union(beside)
-    found = own.union(saved(units.repartition("label", "class_u", "u", "class_v", "v").mapInArrow(across, schema), "ngram-across"))
+    other = saved(units.repartition("label", "class_u", "u", "class_v", "v").mapInArrow(across, schema), "ngram-across")
     forget_folder(spark, folder)  # the blocks
+    found = saved(own.union(other), "ngram-links")
+    for t in (spent, members, per_class, own, other):
+        forget(spark, t)
     return found
 
 
@@ -353,44 +364,94 @@ def read_block(folder: str, name: str) -> list[tuple[int, np.ndarray]]:
     return [(r, np.frombuffer(x, np.uint64)) for r, x in zip(t.column("rep").to_pylist(), t.column("sets").to_pylist(), strict=True)]
 
 
-def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, rep_id, n_shingles."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """ngram_classes() for doc_ids that are unique and not null."""
+    spark = docs.sparkSession
     own = saved(sketches(docs, n), "ngram-sketches")
-    sets = saved(own.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("tokens").alias("tokens")), "ngram-sets")
-    links = candidates(sets.select("rep", "tokens").filter("rep is not null").dropDuplicates(["rep"]), threshold, recall)
+    of_print = own.filter("print is not null").groupBy("print")
+    sets = saved(of_print.agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "ngram-sets")
+    links = candidates(sets.select("rep", "tokens"), threshold, recall)
     groups = components(links, "ngram-groups", links.count())
-    forget(docs.sparkSession, links)
-    sizes = sets.filter("rep is not null").groupBy("rep").agg(F.first("size").alias("size"))
-    found = exact_links(docs, groups, sizes, n, threshold)
+    forget(spark, links)
+    found = exact_links(docs, groups, sets.select("rep", "size"), n, threshold)
     classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), "ngram-classes", groups.count())
     per_set = (
-        sets.select("print", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").select("print", F.col("rep").alias("rep_id"), "label", "links")
+        sets.select("print", "rep", "rows").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").select("print", F.col("rep").alias("rep_id"), "label", "links", "rows")
     )
-    rows = own.select("doc_id", "print", "size").join(per_set, "print", "left")
+    per_set = saved(per_set, "ngram-per-set")
+    rows, least = own.select("doc_id", "print", "size"), max(HOT_ROWS, own.count() // 1000)
+    # copies of a common text are joined where they lie: there are at most a thousand such texts; rows without a set need no join
+    hot = F.broadcast(per_set.filter(F.col("rows") >= least).drop("rows"))
+    cold = rows.filter("print is not null").join(hot.select("print"), "print", "left_anti").join(per_set.filter(F.col("rows") < least).drop("rows"), "print")
+    none = rows.filter("print is null").withColumns({"rep_id": F.lit(None).cast("long"), "label": F.lit(None).cast("long"), "links": F.lit(None).cast("long")})
+    every = cold.unionByName(rows.join(hot, "print")).unionByName(none)
     rep = F.coalesce("rep_id", "doc_id")
-    return rows.select("doc_id", F.coalesce("label", rep).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), rep.alias("rep_id"), F.col("size").alias("n_shingles"))
-
+    out = saved(every.select("doc_id", F.coalesce("label", rep).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), rep.alias("rep_id"), F.col("size").alias("n_shingles")), "ngram-documents")
+    for t in (own, sets, groups, found, classes, per_set):
+        forget(spark, t)
+    return out
 
-def ngram_filter(docs: DataFrame) -> DataFrame:
-    """One document of each class, with the columns of docs: the one with the smallest doc_id.
 
-    Where rows share a doc_id or have none, each pair of doc_id and text is a document of its own, numbered in the order of doc_id (nulls last),
-    and of rows with the same doc_id and text one stays. Other columns pass through whatever their names."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """None if every row has a doc_id of its own. Else the rows as (__id, __sha, text); each pair of doc_id and text as (__id, __sha, __rows, doc_id),
+    numbered in that order, nulls last; and the numbered texts (doc_id, text)."""
     long_id = docs["doc_id"].cast("long")
     shared = shared_ids(docs, "ngram-shared")
-    if shared is None and not docs.filter("doc_id is null").limit(1).count():
-        gone = checked_side(ngram_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
-        return docs.join(gone, long_id == F.col("__gone"), "left_anti")
+    if shared is not None:
+        forget(docs.sparkSession, shared)
+    elif not docs.filter("doc_id is null").limit(1).count():
+        return None
     sha = F.sha2(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "UTF-8"), 256)
     rows = docs.select(long_id.alias("__id"), sha.alias("__sha"), docs["text"].cast("string").alias("text"))
     pairs = rows.groupBy("__id", "__sha").agg(F.count(F.lit(1)).alias("__rows"))
     ids = saved(pairs.orderBy(F.col("__id").asc_nulls_last(), "__sha").select("*", F.monotonically_increasing_id().alias("doc_id")), "ngram-ids")
-    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
-    numbered = rows.join(ids, same(rows, ids)).select(ids["doc_id"], rows["text"]).dropDuplicates(["doc_id"])
-    classes = ngram_classes(numbered)
+    # one text of each pair, found by pre-aggregation so that a pair with many rows meets in no task
+    texts = rows.groupBy("__id", "__sha").agg(F.first("text").alias("text"))
+    return rows, ids, saved(texts.join(ids, _same(texts, ids)).select(ids["doc_id"], texts["text"]), "ngram-texts")
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["__id"].eqNullSafe(b["__id"]) & (a["__sha"] == b["__sha"])
+
+
+def ngram_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, rep_id, n_shingles."""
+    numbered = _numbered(docs)
+    if numbered is None:
+        return _classes(docs, n, threshold, recall)
+    rows, ids, texts = numbered
+    found, spark = _classes(texts, n, threshold, recall), docs.sparkSession
+    name = ids.select("doc_id", "__id")
+    told = found.join(ids, "doc_id")
+    for c in ("class_id", "rep_id"):
+        told = told.join(name.select(F.col("doc_id").alias(c), F.col("__id").alias(f"__{c}")), c)
+    told = saved(told.select("__id", "__sha", F.col("__class_id").alias("class_id"), "n_links", F.col("__rep_id").alias("rep_id"), "n_shingles"), "ngram-told")
+    out = rows.drop("text").join(told, _same(rows, told)).select(rows["__id"].alias("doc_id"), "class_id", "n_links", "rep_id", "n_shingles")
+    for t in (ids, texts, found):
+        forget(spark, t)
+    return out
+
+
+def ngram_filter(docs: DataFrame) -> DataFrame:
+    """One document of each class, with the columns of docs: the one with the smallest doc_id.
+
+    Where rows share a doc_id or have none, each pair of doc_id and text is a document of its own, numbered in the order of doc_id (nulls last),
+    and of rows with the same doc_id and text one stays. Other columns pass through whatever their names."""
+    long_id, spark = docs["doc_id"].cast("long"), docs.sparkSession
+    numbered = _numbered(docs)
+    if numbered is None:
+        classes = _classes(docs, N, THRESHOLD, RECALL)
+        gone = checked_side(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "ngram-gone")
+        forget(spark, classes)
+        return docs.join(gone, long_id == F.col("__gone"), "left_anti")
+    _, ids, texts = numbered
+    classes = _classes(texts, N, THRESHOLD, RECALL)
     decided = saved(classes.select("doc_id", (F.col("doc_id") != F.col("class_id")).alias("__gone")).join(ids, "doc_id").filter("__gone or __rows > 1").select("__id", "__sha", "__gone"), "ngram-decided")
     gone, repeated = checked_side(decided.filter("__gone"), "ngram-gone"), checked_side(decided.filter("not __gone"), "ngram-repeated")
+    for t in (ids, texts, classes, decided):
+        forget(spark, t)
+    sha = F.sha2(F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "UTF-8"), 256)
     own = free_name(docs, "__own")
     fits = lambda side: long_id.eqNullSafe(side["__id"]) & (sha == side["__sha"])
     kept = docs.join(gone, fits(gone), "left_anti")

@@ -241,7 +241,7 @@ def fold(doc_id, k: int = FOLDS):
 def fitted(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Scorer:
     """Learns from labelled rows outside the held-out fold."""
     known = labels.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("string").alias("label"))
-    sample = [(t, int(y)) for t, y in sampled_texts(docs, known, per_label, "toxic")]
+    sample = [(t, int(y)) for t, y in sampled_texts(docs.select("doc_id", "text"), known, per_label, "toxic")]
     scorer, n = train(sample), {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     m = np.bincount([y for _, y in sample], minlength=2)
     if m.min() and len(n) == 2:
