@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserix.llm import bpe, chat, langid, media, mixing, ngram_join, tokenfiles, toxicity, trie, urls
+from tesserix.llm import bpe, chat, langid, media, mixing, ngram_join, quality, resampling, tokenfiles, toxicity, trie, urls, whitening
 from tesserix.runtime import table, wide_session
 
 
@@ -54,6 +54,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _wide(f):
     """f in a session of its own, set for long texts."""
 
@@ -64,5 +76,9 @@ def _wide(f):
     return run
 
 
-QUERIES = {f.__name__: _wide(f) for f in (op1_mix_sources, op2_token_files, op3_url_filter, op4_ngram_join, op5_toxicity, op6_media_columns, op7_exact_dedup, op8_bpe, op9_chat_format, op10_language_id)}
+_ALL = (
+    op1_mix_sources, op2_token_files, op3_url_filter, op4_ngram_join, op5_toxicity, op6_media_columns, op7_exact_dedup, op8_bpe, op9_chat_format, op10_language_id,
+    op11_embedding_whitening, op12_quality, op13_resampling,
+)
+QUERIES = {f.__name__: _wide(f) for f in _ALL}
 ORACLE_SQL = {"op1_mix_sources": mixing.mix_sql(), "op7_exact_dedup": trie.EXACT_SQL, "op9_chat_format": chat.CHAT_SQL}

@@ -17,8 +17,8 @@ def hash_rank(seed: str):
     return F.xxhash64(F.col("doc_id"), F.lit(seed))
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, per_label: int, seed: str, most_chars: int = 24_000_000) -> list[tuple[str, str]]:
-    """(text, label) of at most per_label documents for each label value: those with the smallest hash of doc_id, so the same ones on
+def sampled_texts(docs: DataFrame, labels: DataFrame, per_label: int, seed: str, most_chars: int = 24_000_000, carry: tuple[str, ...] = ()) -> list[tuple]:
+    """(text, label, and the columns of docs in carry) of at most per_label documents for each label value: those with the smallest hash of doc_id, so the same ones on
     every run. Every value that occurs is sampled; more than MOST_LABELS of them are refused, and all together give at most MOST_ROWS rows.
 
     labels: (doc_id, label as string), either a table of its own or a selection of docs. Where docs have a column label, it must agree: a text then has the
@@ -41,10 +41,10 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, per_label: int, seed: str,
     ids = checked_side(ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_label).drop("k"), "sample-ids")
     own = "label" in docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.col("label").cast("string").alias("label")] if own else []))
-    rows = rows.join(ids, ["doc_id", "label"] if own else "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *([F.col("label").cast("string").alias("label")] if own else []), *carry)
+    rows = rows.join(ids, ["doc_id", "label"] if own else "doc_id").groupBy("doc_id", "label", "h").agg(F.min(F.struct("text", *carry)).alias("row")).select("doc_id", "label", "h", "row.*")
     most = max(1, share // PART)
     long = F.length("text") - most
     rows = rows.withColumn("text", F.when(long > 0, F.substr("text", (F.pmod("h", F.greatest(long, F.lit(1))) + 1).cast("int"), F.lit(most))).otherwise(F.col("text")))
     rows = rows.withColumn("sum", F.sum(F.length("text")).over(order)).filter(F.col("sum") <= share)
-    return [(r["text"], r["label"]) for r in rows.select("h", "doc_id", "text", "label").orderBy("h", "doc_id", "label").collect()]
+    return [(r["text"], r["label"], *(r[c] for c in carry)) for r in rows.select("h", "doc_id", "text", "label", *carry).orderBy("h", "doc_id", "label").collect()]
