@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tesserix.functions.hashing import hamming, let
-from tesserix.runtime import checked_side, forget, saved
+from tesserix.runtime import BROADCAST_ROWS, checked_side
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -71,25 +75,6 @@ def protected_matches(protected: DataFrame, training: DataFrame, p_radius: int =
     return hash_members(protected, hash_groups(protected)).join(near, "rep", "left_semi").select("id").union(exact).distinct()
 
 
-def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Greedy acceptance in order of id: a node is accepted unless a smaller accepted node is its neighbour.
-
-    nodes (id), edges (a, b). Rounds decide all nodes without undecided smaller neighbours; the result is the sequential one."""
-    less = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "mis-edges")
-    state = saved(nodes.select("id", F.lit(None).cast("boolean").alias("accepted")), "mis-state")
-    while state.filter("accepted is null").limit(1).count():
-        told = less.join(state.select(F.col("id").alias("a"), F.col("accepted").alias("of_a")), "a").groupBy(F.col("b").alias("id")).agg(
-            F.max(F.coalesce(F.col("of_a"), F.lit(False)).cast("int")).alias("blocked"), F.max(F.col("of_a").isNull().cast("int")).alias("waits")
-        )
-        before = state
-        state = saved(
-            state.join(told, "id", "left").select("id", F.coalesce("accepted", F.when(F.col("blocked") == 1, False).when(F.coalesce("waits", F.lit(0)) == 0, True)).alias("accepted")), "mis-state"
-        )
-        forget(nodes.sparkSession, before)
-    forget(nodes.sparkSession, less)
-    return state
-
-
 def role_overlap(df: DataFrame, group: str = "sha", role: str = "role") -> DataFrame:
     """Groups that occur in more than one role."""
     return df.groupBy(group).agg(F.countDistinct(role).alias("n_roles"), F.count(F.lit(1)).alias("n_rows")).filter("n_roles > 1")
@@ -118,25 +103,84 @@ def _runs(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, of).otherwise(F.array().cast("array<struct<n:int,key:bigint>>"))
 
 
+def _by_words(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that hold passages with a key: an equi-join on digests of runs of words, then exact containment."""
+    keyed = checked_side(items.select("item_id", "passage", F.size("key").alias("n"), F.xxhash64("key").alias("key")), "protected-keys")
+    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most as many numbers as a key has words
+    # the digests of all runs of n words, computed from words that were cut once
+    runs = F.array_distinct(let(_words(F.col("text")), lambda w: F.flatten(F.array(*[_runs(w, n) for n in sizes]))))
+    keys = docs.select("doc_id", F.explode(runs).alias("k")).select("doc_id", "k.n", "k.key")
+    near = checked_side(keys.join(keyed, ["n", "key"]).select("doc_id", "item_id", "passage").distinct(), "protected-near", 100_000)
+    return docs.join(near, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+
+
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+_AUTOMATA: dict = {}
+
+
+def automaton(name: str, passages: dict[str, list[int]]):
+    """An automaton over passages that finds all of them in one reading of a text; one per Python worker and name."""
+    if name not in _AUTOMATA:
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for p, numbers in passages.items():
+            made.add_word(p, numbers)
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = made
+    return _AUTOMATA[name]
+
+
+def _by_automaton(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that hold passages, each text read once per block of passages of BLOCK_CHARS characters."""
+    spark = docs.sparkSession
+    rows = items.select("item_id", "passage").collect()  # the caller has summed their lengths
+    blocks, size = [{}], 0
+    for k, r in enumerate(rows):
+        if size > BLOCK_CHARS:
+            blocks.append({})
+            size = 0
+        blocks[-1].setdefault(r["passage"], []).append(k)
+        size += len(r["passage"])
+    told, names = spark.sparkContext.broadcast(blocks), [uuid.uuid4().hex for _ in blocks]
+
+    def run(batches):
+        from tesserix.operators import identity
+
+        for b in batches:
+            at, found = [], []
+            texts = b.column(1).to_pylist()
+            for name, passages in zip(names, told.value, strict=True):
+                own = identity.automaton(name, passages)
+                for i, t in enumerate(texts):
+                    for k in {x for _, numbers in own.iter(t or "") for x in numbers}:
+                        at.append(i)
+                        found.append(k)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], ["doc_id", "k"])
+
+    schema = StructType([docs.schema["doc_id"], StructField("k", LongType())])
+    ids = spark.createDataFrame([(k, r["item_id"]) for k, r in enumerate(rows)], StructType([StructField("k", LongType()), items.schema["item_id"]]))
+    held = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return held.join(F.broadcast(ids) if len(rows) <= BROADCAST_ROWS else ids, "k").select("doc_id", "item_id")
+
+
+#: Characters of passages that one automaton holds (some 100 bytes each), and that are looked for by automata at all.
+BLOCK_CHARS, MOST_CHARS = 500_000, 4_000_000
+
+
 def protected_contamination(docs: DataFrame, protected: DataFrame, words: int = 8) -> DataFrame:
-    """Documents that hold a protected passage: an equi-join on digests of runs of words, then exact containment.
+    """Documents that hold a protected passage, to the letter and wherever it begins: (doc_id, item_id), each pair once.
 
-    docs (doc_id, text), protected (item_id, text); empty passages are in nothing. A passage's first and last word may be parts of longer ones in a
-    document, so its key is made of the next `words` words inside (fewer if it is shorter), without signs. Passages without a word inside are looked
-    for in every text; where they are more than a few thousand, that is their price."""
-    cut = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), 1)
-    items = protected.select("item_id", F.col("text").alias("passage")).filter(F.length("passage") > 0)
-    items = items.withColumn("key", let(cut(F.col("passage")), lambda w: F.slice(w, 2, F.least(F.lit(words), F.greatest(F.size(w) - 2, F.lit(0))))))
-    keyed = checked_side(items.filter(F.size("key") > 0).select("item_id", "passage", F.size("key").alias("n"), F.xxhash64("key").alias("key")), "protected-keys")
-    sizes = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # at most `words` numbers
+    docs (doc_id, text), protected (item_id, text); empty and null passages are in nothing, null texts hold nothing. Up to MOST_CHARS characters of passages, counted first, are sent to
+    the tasks, which read each text once and shuffle only what they have found. More are joined by a key: a passage's first and last word may be parts of longer ones in a
+    document, so the key is made of the next `words` words inside, without signs; those without a word inside (a few characters each) are still looked for by automata, in blocks."""
     rows = docs.select("doc_id", "text")
-    found = rows.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).filter("false")
-    if sizes:
-        # the digests of all runs of n words, computed from words that were cut once
-        keys = rows.select("doc_id", F.explode(F.array_distinct(let(cut(F.col("text")), lambda w: F.flatten(F.array(*[_runs(w, n) for n in sizes]))))).alias("k")).select("doc_id", "k.n", "k.key")
-        near = keys.join(keyed, ["n", "key"]).select("doc_id", "item_id", "passage").distinct()
-        near = checked_side(near, "protected-near", 100_000)
-        found = rows.join(near, "doc_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    short = items.filter(F.size("key") == 0).select("item_id", "passage")
-    held = rows.join(F.broadcast(short) if short.count() <= 10_000 else short, F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id")
-    return found.union(held).distinct()
+    items = protected.select("item_id", F.col("text").alias("passage")).filter(F.length("passage") > 0)
+    if (items.agg(F.sum(F.length("passage"))).first()[0] or 0) <= MOST_CHARS:
+        return _by_automaton(rows, items).distinct()
+    items = items.withColumn("key", let(_words(F.col("passage")), lambda w: F.slice(w, 2, F.least(F.lit(words), F.greatest(F.size(w) - 2, F.lit(0))))))
+    return _by_words(rows, items.filter(F.size("key") > 0)).union(_by_automaton(rows, items.filter(F.size("key") == 0))).distinct()

@@ -75,29 +75,21 @@ def role_conflicts(df: DataFrame, held_out: list[str], model: str = "model", rol
     return df.filter(F.col(model).isin(*held_out) & F.col(role).isin(*training))
 
 
-def frozen_source(root: str, name: str, registry: dict, expected: str | None = None) -> bytes:
-    """The bytes of a source that a receipt names: the current ones, or the archived ones if the registry has a record of it.
-
-    registry: files: name -> current (digest of what runs now), archived (digest of what was recorded), snapshot (path below root). A path that
-    leads out of root, a changed current source and a snapshot that isn't the recorded one are errors."""
-    import hashlib
-    from pathlib import Path
-
-    base = Path(root).resolve()
-
-    def read(part: str, digest: str | None, what: str) -> bytes:
-        path = (base / part).resolve()
-        if not path.is_relative_to(base):
-            raise ValueError(f"{part} leads out of {base}")
-        data = path.read_bytes()
-        if digest is not None and hashlib.sha256(data).hexdigest() != digest:
-            raise ValueError(f"{what} has changed: {part}")
-        return data
-
-    record = registry["files"].get(name)
-    if record is None:
-        return read(name, expected, "the locked source")
-    read(name, record["current"], "the current source")
-    if expected is not None and expected != record["archived"]:
-        raise ValueError(f"the receipt and the registry differ: {name}")
-    return read(record["snapshot"], record["archived"], "the snapshot")
+def source_status(receipts: DataFrame, registry: DataFrame, digests: DataFrame) -> DataFrame:
+    """(path, status) of every source that a receipt names, by joins of three tables.
+
+    receipts (path, sha256): what a result was made with. registry (path, current, archived, snapshot): sources that have changed since, with the digests then and now and
+    where the old one is kept. digests (path, sha256): what is there now. Status: current (there as recorded), archived (its snapshot is there as recorded), or what is
+    wrong: outside (an absolute path, or one with a parent folder in it), missing, changed, unrecorded (the registry tells of another old version), snapshot missing, snapshot
+    changed. Null digests in a receipt accept any version."""
+    there = digests.select(F.col("path").alias("__at"), F.col("sha256").alias("__now"))
+    rows = receipts.select("path", F.col("sha256").alias("__want")).join(registry.select("path", "current", "archived", "snapshot", F.lit(True).alias("__kept")), "path", "left")
+    rows = rows.join(there, F.col("path") == F.col("__at"), "left").drop("__at")
+    old = there.select(F.col("__at").alias("__old_at"), F.col("__now").alias("__old"))
+    rows = rows.join(old, F.col("snapshot") == F.col("__old_at"), "left")
+    leaves = lambda c: F.coalesce(c.rlike(r"^/|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)"), F.lit(False))
+    problems = (
+        (leaves(F.col("path")) | leaves(F.col("snapshot")), "outside"), (F.col("__now").isNull(), "missing"), (F.col("__now") != F.coalesce("current", "__want", "__now"), "changed"),
+        (F.col("__want") != F.coalesce("archived", "__want"), "unrecorded"), (F.col("__kept") & F.col("__old").isNull(), "snapshot missing"), (F.col("__kept") & (F.col("__old") != F.col("archived")), "snapshot changed"),
+    )
+    return rows.select("path", F.coalesce(*[F.when(bad, what) for bad, what in problems], F.when(F.col("__kept"), "archived").otherwise("current")).alias("status"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserix.functions import hashing, scalars
-from tesserix.operators import identity, integrity, sampling, tables, vectors
+from tesserix.operators import acquisition, identity, integrity, sampling, tables, vectors
 from tesserix.plans.base import FEATURES, MANIFEST, SCORED, query, sql_hash, sql_values
-from tesserix.runtime import table
+from tesserix.runtime import saved, table
 from tesserix.sources import relations
 from tesserix.sources.relations import CHAINS, PRESETS, ROLE_CONDITIONS, features, manifest, scored_views
 
@@ -245,10 +245,10 @@ def protected_matches(spark, d):
 
 @query(NEAR + f", {ROLES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.p, b.p))::INTEGER AS p_dist, bit_count(xor(a.d, b.d))::INTEGER AS d_dist FROM (SELECT p, d, min(id) AS id FROM k WHERE role = 'protected' GROUP BY p, d) a JOIN (SELECT p, d, min(id) AS id FROM k WHERE role = 'tampered' GROUP BY p, d) b ON bit_count(xor(a.p, b.p)) <= 12 AND bit_count(xor(a.d, b.d)) <= 10")
 def parent_candidates(spark, d):
-    """Protected against tampered originals, within the looser radii; representatives of their hashes."""
+    """Protected against tampered originals, within the looser radii, by multi-index hashing; representatives of their hashes."""
     k = _roles(spark, d)
     reps = lambda role: identity.hash_groups(k.filter(F.col("role") == role)).select(F.col("rep").alias("id"), "p", "d")
-    return identity.near_pairs(reps("protected"), reps("tampered"), 12, 10)
+    return acquisition.loose_pairs(reps("protected"), reps("tampered"), 12, 10)
 
 
 @query(NEAR + """, e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.p, b.p)) <= 4 AND bit_count(xor(a.d, b.d)) <= 2), ids AS (SELECT list(id ORDER BY id) AS l FROM h), n AS (SELECT list(DISTINCT a::VARCHAR || '-' || b::VARCHAR) AS near FROM e),
@@ -256,8 +256,48 @@ t AS (SELECT list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda i:
 SELECT id, list_contains(kept, id) AS accepted FROM h, t""")
 def greedy_acceptance(spark, d):
     """First-come acceptance without near neighbours, in parallel rounds; the SQL goes through the rows one after the other."""
-    h = _hashes(spark, d)
-    return identity.first_come(h.select("id"), identity.near_pairs(h, h).filter("a < b"))
+    return acquisition.accept_in_order(*_in_order(_hashes(spark, d))).select("id", "accepted")
+
+
+def _in_order(h):
+    """Rows by id and hash, and which hashes are near."""
+    h = saved(h, "hashes")
+    groups = identity.hash_groups(h)
+    return identity.hash_members(h, groups).select("id", F.col("rep").alias("h")), identity.near_groups(h)
+
+
+def _fold(first: str, order: str, role: str, limits: str) -> str:
+    """Rows taken one after the other: kept holds (id, role) of the accepted ones; role is what the next one would get, limits whether it has room."""
+    return (
+        NEAR + ", e AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id <> b.id WHERE bit_count(xor(a.p, b.p)) <= 4 AND bit_count(xor(a.d, b.d)) <= 2), "
+        f"ids AS (SELECT list(id ORDER BY {order}) AS l FROM h), n AS (SELECT list(a::VARCHAR || '-' || b::VARCHAR) AS near FROM e), "
+        "t AS (SELECT list_reduce(list_prepend([]::STRUCT(id BIGINT, role VARCHAR)[], list_transform(l, lambda i: [{'id': i, 'role': ''}])), lambda kept, one: CASE WHEN "
+        f"len(list_filter(kept, lambda x: list_contains(near, x.id::VARCHAR || '-' || one[1].id::VARCHAR))) > 0 OR NOT ({limits}) THEN kept ELSE list_append(kept, {{'id': one[1].id, 'role': {role}}}) END) AS kept FROM ids, n) "
+        + first
+    )
+
+
+@query(_fold("SELECT id, list_contains(list_transform(kept, lambda x: x.id), id) AS accepted FROM h, t", "id", "''", "len(list_filter(kept, lambda x: x.id % 15 = one[1].id % 15)) < 4 AND len(list_filter(kept, lambda x: x.id % 3 = one[1].id % 3)) < 18"))
+def capped_acceptance(spark, d):
+    """Q3: first come, no near copies, at most 4 of each (role, model) and 18 of each role."""
+    rows, near = _in_order(_hashes(spark, d))
+    rows = rows.withColumn("role", F.col("id") % 3).withColumn("model", F.col("id") % 5)
+    return acquisition.accept_in_order(rows, near, [(["role", "model"], 4), (["role"], 18)]).select("id", "accepted")
+
+
+SOURCES = [("s1", [("train", 20), ("dev", 10)], 6), ("s0", [("train", 15), ("test", 10)], None)]
+OWN = "len(list_filter(kept, lambda x: x.id % 2 = one[1].id % 2))"
+ROLE = f"CASE WHEN one[1].id % 2 = 1 THEN CASE WHEN {OWN} < 20 THEN 'train' WHEN {OWN} < 30 THEN 'dev' END WHEN {OWN} < 15 THEN 'train' WHEN {OWN} < 25 THEN 'test' END"
+
+
+@query(_fold("SELECT u.id, 's' || (u.id % 2)::VARCHAR AS source, 'm' || ((u.id // 4) % 5)::VARCHAR AS model, u.role FROM (SELECT unnest(kept) AS u FROM t)", "id % 2 DESC, id", ROLE,
+             f"({ROLE}) IS NOT NULL AND (one[1].id % 2 = 0 OR len(list_filter(kept, lambda x: x.id % 2 = 1 AND x.role = ({ROLE}) AND (x.id // 4) % 5 = (one[1].id // 4) % 5)) < 6)"))
+def acquired_roles(spark, d):
+    """Q3: two sources fill their roles one after the other; near copies are refused across sources, models are capped in the first."""
+    rows, near = _in_order(_hashes(spark, d))
+    i = F.col("id")
+    rows = rows.withColumn("source", F.concat(F.lit("s"), (i % 2).cast("string"))).withColumn("model", F.concat(F.lit("m"), (F.floor(i / 4) % 5).cast("string")))
+    return acquisition.acquire(rows, near, SOURCES)[0]
 
 
 # vectors
@@ -464,6 +504,22 @@ def receipt_check(spark, d):
     return integrity.receipt_mismatches(expected, actual)
 
 
+SOURCE_SQL = """f AS (SELECT doc_id AS i, CASE WHEN doc_id % 41 = 0 THEN '../' ELSE 'src/' END || doc_id::VARCHAR AS path, sha256(coalesce(text, '')) AS sha FROM documents), p AS (SELECT path, i, sha, 'old/' || i::VARCHAR AS snap FROM f)"""
+
+
+@query(f"""WITH {SOURCE_SQL} SELECT path, CASE WHEN i % 41 = 0 THEN 'outside' WHEN i % 13 = 0 THEN 'missing' WHEN i % 11 = 0 THEN 'changed' WHEN i % 3 > 0 THEN 'current' WHEN i % 7 = 0 THEN 'unrecorded' WHEN i % 5 = 0 THEN 'snapshot missing' WHEN i % 2 = 0 THEN 'snapshot changed' ELSE 'archived' END AS status FROM p""")
+def source_status(spark, d):
+    """V7: texts as sources; every third has changed since its receipt and has a snapshot; each fault occurs."""
+    i = F.col("i")
+    f = table(spark, d, "documents").select(F.col("doc_id").alias("i"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    f = f.withColumns({"path": F.concat(F.when(i % 41 == 0, "../").otherwise("src/"), i.cast("string")), "snap": F.concat(F.lit("old/"), i.cast("string")), "was": F.sha2("sha", 256)})
+    receipts = f.select("path", F.when(i % 3 > 0, F.col("sha")).when(i % 7 == 0, F.lit("another")).otherwise(F.col("was")).alias("sha256"))
+    registry = f.filter(i % 3 == 0).select("path", F.col("sha").alias("current"), F.col("was").alias("archived"), F.col("snap").alias("snapshot"))
+    now = f.filter(i % 13 > 0).select("path", F.when(i % 11 == 0, F.lit("edited")).otherwise(F.col("sha")).alias("sha256"))
+    kept = f.filter((i % 3 == 0) & (i % 5 > 0)).select(F.col("snap").alias("path"), F.when(i % 2 == 0, F.lit("edited")).otherwise(F.col("was")).alias("sha256"))
+    return integrity.source_status(receipts, registry, now.unionByName(kept))
+
+
 @query(f"WITH {SCORED}, o AS (SELECT grp, condition, score_a, CASE WHEN grp % 13 = 0 THEN score_a + 0.1 ELSE score_a END AS b FROM sv) SELECT grp, condition, score_a AS a, b FROM o WHERE score_a IS DISTINCT FROM b", ("a", "b"))
 def packaging_equality(spark, d):
     """Scores that a packaged model changes."""

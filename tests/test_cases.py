@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserix.functions import hashing, pixels, scalars
 from tesserix.functions.binomial import allowed_errors, binomial_upper
-from tesserix.operators import heads, identity, integrity, metrics, policy, resample, sampling, tables, vectors
+from tesserix.operators import acquisition, heads, identity, integrity, metrics, policy, resample, sampling, tables, vectors
 
 
 def one(df):
@@ -155,7 +155,7 @@ def test_first_come_is_sequential(spark):
     for i in range(60):
         if not any((j, i) in edges for j in taken):
             taken.add(i)
-    got = identity.first_come(spark.range(60), spark.createDataFrame(sorted(edges), "a long, b long"))
+    got = acquisition.first_come(spark.range(60), spark.createDataFrame(sorted(edges), "a long, b long"))
     assert {r["id"] for r in got.filter("accepted").collect()} == taken
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserix import runtime
 from tesserix.functions import pixels as px
 from tesserix.functions.binomial import binomial_upper
-from tesserix.operators import identity, images, policy, sampling
+from tesserix.operators import acquisition, identity, images, policy, sampling
 from tesserix.plans import other_queries
 from tesserix.streaming import quotas, stages
 
@@ -231,7 +231,7 @@ def test_first_come_on_a_chain(spark):
     for i in range(40):
         if not any((k, i) in edges for k in kept):
             kept.append(i)
-    got = identity.first_come(spark.range(40), spark.createDataFrame([tuple(e) for e in edges], "a long, b long"))
+    got = acquisition.first_come(spark.range(40), spark.createDataFrame([tuple(e) for e in edges], "a long, b long"))
     assert sorted(r["id"] for r in got.filter("accepted").collect()) == kept
 
 
@@ -250,30 +250,14 @@ def test_exif_rotation_is_undone(spark, tmp_path):
     assert back.shape == (40, 24, 3) and np.abs(back - np.rot90(image, -1)).mean() < 3
 
 
-def test_seeds_and_frozen_sources(spark, tmp_path):
-    import hashlib
+def test_seeds_and_configurations(spark, tmp_path):
     import zlib
 
     from tesserix.functions import hashing
-    from tesserix.operators import integrity
     from tesserix.sources import files
 
     row = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string").select(hashing.stable_seed(F.col("x"), F.col("y")).alias("s"), hashing.content_seed(F.encode("x", "UTF-8")).alias("c")).collect()
     assert row[0]["s"] != row[1]["s"] and row[0]["c"] == zlib.crc32(b"ab")
-    sha = lambda b: hashlib.sha256(b).hexdigest()
-    (tmp_path / "old").mkdir()
-    (tmp_path / "a.py").write_bytes(b"new")
-    (tmp_path / "old" / "a.txt").write_bytes(b"as it was")
-    (tmp_path / "b.py").write_bytes(b"same")
-    reg = {"files": {"a.py": {"current": sha(b"new"), "archived": sha(b"as it was"), "snapshot": "old/a.txt"}}}
-    root = str(tmp_path)
-    assert integrity.frozen_source(root, "a.py", reg, sha(b"as it was")) == b"as it was" and integrity.frozen_source(root, "b.py", reg, sha(b"same")) == b"same"
-    for name, expected in (("../x", None), ("b.py", sha(b"other")), ("a.py", sha(b"other"))):
-        with pytest.raises((ValueError, OSError)):
-            integrity.frozen_source(root, name, reg, expected)
-    (tmp_path / "a.py").write_bytes(b"changed")
-    with pytest.raises(ValueError):
-        integrity.frozen_source(root, "a.py", reg)
     (tmp_path / "c.yaml").write_text("data_dir: d\nk: [1, 2.5]\n# note\n")
     pytest.importorskip("yaml")
     assert files.read_config(str(tmp_path / "c.yaml")) == {"data_dir": str(tmp_path / "d"), "k": [1, 2.5]}
