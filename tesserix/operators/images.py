@@ -6,6 +6,7 @@ number of executors shares the work, and views of one image are made one after t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -69,6 +70,22 @@ def generated_images(spark: SparkSession, n: int, side: int = 64) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "img_id").mapInArrow(run, f"img_id long, label int, {RAW}")
 
 
+def block_images(blocks: DataFrame, side: int = 24) -> DataFrame:
+    """img_id, label, height, width, pixels out of vectors (vec_id, y, x) of 64 numbers: an 8 x 8 block of greys from -1 to 1, each number a square; green and blue are the
+    block mirrored and turned upside down. side: a multiple of 8."""
+    n = side // 8
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column(2).to_pylist(), np.float64).reshape(-1, 8, 8)
+            grey = np.clip(np.floor((x + 1) * 128), 0, 255).astype(np.uint8)
+            rgb = np.stack([grey, grey[:, :, ::-1], grey[:, ::-1]], 3).repeat(n, 1).repeat(n, 2)
+            whole = [pa.array([side] * len(x), pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *whole, pa.array([i.tobytes() for i in rgb], pa.binary())], ["img_id", "label", "height", "width", "pixels"])
+
+    return blocks.select(F.col("vec_id").alias("img_id"), F.col("y").cast("int").alias("label"), "x").mapInArrow(run, f"img_id long, label int, {RAW}")
+
+
 def _image(row) -> np.ndarray:
     return np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)
 
@@ -134,6 +151,25 @@ def expand_views(images: DataFrame, generation: str, role: str) -> DataFrame:
     return images.select("img_id", "label", "height", "width", "pixels").mapInArrow(run, f"img_id long, label int, condition string, {RAW}")
 
 
+def write_raw(rows: DataFrame, folder: str) -> None:
+    """Files (name, pixels) below folder, one that driver and executors share: each is written beside its place and then moved."""
+
+    def run(batches):
+        from tesserix.sources.scan import opened
+
+        fs, base = opened(folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tmp = f"{base}/.{name}-{uuid.uuid4().hex[:8]}"
+                with fs.open_output_stream(tmp) as f:
+                    f.write(data)
+                fs.move(tmp, f"{base}/{name}")
+            yield b.select([b.schema.names[0]])
+
+    rows.select("name", "pixels").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def write_images(images: DataFrame, folder: str, name: str = "name", kind: str = "png", quality: float = 95) -> DataFrame:
     """Image files below folder (one that driver and executors share), lossless PNG or JPEG; (name, path, sha256) of each. A file is written beside
     its place and then moved, so a repeated task leaves the same whole file. Names are unique and hold no slash."""

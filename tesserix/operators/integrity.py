@@ -24,6 +24,14 @@ def locked(df: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:
     return df
 
 
+def locked_parts(df: DataFrame, expected: DataFrame, actual: DataFrame, part: str, key: str = "path", digest: str = "sha256") -> DataFrame:
+    """Rows of the parts whose receipts agree in every path; a part with a missing, unexpected or changed path gives none."""
+    side = lambda rows, name: rows.select(part, key, F.col(digest).alias(name))
+    both = side(expected, "expected").join(side(actual, "actual"), [part, key], "full_outer")
+    bad = both.filter(~F.col("expected").eqNullSafe(F.col("actual"))).select(part).distinct()
+    return df.join(bad, part, "left_anti")
+
+
 def packaging_mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows whose values differ, or that only one side has."""
     both = a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys, "full_outer")
@@ -70,6 +78,12 @@ def one_provenance(parts: list[DataFrame], columns: list[str]) -> DataFrame:
     return rows
 
 
+def provenance_by(df: DataFrame, by: str, part: str, columns: list[str]) -> DataFrame:
+    """Per `by`: how many parts its rows come from, how many values of columns they carry, and their number where that is one (else 0: they do not go together)."""
+    found = df.groupBy(by).agg(F.countDistinct(part).cast("int").alias("n_parts"), F.countDistinct(F.struct(*columns)).alias("n_revisions"), F.count(F.lit(1)).alias("n"))
+    return found.select(by, "n_parts", "n_revisions", F.when(F.col("n_revisions") == 1, F.col("n")).otherwise(F.lit(0)).alias("n_rows"))
+
+
 def role_conflicts(df: DataFrame, held_out: list[str], model: str = "model", role: str = "role", training: tuple[str, ...] = ("train", "cal", "dev")) -> DataFrame:
     """Rows of generators that are held out for the test, in a role before it."""
     return df.filter(F.col(model).isin(*held_out) & F.col(role).isin(*training))

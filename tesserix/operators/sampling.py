@@ -19,6 +19,13 @@ def quota_table(spark, per_binary: list[int]) -> DataFrame:
     return spark.createDataFrame([(n, s, q) for n in per_binary for s, q in sid_quotas(n).items()], "per_binary int, sid int, quota int")
 
 
+def with_quotas(df: DataFrame, per_binary: str) -> DataFrame:
+    """df with a row per sid and its quota: all for real ones, half (at least 1) for synthetic ones, what is left (at least 1) for tampered ones."""
+    n = F.col(per_binary)
+    half = F.greatest(F.lit(1), F.floor(n / 2).cast("int"))
+    return df.select("*", F.posexplode(F.array(n.cast("int"), half, F.greatest(F.lit(1), n.cast("int") - half))).alias("sid", "quota"))
+
+
 def first_n(df: DataFrame, by: list[str], order: list, n) -> DataFrame:
     """The first n rows of each `by`; n may be a column. Spark limits ranks before the shuffle where n is a number."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tesserix.functions import hashing, scalars
-from tesserix.operators import acquisition, identity, integrity, sampling, tables, vectors
-from tesserix.plans.base import FEATURES, MANIFEST, SCORED, query, sql_hash, sql_values
+from tesserix.functions import hashing, scalars, table_functions
+from tesserix.operators import acquisition, identity, integrity, metrics, sampling, tables, vectors
+from tesserix.plans.base import ACC, AUC, FEATURES, MANIFEST, SCORED, query, sql_hash, sql_ranked, sql_values
 from tesserix.runtime import saved, table
 from tesserix.sources import relations
 from tesserix.sources.relations import CHAINS, PRESETS, ROLE_CONDITIONS, features, manifest, scored_views
@@ -31,18 +32,6 @@ def binary_label_map(spark, d):
     return table(spark, d, "documents").select("doc_id", sid.alias("sid"), scalars.binary_label(sid).alias("label"), scalars.folder(scalars.binary_label(sid)).alias("folder")).filter("label IS NOT NULL")
 
 
-@query(f"WITH {sql_values('c', ['name', 'ord', 'op', 'param'], [(n, i, o, p) for i, (n, o, p) in enumerate(PRESETS)])} SELECT name, ord, op, param::DOUBLE AS param FROM c")
-def condition_registry(spark, d):
-    """I9."""
-    return relations.conditions(spark)
-
-
-@query(f"WITH {sql_values('c', ['name', 'step', 'op', 'param'], [(n, i, o, p) for n, s in CHAINS.items() for i, (o, p) in enumerate(s)])} SELECT name, step, op, param::DOUBLE AS param FROM c")
-def chain_registry(spark, d):
-    """I10."""
-    return relations.chains(spark)
-
-
 ROLE_ROWS = [(g, r, n, i) for (g, r), names in ROLE_CONDITIONS.items() for i, n in enumerate(names)]
 REGISTRY = sql_values("rc", ["generation", "role", "condition", "ord"], ROLE_ROWS)
 
@@ -61,13 +50,39 @@ def view_counts(spark, d):
     return manifest(spark, d).join(F.broadcast(reg), "role").groupBy("generation", "role").agg(F.count(F.lit(1)).alias("n_views"), F.countDistinct("doc_id").alias("n_originals"))
 
 
+CONDITIONS = sql_values("cr", ["name", "ord", "op", "param"], [(n, i, o, p) for i, (n, o, p) in enumerate(PRESETS)])
+STEPS = sql_values("cs", ["name", "step", "op", "param"], [(n, i, o, p) for n, s in CHAINS.items() for i, (o, p) in enumerate(s)])
+
+
+@query(f"WITH {MANIFEST}, {REGISTRY}, {CONDITIONS} SELECT name, cr.ord, op, param::DOUBLE AS param, count(doc_id) AS n_views FROM cr LEFT JOIN (SELECT doc_id, condition FROM mf JOIN rc USING (role)) v ON v.condition = name GROUP BY ALL")
+def condition_registry(spark, d):
+    """Presets, and how many views of the table's originals each gives in all generations."""
+    views = manifest(spark, d).join(F.broadcast(relations.role_conditions(spark).select("role", F.col("condition").alias("name"))), "role").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return relations.conditions(spark).join(views, "name", "left").select("name", "ord", "op", "param", F.coalesce("n", F.lit(0)).cast("long").alias("n_views"))
+
+
+@query(f"WITH {MANIFEST}, {REGISTRY}, {STEPS} SELECT doc_id, cs.name, cs.step, cs.op, cs.param::DOUBLE AS param FROM mf JOIN rc USING (role) JOIN cs ON cs.name = condition WHERE generation = 'v4'")
+def chain_registry(spark, d):
+    """The steps of every chained view of the table's originals."""
+    views = manifest(spark, d).join(F.broadcast(relations.role_conditions(spark).filter("generation = 'v4'").select("role", F.col("condition").alias("name"))), "role")
+    return views.join(F.broadcast(relations.chains(spark)), "name").select("doc_id", "name", "step", "op", "param")
+
+
+@query(f"WITH {MANIFEST}, {REGISTRY} SELECT doc_id, role, condition, rc.ord FROM mf JOIN rc USING (role) WHERE generation = 'v3'")
+def lateral_views(spark, d):
+    """The views of each original by a table function, called from SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT doc_id, role, condition, v.ord FROM {originals} m, LATERAL role_views(m.role, 'v3') v", originals=manifest(spark, d))
+
+
 # sampling
 
 
-@query("SELECT n::INTEGER AS per_binary, sid::INTEGER AS sid, CASE sid WHEN 0 THEN n WHEN 1 THEN greatest(1, n // 2) ELSE greatest(1, n - greatest(1, n // 2)) END::INTEGER AS quota FROM (VALUES (1), (8), (25), (600)) t(n), (VALUES (0), (1), (2)) s(sid)")
+@query("SELECT source, n AS per_binary, sid::INTEGER AS sid, CASE sid WHEN 0 THEN n WHEN 1 THEN greatest(1, n // 2) ELSE greatest(1, n - greatest(1, n // 2)) END::INTEGER AS quota FROM (SELECT coalesce(source, '') AS source, count(*)::INTEGER AS n FROM documents GROUP BY 1) t, (VALUES (0), (1), (2)) s(sid)")
 def sid_quotas(spark, d):
-    """Q1."""
-    return sampling.quota_table(spark, [1, 8, 25, 600])
+    """Q1: quotas of each source, half of whose documents are real."""
+    per = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).cast("int").alias("per_binary"))
+    return sampling.with_quotas(per, "per_binary")
 
 
 @query(f"WITH {MANIFEST}, r AS (SELECT *, CASE WHEN sid = 0 THEN 0 ELSE 1 END AS label FROM mf), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY ord) AS rn FROM r) SELECT doc_id, label FROM k WHERE rn <= CASE WHEN label = 0 THEN 20 ELSE 21 END")
@@ -393,27 +408,31 @@ def prefix_drift(spark, d):
     return features(spark, d).select("vec_id", integrity.max_drift(F.col("x"), moved, 56).alias("drift"))
 
 
-# report tables. Published values: transform, AUC and accuracy of two models (fixed values).
-AB = (
-    ("clean", 0.9629, 0.9812, 0.9007, 0.9286), ("jpeg_90", 0.9658, 0.9832, 0.9107, 0.9414), ("jpeg_70", 0.9736, 0.9867, 0.9186, 0.9450), ("jpeg_50", 0.9667, 0.9825, 0.9079, 0.9371), ("jpeg_30", 0.9557, 0.9731, 0.8843, 0.9121),
-    ("blur_0.5", 0.9638, 0.9814, 0.8979, 0.9250), ("blur_1.0", 0.9622, 0.9789, 0.8593, 0.8636), ("blur_2.0", 0.9536, 0.9727, 0.8793, 0.9021), ("resize_0.5", 0.9621, 0.9794, 0.8657, 0.8879), ("resize_0.25", 0.9472, 0.9675, 0.8714, 0.8950),
-    ("noise_0.02", 0.9572, 0.9782, 0.8929, 0.9257), ("noise_0.05", 0.9563, 0.9756, 0.8843, 0.9171), ("noise_0.10", 0.9512, 0.9689, 0.8957, 0.9193), ("jitter_0.20", 0.9411, 0.9676, 0.8657, 0.9036), ("crop_0.80", 0.9578, 0.9792, 0.8921, 0.9300),
-)
-AB_ROWS = [(n, i, a, b, x, y) for i, (n, a, b, x, y) in enumerate(AB)]
-AB_SQL = f"WITH {sql_values('ab', ['transform', 'ord', 'a', 'b', 'x', 'y'], AB_ROWS)}, c AS (SELECT transform, ord, a::DOUBLE AS auc_base, b::DOUBLE AS auc_cand, (b - a)::DOUBLE AS delta_auc, x::DOUBLE AS acc_base, y::DOUBLE AS acc_cand, (y - x)::DOUBLE AS delta_acc, (b - 0.008 > a + 0.008 OR a - 0.008 > b + 0.008) AS ci_disjoint FROM ab)"
+# report tables: two matched models by condition; "view" plays the clean condition
+AB_SQL = (
+    f"WITH {SCORED}, {sql_ranked('sv', ['condition'], 'score_a', 'ra')}, {sql_ranked('sv', ['condition'], 'score_b', 'rb')}, "
+    f"ab AS (SELECT CASE condition WHEN 'view' THEN 'clean' ELSE condition END AS transform, (row_number() OVER (ORDER BY condition) - 1)::INTEGER AS ord, b, a, y, x FROM (SELECT condition, {AUC} AS a, {ACC} AS x FROM ra GROUP BY condition) JOIN (SELECT condition, {AUC} AS b, {ACC} AS y FROM rb GROUP BY condition) USING (condition)), "
+    "c AS (SELECT transform, ord, a AS auc_base, b AS auc_cand, b - a AS delta_auc, x AS acc_base, y AS acc_cand, y - x AS delta_acc, (b - 0.008 > a + 0.008 OR a - 0.008 > b + 0.008) AS ci_disjoint FROM ab)"
+)
 AB_COLUMNS = ("auc_base", "auc_cand", "delta_auc", "acc_base", "acc_cand", "delta_acc")
 
 
-def _ab(spark):
-    rows = spark.createDataFrame(AB_ROWS, "transform string, ord int, a double, b double, x double, y double")
-    side = lambda auc, acc: rows.select("transform", "ord", F.col(auc).alias("auc"), (F.col(auc) - 0.008).alias("auc_lo"), (F.col(auc) + 0.008).alias("auc_hi"), F.col(acc).alias("acc"))
-    return tables.compare(side("a", "x"), side("b", "y"))
+def _model(spark, d, score):
+    """transform, ord, auc, acc of a model by condition."""
+    t = metrics.robustness_table(scored_views(spark, d), ["condition"], score).select("condition", "auc", "acc")
+    name = F.when(F.col("condition") == "view", "clean").otherwise(F.col("condition")).alias("transform")
+    return t.select(name, (F.row_number().over(Window.orderBy("condition")) - 1).alias("ord"), "auc", "acc")  # one row a condition
+
+
+def _ab(spark, d):
+    side = lambda score: _model(spark, d, score).select("transform", "ord", "auc", (F.col("auc") - 0.008).alias("auc_lo"), (F.col("auc") + 0.008).alias("auc_hi"), "acc")
+    return tables.compare(side("score_a"), side("score_b"))
 
 
 @query(AB_SQL + " SELECT * FROM c", AB_COLUMNS)
 def ab_compare(spark, d):
-    """J1 D-8 W6: published tables side by side, in the baseline's order."""
-    return _ab(spark)
+    """J1 D-8 W6: two models side by side, in the baseline's order."""
+    return _ab(spark, d)
 
 
 @query(
@@ -424,35 +443,32 @@ def ab_compare(spark, d):
 )
 def ab_summary(spark, d):
     """A21."""
-    return tables.compare_summary(_ab(spark))
+    return tables.compare_summary(_ab(spark, d))
 
 
 @query(AB_SQL + ", w AS (SELECT transform, auc_cand FROM c WHERE transform <> 'clean' ORDER BY auc_cand LIMIT 1) SELECT max(CASE WHEN c.transform = 'clean' THEN c.auc_cand END) AS clean_auc, avg(CASE WHEN c.transform <> 'clean' THEN c.auc_cand END) AS mean_auc, any_value(w.auc_cand) AS worst_auc, any_value(w.transform) AS worst_row, avg(CASE WHEN c.transform <> 'clean' THEN c.auc_cand END) - max(CASE WHEN c.transform = 'clean' THEN c.auc_cand END) AS mean_delta, any_value(w.auc_cand) - max(CASE WHEN c.transform = 'clean' THEN c.auc_cand END) AS worst_delta, avg(CASE WHEN c.transform <> 'clean' THEN c.acc_cand END) AS mean_tpr_at_1fpr FROM c, w", ("clean_auc", "mean_auc", "worst_auc", "mean_delta", "worst_delta", "mean_tpr_at_1fpr"))
 def headline(spark, d):
-    """A22 on the published candidate (its accuracy stands in for the TPR column)."""
-    return tables.headline(_ab(spark).select("transform", F.col("auc_cand").alias("auc"), F.col("acc_cand").alias("tpr_at_1fpr")))
-
-
-def _parts(spark):
-    rows = spark.createDataFrame([(n, i, a, b) for n, i, a, b, _, _ in AB_ROWS], "transform string, row int, auc double, b double")
-    first = rows.filter("row < 9").select("transform", "row", "auc")  # an old shard, without tpr
-    second = rows.filter("row >= 7 AND row < 14").select("transform", "row", F.col("b").alias("auc"), (F.col("b") - 0.2).alias("tpr"))
-    return tables.merge_shards([first, second], relations.conditions(spark))
+    """A22 on the candidate (its accuracy stands in for the TPR column)."""
+    return tables.headline(_ab(spark, d).select("transform", F.col("auc_cand").alias("auc"), F.col("acc_cand").alias("tpr_at_1fpr")))
 
 
-MERGE = f"WITH {sql_values('ab', ['transform', 'ord', 'a', 'b', 'x', 'y'], AB_ROWS)}"
+def _parts(spark, d):
+    base, cand = _model(spark, d, "score_a"), _model(spark, d, "score_b")
+    first = base.filter("ord < 3").select("transform", F.col("ord").alias("row"), "auc")  # an old shard, without acc
+    second = cand.filter("ord >= 2 AND ord < 4").select("transform", F.col("ord").alias("row"), "auc", "acc")
+    return tables.merge_shards([first, second], base.select(F.col("transform").alias("name"), "ord"))
 
 
-@query(MERGE + " SELECT transform, ord, (CASE WHEN ord >= 7 THEN b ELSE a END)::DOUBLE AS auc, (CASE WHEN ord >= 7 THEN b - 0.2 END)::DOUBLE AS tpr FROM ab WHERE ord < 14", ("auc", "tpr"))
+@query(AB_SQL + " SELECT transform, ord, CASE WHEN ord >= 2 THEN b ELSE a END AS auc, CASE WHEN ord >= 2 THEN y END AS acc FROM ab WHERE ord < 4", ("auc", "acc"))
 def merge_shards_complete(spark, d):
     """The last shard wins, old columns are blank, the registry gives the order."""
-    return _parts(spark)[0].select("transform", "ord", "auc", "tpr")
+    return _parts(spark, d)[0].select("transform", "ord", "auc", "acc")
 
 
-@query(MERGE + " SELECT transform, ord FROM ab WHERE ord >= 14")
+@query(AB_SQL + " SELECT transform, ord FROM ab WHERE ord >= 4")
 def merge_shards_missing(spark, d):
     """What the registry has and the shards lack."""
-    return _parts(spark)[1].select("transform", "ord")
+    return _parts(spark, d)[1].select("transform", "ord")
 
 
 ABL = f"{SCORED}, hd AS (SELECT condition AS transform, head, avg(CASE head WHEN 'h1' THEN score_a WHEN 'h2' THEN score_b ELSE (score_a + score_b) / 2 END) AS auc FROM sv, (VALUES ('h1'), ('h2'), ('h3')) h(head) GROUP BY ALL)"
@@ -483,10 +499,17 @@ def leakage_deltas(spark, d):
     return tables.deltas_to(_heads(spark, d), "head", "transform", "view")
 
 
-@query("SELECT s.start::BIGINT AS start, s.expected::BIGINT AS expected, s.problem FROM (VALUES (120, 100, 'gap'), (250, 260, 'overlap'), (310, 400, 'short')) s(start, expected, problem)")
+SHARDS = "sh AS (SELECT doc_id // 50 AS k, min(doc_id) - CASE WHEN (doc_id // 50) % 5 = 2 THEN 3 ELSE 0 END AS start, count(*) AS n FROM documents WHERE doc_id % 350 <> 75 GROUP BY doc_id // 50)"
+
+
+@query(f"WITH {SHARDS}, s AS (SELECT start, coalesce(lag(start + n) OVER (ORDER BY start, n), 0) AS expected FROM sh), e AS (SELECT max(start + n) AS start, (SELECT max(doc_id) + 101 FROM documents) AS expected FROM sh) SELECT start::BIGINT AS start, expected::BIGINT AS expected, CASE WHEN start > expected THEN 'gap' ELSE 'overlap' END AS problem FROM s WHERE start <> expected UNION ALL SELECT start::BIGINT, expected::BIGINT, 'short' FROM e WHERE start <> expected")
 def shard_gap_check(spark, d):
-    """U3."""
-    return tables.shard_gaps(spark.createDataFrame([(0, 100), (120, 140), (250, 60)], "start long, rows long"), 400)
+    """Documents in shards of 50; some begin too early, some lack a row, and the last ones are missing."""
+    docs = table(spark, d, "documents")
+    k = F.floor(F.col("doc_id") / 50)
+    shards = docs.filter("doc_id % 350 <> 75").groupBy(k.alias("k")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    shards = shards.select((F.col("least") - F.when(F.col("k") % 5 == 2, 3).otherwise(0)).alias("start"), "rows")
+    return tables.shard_gaps(shards, docs.agg(F.max("doc_id") + 101).first()[0])
 
 
 # integrity

@@ -6,14 +6,16 @@ import os
 import tempfile
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tesserix.functions import hashing, scalars
-from tesserix.operators import boosting, calibration, heads, images, integrity, metrics, perceptron, sampling, vectors
+from tesserix.operators import boosting, calibration, encoders, heads, images, integrity, metrics, perceptron, sampling, vectors
 from tesserix.operators.heads import LinearHead
 from tesserix.plans.base import FEATURES, MANIFEST, SCORED, query, sql_hash
 from tesserix.runtime import fresh, table
-from tesserix.sources import files
+from tesserix.sources import files, inventory, scan
 from tesserix.sources.relations import features, manifest, scored_views
+from tesserix.streaming import acquire
 
 CHECKSUM = lambda x: F.aggregate(F.transform(x, lambda v, i: (i + 1) * v), F.lit(0.0), lambda a, b: a + b)
 
@@ -56,11 +58,13 @@ def cache_index_join(spark, d):
     return vectors.cache_rows(m, cache, 4).select("id", F.col("view_idx"), "row", "first_value")
 
 
-@query(f"WITH {FEATURES} SELECT vec_id, 'a' AS revision FROM fv WHERE view_idx < 2 UNION ALL SELECT vec_id, 'a' FROM fv WHERE view_idx >= 2")
+@query("SELECT lang, n_parts, n_revisions, CASE WHEN n_revisions = 1 THEN n ELSE 0 END AS n_rows FROM (SELECT lang, count(DISTINCT source)::INTEGER AS n_parts, count(DISTINCT rev) AS n_revisions, count(*) AS n FROM (SELECT lang, source, CASE WHEN source IN (SELECT min(source) FROM documents) AND lang IN ('de', 'fr') THEN 'r2' ELSE 'r1' END AS rev FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) GROUP BY lang)")
 def one_provenance(spark, d):
-    """Parts go together if they carry one revision."""
-    f = features(spark, d).select("vec_id", "view_idx", F.lit("a").alias("revision"))
-    return integrity.one_provenance([f.filter("view_idx < 2").drop("view_idx"), f.filter("view_idx >= 2").drop("view_idx")], ["revision"])
+    """The parts (sources) of each language go together only if all their rows carry one revision; one source has another one in two languages."""
+    docs = table(spark, d, "documents").filter("lang is not null and source is not null")
+    odd = docs.agg(F.min("source")).first()[0]
+    rows = docs.withColumn("rev", F.when((F.col("source") == odd) & F.col("lang").isin("de", "fr"), "r2").otherwise("r1"))
+    return integrity.provenance_by(rows, "lang", "source", ["rev"]).select("lang", "n_parts", "n_revisions", "n_rows")
 
 
 @query(f"WITH {MANIFEST} SELECT doc_id, model, role FROM mf WHERE model IN (SELECT min(model) FROM mf) AND role IN ('train', 'cal', 'dev')")
@@ -71,12 +75,13 @@ def held_out_conflicts(spark, d):
     return integrity.role_conflicts(m, [held]).select("doc_id", "model", "role")
 
 
-@query(f"WITH {MANIFEST} SELECT doc_id, sha FROM mf WHERE role = 'test'")
+@query(f"WITH {MANIFEST}, o AS (SELECT domain, doc_id, sha, CASE WHEN domain = 'en' AND doc_id % 97 = 3 THEN 'edited' ELSE sha END AS now FROM mf WHERE role = 'test' AND domain IS NOT NULL), bad AS (SELECT domain, count(*) FILTER (sha <> now) AS n FROM o GROUP BY domain) SELECT o.domain, doc_id, now AS sha FROM o JOIN bad ON o.domain = bad.domain AND bad.n = 0")
 def locked_rows(spark, d):
-    """V6: test rows are given out only under a valid lock."""
-    m = manifest(spark, d).filter("role = 'test'")
-    lock = m.select(F.col("doc_id").cast("string").alias("path"), F.col("sha").alias("sha256"))
-    return integrity.locked(m, lock, lock).select("doc_id", "sha")
+    """V6: test rows are given out only for domains whose lock holds; rows of one domain have changed since."""
+    m = manifest(spark, d).filter("role = 'test' and domain is not null")
+    now = m.withColumn("sha", F.when((F.col("domain") == "en") & (F.col("doc_id") % 97 == 3), "edited").otherwise(F.col("sha")))
+    receipt = lambda rows: rows.select("domain", F.col("doc_id").cast("string").alias("path"), F.col("sha").alias("sha256"))
+    return integrity.locked_parts(now, receipt(m), receipt(now), "domain").select("domain", "doc_id", "sha")
 
 
 @query(f"WITH {SCORED} SELECT condition AS transform, count(*) AS n, avg(score_a) AS auc, NULL::VARCHAR AS tpr FROM sv GROUP BY condition", ("auc",))
@@ -118,26 +123,41 @@ def saved_head_scores(spark, d):
     return features(spark, d).select("vec_id", head.score(F.col("x")).alias("pred"))
 
 
-N_IMAGES = 12
+#: The grey of position i (of 64) of a block, as SQL.
+GREY = "greatest(0, least(255, floor((x[{}] + 1) * 128)))::INTEGER"
 
 
-@query(f"SELECT i AS img_id, (i % 2)::INTEGER AS label, 24 AS height, 24 AS width, true AS same FROM (SELECT unnest(range(0, {N_IMAGES}))::BIGINT AS i)")
+def _pixels_sql(side: int) -> str:
+    """The pixels of block_images() as a list, row by row."""
+    n = side // 8
+    place = f"((p // 3) // {side} // {n})", f"((p // 3) % {side} // {n})"
+    at = f"CASE p % 3 WHEN 0 THEN {place[0]} * 8 + {place[1]} WHEN 1 THEN {place[0]} * 8 + 7 - {place[1]} ELSE (7 - {place[0]}) * 8 + {place[1]} END"
+    return f"list_transform(range({side * side * 3}), lambda p: g[({at}) + 1])"
+
+
+def table_images(spark, d, side: int = 24):
+    return images.block_images(features(spark, d), side)
+
+
+BLOCKS = f"{FEATURES}, gr AS (SELECT vec_id, y, list_transform(range(64), lambda i: {GREY.format('i + 1')}) AS g FROM fv)"
+
+
+@query(f"WITH {BLOCKS} SELECT vec_id AS img_id, y AS label, 24 AS height, 24 AS width, sha256(unhex(array_to_string(list_transform({_pixels_sql(24)}, lambda v: lpad(hex(v), 2, '0')), ''))) AS pixels FROM gr")
 def image_files(spark, d):
-    """Images written as PNG files by label, found again by suffix, and decoded to the bit."""
+    """Blocks of the table as PNG files by label, found again by suffix, and decoded to the bit."""
     folder = fresh(spark, "images")
-    made = images.generated_images(spark, N_IMAGES, 24).withColumn("name", F.concat(F.lit("i"), F.col("img_id").cast("string")))
+    made = table_images(spark, d).withColumn("name", F.concat(F.lit("i"), F.col("img_id").cast("string")))
     for label, part in ((0, "real"), (1, "aigc")):
         images.write_images(made.filter(F.col("label") == label), f"{folder}/val/{part}")
     found = images.scan_images(spark, folder).select("path", "label")
     back = images.decode_images(spark, folder).join(found, "path").withColumn("img_id", F.regexp_extract("path", r"i(\d+)\.png$", 1).cast("long"))
-    want = made.select("img_id", F.sha2("pixels", 256).alias("__want"))
-    return back.join(want, "img_id").select("img_id", "label", "height", "width", (F.sha2("pixels", 256) == F.col("__want")).alias("same"))
+    return back.select("img_id", "label", "height", "width", F.sha2("pixels", 256).alias("pixels"))
 
 
-@query(f"SELECT how, (CASE how WHEN 'paired' THEN 6 WHEN 'stacked' THEN 1 WHEN 'crops' THEN 5 ELSE 1 END * {N_IMAGES})::BIGINT AS n, 24 AS side FROM (VALUES ('paired'), ('stacked'), ('crops'), ('twice')) t(how)")
+@query(f"WITH {FEATURES} SELECT how, (CASE how WHEN 'paired' THEN 6 WHEN 'stacked' THEN 1 WHEN 'crops' THEN 5 ELSE 1 END * count(*))::BIGINT AS n, 24 AS side FROM fv, (VALUES ('paired'), ('stacked'), ('crops'), ('twice')) t(how) GROUP BY how")
 def further_views(spark, d):
-    """Views per image by kind, all of the image's own size."""
-    made, out = images.generated_images(spark, N_IMAGES, 24), None
+    """Views per image of the table by kind, all of the image's own size."""
+    made, out = table_images(spark, d), None
     for how in ("paired", "stacked", "crops", "twice"):
         rows = images.reencoded(made, ["img_id"], 2) if how == "twice" else images.augmented(made, how)
         one = rows.groupBy().agg(F.count(F.lit(1)).alias("n"), F.min("height").alias("side"), F.max(F.length("pixels")).alias("size")).select(F.lit(how).alias("how"), "n", F.when(F.col("size") == F.col("side") * F.col("side") * 3, F.col("side")).alias("side"))
@@ -215,8 +235,8 @@ def head_grid(spark, d):
 
 @query(doubles=("auc",))
 def smoke_fit(spark, d):
-    """A head fitted to procedural images under four conditions, on their forensic numbers."""
-    made, rows = images.generated_images(spark, 8, 64), None
+    """A head fitted to the table's images under four conditions, on their forensic numbers."""
+    made, rows = table_images(spark, d), None
     for c in ("clean", "jpeg_70", "blur_1.0", "resize_0.5"):
         one = images.measured(images.single_view(made, c), ["img_id", "label"]).select("img_id", F.col("label").alias("y"), F.col("forensic").alias("x"))
         rows = one if rows is None else rows.unionByName(one)
@@ -224,3 +244,58 @@ def smoke_fit(spark, d):
     return metrics.auc(rows.withColumn("score", head.score(F.col("x"))), [])
 
 
+
+
+def _sorted_dataset(spark, d, split):
+    """The table documents as a dataset of small files in the order of doc_id."""
+    base = fresh(spark, "dataset")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text").filter("lang is not null")
+    docs.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 1 << 17).parquet(f"{base}/{split}")
+    return base
+
+
+QUOTAS = {"en": 60, "de": 25, "fr": 10}
+QUOTA_SQL = " ".join(f"WHEN '{k}' THEN {n}" for k, n in QUOTAS.items())
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= CASE lang {QUOTA_SQL} ELSE 0 END")
+def scan_quota(spark, d):
+    """The first documents of each language in the order of the files, by a scan that stops when all quotas are met."""
+    shape = StructType([StructField("doc_id", LongType()), StructField("lang", StringType())])
+    return scan.scan_until_full(spark, _sorted_dataset(spark, d, "all") + "/all", shape, "lang", QUOTAS)
+
+
+@query(f"SELECT lang, least(count(DISTINCT coalesce(text, '')), CASE lang {QUOTA_SQL} END)::BIGINT AS n, true AS once FROM documents WHERE lang IN ('en', 'de', 'fr') GROUP BY lang")
+def split_stream_quota(spark, d):
+    """S5 ST3: a split that isn't there, its fallback as a stream, each content once, until all quotas are full."""
+    got = acquire.acquire_split(spark, _sorted_dataset(spark, d, "val"), "validation", "val", "lang", QUOTAS, step=3)
+    return got.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == F.countDistinct(F.coalesce("text", F.lit("")))).alias("once"))
+
+
+@query(f"WITH {BLOCKS} SELECT 'i' || vec_id::VARCHAR AS name, sha256(unhex(array_to_string(list_transform({_pixels_sql(8)}, lambda v: lpad(hex(v), 2, '0')), ''))) AS sha256, 192::BIGINT AS size FROM gr")
+def protected_inventory(spark, d):
+    """V4: the table's images as raw files; their inventory, taken twice: the second time no file is read."""
+    folder, store = fresh(spark, "protected"), fresh(spark, "inventory")
+    raw = table_images(spark, d, 8).select(F.concat(F.lit("i"), F.col("img_id").cast("string")).alias("name"), "pixels")
+    images.write_raw(raw, folder)
+    n = raw.count()
+    inventory.inventory(spark, folder, store, n)
+    told = {}
+    again = inventory.inventory(spark, folder, store, n, told=told)
+    return again.select(F.regexp_extract("path", "(i[0-9]+)$", 1).alias("name"), "sha256", "size").filter(F.lit(told["hashed"] == 0))
+
+
+def mean_colours():
+    """A stand-in encoder of three numbers."""
+    return lambda a: a.reshape(len(a), -1, 3).mean(1) / 255
+
+
+@query(f"WITH {BLOCKS}, m AS (SELECT vec_id, list_avg(g) / 255 AS c FROM gr) SELECT vec_id AS img_id, CASE WHEN vec_id % 13 = 0 THEN 0.5 ELSE 1 / (1 + exp(-(c - 2 * c + c / 2 + 0.1))) END AS pred FROM m", ("pred",))
+def encoded_scores(spark, d):
+    """Scores by an injected encoder in batches; images that can't be read give 0.5."""
+    import numpy as np
+
+    made = table_images(spark, d)
+    broken = made.withColumn("pixels", F.when(F.col("img_id") % 13 == 0, F.substring("pixels", 1, 7)).otherwise(F.col("pixels")))
+    head = lambda x: scalars.sigmoid(F.get(x, 0) - 2 * F.get(x, 1) + F.get(x, 2) / 2 + 0.1)
+    return encoders.scored(broken, mean_colours, np.zeros((24, 24, 3), np.uint8), head).select("img_id", "pred")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserix.functions.scalars import platt
 from tesserix.operators import heads, images, metrics, sampling
-from tesserix.plans.base import query
+from tesserix.plans.base import FEATURES, query
 from tesserix.sources.relations import features, scored_views
 from tesserix.streaming import quotas
 
@@ -53,8 +53,8 @@ def platt_calibration(spark, d):
 
 @query(doubles=("blockiness", "laplacian"))
 def image_views(spark, d):
-    """Procedural images under all test conditions, measured."""
-    views = images.expand_views(images.generated_images(spark, 4), "v4", "test")
+    """The table's images under all test conditions, measured."""
+    views = images.expand_views(images.block_images(features(spark, d), 32), "v4", "test")
     return images.measured(views, ["img_id", "label", "condition"]).select("img_id", "label", "condition", F.size("forensic").alias("n_forensic"), "blockiness", "laplacian", "dhash", "phash")
 
 
@@ -65,38 +65,46 @@ def mean_colour(image):
 
 @query(doubles=("pred",))
 def score_images(spark, d):
-    """Directory-style scoring with an injected encoder."""
-    return images.scored(images.generated_images(spark, 20), ["img_id", "label"], mean_colour, np.array([1.0, -2.0, 0.5]), 0.1)
+    """Directory-style scoring of the table's images with an injected encoder."""
+    return images.scored(images.block_images(features(spark, d), 32), ["img_id", "label"], mean_colour, np.array([1.0, -2.0, 0.5]), 0.1)
 
 
-GREY = "px AS (SELECT y, x, ((x * 3 + y * 2) % 256 * 299 + (x * 2 + y * 5) % 256 * 587 + (x + y * 3) % 256 * 114)::BIGINT AS g FROM (SELECT unnest(range(0, 64)) AS y) a, (SELECT unnest(range(0, 64)) AS x) b)"
+GREYS = f"{FEATURES}, px AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, greatest(0, least(255, floor((x[i + 1] + 1) * 128)))::BIGINT AS g FROM fv, (SELECT unnest(range(64)) AS i))"
+
+
+def _greys(spark, d):
+    """(vec_id, r, c, g): the pixels of the table's blocks."""
+    f = features(spark, d).select("vec_id", F.posexplode("x").alias("i", "v"))
+    g = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v") + 1) * 128))).cast("long")
+    return f.select("vec_id", F.floor(F.col("i") / 8).alias("r"), (F.col("i") % 8).alias("c"), g.alias("g"))
 
 
 @query(
-    f"""WITH {GREY}, s AS (SELECT 'h' AS axis, x + 1 AS place, abs(lead(g) OVER (PARTITION BY y ORDER BY x) - g) AS d FROM px UNION ALL SELECT 'v', y + 1, abs(lead(g) OVER (PARTITION BY x ORDER BY y) - g) FROM px)
-SELECT axis, avg(d) FILTER (place % 8 = 0) / 1000 - avg(d) FILTER (place % 8 <> 0) / 1000 AS blockiness, count(d) AS n FROM s GROUP BY axis""",
+    f"""WITH {GREYS}, s AS (SELECT vec_id, 'h' AS axis, c + 1 AS place, abs(lead(g) OVER (PARTITION BY vec_id, r ORDER BY c) - g) AS d FROM px UNION ALL SELECT vec_id, 'v', r + 1, abs(lead(g) OVER (PARTITION BY vec_id, c ORDER BY r) - g) FROM px)
+SELECT vec_id, axis, avg(d) FILTER (place % 4 = 0) - avg(d) FILTER (place % 4 <> 0) AS blockiness, count(d) AS n FROM s GROUP BY vec_id, axis""",
     ("blockiness",),
 )
 def pixel_blockiness(spark, d):
-    """I20 in relational form, on a procedural image."""
+    """I20 in relational form on the table's blocks, with borders at every fourth step."""
     from pyspark.sql import Window
 
-    p = spark.range(64).withColumnRenamed("id", "y").select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("x"))
-    g = p.withColumn("g", (F.col("x") * 3 + F.col("y") * 2) % 256 * 299 + (F.col("x") * 2 + F.col("y") * 5) % 256 * 587 + (F.col("x") + F.col("y") * 3) % 256 * 114)
-    step = lambda axis, at, by: g.select(F.lit(axis).alias("axis"), (F.col(at) + 1).alias("at"), F.abs(F.lead("g").over(Window.partitionBy(by).orderBy(at)) - F.col("g")).alias("d"))
-    s = step("h", "x", "y").unionByName(step("v", "y", "x"))
-    border = F.col("at") % 8 == 0
-    return s.groupBy("axis").agg((F.avg(F.when(border, F.col("d"))) / 1000 - F.avg(F.when(~border, F.col("d"))) / 1000).alias("blockiness"), F.count("d").alias("n"))
+    g = _greys(spark, d)
+    step = lambda axis, at, by: g.select("vec_id", F.lit(axis).alias("axis"), (F.col(at) + 1).alias("at"), F.abs(F.lead("g").over(Window.partitionBy("vec_id", by).orderBy(at)) - F.col("g")).alias("d"))
+    s = step("h", "c", "r").unionByName(step("v", "r", "c"))
+    border = F.col("at") % 4 == 0
+    return s.groupBy("vec_id", "axis").agg((F.avg(F.when(border, F.col("d"))) - F.avg(F.when(~border, F.col("d")))).alias("blockiness"), F.count("d").alias("n"))
 
 
 @query(
-    """WITH px AS (SELECT (x * 3 + y * 2) % 256 AS r, (x * 2 + y * 5) % 256 AS g, (x + y * 3) % 256 AS b FROM (SELECT unnest(range(0, 64)) AS y) p, (SELECT unnest(range(0, 64)) AS x) q)
-SELECT avg(r) AS mean_r, avg(g) AS mean_g, avg(b) AS mean_b, stddev_pop(r) AS std_r, stddev_pop(g) AS std_g, stddev_pop(b) AS std_b, corr(r, g) AS corr_rg, corr(g, b) AS corr_gb, corr(r, b) AS corr_rb FROM px""",
+    f"""WITH {GREYS}, q AS (SELECT a.vec_id, a.g AS r, b.g, c.g AS b FROM px a JOIN px b ON a.vec_id = b.vec_id AND a.r = b.r AND a.c = 7 - b.c JOIN px c ON a.vec_id = c.vec_id AND a.c = c.c AND a.r = 7 - c.r)
+SELECT vec_id, avg(r) AS mean_r, avg(g) AS mean_g, avg(b) AS mean_b, stddev_pop(r) AS std_r, stddev_pop(g) AS std_g, stddev_pop(b) AS std_b, corr(r, g) AS corr_rg, corr(g, b) AS corr_gb, corr(r, b) AS corr_rb FROM q GROUP BY vec_id""",
     ("mean_r", "mean_g", "mean_b", "std_r", "std_g", "std_b", "corr_rg", "corr_gb", "corr_rb"),
 )
 def pixel_colour_stats(spark, d):
-    """I15's colour part and F8, in relational form."""
-    x, y = F.col("x"), F.col("y")
-    p = spark.range(64).withColumnRenamed("id", "y").select("y", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x")).select(((x * 3 + y * 2) % 256).alias("r"), ((x * 2 + y * 5) % 256).alias("g"), ((x + y * 3) % 256).alias("b"))
+    """I15's colour part and F8, in relational form, on the table's blocks with mirrored colours."""
+    at = lambda r, c: F.get("l", (r * 8 + c).cast("int"))
+    f = features(spark, d).select("vec_id", F.transform("x", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 1) * 128))).cast("long")).alias("l"))
+    r, c = F.floor(F.col("i") / 8), F.col("i") % 8
+    q = f.select("vec_id", "l", F.posexplode("l").alias("i", "r")).select("vec_id", "r", at(r, 7 - c).alias("g"), at(7 - r, c).alias("b"))
     guarded = lambda a, b: F.when((F.stddev_pop(a) < 1e-8) | (F.stddev_pop(b) < 1e-8), 0.0).otherwise(F.corr(a, b))
-    return p.agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"], *[F.stddev_pop(c).alias(f"std_{c}") for c in "rgb"], guarded("r", "g").alias("corr_rg"), guarded("g", "b").alias("corr_gb"), guarded("r", "b").alias("corr_rb"))
+    return q.groupBy("vec_id").agg(*[F.avg(c).alias(f"mean_{c}") for c in "rgb"], *[F.stddev_pop(c).alias(f"std_{c}") for c in "rgb"], guarded("r", "g").alias("corr_rg"), guarded("g", "b").alias("corr_gb"), guarded("r", "b").alias("corr_rb"))
