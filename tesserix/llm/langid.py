@@ -8,7 +8,10 @@ sequences are joined from two texts, so that switches occur. Marginals come from
 the largest mean marginal over all its words, which is its score.
 
 Exact forward-backward on long texts runs in blocks: the transfer matrices of all blocks of a batch are multiplied side by
-side, carried from block to block, and each block is then filled in.
+side, carried from block to block, and each block is then filled in. With more than FEW languages such matrices cost too much: the texts of a batch are then gone through side by side, word by
+word. Memory is bounded in bytes whatever the texts and languages are: batches hold about CELLS numbers, a longer text is read in parts (forward with the state at each part's
+beginning kept, then backward), words' emissions are kept up to KEPT bytes of words and numbers, and the table of feature weights has fewer buckets where there are many languages (WEIGHTS bytes). Both
+ways give the same marginals.
 
 und with score 0 if a text is null or has no letter, or if nothing could be learned. Ties go to the first language by name.
 Repeated rows get equal labels; an empty table gives an empty result; other columns are ignored.
@@ -30,16 +33,23 @@ from tesserix.llm.words import letter_runs
 BUCKETS, SPAN, BLOCK = 1 << 16, 48, 32
 PER_LANG, SPANS, EPOCHS, LEXICON = 400, 1500, 2, 300
 FOLDS, HELD_OUT = 4, 2
-#: Words handled at once.
-MOST_WORDS = 400_000
+#: Numbers (words x languages) handled at once, bytes of words whose emissions are kept, and bytes of feature weights.
+CELLS, KEPT, WEIGHTS = 1_600_000, 96 << 20, 64 << 20
+#: Languages up to which blocks are multiplied.
+FEW = 12
 
 
-def features(word: str, lexicon: dict[str, int]) -> np.ndarray:
+def buckets_for(languages: int) -> int:
+    """Feature buckets: BUCKETS, or the power of two whose weights fit into WEIGHTS bytes."""
+    return min(BUCKETS, 1 << max(10, (WEIGHTS // (4 * max(1, languages))).bit_length() - 1))
+
+
+def features(word: str, lexicon: dict[str, int], buckets: int = BUCKETS) -> np.ndarray:
     e = f"<{word}>"
     names = {f"p{word[:k]}" for k in (1, 2, 3)} | {f"s{word[-k:]}" for k in (1, 2, 3)} | {f"t{e[i : i + 3]}" for i in range(len(e) - 2)} | {f"w{word}"}
     known = lexicon.get(word, 0)
     names |= {f"l{k}" for k in range(known.bit_length()) if known >> k & 1}
-    return np.unique(np.array([zlib.crc32(n.encode("utf-8")) & (BUCKETS - 1) for n in names], np.int64))
+    return np.unique(np.array([zlib.crc32(n.encode("utf-8")) & (buckets - 1) for n in names], np.int64))
 
 
 def chain_marginals(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,12 +72,12 @@ def chain_marginals(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tu
 
 
 class Crf:
-    """langs, feature weights (BUCKETS, labels), log transitions and log starts."""
+    """langs, feature weights (buckets, labels), log transitions and log starts."""
 
     def __init__(self, langs: list[str], lexicon: dict[str, int]):
         k = len(langs)
         self.langs, self.lexicon = langs, lexicon
-        self.weights = np.zeros((BUCKETS, k), np.float32)
+        self.weights = np.zeros((buckets_for(k), k), np.float32)
         self.moves, self.starts = np.zeros((k, k)), np.zeros(k)
 
     def fit(self, texts: list[tuple[list[str], int]], seed: int = 5, epochs: int = EPOCHS, rate: float = 0.25, batch: int = 64) -> None:
@@ -77,7 +87,7 @@ class Crf:
             i = memo.get(w)
             if i is None:
                 i = memo[w] = len(ids)
-                ids.append(features(w, self.lexicon))
+                ids.append(features(w, self.lexicon, len(self.weights)))
             return i
 
         spans, k = [], len(self.langs)
@@ -95,7 +105,7 @@ class Crf:
         each = max(1, min(len(spans) // len(live), SPANS))
         sizes = np.array([len(f) for f in ids])
         starts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids)
-        g_w, g_m, g_s = np.full(BUCKETS, 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)
+        g_w, g_m, g_s = np.full(len(self.weights), 1e-3, np.float32), np.full((k, k), 1e-3), np.full(k, 1e-3)
         for _ in range(epochs):
             chosen = rng.permutation(np.concatenate([rng.choice(by_label[y], each) for y in live]))
             for lo in range(0, len(chosen), batch):
@@ -134,10 +144,11 @@ class Crf:
 
 
 class Labeller:
-    """A fitted field applied to texts. Words' emissions are kept in a growing table, emptied at a bound."""
+    """A fitted field applied to texts. Words' emissions are kept in a growing table, emptied at a bound of bytes."""
 
-    def __init__(self, crf: Crf, most: int = 250_000):
+    def __init__(self, crf: Crf, most: int = KEPT, cells: int = CELLS):
         self.crf, self.k, self.most = crf, len(crf.langs), most
+        self.span = max(BLOCK, cells // max(1, self.k) // BLOCK * BLOCK)  # words handled at once
         if self.k:
             self.move, start = np.exp(crf.moves - crf.moves.max()), np.exp(crf.starts - crf.starts.max())
             self.start = start / start.sum()
@@ -145,7 +156,7 @@ class Labeller:
 
     def _empty(self):
         self.at: dict[str, int] = {}
-        self.emit = np.empty((1024, self.k))
+        self.emit, self.held = np.empty((1024, self.k)), 0
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Exponentials of the words' emissions, the largest of each word 1."""
@@ -154,15 +165,16 @@ class Labeller:
             return self.emit[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
         except KeyError:
             pass
-        if len(at) > self.most:
+        new = [w for w in dict.fromkeys(words) if w not in at]
+        size = sum(map(len, new)) + len(new) * (8 * self.k + 120)
+        if self.held + size > self.most and at:
             self._empty()
             at = self.at
-        new = [w for w in dict.fromkeys(words) if w not in at]
+            new = list(dict.fromkeys(words))
+            size = sum(map(len, new)) + len(new) * (8 * self.k + 120)
         if new:
-            feats = [features(w, self.crf.lexicon) for w in new]
-            n = np.array([len(f) for f in feats])
-            e = np.add.reduceat(self.crf.weights[np.concatenate(feats)].astype(np.float64), np.cumsum(n) - n, 0)
-            e = np.exp(np.maximum(e - e.max(1, keepdims=True), -30))
+            self.held += size
+            e = self._emissions(new)
             while len(at) + len(new) > len(self.emit):
                 self.emit = np.concatenate([self.emit, np.empty_like(self.emit)])
             self.emit[len(at) : len(at) + len(new)] = e
@@ -171,6 +183,104 @@ class Labeller:
         out = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
         return self.emit[out]
 
+    def _emissions(self, words: list[str]) -> np.ndarray:
+        """Exponentials of the words' emissions, computed for about self.span features at a time; a word may be as long as a text."""
+        out, group, n = np.empty((len(words), self.k)), [], 0
+
+        def flush():
+            if group:
+                sizes = np.array([len(f) for _, f in group])
+                flat = np.concatenate([f for _, f in group])
+                out[[i for i, _ in group]] = np.add.reduceat(self.crf.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes, 0)
+            group.clear()
+
+        for i, w in enumerate(words):
+            found = features(w, self.crf.lexicon, len(self.crf.weights))
+            if len(found) > self.span:
+                out[i] = sum(self.crf.weights[found[low : low + self.span]].sum(0, dtype=np.float64) for low in range(0, len(found), self.span))
+                continue
+            if n + len(found) > self.span:
+                flush()
+                n = 0
+            group.append((i, found))
+            n += len(found)
+        flush()
+        return np.exp(np.maximum(out - out.max(1, keepdims=True), -30))
+
+    def means(self, texts: list[list[str]]) -> np.ndarray:
+        """The mean marginals of each text's words (none empty), in groups of about self.span words; longer texts in parts."""
+        out = np.empty((len(texts), self.k))
+        group, size = [], 0
+
+        def flush():
+            nonlocal size
+            if group:
+                emits = [self.rows(texts[i]) for i in group]
+                for i, m in zip(group, self.marginals(emits) if self.k <= FEW else self._side_by_side(emits), strict=True):
+                    out[i] = m.mean(0)
+            group.clear()
+            size = 0
+
+        for i, words in enumerate(texts):
+            if len(words) > self.span:
+                out[i] = self._in_parts(words)
+                continue
+            if size + len(words) > self.span:
+                flush()
+            group.append(i)
+            size += len(words)
+        flush()
+        return out
+
+    def _in_parts(self, words: list[str]) -> np.ndarray:
+        """The mean marginals of a text of any length: forward with the state before each part, then backward part by part."""
+        parts, before, a = range(0, len(words), self.span), [], None
+        for low in parts:
+            before.append(a)
+            for e in self.rows(words[low : low + self.span]):
+                a = (self.start if a is None else a @ self.move) * e
+                a /= a.sum()
+        total, b = np.zeros(self.k), np.ones(self.k)
+        for low, a in zip(reversed(parts), reversed(before), strict=True):
+            emit = self.rows(words[low : low + self.span])
+            ahead = np.empty_like(emit)
+            for t, e in enumerate(emit):
+                a = (self.start if a is None else a @ self.move) * e
+                a /= a.sum()
+                ahead[t] = a
+            for t in range(len(emit) - 1, -1, -1):
+                p = ahead[t] * b
+                total += p / p.sum()
+                b = self.move @ (emit[t] * b)
+                b /= b.sum()
+        return total / len(words)
+
+    def _side_by_side(self, emits: list[np.ndarray]) -> list[np.ndarray]:
+        """marginals() for many labels: the longest text first, so that those that go on at a step are the first ones."""
+        order = sorted(range(len(emits)), key=lambda i: -len(emits[i]))
+        sizes = np.array([len(emits[i]) for i in order])
+        live = [int((sizes > t).sum()) for t in range(sizes[0])]
+        begin = np.cumsum([0, *live])
+        x = np.empty((begin[-1], self.k))
+        for j, i in enumerate(order):
+            x[begin[: len(emits[i])] + j] = emits[i]
+        ahead, a = np.empty_like(x), np.tile(self.start, (live[0], 1))
+        for t, n in enumerate(live):
+            a = (a[:n] if t == 0 else a[:n] @ self.move) * x[begin[t] : begin[t] + n]
+            a /= a.sum(1, keepdims=True)
+            ahead[begin[t] : begin[t] + n] = a
+        b = np.ones((live[0], self.k))
+        for t in range(len(live) - 1, -1, -1):
+            own = slice(begin[t], begin[t] + live[t])
+            p = ahead[own] * b[: live[t]]
+            ahead[own] = p / p.sum(1, keepdims=True)
+            back = (x[own] * b[: live[t]]) @ self.move.T
+            b[: live[t]] = back / back.sum(1, keepdims=True)
+        out: list = [None] * len(emits)
+        for j, i in enumerate(order):
+            out[i] = ahead[begin[: len(emits[i])] + j]
+        return out
+
     def marginals(self, emits: list[np.ndarray]) -> list[np.ndarray]:
         """Exact marginals of each text's words; emits: (words, labels) each, none empty."""
         k, move = self.k, self.move
@@ -233,25 +343,25 @@ class Labeller:
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        held, emits, size = [], [], 0
+        held, found, size = [], [], 0
 
         def flush():
-            for i, m in zip(held, self.marginals(emits) if emits else [], strict=True):
-                mean = m.mean(0)
+            nonlocal size
+            for i, mean in zip(held, self.means(found) if found else [], strict=True):
                 best = int(mean.argmax())
                 out[i] = (self.crf.langs[best], float(min(1.0, mean[best])))
             held.clear()
-            emits.clear()
+            found.clear()
+            size = 0
 
         for i, text in enumerate(texts):
             words = letter_runs((text or "").lower())
             if words and self.k:
                 held.append(i)
-                emits.append(self.rows(words))
+                found.append(words)
                 size += len(words)
-                if size > MOST_WORDS:
+                if size > self.span:
                     flush()
-                    size = 0
         flush()
         return out
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tesserix import runtime
-from tesserix.llm import bpe, mixing, ngram_join, quality, queries, resampling, sampling, whitening
+from tesserix.llm import bpe, langid, mixing, ngram_join, quality, queries, resampling, sampling, whitening
 
 
 def test_every_code_point_is_encoded_as_by_the_library():
@@ -229,3 +229,20 @@ def test_quality_of_odd_tables(spark):
     kept = quality.quality_filter(docs.drop("n_chars"), labels)
     assert kept.columns == docs.drop("n_chars").columns and kept.count() in (0, 5)
     assert quality.quality(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_marginals_in_parts_and_side_by_side():
+    """Both ways of going through texts, and texts in parts with words forgotten in between, give the block-wise marginals; memory stays bounded for many languages."""
+    rng = np.random.default_rng(0)
+    for k in (3, 20):
+        crf = langid.Crf([f"l{i}" for i in range(k)], {})
+        crf.weights, crf.moves, crf.starts = rng.normal(0, 0.5, crf.weights.shape).astype(np.float32), rng.normal(0, 1, (k, k)), rng.normal(0, 1, k)
+        texts = [[f"w{rng.integers(500)}" for _ in range(n)] for n in (1, 5, 31, 32, 33, 64, 100, 700)]
+        plain, small = langid.Labeller(crf), langid.Labeller(crf, most=60_000, cells=40 * k)
+        want = np.stack([m.mean(0) for m in plain.marginals([plain.rows(t) for t in texts])])
+        beside = np.stack([m.mean(0) for m in plain._side_by_side([plain.rows(t) for t in texts])])
+        assert np.allclose(want, beside, atol=1e-12) and np.allclose(want, plain.means(texts), atol=1e-12) and np.allclose(want, small.means(texts), atol=1e-12)
+        assert small.held <= 60_000 and len(small.emit) * k * 8 < 200_000
+    assert langid.buckets_for(4) == langid.BUCKETS and langid.buckets_for(5000) * 5000 * 4 <= langid.WEIGHTS
+    long = "x" * 50_000  # one word as long as a text
+    assert np.allclose(langid.Labeller(crf, cells=40 * k).rows([long]), plain.rows([long]))
