@@ -1,12 +1,14 @@
 """Linear heads on feature vectors by Spark ML: scaling, weighted fits, calibration, cross-validation, ablation, blends.
 
-Objectives follow the usual definition sum(w loss) / sum(w) + L2 / (2 C sum(w)); scaling divides by the population deviation. Multilayer
-and boosted heads use Spark's estimators, which have other regularisers, so they are approximations.
+Objectives follow the usual definition sum(w loss) / sum(w) + L2 / (2 C sum(w)); scaling divides by the population deviation. Multilayer and boosted heads are in
+perceptron and boosting.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,16 +59,6 @@ def fit_logistic(df: DataFrame, c: float = 1.0, weight: Column | None = None, cl
     return LinearHead(mean, std, model.coefficients.toArray().tolist(), model.intercept)
 
 
-def fit_other(df: DataFrame, kind: str, seed: int = 7):
-    """mlp (64 hidden units) or boosted trees: Spark's nearest estimators. Gives a function DataFrame -> DataFrame with score."""
-    mean, std = moments(df)
-    vec = lambda d: d.withColumn("features", array_to_vector(scaled(F.col("x"), mean, std)))
-    rows = vec(df).withColumn("label", F.col("y").cast("double"))
-    est = MultilayerPerceptronClassifier(layers=[len(mean), 64, 2], maxIter=80, seed=seed) if kind == "mlp" else GBTClassifier(maxIter=20, maxDepth=4, seed=seed)
-    model = est.fit(rows)
-    return lambda d: model.transform(vec(d)).withColumn("score", vector_to_array("probability")[1])
-
-
 def fit_platt(df: DataFrame, score: str = "score") -> tuple[float, float]:
     """a and b of 1 / (1 + exp(a s + b)), fitted to smoothed targets: each row counts as both labels, by its target."""
     n = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -77,31 +69,48 @@ def fit_platt(df: DataFrame, score: str = "score") -> tuple[float, float]:
     return -float(model.coefficients[0]), -float(model.intercept)
 
 
+#: Fits that run at the same time, so that the small jobs of one don't leave a cluster idle.
+AT_ONCE = 4
+
+
+def at_once(work: list) -> list:
+    """The results of functions without arguments, run side by side."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(w) for w in work]]
+
+
+def _scored_folds(df: DataFrame, heads: list[LinearHead]) -> DataFrame:
+    """df with out-of-fold scores, in one reading: each row by the head that didn't learn from its fold."""
+    score = F.lit(None).cast("double")
+    for f, head in enumerate(heads):
+        score = F.when(F.col("fold") == f, head.score(F.col("x"))).otherwise(score)
+    return df.filter(F.col("fold").between(0, len(heads) - 1)).withColumn("score", score)
+
+
 def cross_validated(df: DataFrame, k: int, fit=fit_logistic, **kw) -> DataFrame:
     """df (x, y, fold) to its rows with out-of-fold scores."""
-    out = None
-    for f in range(k):
-        head = fit(df.filter(F.col("fold") != f), **kw)
-        part = df.filter(F.col("fold") == f).withColumn("score", head.score(F.col("x")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _scored_folds(df, at_once([lambda f=f: fit(df.filter(F.col("fold") != f), **kw) for f in range(k)]))
 
 
 def grid(df: DataFrame, k: int, cs=(0.01, 0.1, 1.0), weights=(1.0, 2.0, 5.0)) -> list[tuple[float, float, float]]:
-    """(auc, c, tampered weight) of each setting by cross-validation; the first best is max() by auc."""
-    out = []
-    for c in cs:
-        for w in weights:
-            scored = cross_validated(df, k, c=c, weight=F.when(F.col("sid") == 2, w).otherwise(1.0))
-            out.append((auc(scored, []).first()["auc"], c, w))
-    return out
+    """(auc, c, tampered weight) of each setting by cross-validation; the first best is max() by auc. All fits of all settings share one kept table."""
+    settings = [(c, w) for c in cs for w in weights]
+    rows = df.persist()
+    fits = at_once([lambda c=c, w=w, f=f: fit_logistic(rows.filter(F.col("fold") != f), c=c, weight=F.when(F.col("sid") == 2, w).otherwise(1.0)) for c, w in settings for f in range(k)])
+    scored = [_scored_folds(rows, fits[i * k : (i + 1) * k]).select("y", "score", F.lit(i).alias("setting")) for i in range(len(settings))]
+    every = scored[0]
+    for s in scored[1:]:
+        every = every.unionByName(s)
+    found = {r["setting"]: r["auc"] for r in auc(every, ["setting"]).collect()}
+    rows.unpersist()
+    return [(found.get(i), c, w) for i, (c, w) in enumerate(settings)]
 
 
 def branch_ablation(df: DataFrame, k: int, branches: dict[str, list[tuple[int, int]]]) -> DataFrame:
     """branch, auc: heads on slices of x, cross-validated; branches: name -> slices (start, stop)."""
-    out = None
-    for name, slices in branches.items():
-        part = df.withColumn("x", F.concat(*[F.slice("x", a + 1, b - a) for a, b in slices]))
-        row = auc(cross_validated(part, k), []).withColumn("branch", F.lit(name)).select("branch", "auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+    parts = {name: df.withColumn("x", F.concat(*[F.slice("x", a + 1, b - a) for a, b in slices])) for name, slices in branches.items()}
+    scored = at_once([lambda p=p, n=n: cross_validated(p, k).select("y", "score", F.lit(n).alias("branch")) for n, p in parts.items()])
+    every = scored[0]
+    for s in scored[1:]:
+        every = every.unionByName(s)
+    return auc(every, ["branch"])

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tesserix.functions import hashing, scalars
-from tesserix.operators import boosting, calibration, encoders, heads, images, integrity, metrics, perceptron, sampling, vectors
+from tesserix.operators import boosting, calibration, encoders, heads, images, integrity, metrics, perceptron, sampling, tables, vectors
 from tesserix.operators.heads import LinearHead
 from tesserix.plans.base import FEATURES, MANIFEST, SCORED, query, sql_hash
 from tesserix.runtime import fresh, table
 from tesserix.sources import files, inventory, scan
 from tesserix.sources.relations import features, manifest, scored_views
-from tesserix.streaming import acquire
+from tesserix.streaming import acquire, quotas, stages
 
 CHECKSUM = lambda x: F.aggregate(F.transform(x, lambda v, i: (i + 1) * v), F.lit(0.0), lambda a, b: a + b)
 
@@ -227,8 +227,8 @@ def cross_fitted_calibration(spark, d):
 
 @query(doubles=("auc",))
 def head_grid(spark, d):
-    """M9 M8: settings by cross-validation; the first best is chosen."""
-    found = heads.grid(_folded(spark, d, 2), 2, cs=(0.01, 1.0), weights=(1.0, 5.0))
+    """M9 M8: all nine settings by cross-validation; the first best is chosen."""
+    found = heads.grid(_folded(spark, d, 2), 2)
     best = max(range(len(found)), key=lambda i: (found[i][0], -i))
     return spark.createDataFrame([(i, float(a), float(c), float(w), i == best) for i, (a, c, w) in enumerate(found)], "ord int, auc double, c double, tampered_weight double, chosen boolean")
 
@@ -299,3 +299,34 @@ def encoded_scores(spark, d):
     broken = made.withColumn("pixels", F.when(F.col("img_id") % 13 == 0, F.substring("pixels", 1, 7)).otherwise(F.col("pixels")))
     head = lambda x: scalars.sigmoid(F.get(x, 0) - 2 * F.get(x, 1) + F.get(x, 2) / 2 + 0.1)
     return encoders.scored(broken, mean_colours, np.zeros((24, 24, 3), np.uint8), head).select("img_id", "pred")
+
+
+@query("SELECT doc_id, 'before <!-- note:start -->' || chr(10) || 'new' || chr(10) || '<!-- note:end -->' || coalesce(source, '') AS said FROM documents")
+def replaced_sections(spark, d):
+    """K9: the text between a section's markers, replaced; what is around it stays."""
+    page = F.concat(F.lit("before <!-- note:start -->\n"), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "<!--", ""), 1, 50), F.lit("<!-- note:end -->"), F.coalesce("source", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", tables.replace_section(page, "note", "new").alias("said"))
+
+
+@query("SELECT count(DISTINCT user_id)::BIGINT AS n FROM events")
+def stream_once_within(spark, d):
+    """ST6: a key once, with state that a watermark bounds; the delay covers the table's time."""
+    events = quotas.table_stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return quotas.run_to_table(quotas.once_within(events.select("user_id", "at"), "user_id", "at", "4000 days"), "once-within").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang, count(*)::BIGINT AS n FROM (SELECT text, min(lang) AS lang FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY text, lang) GROUP BY lang")
+def stream_ledger(spark, d):
+    """ST1 ST5: batches in a ledger, taken up again after a failure in a stage's first attempt; each key once."""
+    path, checkpoint, tries = fresh(spark, "ledger"), fresh(spark, "ledger-checkpoint"), []
+    docs = quotas.table_stream(spark, d, "documents").filter("text is not null and lang is not null").select("lang", F.sha2(F.concat_ws(":", "lang", "text"), 256).alias("key"))
+
+    def work():
+        tries.append(1)
+        quotas.once_into(docs, path, "key", checkpoint)
+        if len(tries) == 1:
+            raise RuntimeError("the first attempt fails after its batches were written")
+
+    done = stages.run([("intake", work)], fresh(spark, "stages") + "/record.json", "fingerprint", wait=lambda _: None)
+    rows = quotas.read_ledger(spark, path)
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.lit(done == ["intake"] and len(tries) == 2))
