@@ -363,23 +363,34 @@ def _huffman(counts: dict[int, int], most: int = 16) -> list[tuple[int, int]]:
 
 def jpeg_file(image: np.ndarray, quality: float = 95) -> bytes:
     """A baseline JPEG without subsampling, with Huffman tables made for the image."""
-    h, w = image.shape[:2]
+    ycc = image.astype(np.float64) @ TO_YCC.T
+    return _jpeg_bytes([ycc[:, :, 0] - 128, ycc[:, :, 1], ycc[:, :, 2]], [0, 1, 1], quality)
+
+
+def ink_file(inks: np.ndarray, quality: float = 95) -> bytes:
+    """A baseline JPEG of four inks (height, width, CMYK), inverted as Adobe's files are, with its mark."""
+    mark = b"Adobe" + bytes([0, 100, 0, 0, 0, 0, 0])
+    return _jpeg_bytes([127.0 - inks[:, :, k] for k in range(4)], [0, 0, 0, 0], quality, b"\xff\xee" + (len(mark) + 2).to_bytes(2, "big") + mark)
+
+
+def _jpeg_bytes(centred: list[np.ndarray], kinds: list[int], quality: float, before: bytes = b"") -> bytes:
+    """A baseline JPEG of planes around 0. kinds: each plane's tables, 0 (luma) or 1 (chroma)."""
+    h, w = centred[0].shape
     scale = 5000 / quality if quality < 50 else 200 - 2 * quality
-    order, ycc = zigzag(), image.astype(np.float64) @ TO_YCC.T
+    order, used_kinds = zigzag(), sorted(set(kinds))
     tables = [np.clip(np.floor((q * scale + 50) / 100), 1, 255).astype(int) for q in (Q_LUMA, Q_CHROMA)]
     planes = []
-    for k in range(3):
-        plane = np.pad(ycc[:, :, k] - (128 if k == 0 else 0), ((0, -h % 8), (0, -w % 8)), "edge")
-        c = np.rint(DCT @ blocks_of(plane) @ DCT.T / tables[min(k, 1)]).astype(int)
+    for k, plane in zip(kinds, centred, strict=True):
+        c = np.rint(DCT @ blocks_of(np.pad(plane, ((0, -h % 8), (0, -w % 8)), "edge")) @ DCT.T / tables[k]).astype(int)
         planes.append(_jpeg_symbols(c.reshape(-1, 64)[:, order]))
     segment = lambda mark, data: bytes([0xFF, mark]) + (len(data) + 2).to_bytes(2, "big") + data
-    out = b"\xff\xd8" + b"".join(segment(0xDB, bytes([i]) + bytes(t.ravel()[order].tolist())) for i, t in enumerate(tables))
-    out += segment(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([3, 1, 0x11, 0, 2, 0x11, 1, 3, 0x11, 1]))
-    codes = []
-    for i, some in enumerate(([planes[0]], planes[1:])):
+    out = b"\xff\xd8" + before + b"".join(segment(0xDB, bytes([i]) + bytes(tables[i].ravel()[order].tolist())) for i in used_kinds)
+    out += segment(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(planes)]) + bytes(x for i, k in enumerate(kinds) for x in (i + 1, 0x11, k)))
+    codes = {}
+    for i in used_kinds:
         for kind in (0, 1):
             counts: dict[int, int] = {}
-            for plane in some:
+            for plane in [p for p, k in zip(planes, kinds, strict=True) if k == i]:
                 for block in plane:
                     for s, _, _ in block[kind]:
                         counts[s] = counts.get(s, 0) + 1
@@ -388,16 +399,15 @@ def jpeg_file(image: np.ndarray, quality: float = 95) -> bytes:
                 code <<= n - last
                 words[s], last = (code, n), n
                 code += 1
-            codes.append(words)
+            codes[i, kind] = words
             out += segment(0xC4, bytes([kind << 4 | i]) + bytes(sum(n == m for _, n in used) for m in range(1, 17)) + bytes(s for s, _ in used))
-    out += segment(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0]))
+    out += segment(0xDA, bytes([len(planes)]) + bytes(x for i, k in enumerate(kinds) for x in (i + 1, k << 4 | k)) + bytes([0, 63, 0]))
     bits: list[str] = []
     for blocks in zip(*planes, strict=True):
-        for k, block in enumerate(blocks):
+        for k, block in zip(kinds, blocks, strict=True):
             for kind in (0, 1):
-                words = codes[2 * min(k, 1) + kind]
                 for s, value, n in block[kind]:
-                    code, length = words[s]
+                    code, length = codes[k, kind][s]
                     bits.append(f"{code:0{length}b}" + (f"{value:0{n}b}" if n else ""))
     text = "".join(bits)
     text += "1" * (-len(text) % 8)

@@ -6,6 +6,7 @@ number of executors shares the work, and views of one image are made one after t
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.functions import pixels as px
+from tesserix.functions.jpeg_reader import components, read_jpeg
 from tesserix.runtime import saved
 from tesserix.sources.relations import CHAINS, PRESETS, ROLE_CONDITIONS
 
@@ -31,8 +33,8 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode_images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, height, width, pixels. Files go through the JVM's image reader, which gives blue first; EXIF rotations are undone. A file that
-    can't be read has null pixels instead of failing the scan."""
+    """path, height, width, pixels. Files go through the JVM's image reader, which gives blue first; what it refuses is tried as a baseline JPEG with one to four components (CMYK
+    among them) where the file lies. EXIF rotations are undone. A file that can't be read has null pixels instead of failing the scan."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder).select("image.*")
     # rotations are in the headers of JPEG files only; the few files that have one are small rows, joined by path
     headers = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.substring("content", 1, 131072).alias("head")).filter(F.substring("head", 1, 2) == F.lit(b"\xff\xd8"))
@@ -44,8 +46,10 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if r["height"] <= 0:
-                    out.append({"path": r["origin"], "height": None, "width": None, "pixels": None})
+                # inks come out of the JVM's reader as if they were colours
+                if r["height"] <= 0 or components(r["head"] or b"") == 4:
+                    rgb = _refused(r["origin"])
+                    out.append({"path": r["origin"], "height": None, "width": None, "pixels": None} if rgb is None else {"path": r["origin"], "height": rgb.shape[0], "width": rgb.shape[1], "pixels": rgb.tobytes()})
                     continue
                 a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
                 rgb = np.repeat(a, 3, 2) if r["nChannels"] == 1 else a[:, :, 2::-1] if r["nChannels"] >= 3 else np.repeat(a[:, :, :1], 3, 2)
@@ -56,6 +60,20 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     return rows.mapInArrow(run, f"path string, {RAW}")
 
 
+def _refused(path: str) -> np.ndarray | None:
+    """An upright image of a file that the JVM's reader refuses, None if it can't be read here either."""
+    from tesserix.sources.scan import opened
+
+    try:
+        fs, at = opened(re.sub("^file:/+", "file:///", path))
+        with fs.open_input_stream(at) as f:
+            data = f.read()
+        rgb = read_jpeg(data)
+        return None if rgb is None else np.ascontiguousarray(px.oriented(rgb, px.exif_orientation(data)))
+    except Exception:  # a broken file is a row without pixels
+        return None
+
+
 def generated_images(spark: SparkSession, n: int, side: int = 64) -> DataFrame:
     """img_id, label, height, width, pixels of procedural images: even ids natural (0), odd ones synthetic (1)."""
 

@@ -108,3 +108,90 @@ def test_source_status(spark):
     made = lambda rows, names: spark.createDataFrame(rows, names)
     got = integrity.source_status(made(receipts, "path string, sha256 string"), made(registry, "path string, current string, archived string, snapshot string"), made(digests, "path string, sha256 string"))
     assert dict(map(tuple, got.collect())) == {"a.py": "current", "b.py": "archived", "c.py": "current", "/etc/x": "outside", "x/../../y": "outside", "gone.py": "missing", "d.py": "changed", "e.py": "outside"}
+
+
+def test_jpeg_reader(spark, tmp_path):
+    """Four inks, greys, colours, files that end too early and rotations: against what was written."""
+    import numpy as np
+
+    from tesserix.functions import pixels as px
+    from tesserix.functions.jpeg_reader import read_jpeg
+    from tesserix.operators import images
+
+    image = px.blur(px.generated(3, 37, 53), 2.0)
+    inks = np.concatenate([255 - image.astype(int), np.full((*image.shape[:2], 1), 40)], 2)
+    want = (255 - inks[:, :, :3]) * (255 - 40) / 255
+    data = px.ink_file(inks, 95)
+    assert np.abs(read_jpeg(data).astype(int) - want).mean() < 2
+    assert np.abs(read_jpeg(px.jpeg_file(image, 95)).astype(int) - image).mean() < 2
+    half = read_jpeg(data[: len(data) // 2])
+    assert half.shape == image.shape and np.abs(half[:8].astype(int) - want[:8]).mean() < 3
+    assert read_jpeg(b"\x89PNG") is None and read_jpeg(b"\xff\xd8\xff\xd9") is None
+    tiff = b"II*\x00\x08\x00\x00\x00\x01\x00\x12\x01\x03\x00\x01\x00\x00\x00\x06\x00\x00\x00\x00\x00\x00\x00"
+    exif = b"Exif\x00\x00" + tiff
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jpg").write_bytes(data)
+    (tmp_path / "in" / "b.jpg").write_bytes(data[:2] + b"\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + data[2:])
+    (tmp_path / "in" / "c.jpg").write_bytes(b"nothing")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in images.decode_images(spark, str(tmp_path / "in")).collect()}
+    back = lambda n: np.frombuffer(got[n]["pixels"], np.uint8).reshape(got[n]["height"], got[n]["width"], 3).astype(int)
+    assert np.abs(back("a.jpg") - want).mean() < 2 and np.abs(back("b.jpg") - np.rot90(want, -1)).mean() < 2 and got["c.jpg"]["pixels"] is None
+
+
+def test_inventory_reads_what_has_changed(spark, tmp_path):
+    import os
+
+    from tesserix.sources.inventory import inventory
+
+    folder, store = tmp_path / "files", str(tmp_path / "store")
+    (folder / "sub").mkdir(parents=True)
+    for i in range(20):
+        (folder / ("sub" if i % 2 else ".") / f"f{i}.png").write_bytes(b"x" * (i + 1))
+    (folder / "note.txt").write_text("no image")
+    with pytest.raises(ValueError, match="required"):
+        inventory(spark, str(folder), store, 21, "*.png")
+    told = {}
+    first = {r["path"]: r["sha256"] for r in inventory(spark, str(folder), store, 20, "*.png", told).collect()}
+    assert told == {"files": 20, "hashed": 20} and len(set(first.values())) == 20
+    assert inventory(spark, str(folder), store, 20, "*.png", told).count() == 20 and told["hashed"] == 0
+    (folder / "f0.png").write_bytes(b"y")
+    os.utime(folder / "f0.png", (1, 1))
+    (folder / "f2.png").unlink()
+    (folder / "new.png").write_bytes(b"z")
+    after = {r["path"]: r["sha256"] for r in inventory(spark, str(folder), store, 20, "*.png", told).collect()}
+    assert told == {"files": 20, "hashed": 2} and sum(first.get(p) == s for p, s in after.items()) == 18
+
+
+def test_encoders(spark):
+    """One bad image stays unknown, a broken encoder is an error before any job, a model is made once a worker."""
+    import numpy as np
+
+    from tesserix.operators import encoders
+
+    rows = [(i, 2, 3, bytes([i] * 18)) for i in range(10)] + [(20, 2, 3, b"short"), (21, None, None, None), (22, 2, 3, bytes([255] * 18)), (23, 1, 1, bytes([7, 7, 7]))]
+    df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
+
+    def make():
+        def model(a):
+            if (a == 255).any():
+                raise ValueError("can't encode this one")
+            return a.reshape(len(a), -1).mean(1, keepdims=True)
+
+        return model
+
+    probe = np.zeros((2, 3, 3), np.uint8)
+    got = {r["id"]: r["pred"] for r in encoders.scored(df, make, probe, lambda x: F.get(x, 0) / 10, batch=4).collect()}
+    assert got == {i: i / 10 for i in range(10)} | {20: 0.5, 21: 0.5, 22: 0.5, 23: 0.7}
+    for broken in (lambda: lambda a: 1 / 0, lambda: lambda a: np.full((1, 2), np.nan), lambda: lambda a: np.zeros(3)):
+        with pytest.raises(RuntimeError, match="encoder"):
+            encoders.encoded(df, broken, probe)
+
+
+def test_role_views_are_checked(spark):
+    from tesserix.functions import table_functions
+
+    table_functions.register(spark)
+    assert spark.sql("SELECT * FROM role_views('none', 'v4')").count() == 0 and spark.sql("SELECT * FROM role_views('test', 'v4')").count() == 19
+    for bad in ("role_views(1, 'v4')", "role_views('test', 'v9')"):
+        with pytest.raises(Exception, match="role|generation"):
+            spark.sql(f"SELECT * FROM {bad}").collect()
