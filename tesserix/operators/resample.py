@@ -3,13 +3,15 @@ the draws. Draws are hashes of (seed, repetition, slot), so they need no state a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserix.operators.metrics import auc_expr, ranked
+from tesserix.operators.metrics import cumulative
 from tesserix.operators.sampling import hash_ranks
 
 REPS = 2000
+#: Repetitions that are counted side by side.
+TOGETHER = 20
 
 
 def ordinals(originals: DataFrame, group: str = "grp") -> DataFrame:
@@ -18,20 +20,36 @@ def ordinals(originals: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def draws(originals: DataFrame, reps: int, seed: str, group: str = "grp") -> DataFrame:
-    """(rep, group, w): how often an original is drawn in a repetition. Each slot draws one original of its label."""
+    """(block, group, w): how often an original is drawn in each of a block's TOGETHER repetitions (an array). Each slot draws one original of its label.
+
+    A draw is one narrow row of the only shuffle; what is drawn in a block is counted where it arrives. Originals that a block doesn't draw have no row in it."""
     own = ordinals(originals, group)
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("y").cast("string"), F.col("slot").cast("string"))), 1, 15), 16, 10).cast("long")
-    drawn = own.select("y", "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("rep", "y", F.pmod(h, F.col("n").cast("long")).cast("int").alias("slot"))
-    counts = drawn.groupBy("rep", "y", "slot").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(own.select("y", "slot", group), ["y", "slot"]).select("rep", group, "w")
+    drawn = own.select("y", "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = drawn.select(F.floor(F.col("rep") / TOGETHER).cast("int").alias("block"), (F.col("rep") % TOGETHER).alias("at"), "y", F.pmod(h, F.col("n").cast("long")).cast("int").alias("slot"))
+    counts = F.array(*[F.count(F.when(F.col("at") == i, 1)) for i in range(TOGETHER)])
+    # dealt out by the keys of the count, so that wide counts aren't made before the shuffle
+    counted = drawn.repartition("block", "y", "slot").groupBy("block", "y", "slot").agg(counts.alias("w"))
+    return counted.join(own.select("y", "slot", group), ["y", "slot"]).select("block", group, "w")
 
 
 def bootstrap_aucs(df: DataFrame, keys: list[str], scores: list[str], reps: int, seed: str, group: str = "grp") -> DataFrame:
-    """(keys, rep, model, auc): every model on the same draws; an original's draws count in all its conditions."""
+    """(keys, rep, model, auc): every model on the same draws; an original's draws count in all its conditions.
+
+    A block's repetitions are columns of one histogram of scores, so a row is read once a block, not once a repetition."""
     weights = draws(df, reps, seed, group)
     models = F.explode(F.map_from_arrays(F.array(*map(F.lit, scores)), F.array(*scores))).alias("model", "score")
-    rows = df.select(group, *keys, "y", models).join(weights, group)
-    return ranked(rows, [*keys, "model", "rep"], "score", "y", F.col("w")).groupBy(*keys, "model", "rep").agg(auc_expr().alias("auc"))
+    rows = df.select(group, *keys, "y", models).filter(F.col("score").isNotNull() & F.col("y").isin(0, 1)).join(weights, group)
+    each, of = range(TOGETHER), lambda y, i: F.when(F.col("y") == y, F.get("w", F.lit(i))).otherwise(F.lit(0))
+    sums = cumulative(rows, [*keys, "model", "block"], "score", {f"{c}{i}": of(y, i) for c, y in (("p", 1), ("n", 0)) for i in each})
+
+    def auc(i: int) -> Column:
+        pairs = F.first(f"p{i}_all").cast("double") * F.first(f"n{i}_all")
+        return F.when(pairs > 0, F.sum(F.col(f"p{i}") * (2 * F.col(f"n{i}_below") + F.col(f"n{i}"))) / (2 * pairs))
+
+    found = sums.groupBy(*keys, "model", "block").agg(F.array(*[auc(i) for i in each]).alias("aucs"))
+    out = found.select(*keys, "model", "block", F.posexplode("aucs").alias("at", "auc")).withColumn("rep", F.col("block") * TOGETHER + F.col("at"))
+    return out.filter(F.col("rep") < reps).select(*keys, "rep", "model", "auc")
 
 
 def percentile_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -302,9 +302,9 @@ def calibrated_scores(spark, d):
 REPS = 20
 
 
-def sql_boot(seed: str) -> str:
+def sql_boot(seed: str, reps: int = REPS) -> str:
     return f"""{SCORED}, o AS (SELECT grp, y, row_number() OVER (PARTITION BY y ORDER BY {sql_hash('slots', 'grp')}) - 1 AS slot, count(*) OVER (PARTITION BY y) AS n FROM (SELECT DISTINCT grp, y FROM sv)),
-dr AS (SELECT rep, y, (('0x' || substr(md5('{seed}:' || rep || ':' || y || ':' || slot), 1, 15))::BIGINT % n)::INT AS slot FROM o, (SELECT unnest(range(0, {REPS})) AS rep)),
+dr AS (SELECT rep, y, (('0x' || substr(md5('{seed}:' || rep || ':' || y || ':' || slot), 1, 15))::BIGINT % n)::INT AS slot FROM o, (SELECT unnest(range(0, {reps})) AS rep)),
 w AS (SELECT rep, o.grp, count(*) AS w FROM dr JOIN o USING (y, slot) GROUP BY rep, o.grp),
 b AS (SELECT 'score_a' AS model, rep, condition, y, score_a AS score, w FROM sv JOIN w USING (grp) UNION ALL SELECT 'score_b', rep, condition, y, score_b, w FROM sv JOIN w USING (grp)),
 {sql_ranked('b', ['condition', 'model', 'rep'], 'score', weight='w')}, ba AS (SELECT condition, model, rep, {AUC} AS auc FROM rk GROUP BY condition, model, rep)"""
@@ -316,6 +316,12 @@ def bootstrap_auc_ci(spark, d):
     return resample.auc_interval(scored_views(spark, d), ["condition"], ["score_a", "score_b"], REPS, "b1")
 
 
+@query(f"WITH {sql_boot('b1', resample.REPS)} SELECT condition, model, count(auc) AS reps, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM ba GROUP BY condition, model", ("lo", "hi"), 9)
+def bootstrap_auc_ci_full(spark, d):
+    """B1 A8 A26 with all 2,000 repetitions."""
+    return resample.auc_interval(scored_views(spark, d), ["condition"], ["score_a", "score_b"], resample.REPS, "b1")
+
+
 @query(f"WITH {sql_boot('b2')}, dd AS (SELECT condition, rep, max(CASE WHEN model = 'score_b' THEN auc END) - max(CASE WHEN model = 'score_a' THEN auc END) AS delta FROM ba GROUP BY condition, rep) SELECT condition, count(delta) AS reps, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM dd GROUP BY condition", ("lo", "hi"), 9)
 def paired_auc_ci(spark, d):
     """Both models on the same draws."""
