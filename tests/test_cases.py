@@ -166,12 +166,21 @@ def test_identical_models_have_no_difference(spark, sf):
     assert r and all(x["lo"] == 0 and x["hi"] == 0 for x in r)
 
 
-def test_published_comparison(spark, sf):
-    from tesserix.plans.data_queries import _ab
-
-    rows = {r["transform"]: r for r in _ab(spark).collect()}
+#: Published values: transform, AUC and accuracy of two models (fixed values).
+PUBLISHED = (
+    ("clean", 0.9629, 0.9812, 0.9007, 0.9286), ("jpeg_90", 0.9658, 0.9832, 0.9107, 0.9414), ("jpeg_70", 0.9736, 0.9867, 0.9186, 0.9450), ("jpeg_50", 0.9667, 0.9825, 0.9079, 0.9371), ("jpeg_30", 0.9557, 0.9731, 0.8843, 0.9121),
+    ("blur_0.5", 0.9638, 0.9814, 0.8979, 0.9250), ("blur_1.0", 0.9622, 0.9789, 0.8593, 0.8636), ("blur_2.0", 0.9536, 0.9727, 0.8793, 0.9021), ("resize_0.5", 0.9621, 0.9794, 0.8657, 0.8879), ("resize_0.25", 0.9472, 0.9675, 0.8714, 0.8950),
+    ("noise_0.02", 0.9572, 0.9782, 0.8929, 0.9257), ("noise_0.05", 0.9563, 0.9756, 0.8843, 0.9171), ("noise_0.10", 0.9512, 0.9689, 0.8957, 0.9193), ("jitter_0.20", 0.9411, 0.9676, 0.8657, 0.9036), ("crop_0.80", 0.9578, 0.9792, 0.8921, 0.9300),
+)
+
+
+def test_published_comparison(spark):
+    made = spark.createDataFrame([(n, i, *v) for i, (n, *v) in enumerate(PUBLISHED)], "transform string, ord int, a double, b double, x double, y double")
+    side = lambda auc, acc: made.select("transform", "ord", F.col(auc).alias("auc"), (F.col(auc) - 0.008).alias("auc_lo"), (F.col(auc) + 0.008).alias("auc_hi"), F.col(acc).alias("acc"))
+    compared = tables.compare(side("a", "x"), side("b", "y"))
+    rows = {r["transform"]: r for r in compared.collect()}
     assert len(rows) == 15 and round(rows["clean"]["delta_auc"], 4) == 0.0183 and round(rows["jitter_0.20"]["delta_auc"], 4) == 0.0265
-    assert one(tables.compare_summary(_ab(spark)))["verdict"] == "better"
+    assert one(tables.compare_summary(compared))["verdict"] == "better"
 
 
 def test_locks(spark):
