@@ -101,7 +101,9 @@ def block_images(blocks: DataFrame, side: int = 24) -> DataFrame:
             whole = [pa.array([side] * len(x), pa.int32())] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *whole, pa.array([i.tobytes() for i in rgb], pa.binary())], ["img_id", "label", "height", "width", "pixels"])
 
-    return blocks.select(F.col("vec_id").alias("img_id"), F.col("y").cast("int").alias("label"), "x").mapInArrow(run, f"img_id long, label int, {RAW}")
+    # a vector is small and what is made of its image is slow, so rows are dealt out over all tasks first
+    rows = blocks.select(F.col("vec_id").alias("img_id"), F.col("y").cast("int").alias("label"), "x").repartition(4 * blocks.sparkSession.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, f"img_id long, label int, {RAW}")
 
 
 def _image(row) -> np.ndarray:
