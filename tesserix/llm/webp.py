@@ -24,6 +24,8 @@ ROW, MOST_ROWS = 64, 16384
 LEAST_RUN, MOST_FAR, CACHES, WIDEST, FIRST_RUN = 5, (1 << 20) - 120, (2, 5), 9, 20
 #: Bits that are parsed together; smaller images are read token by token.
 WINDOW, SMALL_IMAGE = 1 << 17, 200
+#: More bits than any token has.
+BEYOND = 64
 
 
 def distance_map() -> list[tuple[int, int]]:
@@ -92,7 +94,9 @@ class BitWriter:
         ends = b.cumsum()
         at, total = ends - b, int(ends[-1])
         word = at >> 5
-        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        fresh = np.ones(len(word), bool)
+        np.not_equal(word[1:], word[:-1], out=fresh[1:])
+        starts = np.flatnonzero(fresh)
         sums, word = np.add.reduceat(v << (at & 31).astype(np.uint64), starts), word[starts]
         out = np.zeros(total // 32 + 3, np.uint64)
         out[word] += sums & np.uint64(0xFFFFFFFF)
@@ -218,12 +222,30 @@ def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
 
 #: The least value and the number of extra bits of each prefix of lengths and distances.
 EXTRA = np.array([(p + 1, 0) if p < 4 else (((2 + (p & 1)) << ((p - 2) >> 1)) + 1, (p - 2) >> 1) for p in range(40)])
+LEAST, MORE = np.ascontiguousarray(EXTRA.T)
+
+
+def _followed(end: np.ndarray, first: int, n: int) -> np.ndarray:
+    """first, end[first], end[end[first]] and so on, as far as below n. From n on, end holds its own places. Every eighth step is found first."""
+    eighth = end[end]
+    eighth = eighth[eighth]
+    steps, heads, p = memoryview(eighth[eighth]), [], first
+    while p < n:
+        heads.append(p)
+        p = steps[p]
+    rows = np.empty((8, len(heads)), np.int64)
+    rows[0] = heads
+    for k in range(1, 8):
+        rows[k] = end[rows[k - 1]]
+    starts = rows.T.reshape(-1)
+    return starts[: np.searchsorted(starts, n)]
 
 
 def _parsed(bits: Bits, group, count: int):
     """The tokens of an image with one group of codes: green symbols, runs (1 unless a back-reference), distance codes, and the pixels' other channels."""
     green, far = group[0], group[4]
     others = [None if c.only is not None else c for c in group[1:4]]
+    most, tail = int(green.symbols.max()), far.sizes + MORE[far.symbols]  # bits of a distance, by its next bits
     parts, done, pos = [], 0, bits.pos
     while done < count:
         low = pos >> 3
@@ -235,7 +257,8 @@ def _parsed(bits: Bits, group, count: int):
         n = 8 * (high - low)
         # what would begin at each bit
         index = ((words[: high - low, None] >> np.arange(8, dtype=np.uint64)).reshape(-1) & np.uint64((1 << green.width) - 1)).astype(np.int64)
-        symbol, end = green.symbols[index], np.arange(n) + green.sizes[index]
+        symbol, end = green.symbols[index], np.arange(n + BEYOND)
+        end[:n] += green.sizes[index]
         channels = []
         if any(others):
             pixel = np.flatnonzero(symbol < 256)
@@ -249,37 +272,36 @@ def _parsed(bits: Bits, group, count: int):
             end[pixel] = p
 
         def referred(link, p):
-            """Of back-references whose symbol ends at p: lengths, distances, ends."""
-            least, more = EXTRA[symbol[link] - 256].T  # noqa: B023
+            """Of back-references whose symbol ends at p: lengths, distances."""
+            prefix = symbol[link] - 256  # noqa: B023
+            least, more = LEAST[prefix], MORE[prefix]
             run = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)  # noqa: B023
             p = p + more
             index = (at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)  # noqa: B023
-            least, more = EXTRA[far.symbols[index]].T
+            prefix = far.symbols[index]
+            least, more = LEAST[prefix], MORE[prefix]
             p = p + far.sizes[index]
-            return run, least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64), p + more  # noqa: B023
+            return run, least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)  # noqa: B023
 
         link = np.flatnonzero(symbol >= 256)
-        link = link[symbol[link] < 280]
+        if most >= 280:
+            link = link[symbol[link] < 280]
         if len(link):
-            end[link] = referred(link, end[link])[2]
+            p = end[link] + MORE[symbol[link] - 256]
+            end[link] = p + tail[(at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)]
         # what does begin
-        p, ends, starts = pos - 8 * low, memoryview(end), []
-        add = starts.append
-        while p < n:
-            add(p)
-            p = ends[p]
-        starts = np.array(starts, np.int64)
-        found = symbol[starts]
+        starts = _followed(end, pos - 8 * low, n)
+        p, found = int(end[starts[-1]]), symbol[starts]
         run, distance, own = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero((found >= 256) & (found < 280))
         if len(own):
-            run[own], distance[own], _ = referred(starts[own], starts[own] + green.sizes[(at(starts[own]) & np.uint64((1 << green.width) - 1)).astype(np.int64)])
+            run[own], distance[own] = referred(starts[own], starts[own] + green.sizes[(at(starts[own]) & np.uint64((1 << green.width) - 1)).astype(np.int64)])
         total = run.cumsum()
         if done + total[-1] >= count:
             last = int(np.searchsorted(total, count - done))
             if done + total[last] != count:
                 raise ValueError("a back-reference leaves the image")
             starts = starts[: last + 1]
-            p = ends[int(starts[-1])]
+            p = int(end[starts[-1]])
         k = len(starts)
         parts.append([found[:k], run[:k], distance[:k], *[x[starts] for x in channels]])
         done, pos = done + int(total[k - 1]), 8 * low + p
@@ -307,18 +329,27 @@ def _resolved(symbol, run, distance, channels, width: int, count: int, cache_bit
         raise ValueError("a cache symbol without a cache")
     pixels = np.zeros(count, np.uint8 if grey else np.uint32)
     pixels[at[~link]] = symbol[~link] if grey else (alpha << 24 | red << 16 | symbol << 8 | blue)[~link]
-    each, out = pixels.itemsize, bytearray(pixels.tobytes())
-    far = _far(distance[link], width)
-    if (far > at[link]).any():
+    far, at, run = _far(distance[link], width), at[link], run[link]
+    if (far > at).any():
         raise ValueError("a back-reference leaves the image")
-    for a, n, d in zip((at[link] * each).tolist(), (run[link] * each).tolist(), (far * each).tolist(), strict=True):
-        out[a : a + n] = out[a - d : a - d + n] if d >= n else (out[a - d : a] * (n // d + 1))[:n]
+    if len(run):
+        # each pixel's source; then the source's source, and so on, twice as far each time, up to a pixel of its own
+        source, ends = np.arange(count), run.cumsum()
+        place = np.arange(ends[-1]) + (at - ends + run).repeat(run)
+        source[place] -= far.repeat(run)
+        while len(place):
+            one = source[place]
+            two = source[one]
+            moved = two != one
+            place = place[moved]
+            source[place] = two[moved]
+        pixels = pixels[source]
     if grey:
-        pixels = np.empty((count, 4), np.uint8)
-        pixels[:] = (red, 0, blue, alpha)
-        pixels[:, 1] = np.frombuffer(out, np.uint8)
-        return pixels
-    return _rgba(np.frombuffer(out, "<u4"))
+        every = np.empty((count, 4), np.uint8)
+        every[:] = (red, 0, blue, alpha)
+        every[:, 1] = pixels
+        return every
+    return _rgba(pixels)
 
 
 def _rgba(p: np.ndarray) -> np.ndarray:
@@ -641,10 +672,8 @@ def _put_prefix(w: BitWriter, lengths: list[int]) -> tuple[np.ndarray, np.ndarra
 
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values >= 1 as prefixes, extra bits' values, their numbers."""
-    v = values - 1
-    n = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - 2, 0)
-    small = values <= 4
-    return np.where(small, v, 2 * (n + 1) + (v >> n & 1)), np.where(small, 0, v & ((1 << n) - 1)), np.where(small, 0, n)
+    prefix = np.searchsorted(LEAST, values, "right") - 1
+    return prefix, values - LEAST[prefix], MORE[prefix]
 
 
 @lru_cache(maxsize=64)
@@ -973,10 +1002,8 @@ def _put_channel(w: BitWriter, x: np.ndarray, width: int) -> bool:
     """The main image where only green varies, in one group of codes. False, with nothing written, where a cache would pay."""
     starts, runs, fars = _byte_links(x)
     n = len(x)
-    inside = np.zeros(n + 1, np.int8)
-    inside[starts] += 1
-    np.subtract.at(inside, starts + runs, 1)
-    free = inside[:n].cumsum(dtype=np.int8) == 0
+    free, ends = np.ones(n, bool), runs.cumsum()
+    free[np.arange(runs.sum()) + (starts - ends + runs).repeat(runs)] = False
     literals = x[free]
     if _cache_pays(literals):
         return False
