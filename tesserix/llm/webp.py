@@ -97,7 +97,7 @@ class BitWriter:
         fresh = np.ones(len(word), bool)
         np.not_equal(word[1:], word[:-1], out=fresh[1:])
         starts = np.flatnonzero(fresh)
-        sums, word = np.add.reduceat(v << (at & 31).astype(np.uint64), starts), word[starts]
+        sums, word = np.add.reduceat(v << (at & 31).view(np.uint64), starts), word[starts]
         out = np.zeros(total // 32 + 3, np.uint64)
         out[word] += sums & np.uint64(0xFFFFFFFF)
         out[word + 1] += sums >> np.uint64(32)
@@ -253,10 +253,10 @@ def _parsed(bits: Bits, group, count: int):
         if high <= low:
             raise ValueError("the stream ends too early")
         words = np.ndarray((high - low + 16,), "<u8", bits.data[low : high + 24] + bytes(24 - max(0, min(24, len(bits.data) - high))), strides=(1,)).copy()
-        at = lambda p: words[p >> 3] >> (p & 7).astype(np.uint64)  # noqa: B023, E731
+        at = lambda p: words[p >> 3] >> (p & 7).view(np.uint64)  # noqa: B023, E731
         n = 8 * (high - low)
         # what would begin at each bit
-        index = ((words[: high - low, None] >> np.arange(8, dtype=np.uint64)).reshape(-1) & np.uint64((1 << green.width) - 1)).astype(np.int64)
+        index = ((words[: high - low, None] >> np.arange(8, dtype=np.uint64)).reshape(-1) & np.uint64((1 << green.width) - 1)).view(np.int64)
         symbol, end = green.symbols[index], np.arange(n + BEYOND)
         end[:n] += green.sizes[index]
         channels = []
@@ -266,7 +266,7 @@ def _parsed(bits: Bits, group, count: int):
             for c in others:
                 channels.append(np.zeros(n, np.int64))
                 if c:
-                    index = (at(p) & np.uint64((1 << c.width) - 1)).astype(np.int64)
+                    index = (at(p) & np.uint64((1 << c.width) - 1)).view(np.int64)
                     channels[-1][pixel] = c.symbols[index]
                     p = p + c.sizes[index]
             end[pixel] = p
@@ -275,26 +275,26 @@ def _parsed(bits: Bits, group, count: int):
             """Of back-references whose symbol ends at p: lengths, distances."""
             prefix = symbol[link] - 256  # noqa: B023
             least, more = LEAST[prefix], MORE[prefix]
-            run = least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)  # noqa: B023
+            run = least + (at(p) & ((1 << more) - 1).view(np.uint64)).view(np.int64)  # noqa: B023
             p = p + more
-            index = (at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)  # noqa: B023
+            index = (at(p) & np.uint64((1 << far.width) - 1)).view(np.int64)  # noqa: B023
             prefix = far.symbols[index]
             least, more = LEAST[prefix], MORE[prefix]
             p = p + far.sizes[index]
-            return run, least + (at(p) & ((1 << more) - 1).astype(np.uint64)).astype(np.int64)  # noqa: B023
+            return run, least + (at(p) & ((1 << more) - 1).view(np.uint64)).view(np.int64)  # noqa: B023
 
         link = np.flatnonzero(symbol >= 256)
         if most >= 280:
             link = link[symbol[link] < 280]
         if len(link):
             p = end[link] + MORE[symbol[link] - 256]
-            end[link] = p + tail[(at(p) & np.uint64((1 << far.width) - 1)).astype(np.int64)]
+            end[link] = p + tail[(at(p) & np.uint64((1 << far.width) - 1)).view(np.int64)]
         # what does begin
         starts = _followed(end, pos - 8 * low, n)
         p, found = int(end[starts[-1]]), symbol[starts]
         run, distance, own = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64), np.flatnonzero((found >= 256) & (found < 280))
         if len(own):
-            run[own], distance[own] = referred(starts[own], starts[own] + green.sizes[(at(starts[own]) & np.uint64((1 << green.width) - 1)).astype(np.int64)])
+            run[own], distance[own] = referred(starts[own], starts[own] + green.sizes[(at(starts[own]) & np.uint64((1 << green.width) - 1)).view(np.int64)])
         total = run.cumsum()
         if done + total[-1] >= count:
             last = int(np.searchsorted(total, count - done))
@@ -946,7 +946,7 @@ def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # places in order of (the next 5 bytes, place): 40 and 20 bits
     order = np.sort((words[:m] & np.uint64((1 << 40) - 1)) << np.uint64(20) | np.arange(m, dtype=np.uint64))
     same = np.flatnonzero((order[1:] ^ order[:-1]) < (1 << 20))
-    at = (order & np.uint64((1 << 20) - 1)).astype(np.int64)
+    at = (order & np.uint64((1 << 20) - 1)).view(np.int64)
     was = np.full(m, -1)
     was[at[same + 1]] = at[same]
     starts = np.flatnonzero(was >= 0)
@@ -957,7 +957,7 @@ def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     run, going = np.full(len(starts), LEAST_RUN), np.arange(len(starts))
     for k in (LEAST_RUN, LEAST_RUN + 8):
         differ = words[starts[going] + k] ^ words[was[going] + k]
-        same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # equal bytes of 8
+        same = np.bitwise_count(~differ & (differ - np.uint64(1))) >> np.uint8(3)  # equal bytes of 8
         run[going] += same
         going = going[same == 8]
     run = np.minimum(run, n - starts)
