@@ -361,10 +361,10 @@ def consistency_rows(spark, d):
 
 @query(f"WITH {FEATURES} SELECT grp, view_idx, y, x[1] AS first_value FROM fv UNION ALL SELECT grp, 4, y, x[1] * 2 FROM fv WHERE view_idx = 3", ("first_value",))
 def extra_view_merge(spark, d):
-    """One more view per original, into its block."""
+    """One more view per original that has a last one, into its block; the others' blocks stay as they are."""
     f = features(spark, d)
     extra = f.filter("view_idx = 3").select("grp", "y", F.transform("x", lambda v: v * 2).alias("x"))
-    return vectors.merge_extra_views(f, extra).select("grp", "view_idx", "y", F.get("x", 0).alias("first_value"))
+    return vectors.merge_extra_views(f, extra, partial=True).select("grp", "view_idx", "y", F.get("x", 0).alias("first_value"))
 
 
 @query(f"WITH {FEATURES}, s AS (SELECT vec_id, list_concat(list_concat(x[1:16], x[49:64]), list_transform(range(8), lambda i: 0.0)) AS z FROM fv) SELECT vec_id, len(z)::INTEGER AS width, list_sum(list_transform(range(len(z)), lambda i: (i + 1) * z[i + 1])) AS checksum FROM s", ("checksum",))
