@@ -43,3 +43,57 @@ def test_views_are_counted_in_incomplete_blocks(spark, broken_blocks):
     _same_as_sql("feature_cache_round_trip", spark, broken_blocks, "embeddings")
     rows = catalogue.QUERIES["feature_cache_round_trip"](spark, str(broken_blocks)).collect()
     assert {r["grp"]: r["n_views"] for r in rows} == {0: 2, 1: 2, 2: 1, 3: 2, 4: 2, 5: 2, 6: 2, 7: 1}
+
+
+def test_statistics_of_small_images_are_those_of_the_mirrored_square():
+    import numpy as np
+
+    from tesserix.functions import pixels as px
+
+    rng = np.random.default_rng(4)
+    for h, w in ((24, 24), (32, 32), (7, 33), (256, 256), (300, 90), (1, 1)):
+        image = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        square = px.centre_square(image)
+        assert np.allclose(px.forensic(image), px.forensic(square), rtol=1e-9, atol=1e-12)
+        g = square.astype(np.float64) / 255 @ px.LUMA
+        f, k = np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(g)))), np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
+        r = g - px._separable(g[:, :, None], k / k.sum())[:, :, 0]
+        yy, xx = np.mgrid[:256, :256] - 128
+        far, got = np.hypot(yy, xx) / 128, px.forensic(image)
+        assert np.allclose(got[:5], [r.mean(), r.std(), np.abs(r).mean(), *np.percentile(r, [5, 95])], rtol=1e-9, atol=1e-12)
+        assert np.allclose(got[10:16], [f[(far >= a) & (far < b)].mean() for a, b in ((0, 0.125), (0.125, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 1), (1, 1.5))])
+        assert np.allclose(got[25:], [px.laplacian(g).var(), g.mean(), g.std()])
+
+
+def test_small_images_cost_little():
+    """A 24 x 24 image took some 30 ms, as all 65,536 places of its mirrored square were computed; what it repeats is computed once."""
+    from tesserix.functions import pixels as px
+
+    assert px._Axis(24).smooth.shape[0] <= 28 and len(px._Axis(32).blocks) <= 8
+
+
+def test_image_batches_are_bounded(spark, broken_blocks):
+    from tesserix.operators import images
+    from tesserix.sources.relations import features
+
+    made = images.block_images(features(spark, str(broken_blocks)))
+    assert int(made.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "1000"
+    slices = list(images._few([pa.RecordBatch.from_arrays([pa.array(range(1000))], ["a"])]))
+    assert sum(b.num_rows for b in slices) == 1000 and max(b.num_rows for b in slices) <= images.IMAGES
+
+
+def test_calibration_reads_its_scores_once(spark, sf):
+    """Every Newton step used to make the scored views, ranks and folds again."""
+    from tesserix.operators import calibration
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i % 2, i / 50, int(i * 7 % 11 > 4)) for i in range(50)], "fold int, score double, y int").mapInArrow(seen, "fold int, score double, y int")
+    assert len(calibration.fit_folds(rows)) == 2
+    assert made.value == 50
