@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tesserix.functions import pixels as px
 from tesserix.functions.jpeg_reader import components, read_jpeg
-from tesserix.runtime import saved
+from tesserix.runtime import in_wide_session, saved
 from tesserix.sources.relations import CHAINS, PRESETS, ROLE_CONDITIONS
 
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif")
@@ -43,7 +43,7 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     rows = images.withColumn("origin", same("origin")).join(headers.withColumn("path", same("path")), F.col("origin") == F.col("path"), "left").select("origin", "height", "width", "nChannels", "data", "head")
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             out = []
             for r in b.to_pylist():
                 # inks come out of the JVM's reader as if they were colours
@@ -94,15 +94,15 @@ def block_images(blocks: DataFrame, side: int = 24) -> DataFrame:
     n = side // 8
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             x = np.array(b.column(2).to_pylist(), np.float64).reshape(-1, 8, 8)
             grey = np.clip(np.floor((x + 1) * 128), 0, 255).astype(np.uint8)
             rgb = np.stack([grey, grey[:, :, ::-1], grey[:, ::-1]], 3).repeat(n, 1).repeat(n, 2)
             whole = [pa.array([side] * len(x), pa.int32())] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *whole, pa.array([i.tobytes() for i in rgb], pa.binary())], ["img_id", "label", "height", "width", "pixels"])
 
-    # a vector is small and what is made of its image is slow, so rows are dealt out over all tasks first
-    rows = blocks.select(F.col("vec_id").alias("img_id"), F.col("y").cast("int").alias("label"), "x").repartition(4 * blocks.sparkSession.sparkContext.defaultParallelism)
+    # a vector is small and what is made of its image is slow, so rows are dealt out over all tasks first; an image is much wider than its vector, so batches have fewer rows
+    rows = in_wide_session(blocks.select(F.col("vec_id").alias("img_id"), F.col("y").cast("int").alias("label"), "x").repartition(4 * blocks.sparkSession.sparkContext.defaultParallelism))
     return rows.mapInArrow(run, f"img_id long, label int, {RAW}")
 
 
@@ -110,6 +110,33 @@ def _image(row) -> np.ndarray:
     return np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"], 3)
 
 
+#: Images that are in Python's objects at a time.
+IMAGES = 256
+
+
+def _few(batches):
+    """Batches in slices of IMAGES rows, so that memory doesn't grow with the rows of a task."""
+    for b in batches:
+        for at in range(0, b.num_rows, IMAGES):
+            yield b.slice(at, IMAGES)
+
+
+def _told(rows, schema: pa.Schema):
+    """Rows (dicts) as batches of about IMAGES rows."""
+    out = []
+    for r in rows:
+        out.append(r)
+        if len(out) >= IMAGES:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def _sized(view: np.ndarray) -> dict:
+    return {"height": view.shape[0], "width": view.shape[1], "pixels": view.tobytes()}
+
+
 def training_view(image: np.ndarray, seed: int) -> np.ndarray:
     """One random crop, rescaling by one of three filters, and compression, by seed alone."""
     rng = np.random.default_rng(seed)
@@ -160,12 +187,8 @@ def expand_views(images: DataFrame, generation: str, role: str) -> DataFrame:
     conditions = ROLE_CONDITIONS[(generation, role)]
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                image = _image(r)
-                for c in conditions:
-                    v = view(image, c, r["img_id"])
-                    yield pa.RecordBatch.from_pylist([{"img_id": r["img_id"], "label": r["label"], "condition": c, "height": v.shape[0], "width": v.shape[1], "pixels": v.tobytes()}], schema)
+        of = ((r, c) for b in _few(batches) for r in b.to_pylist() for c in conditions)
+        yield from _told(({"img_id": r["img_id"], "label": r["label"], "condition": c, **_sized(view(_image(r), c, r["img_id"]))} for r, c in of), schema)
 
     schema = pa.schema([("img_id", pa.int64()), ("label", pa.int32()), ("condition", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
     return images.select("img_id", "label", "height", "width", "pixels").mapInArrow(run, f"img_id long, label int, condition string, {RAW}")
@@ -204,7 +227,7 @@ def write_images(images: DataFrame, folder: str, name: str = "name", kind: str =
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(folder if re.match(r"\w+:/", folder) else f"file://{folder}")
         fs.create_dir(base, recursive=True)
-        for b in batches:
+        for b in _few(batches):
             out = []
             for r in b.to_pylist():
                 data, path = coded(_image(r)), f"{base}/{r['name']}.{kind}"
@@ -225,17 +248,14 @@ def augmented(images: DataFrame, how: str = "paired") -> DataFrame:
     """(img_id, condition, height, width, pixels): paired, each image clean and under one condition of each family; stacked, one or two degradations
     in turn; crops, five crops. Parameters depend on img_id alone."""
 
+    def views(image, seed):
+        if how == "paired":
+            return paired_views(image, seed)
+        return [("stacked", stacked_view(image, seed))] if how == "stacked" else [(f"crop_{k}", v) for k, v in enumerate(px.multi_crops(image, 5))]
+
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                image = _image(r)
-                if how == "paired":
-                    views = paired_views(image, r["img_id"])
-                elif how == "stacked":
-                    views = [("stacked", stacked_view(image, r["img_id"]))]
-                else:
-                    views = [(f"crop_{k}", v) for k, v in enumerate(px.multi_crops(image, 5))]
-                yield pa.RecordBatch.from_pylist([{"img_id": r["img_id"], "condition": c, "height": v.shape[0], "width": v.shape[1], "pixels": v.tobytes()} for c, v in views], schema)
+        rows = (r for b in _few(batches) for r in b.to_pylist())
+        yield from _told(({"img_id": r["img_id"], "condition": c, **_sized(v)} for r in rows for c, v in views(_image(r), r["img_id"])), schema)
 
     schema = pa.schema([("img_id", pa.int64()), ("condition", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
     return images.select("img_id", "height", "width", "pixels").mapInArrow(run, f"img_id long, condition string, {RAW}")
@@ -245,10 +265,8 @@ def single_view(images: DataFrame, condition: str) -> DataFrame:
     """Each image under one named condition: img_id, label, height, width, pixels."""
 
     def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                v = view(_image(r), condition, r["img_id"])
-                yield pa.RecordBatch.from_pylist([{"img_id": r["img_id"], "label": r["label"], "height": v.shape[0], "width": v.shape[1], "pixels": v.tobytes()}], schema)
+        rows = (r for b in _few(batches) for r in b.to_pylist())
+        yield from _told(({"img_id": r["img_id"], "label": r["label"], **_sized(view(_image(r), condition, r["img_id"]))} for r in rows), schema)
 
     schema = pa.schema([("img_id", pa.int64()), ("label", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.binary())])
     return images.select("img_id", "label", "height", "width", "pixels").mapInArrow(run, f"img_id long, label int, {RAW}")
@@ -259,7 +277,7 @@ def reencoded(images: DataFrame, keys: list[str], generations: int, quality: flo
     kinds = {f.name: f.dataType.simpleString() for f in images.select(*keys).schema}
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             found = [px.reencoded(_image(r), generations, quality).tobytes() for r in b.select(["height", "width", "pixels"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], b.schema.names)
 
@@ -273,7 +291,7 @@ def measured(images: DataFrame, keys: list[str]) -> DataFrame:
     signed = lambda v: v - (1 << 64) if v >> 63 else v
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             rows = [_image(r) for r in b.select(["height", "width", "pixels"]).to_pylist()]
             found = [pa.array([px.forensic(i).tolist() for i in rows], pa.list_(pa.float64())), pa.array([px.blockiness(i) for i in rows], pa.float64()), pa.array([px.laplacian_energy(i) for i in rows], pa.float64()), pa.array([signed(px.dhash(i)) for i in rows], pa.int64()), pa.array([signed(px.phash(i)) for i in rows], pa.int64())]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(len(keys))], *found], [*keys, "forensic", "blockiness", "laplacian", "dhash", "phash"])
@@ -291,7 +309,7 @@ def scored(images: DataFrame, keys: list[str], encode: Callable[[np.ndarray], np
     kinds = {f.name: f.dataType.simpleString() for f in images.select(*keys).schema}
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             out = []
             for r in b.select(["height", "width", "pixels"]).to_pylist():
                 try:
