@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserix.operators.sampling import hash_ranks
+from tesserix.runtime import forget, saved
 
 MOST, STEPS, RIDGE = 5, 12, 1e-9
 
@@ -36,6 +37,7 @@ def fit_folds(df: DataFrame, score: str = "score", y: str = "y", steps: int = ST
     """(fold, a, b) of 1 / (1 + exp(-(a s + b))) for each fold of df (score, y, fold): one aggregation a step, a row a fold to the driver."""
     spark = df.sparkSession
     rows = df.filter(F.col(y).isin(0, 1) & F.col(score).isNotNull()).select("fold", F.col(score).cast("double").alias("s"), F.col(y).alias("t"))
+    rows = saved(rows, "calibration-rows")  # three narrow columns; every step reads them
     sizes = rows.groupBy("fold").agg(F.sum("t").alias("n1"), F.sum(1 - F.col("t")).alias("n0")).collect()
     found = [(r["fold"], 0.0, 0.0, (r["n1"] + 1) / (r["n1"] + 2), 1 / (r["n0"] + 2)) for r in sizes]
     for _ in range(steps):
@@ -47,6 +49,7 @@ def fit_folds(df: DataFrame, score: str = "score", y: str = "y", steps: int = ST
         )
         a, b = newton(F.col("a"), F.col("b"), {c: F.col(c) for c in ("ga", "gb", "haa", "hab", "hbb")})
         found = [tuple(x) for x in sums.select("fold", a.alias("a"), b.alias("b"), "high", "low").collect()]
+    forget(spark, rows)
     return [(f, a, b) for f, a, b, _, _ in sorted(found)]
 
 
