@@ -30,7 +30,7 @@ def _near_before(state: DataFrame, near: DataFrame) -> DataFrame:
     undecided = _first(state.filter("accepted is null").select("h", "id"), ["h"], "id", 2).select("h", "id", F.lit(True).alias("open"))
     accepted = state.filter("accepted").groupBy("h").agg(F.min("id").alias("id")).select("h", "id", F.lit(False).alias("open"))
     # what each hash hears from the hashes near it; ranks limit it to two undecided rows and an accepted one before the shuffle
-    heard = near.join(undecided.unionByName(accepted).withColumnRenamed("h", "b"), "b").select(F.col("a").alias("h"), "id", "open")
+    heard = near.join(undecided.unionByName(accepted).withColumnRenamed("h", "b").hint("merge"), "b").select(F.col("a").alias("h"), "id", "open")
     heard = _first(heard, ["h", "open"], "id", 2)
     at = lambda is_open, rank: F.min(F.when((F.col("open") == is_open) & (F.col("rank") == rank), F.col("id")))
     return heard.groupBy("h").agg(at(False, 1).alias("taken"), at(True, 1).alias("one"), at(True, 2).alias("two"))
@@ -49,7 +49,8 @@ def accept_in_order(rows: DataFrame, near: DataFrame, limits: list[tuple[list[st
     hashes, n = saved(hashes.distinct(), "accept-near"), 0
     while state.filter("accepted is null").limit(1).count():
         n += 1
-        after = state.join(_near_before(state, hashes), "h", "left")
+        # what grows with the rows is merged where it lies: broadcasts of every round would add up on the driver
+        after = state.join(_near_before(state, hashes).hint("merge"), "h", "left")
         sure, full = F.lit(True), F.lit(False)
         for k, (columns, cap) in enumerate(limits):
             places = _first(state.filter("accepted is null or accepted").select(*columns, "id"), columns, "id", cap).select("id", F.lit(True).alias(f"place{k}"))
@@ -57,7 +58,7 @@ def accept_in_order(rows: DataFrame, near: DataFrame, limits: list[tuple[list[st
             after = after.join(places, "id", "left").join(ended, columns, "left")
             sure, full = sure & F.coalesce(f"place{k}", F.lit(False)), full | F.coalesce(f"full{k}", F.lit(False))
         above = state.filter("accepted is not null or parent is not null").select(F.col("id").alias("parent"), F.col("accepted").alias("of"), F.col("parent").alias("next"), F.col("flip").alias("turn"))
-        after = after.join(above, "parent", "left")
+        after = after.join(above.hint("merge"), "parent", "left")
         refused = full | F.coalesce(F.col("taken") < F.col("id"), F.lit(False))
         waits = F.coalesce(F.col("one") < F.col("id"), F.lit(False))
         one_only = waits & F.coalesce(F.col("two") >= F.col("id"), F.lit(True))
