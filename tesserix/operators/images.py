@@ -17,16 +17,23 @@ from pyspark.sql import functions as F
 
 from tesserix.functions import pixels as px
 from tesserix.functions.jpeg_reader import components, read_jpeg
-from tesserix.runtime import in_wide_session, saved
+from tesserix.runtime import in_wide_session, saved, wide_session
 from tesserix.sources.relations import CHAINS, PRESETS, ROLE_CONDITIONS
 
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "gif")
 RAW = "height int, width int, pixels binary"
 
 
+def _small_files(spark: SparkSession) -> SparkSession:
+    """A session in which a small file counts as little: at Spark's 4 MB for opening one, a task gets 32 images at most, and tasks outnumber all else."""
+    own = wide_session(spark)
+    own.conf.set("spark.sql.files.openCostInBytes", str(1 << 16))
+    return own
+
+
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, label and split (from folder names) and content of all image files below folder, by suffix in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = _small_files(spark).read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     rows = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUFFIXES))
     part = lambda k: F.element_at(F.split("path", "/"), k)
     return rows.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).select("path", F.when(part(-2) == "real", 0).when(part(-2) == "aigc", 1).alias("label"), part(-3).alias("split"), "content")
@@ -35,6 +42,7 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
 def decode_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, height, width, pixels. Files go through the JVM's image reader, which gives blue first; what it refuses is tried as a baseline JPEG with one to four components (CMYK
     among them) where the file lies. EXIF rotations are undone. A file that can't be read has null pixels instead of failing the scan."""
+    spark = _small_files(spark)
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(folder).select("image.*")
     # rotations are in the headers of JPEG files only; the few files that have one are small rows, joined by path
     headers = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.substring("content", 1, 131072).alias("head")).filter(F.substring("head", 1, 2) == F.lit(b"\xff\xd8"))

@@ -97,3 +97,29 @@ def test_calibration_reads_its_scores_once(spark, sf):
     rows = spark.createDataFrame([(i % 2, i / 50, int(i * 7 % 11 > 4)) for i in range(50)], "fold int, score double, y int").mapInArrow(seen, "fold int, score double, y int")
     assert len(calibration.fit_folds(rows)) == 2
     assert made.value == 50
+
+
+def test_small_images_share_tasks(spark, tmp_path):
+    """Four megabytes for opening a file made a task of every 32 images."""
+    import numpy as np
+
+    from tesserix.functions import pixels as px
+    from tesserix.operators import images
+
+    (tmp_path / "val" / "real").mkdir(parents=True)
+    for i in range(300):
+        (tmp_path / "val" / "real" / f"i{i}.png").write_bytes(px.png(np.full((8, 8, 3), i % 256, np.uint8)))
+    found = images.scan_images(spark, str(tmp_path))
+    assert found.count() == 300 and found.rdd.getNumPartitions() <= 8
+    assert images.decode_images(spark, str(tmp_path)).filter("pixels is not null").count() == 300
+
+
+def test_rounds_of_acceptance_broadcast_nothing_that_grows(spark):
+    """Broadcasts of the rows that are near, in every round of every role, added up on the driver."""
+    from tesserix.operators import acquisition
+
+    state = spark.createDataFrame([(i, i % 7, None) for i in range(50)], "id long, h long, accepted boolean")
+    near = spark.createDataFrame([(i, i) for i in range(7)], "a long, b long")
+    heard = acquisition._near_before(state, near)
+    assert heard.count() == 7
+    assert "BroadcastHashJoin" not in heard._jdf.queryExecution().executedPlan().toString()
