@@ -45,10 +45,10 @@ class LinearHead:
         return sigmoid(dot(scaled(x, self.mean, self.std), F.array(*map(F.lit, self.weights))) + self.bias)
 
 
-def fit_logistic(df: DataFrame, c: float = 1.0, weight: Column | None = None, class_balanced: bool = True, weigh_scaling: bool = False) -> LinearHead:
-    """df (x, y). weight: of rows; class_balanced: times n / (2 n_class); weigh_scaling: the scaling is weighted too."""
+def fit_logistic(df: DataFrame, c: float = 1.0, weight: Column | None = None, class_balanced: bool = True, weigh_scaling: bool = False, scaling: tuple[list[float], list[float]] | None = None) -> LinearHead:
+    """df (x, y). weight: of rows; class_balanced: times n / (2 n_class); weigh_scaling: the scaling is weighted too; scaling: of these rows, where it is known."""
     w = F.lit(1.0) if weight is None else weight
-    mean, std = moments(df, w if weigh_scaling else None)
+    mean, std = scaling or moments(df, w if weigh_scaling else None)
     if class_balanced:
         by = balanced(df)
         w = w * F.when(F.col("y") == 1, by.get(1, 1.0)).otherwise(by.get(0, 1.0))
@@ -96,7 +96,9 @@ def grid(df: DataFrame, k: int, cs=(0.01, 0.1, 1.0), weights=(1.0, 2.0, 5.0)) ->
     """(auc, c, tampered weight) of each setting by cross-validation; the first best is max() by auc. All fits of all settings share one kept table."""
     settings = [(c, w) for c in cs for w in weights]
     rows = df.persist()
-    fits = at_once([lambda c=c, w=w, f=f: fit_logistic(rows.filter(F.col("fold") != f), c=c, weight=F.when(F.col("sid") == 2, w).otherwise(1.0)) for c, w in settings for f in range(k)])
+    # a fold's scaling is the same in all settings
+    scalings = at_once([lambda f=f: moments(rows.filter(F.col("fold") != f)) for f in range(k)])
+    fits = at_once([lambda c=c, w=w, f=f: fit_logistic(rows.filter(F.col("fold") != f), c=c, weight=F.when(F.col("sid") == 2, w).otherwise(1.0), scaling=scalings[f]) for c, w in settings for f in range(k)])
     scored = [_scored_folds(rows, fits[i * k : (i + 1) * k]).select("y", "score", F.lit(i).alias("setting")) for i in range(len(settings))]
     every = scored[0]
     for s in scored[1:]:

@@ -123,3 +123,15 @@ def test_rounds_of_acceptance_broadcast_nothing_that_grows(spark):
     heard = acquisition._near_before(state, near)
     assert heard.count() == 7
     assert "BroadcastHashJoin" not in heard._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_grid_scales_each_fold_once(spark, monkeypatch):
+    from tesserix.operators import heads
+
+    rows = spark.createDataFrame([([float(i % 7), float(i * 5 % 11)], int(i % 3 > 0), i % 3, i % 2) for i in range(40)], "x array<double>, y int, sid int, fold int")
+    calls, real = [], heads.moments
+    monkeypatch.setattr(heads, "moments", lambda *a: calls.append(1) or real(*a))
+    found = heads.grid(rows, 2, cs=(0.1,), weights=(1.0, 5.0))
+    assert len(calls) == 2
+    alone = [heads.auc(heads.cross_validated(rows, 2, c=0.1, weight=heads.F.when(heads.F.col("sid") == 2, w).otherwise(1.0)), []).first()["auc"] for w in (1.0, 5.0)]
+    assert [round(a, 9) for a, _, _ in found] == [round(a, 9) for a in alone]
