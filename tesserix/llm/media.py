@@ -61,15 +61,19 @@ def pixel_arrays(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, image int, width int, height int, pixels binary")
 
 
+LEVELS = np.arange(256)
+SQUARES = LEVELS * LEVELS
+
+
 def feature_of(samples: np.ndarray) -> str:
     """Rows, mean, deviation, entropy and mean step of the samples, as text."""
     n, counts = len(samples), np.bincount(samples, minlength=256)
     p = counts[counts > 0] / n
-    levels = np.arange(256)
-    mean = float((counts * levels).sum() / n)
-    spread = float(np.sqrt(max(0.0, (counts * levels * levels).sum() / n - mean * mean)))
-    grid = samples.reshape(-1, webp.ROW).astype(np.int16)
-    step = float(np.abs(np.diff(grid, axis=1)).mean())
+    mean = int(counts @ LEVELS) / n
+    spread = max(0.0, int(counts @ SQUARES) / n - mean * mean) ** 0.5
+    grid = samples.reshape(-1, webp.ROW)
+    a, b = grid[:, 1:], grid[:, :-1]
+    step = int((np.maximum(a, b) - np.minimum(a, b)).sum(dtype=np.int64)) / a.size
     return f"rows={n // webp.ROW};levels={len(p)};mean={mean:.4f};std={spread:.4f};entropy={float(-(p * np.log2(p)).sum()):.4f};step={step:.4f}"
 
 

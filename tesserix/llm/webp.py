@@ -175,18 +175,33 @@ def _prefix_of(lengths: tuple[int, ...]) -> Prefix:
     return Prefix(list(lengths))
 
 
+@lru_cache(maxsize=256)
+def _lone(symbol: int) -> Prefix:
+    return Prefix([0] * symbol + [1])
+
+
+@lru_cache(maxsize=64)
+def _code_of(held: int) -> Prefix:
+    """The code of codes' lengths from its own lengths, 3 bits each, in ORDER."""
+    own = [0] * 19
+    for i, k in enumerate(ORDER):
+        own[k] = held >> 3 * i & 7
+    return _prefix_of(tuple(own))
+
+
 def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
-    lengths = [0] * alphabet
     if bits.read(1):
         n = bits.read(1) + 1
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
+        symbols = [bits.read(8 if bits.read(1) else 1)]
         if n == 2:
-            lengths[bits.read(8)] = 1
-        return Prefix(lengths)
-    own = [0] * 19
-    for i in range(4 + bits.read(4)):
-        own[ORDER[i]] = bits.read(3)
-    code = _prefix_of(tuple(own))
+            symbols.append(bits.read(8))
+        if max(symbols) >= alphabet:
+            raise ValueError("a symbol beyond the alphabet")
+        return _prefix_of(tuple(int(s in symbols) for s in range(max(symbols) + 1))) if n == 2 else _lone(symbols[0])
+    n, lengths = 3 * (4 + bits.read(4)), [0] * alphabet
+    first = bits.pos >> 3
+    code = _code_of((int.from_bytes(bits.data[first : first + 9], "little") >> (bits.pos & 7)) & ((1 << n) - 1))
+    bits.pos += n
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     at, last = 0, 8
     if code.only is not None and code.only < 16:  # one length for all
@@ -227,16 +242,16 @@ LEAST, MORE = np.ascontiguousarray(EXTRA.T)
 
 def _followed(end: np.ndarray, first: int, n: int) -> np.ndarray:
     """first, end[first], end[end[first]] and so on, as far as below n. From n on, end holds its own places. Every eighth step is found first."""
-    eighth = end[end]
-    eighth = eighth[eighth]
-    steps, heads, p = memoryview(eighth[eighth]), [], first
+    eighth = end.take(end)
+    eighth = eighth.take(eighth)
+    steps, heads, p = memoryview(eighth.take(eighth)), [], first
     while p < n:
         heads.append(p)
         p = steps[p]
     rows = np.empty((8, len(heads)), np.int64)
     rows[0] = heads
     for k in range(1, 8):
-        rows[k] = end[rows[k - 1]]
+        rows[k] = end.take(rows[k - 1])
     starts = rows.T.reshape(-1)
     return starts[: np.searchsorted(starts, n)]
 
@@ -257,8 +272,8 @@ def _parsed(bits: Bits, group, count: int):
         n = 8 * (high - low)
         # what would begin at each bit
         index = ((words[: high - low, None] >> np.arange(8, dtype=np.uint64)).reshape(-1) & np.uint64((1 << green.width) - 1)).view(np.int64)
-        symbol, end = green.symbols[index], np.arange(n + BEYOND)
-        end[:n] += green.sizes[index]
+        symbol, end = green.symbols.take(index), np.arange(n + BEYOND)
+        end[:n] += green.sizes.take(index)
         channels = []
         if any(others):
             pixel = np.flatnonzero(symbol < 256)
@@ -312,10 +327,15 @@ def _parsed(bits: Bits, group, count: int):
     return symbol, run, distance, [channels[k] if c else np.full(len(symbol), group[1 + k].only) for k, c in enumerate(others)] if channels else [np.int64(c.only) for c in group[1:4]]
 
 
+@lru_cache(maxsize=64)
+def _near_pixels(width: int) -> np.ndarray:
+    """By distance code, from 1 on."""
+    return np.array([1, *(max(1, dx + dy * width) for dx, dy in NEAR)])
+
+
 def _far(distance: np.ndarray, width: int) -> np.ndarray:
     """Distance codes to distances in pixels."""
-    near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
-    return np.where(distance <= 120, near[np.clip(distance, 1, 120) - 1], distance - 120)
+    return np.where(distance <= 120, _near_pixels(width)[np.minimum(distance, 120)], distance - 120)
 
 
 def _resolved(symbol, run, distance, channels, width: int, count: int, cache_bits: int) -> np.ndarray:
@@ -338,17 +358,14 @@ def _resolved(symbol, run, distance, channels, width: int, count: int, cache_bit
         place = np.arange(ends[-1]) + (at - ends + run).repeat(run)
         source[place] -= far.repeat(run)
         while len(place):
-            one = source[place]
-            two = source[one]
+            one = source.take(place)
+            two = source.take(one)
             moved = two != one
             place = place[moved]
             source[place] = two[moved]
-        pixels = pixels[source]
+        pixels = pixels.take(source)
     if grey:
-        every = np.empty((count, 4), np.uint8)
-        every[:] = (red, 0, blue, alpha)
-        every[:, 1] = pixels
-        return every
+        return (pixels.astype("<u4") << np.uint32(8) | np.uint32(int(alpha) << 24 | int(blue) << 16 | int(red))).view(np.uint8).reshape(-1, 4)
     return _rgba(pixels)
 
 
@@ -634,9 +651,11 @@ LAST = max(i for i, k in enumerate(ORDER) if LENGTHS[k]) + 1
 
 
 @lru_cache(maxsize=1)
-def _length_code() -> tuple[list[int], list[int]]:
+def _length_code() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Its codes with their sizes, and what it is written as."""
     codes, sizes = canonical(LENGTHS)
-    return codes.tolist(), sizes.tolist()
+    head = [(max(LAST, 4) - 4, 4), *((LENGTHS[k], 3) for k in ORDER[: max(LAST, 4)]), (0, 1)]
+    return list(zip(codes.tolist(), sizes.tolist(), strict=True)), head
 
 
 def _put_prefix(w: BitWriter, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -647,26 +666,29 @@ def _put_prefix(w: BitWriter, lengths: list[int]) -> tuple[np.ndarray, np.ndarra
         _put_simple(w, used.tolist() or [0])
         return canonical(lengths)
     w.put(0, 1)
-    at, runs = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()], []
-    for value, n in zip(lengths[at].tolist(), [b - a for a, b in zip(at, [*at[1:], len(lengths)], strict=True)], strict=True):
+    at, (codes, head) = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist()], _length_code()
+    fields, at_end = list(head), [*at[1:], len(lengths)]
+
+    def put(k, extra, more):
+        code, size = codes[k]
+        fields.append((code | extra << size, size + more))
+
+    for value, a, b in zip(lengths[at].tolist(), at, at_end, strict=True):
+        n = b - a
         if value:
-            runs.append((value, 0, 0))
+            fields.append(codes[value])
             n -= 1
             while n >= 3:
-                runs.append((16, min(n, 6) - 3, 2))
+                put(16, min(n, 6) - 3, 2)
                 n -= min(n, 6)
-            runs += [(value, 0, 0)] * n
         else:
             while n >= 3:
                 take = min(n, 138)
-                runs.append((17, take - 3, 3) if take <= 10 else (18, take - 11, 7))
+                put(*((17, take - 3, 3) if take <= 10 else (18, take - 11, 7)))
                 n -= take
-            runs += [(0, 0, 0)] * n
-    w.put(max(LAST, 4) - 4, 4)
-    w.put_many([(LENGTHS[k], 3) for k in ORDER[: max(LAST, 4)]])
-    w.put(0, 1)
-    codes, sizes = _length_code()
-    w.put_many([(codes[k] | extra << sizes[k], sizes[k] + n) for k, extra, n in runs])
+        if n > 0:
+            fields += [codes[value]] * n
+    w.put_many(fields)
     return canonical(lengths)
 
 
@@ -967,17 +989,17 @@ def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, was, run = starts[keep], was[keep], run[keep]
     before = np.zeros(n + 1, np.int64)  # how many places come before each byte
     before[starts + 1] = 1
-    after = memoryview(before.cumsum()[starts + run])
-    first, sources, runs, k, picked, size = memoryview(starts), memoryview(was), memoryview(run), 0, [], []
+    after = before.cumsum().take(starts + run)
+    after[run >= LEAST_RUN + 16] = -1  # may go on
+    after, first, sources, runs, k, picked, longer = memoryview(after), memoryview(starts), memoryview(was), memoryview(run), 0, [], []
     last = len(first)
     while k < last:
         picked.append(k)
-        n_same = runs[k]
-        if n_same < LEAST_RUN + 16:
-            size.append(n_same)
-            k = after[k]
+        following = after[k]
+        if following >= 0:
+            k = following
             continue
-        at, source, most = first[k], sources[k], min(4096, n - first[k])
+        at, source, n_same, most = first[k], sources[k], runs[k], min(4096, n - first[k])
         while n_same < most:
             a, b = data[at + n_same : at + n_same + 64], data[source + n_same : source + n_same + 64]
             if a[: len(b)] != b[: len(a)] or len(a) < 64:
@@ -985,9 +1007,14 @@ def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 n_same += (d & -d).bit_length() - 1 >> 3 if d else len(a)
                 break
             n_same += 64
-        size.append(min(n_same, most))
-        k = bisect_left(first, at + size[-1], k + 1)
-    return starts[picked], np.array(size, np.int64), (starts - was)[picked]
+        n_same = min(n_same, most)
+        longer.append((len(picked) - 1, n_same))
+        k = bisect_left(first, at + n_same, k + 1)
+    picked = np.array(picked)
+    starts, was, run = starts.take(picked), was.take(picked), run.take(picked)
+    for i, n_same in longer:
+        run[i] = n_same
+    return starts, run, starts - was
 
 
 def _cache_pays(x: np.ndarray) -> bool:
@@ -1018,25 +1045,31 @@ def _put_channel(w: BitWriter, x: np.ndarray, width: int) -> bool:
     _put_simple(w, [255])
     far_codes, far_sizes = _put_prefix(w, code_lengths(np.bincount(far_code, minlength=40)))
     # a back-reference takes two fields, at its first two pixels
-    value, size = codes[x], np.where(free, sizes[x], 0)
+    index = x.astype(np.intp)
+    value, size = codes.take(index), sizes.take(index) * free
     value[starts], size[starts] = codes[256 + run_code] | run_extra << sizes[256 + run_code], sizes[256 + run_code] + run_bits
     value[starts + 1], size[starts + 1] = far_codes[far_code] | far_extra << far_sizes[far_code], far_sizes[far_code] + far_bits
     some = np.flatnonzero(size)
     for low in range(0, len(some), 1 << 16):
         part = some[low : low + (1 << 16)]
-        w.put_fields(value[part], size[part])
+        w.put_fields(value.take(part), size.take(part))
     return True
 
 
 def _plain(samples: np.ndarray) -> bool:
     """Whether neither palette nor predictor makes grey samples cheaper: then chosen() needs no look at whole pixels."""
-    cost, x = _cost(samples), samples.reshape(-1, ROW)
-    left, up = x.copy(), x.copy()
+    n, x, every = len(samples), samples.reshape(-1, ROW), np.empty((3, len(samples)), np.uint8)
+    every[:] = samples
+    left, up = every[1:].reshape(2, -1, ROW)
     left[:, 1:] -= x[:, :-1]
     left[1:, 0] -= x[:-1, 0]
     up[1:] -= x[:-1]
     up[0, 1:] -= x[0, :-1]
-    return np.count_nonzero(np.bincount(samples, minlength=256)) > 16 and cost <= _cost(left.reshape(-1)) and cost <= _cost(up.reshape(-1))
+    # the three _cost(), counted together
+    counts = np.bincount((every + np.array([[0], [256], [512]])).reshape(-1), minlength=768).reshape(3, 256)
+    used, same = np.count_nonzero(counts, 1).tolist(), (counts * np.log2(np.maximum(counts, 1))).sum(1).tolist()
+    cost, *others = (n * log2(n) - e + 5 * m if m > 1 else 0.0 for e, m in zip(same, used, strict=True))
+    return used[0] > 16 and cost <= min(others)
 
 
 def store_rows(samples: np.ndarray) -> bytes:
