@@ -604,33 +604,47 @@ def decode(data: bytes, told: dict | None = None) -> np.ndarray:
 
 def code_lengths(counts, most: int = 15) -> list[int]:
     """Lengths of a Huffman code of at most `most` bits: counts are flattened until it fits. Leaves and inner nodes are two queues in order of weight."""
-    counts = np.asarray(counts)
+    return _code_lengths(np.asarray(counts), most).tolist()
+
+
+#: More than any sum of counts: the end of a queue.
+NO_MORE = 1 << 62
+
+
+def _code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     lengths, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
     if len(used) < 2:
         lengths[used] = 1
-        return lengths.tolist()
+        return lengths
     order = used[np.argsort(counts[used], kind="stable")]
     weights, m = counts[order].tolist(), len(order)
     while True:
-        w, parent, leaf, inner = weights + [0] * (m - 1), [0] * (2 * m - 1), 0, m
-        for k in range(m, 2 * m - 1):
-            total = 0
-            for _ in (0, 1):
-                if inner == k or leaf < m and w[leaf] <= w[inner]:
-                    i = leaf
-                    leaf += 1
-                else:
-                    i = inner
-                    inner += 1
-                parent[i] = k
-                total += w[i]
-            w[k] = total
-        depth = [0] * (2 * m - 1)
-        for k in range(2 * m - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
-        if max(depth[:m]) <= most:
-            lengths[order] = depth[:m]
-            return lengths.tolist()
+        w, made, parent, leaf, inner = [*weights, NO_MORE], [NO_MORE] * m, [0] * (2 * m - 1), 0, 0
+        for k in range(m - 1):
+            first, other = w[leaf], made[inner]
+            if first <= other:
+                parent[leaf] = k
+                leaf += 1
+            else:
+                first = other
+                parent[m + inner] = k
+                inner += 1
+            second, other = w[leaf], made[inner]
+            if second <= other:
+                parent[leaf] = k
+                leaf += 1
+            else:
+                second = other
+                parent[m + inner] = k
+                inner += 1
+            made[k] = first + second
+        depth = [0] * (m - 1)
+        for k in range(m - 3, -1, -1):
+            depth[k] = depth[parent[m + k]] + 1
+        own = [depth[k] + 1 for k in parent[:m]]
+        if max(own) <= most:
+            lengths[order] = own
+            return lengths
         weights = [(c + 1) // 2 for c in weights]
 
 
@@ -1017,12 +1031,20 @@ def _byte_links(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, run, starts - was
 
 
+#: The slot of each grey sample in the smallest cache.
+GREY_SLOTS = ((np.uint32(0xFF000000) | np.arange(256, dtype=np.uint32) << np.uint32(8)) * np.uint32(CACHE_MULTIPLIER) >> np.uint32(32 - CACHES[0])).astype(np.uint8)
+
+
 def _cache_pays(x: np.ndarray) -> bool:
     """Whether the smallest cache would make the literals' code cheaper."""
     if len(x) < 64:
         return False
-    slots, hits = _cache_hits(np.uint32(0xFF000000) | x.astype(np.uint32) << np.uint32(8), CACHES[0])
-    return _cost(np.where(hits, 280 + slots, x)) < _cost(x)
+    slots = GREY_SLOTS.take(x)
+    order = np.argsort(slots, kind="stable")
+    ordered = x.take(order)
+    hits = np.zeros(len(x), bool)
+    hits[order[1:]] = ordered[1:] == ordered[:-1]  # equal colours have equal slots
+    return bool(hits.any()) and _cost(np.where(hits, np.int64(280) + slots, x)) < _cost(x)
 
 
 def _put_channel(w: BitWriter, x: np.ndarray, width: int) -> bool:
@@ -1039,11 +1061,11 @@ def _put_channel(w: BitWriter, x: np.ndarray, width: int) -> bool:
     (run_code, run_extra, run_bits), (far_code, far_extra, far_bits) = _prefixes(runs), _prefixes(np.where((fars < len(near)) & (short > 0), short, fars + 120))
     w.put(0, 2)  # neither cache nor groups
     green = np.concatenate([np.bincount(literals, minlength=256), np.bincount(run_code, minlength=24)])
-    codes, sizes = _put_prefix(w, code_lengths(green))
+    codes, sizes = _put_prefix(w, _code_lengths(green))
     _put_simple(w, [0])
     _put_simple(w, [0])
     _put_simple(w, [255])
-    far_codes, far_sizes = _put_prefix(w, code_lengths(np.bincount(far_code, minlength=40)))
+    far_codes, far_sizes = _put_prefix(w, _code_lengths(np.bincount(far_code, minlength=40)))
     # a back-reference takes two fields, at its first two pixels
     index = x.astype(np.intp)
     value, size = codes.take(index), sizes.take(index) * free
