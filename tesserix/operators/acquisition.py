@@ -10,10 +10,15 @@ The rule is sequential (a row's fate depends on those of all rows before it), bu
 All accepted rows of a group stand among its first `cap` that aren't refused, so when `cap` are accepted every undecided row comes later, and is refused. Ranks are
 limited before the shuffle: a group sends `cap` rows a task, however many it has. Near rows are told by hash: rows of one hash are summed up as their
 smallest accepted and two smallest undecided ids.
+
+Where there are limits, rounds go over blocks of rows, in their order: what comes later changes nothing for a block, and rows of a group that is full by then are refused without
+rounds and without their near rows. Blocks grow fourfold, so groups that never fill take some log4 n of them, and all blocks together hold each row once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,44 +41,104 @@ def _near_before(state: DataFrame, near: DataFrame) -> DataFrame:
     return heard.groupBy("h").agg(at(False, 1).alias("taken"), at(True, 1).alias("one"), at(True, 2).alias("two"))
 
 
-def accept_in_order(rows: DataFrame, near: DataFrame, limits: list[tuple[list[str], int]] = (), rounds: list[int] | None = None) -> DataFrame:
+#: Rows of the first block; each later one has four times as many.
+BLOCK_ROWS = 20_000
+#: Sampled rows that tell where a block ends.
+CUT_ROWS = 1_000
+
+
+def accept_in_order(rows: DataFrame, near: DataFrame | Callable[[DataFrame], DataFrame], limits: list[tuple[list[str], int]] = (), rounds: list[int] | None = None) -> DataFrame:
     """rows (id, h, columns of limits, and perhaps accepted for rows decided before) with accepted, in the order of id.
 
-    h: the row's hash, or whatever stands for it; near: pairs (a, b) of different hashes that are near, in any direction; rows of equal h are near.
+    h: the row's hash, or whatever stands for it; near: pairs (a, b) of different hashes that are near, in any direction, or what gives those among some hashes (h); rows of equal h are near.
     limits: (columns, cap): at most cap accepted rows for each value of the columns. rounds: gets the number of rounds."""
-    spark, own = rows.sparkSession, rows.columns
-    start = F.col("accepted") if "accepted" in own else F.lit(None).cast("boolean")
+    own, n = [c for c in rows.columns if c != "accepted"], []
+    start = F.col("accepted") if "accepted" in rows.columns else F.lit(None).cast("boolean")
+    rows = saved(rows.select(*own, start.alias("accepted")), "accept-rows")
+    if limits:
+        out = _in_blocks(rows, near, limits, n)
+    else:
+        out = _in_rounds(rows, near(rows.select("h").distinct()) if callable(near) else near, limits, n)
+    forget(rows.sparkSession, rows)
+    if rounds is not None:
+        rounds.append(sum(n))
+    return out
+
+
+def _open(rows: DataFrame, taken: DataFrame, limits: list[tuple[list[str], int]]) -> DataFrame:
+    """Undecided rows whose groups aren't full."""
+    rows = rows.filter("accepted is null")
+    for columns, cap in limits:
+        rows = rows.join(taken.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cap), columns, "left_anti")
+    return rows
+
+
+def _in_blocks(rows: DataFrame, near: DataFrame | Callable[[DataFrame], DataFrame], limits: list[tuple[list[str], int]], rounds: list[int]) -> DataFrame:
+    """accept_in_order() block by block: the open rows up to an id, with all that were accepted before them. Where a block ends changes its size alone."""
+    spark, own, size = rows.sparkSession, rows.columns, BLOCK_ROWS
+    taken, rest = saved(rows.filter("accepted"), "accept-taken"), saved(_open(rows, rows.filter("accepted"), limits), "accept-rest")
+    pairs = None if callable(near) else saved(near.select("a", "b"), "accept-pairs")
+    while n := rest.count():
+        block, cut = rest, None
+        if n > size:
+            # some CUT_ROWS of a block's rows are in the sample; written, so that it is drawn once
+            cut = saved(rest.select("id").sample(min(1.0, CUT_ROWS / size), seed=0).orderBy("id").limit(CUT_ROWS).agg(F.max("id").alias("cut")), "accept-cut", 1)
+            block = rest.join(F.broadcast(cut), F.col("id") <= F.col("cut"))  # one row
+        block = saved(block.select(*own).unionByName(taken), "accept-block")
+        hashes = block.select("h").distinct()
+        of_block = near(hashes) if callable(near) else pairs.join(hashes.withColumnRenamed("h", "a"), "a", "left_semi").join(hashes.withColumnRenamed("h", "b"), "b", "left_semi")
+        found = _in_rounds(block, of_block, limits, rounds)
+        done = [block, taken, rest, found]
+        taken = saved(found.filter("accepted").select(*own), "accept-taken")
+        # rows of a block are all decided: what is left comes after it
+        later = rest.filter("false") if cut is None else rest.join(F.broadcast(cut), F.col("id") > F.col("cut")).select(*own)
+        rest, size = saved(_open(later, taken, limits), "accept-rest"), 4 * size
+        for t in done + ([] if cut is None else [cut]):
+            forget(spark, t)
+    # no open row is left: what isn't accepted was refused in its block, or is in a full group
+    told = rows.join(taken.select("id", F.lit(True).alias("taken")), "id", "left")
+    out = saved(told.select(*[c for c in own if c != "accepted"], F.coalesce("accepted", "taken", F.lit(False)).alias("accepted")), "accept-state")
+    for t in (taken, rest, *([] if pairs is None else [pairs])):
+        forget(spark, t)
+    return out
+
+
+def _in_rounds(rows: DataFrame, near: DataFrame, limits: list[tuple[list[str], int]], rounds: list[int]) -> DataFrame:
+    """accept_in_order() of all rows at once."""
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c != "accepted"]
     kind = rows.schema["id"].dataType
-    state = saved(rows.withColumn("accepted", start).withColumns({"parent": F.lit(None).cast(kind), "flip": F.lit(False)}), "accept-state")
+    state = saved(rows.withColumns({"parent": F.lit(None).cast(kind), "flip": F.lit(False)}), "accept-state")
     hashes = near.select("a", "b").union(near.select("b", "a")).union(rows.select(F.col("h").alias("a"), F.col("h").alias("b")))
     hashes, n = saved(hashes.distinct(), "accept-near"), 0
     while state.filter("accepted is null").limit(1).count():
         n += 1
         # what grows with the rows is merged where it lies: broadcasts of every round would add up on the driver
-        after = state.join(_near_before(state, hashes).hint("merge"), "h", "left")
-        sure, full = F.lit(True), F.lit(False)
-        for k, (columns, cap) in enumerate(limits):
-            places = _first(state.filter("accepted is null or accepted").select(*columns, "id"), columns, "id", cap).select("id", F.lit(True).alias(f"place{k}"))
-            ended = state.filter("accepted").groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cap).select(*columns, F.lit(True).alias(f"full{k}"))
-            after = after.join(places, "id", "left").join(ended, columns, "left")
-            sure, full = sure & F.coalesce(f"place{k}", F.lit(False)), full | F.coalesce(f"full{k}", F.lit(False))
-        above = state.filter("accepted is not null or parent is not null").select(F.col("id").alias("parent"), F.col("accepted").alias("of"), F.col("parent").alias("next"), F.col("flip").alias("turn"))
-        after = after.join(above.hint("merge"), "parent", "left")
-        refused = full | F.coalesce(F.col("taken") < F.col("id"), F.lit(False))
+        heard = state.join(_near_before(state, hashes).hint("merge"), "h", "left")
+        refused = F.coalesce(F.col("taken") < F.col("id"), F.lit(False))
         waits = F.coalesce(F.col("one") < F.col("id"), F.lit(False))
         one_only = waits & F.coalesce(F.col("two") >= F.col("id"), F.lit(True))
+        # refused rows are written first: places are counted without them in the same round
+        heard = saved(heard.select(*columns, F.coalesce("accepted", F.when(refused, False)).alias("accepted"), "parent", "flip", waits.alias("waits"), F.when(one_only, F.col("one")).alias("one")), "accept-heard")
+        after, sure, full = heard, F.lit(True), F.lit(False)
+        for k, (keys, cap) in enumerate(limits):
+            places = _first(heard.filter("accepted is null or accepted").select(*keys, "id"), keys, "id", cap).select("id", F.lit(True).alias(f"place{k}"))
+            ended = heard.filter("accepted").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cap).select(*keys, F.lit(True).alias(f"full{k}"))
+            after = after.join(places, "id", "left").join(ended, keys, "left")
+            sure, full = sure & F.coalesce(f"place{k}", F.lit(False)), full | F.coalesce(f"full{k}", F.lit(False))
+        above = heard.filter("accepted is not null or parent is not null").select(F.col("id").alias("parent"), F.col("accepted").alias("of"), F.col("parent").alias("next"), F.col("flip").alias("turn"))
+        after = after.join(above.hint("merge"), "parent", "left")
         told = F.col("of") != F.col("flip")
-        decided = F.coalesce("accepted", F.when(refused, False).when(F.col("of").isNotNull(), told).when(sure & ~waits, True))
-        parent = F.when(F.col("parent").isNull(), F.when(sure & one_only, F.col("one"))).otherwise(F.coalesce("next", "parent"))
-        flip = F.when(F.col("parent").isNull(), sure & one_only).otherwise(F.when(F.col("next").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("turn")))
+        decided = F.coalesce("accepted", F.when(full, False).when(F.col("of").isNotNull(), told).when(sure & ~F.col("waits"), True))
+        follows = sure & F.col("one").isNotNull()
+        parent = F.when(F.col("parent").isNull(), F.when(follows, F.col("one"))).otherwise(F.coalesce("next", "parent"))
+        flip = F.when(F.col("parent").isNull(), follows).otherwise(F.when(F.col("next").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("turn")))
         done = decided.isNotNull()
-        columns = [c for c in own if c != "accepted"]
         after = after.select(*columns, decided.alias("accepted"), F.when(~done, parent).alias("parent"), F.coalesce(flip & ~done, F.lit(False)).alias("flip"))
         before, state = state, saved(after, "accept-state")
-        forget(spark, before)
+        for t in (before, heard):
+            forget(spark, t)
     forget(spark, hashes)
-    if rounds is not None:
-        rounds.append(n)
+    rounds.append(n)
     return state.drop("parent", "flip")
 
 
@@ -82,7 +147,7 @@ def first_come(nodes: DataFrame, edges: DataFrame, rounds: list[int] | None = No
     return accept_in_order(nodes.select("id", F.col("id").alias("h")), edges, rounds=rounds).select("id", "accepted")
 
 
-def acquire(rows: DataFrame, near: DataFrame, sources: list[tuple[str, list[tuple[str, int]], int | None]]) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
+def acquire(rows: DataFrame, near: DataFrame | Callable[[DataFrame], DataFrame], sources: list[tuple[str, list[tuple[str, int]], int | None]]) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
     """Fill roles from several sources: rows (id, h, source, model) to the accepted (id, source, model, role), and what each role was asked for and got.
 
     Sources are gone through in the order given, their rows in the order of id. Each has roles with quotas, filled one after the other: a role begins where the one

@@ -275,10 +275,15 @@ def greedy_acceptance(spark, d):
 
 
 def _in_order(h):
-    """Rows by id and hash, and which hashes are near."""
+    """Rows by id and hash, and what tells which of some hashes are near."""
     h = saved(h, "hashes")
-    groups = identity.hash_groups(h)
-    return identity.hash_members(h, groups).select("id", F.col("rep").alias("h")), identity.near_groups(h)
+    groups = saved(identity.hash_groups(h), "hash-groups")
+
+    def near(hashes):
+        reps = groups.join(hashes.select(F.col("h").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("id"), "p", "d")
+        return identity.near_pairs(reps, reps).filter("a < b")
+
+    return identity.hash_members(h, groups).select("id", F.col("rep").alias("h")), near
 
 
 def _fold(first: str, order: str, role: str, limits: str) -> str:
